@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulary.llm import decontam
+from tabulary.llm import decontam, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 SQL: dict[str, str] = {}
