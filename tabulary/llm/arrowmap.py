@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Arrow batches are cut into pieces of about this size, so that what a task holds stays small.
+PIECE_BYTES = 8 << 20
 _LOCAL_DEFAULT = "file:///tmp/tabulary-checkpoints"
 
 
@@ -27,11 +29,12 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            made = make(batch)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names[:first]]
-            yield pa.RecordBatch.from_arrays(columns + [made[n] for n in names[first:]], names=names)
+            rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = make(part)
+                columns = [part.column(part.schema.get_field_index(n)) for n in names[:first]]
+                yield pa.RecordBatch.from_arrays(columns + [made[n] for n in names[first:]], names=names)
 
     return df.mapInArrow(run, schema)
 
