@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabulary.llm import decontam, pieces, simhash
+from tabulary.llm import decontam, pieces, rules, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_rules": rules.op4_rules,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
