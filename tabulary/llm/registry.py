@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tabulary.llm import decontam, pieces, rules, simhash
+from tabulary.llm import chat, decontam, pieces, rules, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_rules": rules.op4_rules,
+    "op5_chat": chat.op5_chat,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_chat": chat.OP5_SQL,
+}
 
 
 def queries() -> dict:
