@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabulary.llm import chat, decontam, pieces, rules, simhash
+from tabulary.llm import chat, decontam, pieces, pii, rules, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_rules": rules.op4_rules,
     "op5_chat": chat.op5_chat,
+    "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
