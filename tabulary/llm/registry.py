@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabulary.llm import chat, decontam, pieces, pii, rules, simhash
+from tabulary.llm import chat, decontam, pieces, pii, quality, rules, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_quality": quality.op3_quality,
     "op4_rules": rules.op4_rules,
     "op5_chat": chat.op5_chat,
     "op8_pii": pii.op8_pii,
