@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulary.llm import chat, decontam, pieces, pii, quality, rules, simhash
+from tabulary.llm import chat, decontam, pieces, pii, quality, rules, simhash, substrings
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
     "op4_rules": rules.op4_rules,
