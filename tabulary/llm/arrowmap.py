@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: Arrow batches are cut into pieces of about this size, so that what a task holds stays small.
 PIECE_BYTES = 8 << 20
 _LOCAL_DEFAULT = "file:///tmp/tabulary-checkpoints"
 
 
-def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict], drop: tuple[str, ...] = ()) -> DataFrame:
+def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict], drop: tuple[str, ...] = (),
+                piece: int = PIECE_BYTES) -> DataFrame:
     """Append the columns of ``ddl`` that ``make`` computes for each Arrow batch.
 
     A column of ``df`` with the name of a new column, or listed in ``drop``, is
-    left out of the result. The rows keep their partitions; nothing is shuffled.
+    left out of the result. Batches are cut into pieces of about ``piece`` bytes, so that
+    what a task holds stays small. The rows keep their partitions; nothing is shuffled.
     """
     new = T._parse_datatype_string(ddl)
     gone = {f.name.lower() for f in new} | {c.lower() for c in drop}
@@ -29,7 +30,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+            rows = max(1, batch.num_rows * piece // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 made = make(part)

@@ -33,7 +33,9 @@ from sentencepiece import sentencepiece_model_pb2
 from tabulary.llm.arrowmap import add_columns
 
 MODEL = "piece_bpe_32k.model"
-KNOWN_RUNS = 400_000
+#: Distinct runs whose ids a worker remembers, and bytes that it holds at once.
+KNOWN_RUNS = 150_000
+PIECE_BYTES = 1 << 20
 _MARK = "▁"
 _RUN = re.compile(f"{_MARK}+[^{_MARK}]*")
 
@@ -197,7 +199,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, drop:
         found = encoder(path or vocabulary_path()).encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
         return dict(zip(("ids", "begins", "ends"), map(_lists, found), strict=True))
 
-    return add_columns(df, "ids array<int>, begins array<int>, ends array<int>", make, drop=drop)
+    return add_columns(df, "ids array<int>, begins array<int>, ends array<int>", make, drop=drop, piece=PIECE_BYTES)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -208,7 +210,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, drop: t
         ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
         return {"decoded": pa.array([library.decode(i) if i else "" for i in ids], pa.string())}
 
-    return add_columns(df, "decoded string", make, drop=drop)
+    return add_columns(df, "decoded string", make, drop=drop, piece=PIECE_BYTES)
 
 
 def _digest(docs: DataFrame) -> DataFrame:
