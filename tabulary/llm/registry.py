@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulary.llm import chat, decontam, pieces, pii, quality, rules, simhash, substrings
+from tabulary.llm import chat, decontam, licences, pieces, pii, quality, rules, simhash, substrings
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -10,12 +10,14 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_rules": rules.op4_rules,
     "op5_chat": chat.op5_chat,
+    "op6_licences": licences.op6_licences,
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 SQL: dict[str, str] = {
     "op5_chat": chat.OP5_SQL,
+    "op6_licences": licences.oracle_sql(),
 }
 
 
