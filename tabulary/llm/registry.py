@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulary.llm import chat, decontam, licences, pieces, pii, quality, rules, simhash, substrings
+from tabulary.llm import chat, decontam, licences, lm, pieces, pii, quality, rules, simhash, substrings
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_rules": rules.op4_rules,
     "op5_chat": chat.op5_chat,
     "op6_licences": licences.op6_licences,
+    "op7_lm": lm.op7_lm,
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
