@@ -245,7 +245,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.octet_length("text").cast("long").alias("nb"))
     texts = keyed.groupBy(*_KEY).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
     seeds = texts.select(*_KEY, "text").mapInArrow(_seed(length, anchor), "a long, t long, at long")
-    known = seeds.groupBy("a").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
+    # Counted under another key than the join's: so both sides of the join are exchanges, and a
+    # partition that a frequent anchor makes large can be split.
+    known = seeds.groupBy(F.bitwise_not("a").alias("k")).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
+    known = known.select(F.bitwise_not("k").alias("a"), "occurrences")
     crowded = known.where(F.col("occurrences") > crowd).select("a", F.ceil(F.col("occurrences") / crowd).cast("int").alias("salts"))
     places = seeds.join(known.select("a"), "a", "left_semi").select("t", F.shiftright("at", 32).alias("nb"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     places = places.groupBy(*_KEY).agg(F.collect_list("place").alias("places"))
