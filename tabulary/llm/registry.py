@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tabulary.llm import chat, decontam, licences, lm, pieces, pii, quality, rules, simhash, substrings
 
 QUERIES = {
@@ -23,8 +24,8 @@ SQL: dict[str, str] = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
