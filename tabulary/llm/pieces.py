@@ -6,10 +6,8 @@ it knows none), spaces are treated as the model says, and every normalised byte
 records the original byte that it came from. A piece's span is then the stretch
 of original bytes that its normalised bytes came from.
 
-Pieces that hold a space mark hold it at their start only, or nothing else. So
-merges never cross the start of a run of marks, and a normalised text is encoded
-run by run, each distinct run once per worker. Where a model has other pieces,
-or a character map, the library encodes the whole text.
+The library merges the pieces of the whole text; their widths in normalised bytes
+must add up to the normalised text, which ties its pieces to the alignment.
 
 Defined results: null and empty texts have no ids and no spans and decode to an
 empty text. Ids outside the vocabulary are an error of the library. Input
@@ -18,10 +16,8 @@ columns named like an output column are replaced.
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +29,9 @@ from sentencepiece import sentencepiece_model_pb2
 from tabulary.llm.arrowmap import add_columns
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct runs whose ids a worker remembers, and bytes that it holds at once.
-KNOWN_RUNS = 150_000
+#: Bytes of a table that a worker holds at once.
 PIECE_BYTES = 1 << 20
 _MARK = "▁"
-_RUN = re.compile(f"{_MARK}+[^{_MARK}]*")
 
 
 class CharacterMap:
@@ -137,36 +131,20 @@ class Encoder:
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces])
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
-        inner = any(_MARK in p.piece.lstrip(_MARK) or (p.type == kinds.USER_DEFINED) for p in proto.pieces)
-        self.by_runs = self.normaliser.plain and self.normaliser.prefix and not inner and self.normaliser.mark == _MARK.encode()
-        self.known: dict[str, list[int]] = {}
-
-    def _by_runs(self, normal: list[bytes]) -> list[np.ndarray]:
-        runs = [_RUN.findall(x.decode()) for x in normal]
-        if len(self.known) > KNOWN_RUNS:
-            self.known.clear()
-        known = self.known
-        new = [r for r in {*chain.from_iterable(runs)} if r not in known]
-        known.update(zip(new, self.library.encode([r[1:] for r in new], num_threads=1), strict=True))
-        for r in new:
-            if len(r) == 1:  # the library marks no empty text
-                known[r] = self.library.encode("a" + r)[-1:]
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, r)), np.int32) for r in runs]
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Ids, span begins and span ends (original bytes) of each text."""
         data = [(t or "").encode() for t in texts]
         aligned = [self.normaliser.align(d) for d in data]
-        if self.by_runs:
-            ids = self._by_runs([n for n, _ in aligned])
-        else:
-            ids = [np.array(x, np.int32) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
+        ids = [np.array(x, np.int32) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
         begins, ends = [], []
         for k, (d, (_, origin)) in enumerate(zip(data, aligned, strict=True)):
             width = self.width[ids[k]]
             if (ids[k] == self.unknown).any():
                 width = np.array([len(p.surface.encode()) for p in self.library.encode(d.decode(), return_type="proto").pieces])
             edge = np.concatenate([[0], np.cumsum(width)])
+            if edge[-1] != len(origin) - 1:
+                raise ValueError("pieces and normalised text differ in length")
             begins.append(origin[edge[:-1]].astype(np.int32))
             ends.append(origin[edge[1:]].astype(np.int32))
         return ids, begins, ends
