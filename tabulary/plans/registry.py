@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tabulary.plans import archive
+
+_PARTS = (archive,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
