@@ -325,3 +325,31 @@ def dative_year(year: Column) -> Column:
 
 def coverage_since(year: Column) -> Column:
     return F.concat(ablative_year(year), F.lit(" bugüne"))
+
+
+#: Conjunctions that stay small, and company suffixes with their spelling.
+_SMALL_IN_NAMES = ("ve", "ile", "veya", "ya", "da", "de", "ki", "ise", "için", "olarak", "bir")
+_COMPANY_SUFFIXES = {"ltd": "Ltd", "ltd.": "Ltd.", "limited": "Limited", "limited.": "Limited.", "co": "Co", "co.": "Co.", "inc": "Inc", "inc.": "Inc."}
+
+
+def title_case(x: Column) -> Column:
+    """A name in capitals in the usual case; mixed case is left alone. Abbreviations without
+    vowels stay; the phrase decides whether I is a Turkish letter."""
+
+    def cased(t: Column) -> Column:
+        turkish = t.rlike("[ÇĞİÖŞÜçğiöşü]")
+        suffixes = F.create_map(*(F.lit(v) for pair in _COMPANY_SUFFIXES.items() for v in pair))
+
+        def word(w: Column, i: Column) -> Column:
+            small = turkish_lower(w)
+            lower = F.when(turkish, small).otherwise(F.lower(w))
+            letters = F.regexp_replace(small, "[^a-zçğıöşü]", "")
+            acronym = (letters != "") & ~letters.rlike(f"[{_VOWEL}]")
+            head = F.left(lower, F.lit(1))
+            upper = F.when(turkish, turkish_upper(head)).otherwise(F.upper(head))
+            made = F.concat(upper, F.substring(lower, F.lit(2), F.length(w)))
+            return F.when((i > 0) & small.isin(*_SMALL_IN_NAMES), lower).when(suffixes[small].isNotNull(), suffixes[small]).when(acronym, w).otherwise(made)
+
+        return F.when(t != turkish_upper(t), t).otherwise(F.array_join(F.transform(F.split(t, " "), word), " "))
+
+    return let(squeeze(x), cased)
