@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulary.functions.text import turkish_upper
+from tabulary.functions.text import let, turkish_upper
 
 #: Fixed values: (document type, reference types, sections, title keywords); an empty list is no condition.
 DOC_TYPE_RULES = (
@@ -78,23 +78,30 @@ def _any(title: Column, keywords) -> Column:
 
 def doc_type(title: Column, section: Column, ref_type: Column) -> Column:
     """The document type of a record; ``diger`` where no rule holds."""
-    upper = turkish_upper(title)
-    chain = None
-    for name, refs, sections, keywords in DOC_TYPE_RULES:
-        tests = [F.coalesce(ref_type.isin(*refs), F.lit(False))] if refs else []
-        tests += [F.coalesce(section.isin(*sections), F.lit(False))] if sections else []
-        tests += [_any(upper, keywords)] if keywords else []
-        hit = reduce(lambda a, b: a & b, tests)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain.otherwise("diger")
+
+
+    def first_rule(upper: Column) -> Column:
+        chain = None
+        for name, refs, sections, keywords in DOC_TYPE_RULES:
+            tests = [F.coalesce(ref_type.isin(*refs), F.lit(False))] if refs else []
+            tests += [F.coalesce(section.isin(*sections), F.lit(False))] if sections else []
+            tests += [_any(upper, keywords)] if keywords else []
+            hit = reduce(lambda a, b: a & b, tests)
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        return chain.otherwise("diger")
+
+    return let(turkish_upper(title), first_rule)
 
 
 def topics(title: Column, kind: Column) -> Column:
     """Distinct topics of a record, those of its type first."""
-    upper = turkish_upper(title)
     by_type = F.create_map(*(F.lit(x) for pair in TOPIC_BY_DOC_TYPE.items() for x in pair))[kind]
-    found = [F.when(_any(upper, words) & ~kind.isin(*out) if out else _any(upper, words), F.lit(topic)) for topic, words, out in TOPIC_KEYWORDS]
-    return F.array_distinct(F.filter(F.array(by_type, *found), lambda t: t.isNotNull()))
+
+    def worded(upper: Column) -> Column:
+        found = [F.when(_any(upper, words) & ~kind.isin(*out) if out else _any(upper, words), F.lit(topic)) for topic, words, out in TOPIC_KEYWORDS]
+        return F.array_distinct(F.filter(F.array(by_type, *found), lambda t: t.isNotNull()))
+
+    return let(turkish_upper(title), worded)
 
 
 def issuer(title: Column, kind: Column, body: Column) -> Column:
@@ -107,13 +114,12 @@ def issuer(title: Column, kind: Column, body: Column) -> Column:
 
 def munhal_kind(title: Column, ref_type: Column, by: Column) -> Column:
     """The commission's vacancy category; its reference series decides before the wording."""
-    t = turkish_upper(title)
     series = F.when(ref_type == "mia", "ilk_atama").when(ref_type == "khkmt", "yukselme").when(ref_type == "khko", "ogretmen")
-    worded = (
+    worded = lambda t: (
         F.when(_any(t, ["ÖĞRETMEN", "ÖĞRETİM DAİRESİ"]) | t.rlike(r"GENELGE\s+Ö\."), "ogretmen")
         .when(_any(t, ["YÜKSELME", "TERFİ"]), "yukselme").when(_any(t, ["İLK ATAMA", "İLK ATANMA"]), "ilk_atama")
     )
-    return F.when(by == "khk", F.coalesce(series, worded))
+    return F.when(by == "khk", F.coalesce(series, let(turkish_upper(title), worded)))
 
 
 def personal_data(title: Column, kind: Column) -> Column:

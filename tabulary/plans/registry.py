@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulary.plans import archive
+from tabulary.plans import archive, enrichment
 
-_PARTS = (archive,)
+_PARTS = (archive, enrichment)
 
 
 def queries() -> dict:
