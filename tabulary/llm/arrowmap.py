@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,10 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 _LOCAL_DEFAULT = "file:///tmp/tabulary-checkpoints"
 
 
+def held_until_done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker's free memory goes back to the system.
+
+    Workers outlive tasks and stages, and what their allocators keep adds up beside
+    the memory of the tasks that run then.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict], drop: tuple[str, ...] = (),
                 piece: int = PIECE_BYTES) -> DataFrame:
     """Append the columns of ``ddl`` that ``make`` computes for each Arrow batch.
@@ -29,7 +43,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict],
     first = len(names) - len(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held_until_done(batches):
             rows = max(1, batch.num_rows * piece // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tabulary.llm import bytewords as bw
 from tabulary.llm import eftrie
-from tabulary.llm.arrowmap import written
+from tabulary.llm.arrowmap import held_until_done, written
 
 #: Text bytes of a block, and shards for each shuffle partition.
 BLOCK_BYTES = 6 << 20
@@ -117,7 +117,7 @@ def _homes(h: np.ndarray, shards: int) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], busy: Busy, shards: int) -> Iterator[tuple]:
     """(id, block, local word hashes, salts, start, document ids, held-out marks) of each block."""
-    for batch in batches:
+    for batch in held_until_done(batches):
         for lo, hi, data, offsets in bw.slices(batch.column("text"), BLOCK_BYTES):
             w = bw.find_words(data, offsets, bw.SPACED, lower=True)
             n = np.diff(w.first)
@@ -201,7 +201,7 @@ def _read_block(data: bytes, parts: np.ndarray, shards: int) -> tuple[Block, np.
 def _by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of each value of the sorted key."""
     at, rows = None, []
-    for batch in batches:
+    for batch in held_until_done(batches):
         for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
             k = row[batch.schema.get_field_index(key)]
             if k != at and rows:
@@ -305,7 +305,7 @@ def _scores(busy, parts_of, shards: int, n_all: int, n_kinds: int):
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each context occurs in some texts (start marks included)."""
-    for batch in batches:
+    for batch in held_until_done(batches):
         for _, hi, data, offsets in bw.slices(batch.column("text"), BLOCK_BYTES):
             w = bw.find_words(data, offsets, bw.SPACED, lower=True)
             names, n = np.unique(bw.word_hashes(w), return_counts=True)

@@ -149,6 +149,9 @@ class Encoder:
             ends.append(origin[edge[1:]].astype(np.int32))
         return ids, begins, ends
 
+    def decode(self, ids: list[int] | None) -> str:
+        return self.library.decode(ids) if ids else ""
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
@@ -166,33 +169,35 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]), pa.int32()))
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, drop: tuple[str, ...] = (), and_decode: bool = False) -> DataFrame:
     """``df`` with ids, begins and ends: piece ids, and their spans in the text's UTF-8 bytes.
 
-    ``path`` names the model file, at the same place on every executor; null: the
-    public vocabulary's place there.
+    ``and_decode`` adds ``decoded``, as ``decode`` would. ``path`` names the model
+    file, at the same place on every executor; null: the public vocabulary's place there.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
-        found = encoder(path or vocabulary_path()).encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-        return dict(zip(("ids", "begins", "ends"), map(_lists, found), strict=True))
+        e = encoder(path or vocabulary_path())
+        found = e.encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        out = dict(zip(("ids", "begins", "ends"), map(_lists, found), strict=True))
+        return out | ({"decoded": pa.array([e.decode(i.tolist()) for i in found[0]], pa.string())} if and_decode else {})
 
-    return add_columns(df, "ids array<int>, begins array<int>, ends array<int>", make, drop=drop, piece=PIECE_BYTES)
+    ddl = "ids array<int>, begins array<int>, ends array<int>" + (", decoded string" if and_decode else "")
+    return add_columns(df, ddl, make, drop=drop, piece=PIECE_BYTES)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``decoded``, the text of its piece ids; null ids give an empty text."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        library = encoder(path or vocabulary_path()).library
-        ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-        return {"decoded": pa.array([library.decode(i) if i else "" for i in ids], pa.string())}
+        e = encoder(path or vocabulary_path())
+        return {"decoded": pa.array([e.decode(i) for i in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()], pa.string())}
 
     return add_columns(df, "decoded string", make, drop=drop, piece=PIECE_BYTES)
 
 
 def _digest(docs: DataFrame) -> DataFrame:
-    found = decode(encode(docs.select("doc_id", "text"), drop=("text",)))
+    found = encode(docs.select("doc_id", "text"), drop=("text",), and_decode=True)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("span_end"),

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulary.llm.arrowmap import add_columns, written
+from tabulary.llm.arrowmap import add_columns, held_until_done, written
 from tabulary.llm.components import components
 
 RADIUS = 3
@@ -120,7 +120,7 @@ def _bucket_scan(radius: int, crowd: int, last: bool):
             if len(held) > 1:
                 out.extend((_EDGE, b, a) for a, b in _links(np.unique(held), radius))
 
-        for batch in batches:
+        for batch in held_until_done(batches):
             tab, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(tab):
                 continue

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.llm import bytewords as bw
+from tabulary.llm.arrowmap import held_until_done
 
 LENGTH = 35
 ANCHOR = 12
@@ -67,7 +68,7 @@ def _seed(length: int, anchor: int):
     """Rows (t, nb, text) to anchors (a, t, at), at holding the text's bytes and the anchor's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held_until_done(batches):
             t, nb = batch.column("t").to_numpy(), batch.column("nb").to_numpy()
             for lo, _, data, offsets in bw.slices(batch.column("text")):
                 w = bw.find_words(data, offsets, bw.SPACED)
@@ -85,7 +86,7 @@ def _extend(length: int, anchor: int):
     owns stretches, the word where the first of them starts and the hash of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held_until_done(batches):
             t, nb = batch.column("t").to_numpy(), batch.column("nb").to_numpy()
             places = batch.column("places")
             for lo, hi, data, offsets in bw.slices(batch.column("text")):
@@ -162,7 +163,7 @@ def _settled(part, row: np.ndarray, start: np.ndarray, many: np.ndarray) -> Iter
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Batches of about ``rows`` rows, cut between values of the sorted keys."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in held_until_done(batches):
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) < rows:
@@ -194,7 +195,7 @@ def _cut(length: int):
     """Rows (t, nb, copies, text, spans) to word counts, removed words and the digest of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held_until_done(batches):
             t, nb, copies = (batch.column(c).to_numpy() for c in ("t", "nb", "copies"))
             for lo, hi, data, offsets in bw.slices(batch.column("text")):
                 w = bw.find_words(data, offsets, bw.SPACED)
