@@ -40,7 +40,7 @@ from tabulary.llm.arrowmap import held_until_done
 
 LENGTH = 35
 ANCHOR = 12
-CROWD = 4096
+CROWD = 1024
 _KEY = ["t", "nb"]
 
 
