@@ -67,3 +67,29 @@ def test_title_deed(spark):
     assert lines[1] == {"fee-contract": 40_000, "fee-transfer": 120_000, "gkk": 2_000, "permit": 35_446.5} and got[1].rate == 8
     assert lines[2] == {"fee": 150_000, "mortgage": 0, "gkk": 4_000} and (got[2].sale_saving, got[2].mortgage_saving) == (330_000, 10_000)
     assert lines[3] == {"fee": 1_000, "seller-tax": 0} and lines[4] == {"fee": 9_000, "exchange-difference": 8_000} and lines[5] == {"mortgage": 1_000}
+
+
+def test_vehicle_import(spark):
+    from tabulary.functions import vehicle_import as V
+
+    base = dict.fromkeys(f.split()[0] for f in V.INPUT.split(", "))
+    cases = [
+        base | {"cif": 100_000.0, "fuel": "petrol", "engine_cc": 1600, "origin": "other", "commercial": True, "weight_kg": 1200.0, "road_tax": True},
+        base | {"cif": 100_000.0, "fuel": "diesel", "engine_cc": 1400, "origin": "tc", "disability_group": "orthopaedic", "adapted": True},
+        base | {"vehicle_type": "truck", "cif": 100_000.0, "fuel": "diesel", "engine_cc": 6000, "origin": "other"},
+        base | {"cif": 100_000.0, "fuel": "electric", "origin": "eu", "temporary": True, "not_own_name": True},
+        base | {"vehicle_type": "motorcycle", "cif": 10_000.0, "fuel": "petrol", "engine_cc": 100, "origin": "other", "road_tax": True},
+        base | {"cif": 100_000.0, "fuel": "petrol", "engine_cc": 3500, "origin": "other", "classic": True, "age_years": 30, "weight_kg": 1000.0, "road_tax": True, "built_by_1983": True},
+    ]
+    rows = spark.createDataFrame([(i, tuple(c.values())) for i, c in enumerate(cases)], f"i int, p struct<{', '.join(f.replace(' ', ':') for f in V.INPUT.split(', '))}>")
+    got = [r.duty for r in V.with_vehicle_import(rows).orderBy("i").collect()]
+    lines = [{x.key: round(x.amount, 2) for x in g.lines} for g in got]
+    assert lines[0] == {"customs": 10_000, "fif": 3_000, "wharf": 4_400, "gkk": 2_500, "withholding": 4_000, "vat": 23_980, "registration": 6_000, "road-tax": 4_355.45}
+    assert (got[0].vat_base, got[0].customs_total, got[0].burden_percent) == (119_900, 47_880, 58.24)
+    assert lines[1] == {"customs": 0, "fif": 0, "wharf": 4_400, "gkk": 0, "vat": 20_880, "registration": 0}
+    assert lines[2] == {"customs": 22_000, "fif": 0, "wharf": 0, "gkk": 2_500, "vat": 0, "registration": 6_000} and got[2].new_work_vehicle
+    assert lines[3] == {"customs": 0, "fif": 8_500, "vat": 0, "registration": 18_725}
+    assert lines[4] == {"customs": 1_450, "fif": 1_450, "fif-specific": 375, "wharf": 440, "gkk": 250, "vat": 2_234.4, "registration": 600, "road-tax": 593.45}
+    assert got[5].classic and lines[5]["fif"] == 6_000 and lines[5]["fif-specific"] == 750 and lines[5]["road-tax"] == 766.95
+    a = one(spark, V.age_check(d("2021-03-01"), d("2026-02-28")))
+    assert (a.allowed, a.age_years) == (True, 4) and not one(spark, V.age_check(d("2021-03-01"), d("2026-03-01"))).allowed
