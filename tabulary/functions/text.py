@@ -172,10 +172,10 @@ def deadline_passed(deadline: Column, today: Column) -> Column:
 def strip_html(x: Column) -> Column:
     """Breaks and block ends become newlines, other tags a space, six entities their character."""
     t = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(p|div|li|tr|h[1-6])>", "\n")
+    t = F.regexp_replace(t, r"(?i)</(p|div|tr|li|td)>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+        t = F.regexp_replace(t, f"(?i){entity}", char)
     return t
 
 

@@ -133,8 +133,8 @@ def slugify(spark, d):
     return read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(p|div|li|tr|h[1-6])>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS plain FROM pages""")
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(p|div|tr|li|td)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'),
+'&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS plain FROM pages""")
 def strip_html(spark, d):
     return read(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
