@@ -228,3 +228,37 @@ def snippet_or_lead_in(body: Column, query: str | None, longest: int = 200) -> C
         return snippet(body, query)
     t = F.nullif(squeeze(body), F.lit(""))
     return F.when(F.length(t) > longest, F.concat(F.left(t, F.lit(longest)), F.lit("…"))).otherwise(t)
+
+
+def match_terms(query: str) -> list[str]:
+    """What to highlight: quoted phrases of two letters or more, words of three or more, longest first."""
+    terms = [t for q in re.findall('"([^"]+)"', query) if len(t := squeeze_text(q)) >= 2]
+    terms += [w for w in squeeze_text(re.sub('"[^"]+"', " ", query)).split() if len(w) >= 3 and not w.startswith("-")]
+    return sorted(terms, key=len, reverse=True)
+
+
+def overlay_matches(tokens: Column, query: str) -> Column:
+    """Tokens (t, lvl) with the query's matches at word starts as tokens of level 3.
+
+    Places are found in the folded text, which has the same length; a token is cut
+    at the places where being inside a match changes.
+    """
+    terms = match_terms(query)
+    if not terms:
+        return tokens
+
+    def cut(token: Column) -> Column:
+        folded = F.translate(F.lower(F.translate(token["t"], "İI", "iı")), ACCENTED, PLAIN)
+        pattern = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, terms)) + ")"
+        marked = F.regexp_replace(folded, pattern, "\u0001$0\u0002")
+
+        def pieces(m: Column) -> Column:
+            parts = F.filter(F.split(m, "(?=\u0001)|(?<=\u0002)"), lambda p: p != "")
+            sized = F.transform(parts, lambda p: F.struct(F.length(F.translate(p, "\u0001\u0002", "")).alias("n"), p.startswith("\u0001").alias("hit")))
+            ends = F.aggregate(sized, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["n"])))
+            one = lambda p, i, e: F.struct(F.substring(token["t"], F.get(e, i) + 1, p["n"]).alias("t"), F.when(p["hit"], 3).otherwise(token["lvl"]).alias("lvl"))
+            return F.element_at(F.transform(F.array(ends), lambda e: F.transform(sized, lambda p, i: one(p, i, e))), 1)
+
+        return F.element_at(F.transform(F.array(marked), pieces), 1)
+
+    return F.flatten(F.transform(tokens, cut))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulary.plans import archive, enrichment
+from tabulary.plans import archive, enrichment, records
 
-_PARTS = (archive, enrichment)
+_PARTS = (archive, enrichment, records)
 
 
 def queries() -> dict:

@@ -35,3 +35,10 @@ def test_facets_leave_out_their_own_filter(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "p string, q string")
     got = {tuple(r) for r in S.facets(df, {"p": ["a"], "q": ["x"]}).collect()}
     assert got == {("p", "a", 1), ("p", "b", 1), ("q", "x", 1), ("q", "y", 1)}
+
+
+def test_overlay(spark):
+    tokens = F.array(F.struct(F.lit("MUHALEFET İhalesi ve ").alias("t"), F.lit(0).alias("lvl")), F.struct(F.lit("su ihalesi").alias("t"), F.lit(1).alias("lvl")))
+    got = spark.range(1).select(S.overlay_matches(tokens, 'ihale "su"').alias("x")).first().x
+    assert [tuple(t) for t in got] == [("MUHALEFET ", 0), ("İhale", 3), ("si ve ", 0), ("su", 3), (" ", 1), ("ihale", 3), ("si", 1)]
+    assert S.match_terms('ve "bir iki" -üç dört') == ["bir iki", "dort"]
