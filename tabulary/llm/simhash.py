@@ -11,9 +11,9 @@ Copies collapse into one fingerprint before any table is built. A table's
 bucket of at most ``CROWD`` fingerprints is compared inside its task, which
 keeps only one link per fingerprint (to the least of its group), never all
 pairs. The members of a larger bucket are dealt out again by masks over the
-bits that the bucket leaves free; after four rounds at most ``radius`` bits are
-free, where all members of a bucket are linked anyway. So no task gathers more
-than ``CROWD`` fingerprints and no pair is lost.
+bits that the bucket leaves free. Then at most 16 bits are free, so a bucket has
+at most 65,536 members whatever the input, and is linked inside its task by
+looking up each member's neighbours. So no pair is lost and no task gathers more.
 
 Defined results: a null or empty text has no words and fingerprint zero, and is
 linked like any other; rows with a null id get the group's least id, or null if
@@ -23,6 +23,7 @@ the group has none; repeated rows are copies of one another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -87,24 +88,44 @@ def _tables(radius: int, parents: dict[int, int]) -> dict[int, int]:
 
 
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """For each fingerprint of a bucket that has links inside it, one link to its group's least."""
-    x = fps.view(np.uint64)
+    """For each fingerprint of a bucket that has links inside it, one link to its group's least.
+
+    ``fps`` are sorted and distinct. Many of them are not compared in pairs: each
+    looks up those that differ from it in ``radius`` of the bucket's free bits.
+    """
+    x = np.sort(fps.view(np.uint64))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(x) <= CROWD:
+        for i in range(len(x) - 1):
+            near = np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= radius) + i + 1
+            found.append((np.full(len(near), i), near))
+    else:
+        free = int(np.bitwise_or.reduce(x ^ x[0]))
+        bits = [1 << b for b in range(64) if free >> b & 1]
+        flips = [sum(c) for k in range(1, radius + 1) for c in combinations(bits, k)]
+        for flip in flips:
+            other = x ^ np.uint64(flip)
+            at = np.minimum(np.searchsorted(x, other), len(x) - 1)
+            hit = np.flatnonzero((x[at] == other) & (at > np.arange(len(x))))
+            found.append((hit, at[hit]))
     label = np.arange(len(x))
-    near = [np.flatnonzero(np.bitwise_count(x ^ x[i]) <= radius) for i in range(len(x))]
     changed = True
     while changed:
-        fresh = np.array([label[n].min() for n in near])
-        fresh = fresh[fresh]
-        changed = bool((fresh != label).any())
-        label = fresh
-    return [(int(fps[i]), int(fps[label[i]])) for i in np.flatnonzero(label != np.arange(len(x)))]
+        before = label.copy()
+        for a, b in found:
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+        label = label[label]
+        changed = bool((before != label).any())
+    return [(int(v), int(u)) for v, u in zip(x.view(np.int64), x[label].view(np.int64), strict=True) if u != v]
 
 
 def _bucket_scan(radius: int, crowd: int, last: bool):
     """Arrow mapper over rows (tab, key, fp) sorted by table and key.
 
     Gives links (-1, v, u) and the rows of crowded buckets as they came. A run of
-    rows of one bucket is held until it ends or passes ``crowd``.
+    rows of one bucket is held until it ends or, before the last round, passes ``crowd``.
     """
 
     def emit(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -113,7 +134,7 @@ def _bucket_scan(radius: int, crowd: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray = np.zeros(0, np.int64)
-        at, crowded, least = None, False, 0
+        at, crowded = None, False
         out: list[tuple[int, int, int]] = []
 
         def close() -> None:
@@ -132,17 +153,11 @@ def _bucket_scan(radius: int, crowd: int, last: bool):
                     close()
                     held, at, crowded = np.zeros(0, np.int64), (tab[a], key[a]), False
                 part = fp[a : a + n]
-                if last:
-                    if not len(held):
-                        held = part[:1]
-                        least = int(part[0])
-                    out.extend((_EDGE, least, int(f)) for f in part if f != least)
-                    held = held[:1]
-                elif crowded:
+                if crowded:
                     out.extend((int(tab[a]), int(key[a]), int(f)) for f in part)
                 else:
                     held = np.concatenate([held, part])
-                    if len(held) > crowd:
+                    if len(held) > crowd and not last:
                         out.extend((int(tab[a]), int(key[a]), int(f)) for f in held)
                         held, crowded = np.zeros(0, np.int64), True
                 if len(out) > 50_000:
@@ -157,12 +172,14 @@ def _bucket_scan(radius: int, crowd: int, last: bool):
 
 def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) that connect just the distinct ``fp`` of ``nodes`` which chains of
-    pairs within ``radius`` bits connect."""
+    pairs within ``radius`` bits connect. Two rounds of masks leave at most 16 bits free
+    for radius 3 and less."""
+    if radius > RADIUS:
+        raise ValueError(f"masks are laid out for a radius of {RADIUS} at most")
     parents, rows, found = {0: 0}, nodes.select("fp"), None
-    for level in range(4):
+    for level in range(2):
         tables = _tables(radius, parents)
-        free = max(64 - m.bit_count() for m in tables.values())
-        last = free <= radius
+        last = level == 1
         if level == 0:
             made = [F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in tables.items()]
             keyed = rows.select("fp", F.inline(F.array(*made)))

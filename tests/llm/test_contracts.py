@@ -49,7 +49,8 @@ def test_fingerprints(spark, folder, pairs):
 def test_covering_links_lose_no_pair(spark, crowd):
     rng = random.Random(5)
     middle = [rng.getrandbits(64) for _ in range(6)]
-    prints = sorted({m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for m in middle for _ in range(40)})
+    prints = {m ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for m in middle for _ in range(40)}
+    prints = sorted(prints | {middle[0] ^ (k << 20) for k in rng.sample(range(1 << 12), 600)})
     nodes = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
     edges = [(r.u, r.v) for r in simhash.links(nodes, crowd=crowd).collect()]
     at = {simhash._signed(p): i for i, p in enumerate(prints)}
@@ -67,6 +68,21 @@ def test_covering_links_lose_no_pair(spark, crowd):
     assert [find(i) for i in range(len(prints))] == brute.groups(prints)
 
 
+def test_large_buckets_look_up_neighbours():
+    import numpy as np
+
+    rng = random.Random(9)
+    x = np.array(sorted((7 << 30) | k for k in rng.sample(range(1 << 16), 2600)), np.int64)
+    old = simhash.CROWD
+    try:
+        simhash.CROWD = 5000
+        want = sorted(simhash._links(x, 3))
+        simhash.CROWD = 100
+        assert sorted(simhash._links(x, 3)) == want
+    finally:
+        simhash.CROWD = old
+
+
 def test_masks_cover_every_pair():
     rng = random.Random(1)
     masks = simhash.covering_masks()
