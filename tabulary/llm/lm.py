@@ -39,7 +39,7 @@ from tabulary.llm import eftrie
 from tabulary.llm.arrowmap import held_until_done, written
 
 #: Text bytes of a block, and shards for each shuffle partition.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SHARDS_PER_PARTITION = 2
 DISCOUNT = 0.5
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
