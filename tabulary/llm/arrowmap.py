@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -54,6 +55,14 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], dict],
     return df.mapInArrow(run, schema)
 
 
+def apart(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``stage``; those named like one of ``names``, which the
+    stage makes for itself, come through unchanged."""
+    moved = {c: f"__{c}_of_input" for c in docs.columns if c.lower() in names}
+    done = stage(docs.withColumnsRenamed(moved))
+    return done.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.llm import bytewords as bw
-from tabulary.llm.arrowmap import add_columns
+from tabulary.llm.arrowmap import add_columns, apart
 
 PART_WORDS = 400_000
 SIZE = 10
@@ -250,5 +250,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that share no window with the benchmark."""
-    found = find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return apart(docs, ("n_words", "hits", "items"), lambda d: find_phrases(d, benchmark).where(F.size("hits") == 0))

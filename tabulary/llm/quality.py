@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabulary.llm import boosting
 from tabulary.llm import bytewords as bw
-from tabulary.llm.arrowmap import add_columns
+from tabulary.llm.arrowmap import add_columns, apart
 
 #: Most labelled documents that the trees are fitted on.
 SAMPLE_ROWS = 20_000
@@ -140,4 +140,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier predicts to be of label 1."""
     forest = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return add_score(docs, forest).where(F.col("score") >= THRESHOLD).select(docs.columns)
+    return apart(docs, ("score",), lambda d: add_score(d, forest).where(F.col("score") >= THRESHOLD))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulary.llm.arrowmap import add_columns, held_until_done, written
+from tabulary.llm.arrowmap import add_columns, apart, held_until_done, written
 from tabulary.llm.components import components
 
 RADIUS = 3
@@ -220,6 +220,9 @@ def one_of_each_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("text_hash", F.xxhash64("text")).join(keep, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+
+    return apart(docs, ("text_hash", "kept_id", "kept_hash"), kept)

@@ -26,3 +26,15 @@ def test_run(spark, folder):
     a = sorted(map(repr, docs.collect()))
     b = sorted(map(repr, corpus_pipeline.run(spark, folder).collect()))
     assert a == b and a and docs.where(F.col("n_tokens").isNull()).count() == 0
+
+
+def test_stages_leave_other_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    names = ("score", "n_words", "hits", "items", "kept_id", "kept_hash", "text_hash", "fp", "root", "spans", "statistics")
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, folder)
+        assert got.columns == wide.columns, name
+        assert got.drop(*names).exceptAll(stage(spark, docs, folder)).isEmpty(), name
+        assert got.where(" or ".join(f"{n} is null or {n} <> '{n}'" for n in names)).isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == docs.count()
