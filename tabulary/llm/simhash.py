@@ -216,13 +216,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the least id."""
-    found = near_duplicates(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    """Pipeline stage: of each group of near-duplicates the document with the least id.
+
+    Rows go to their group's choice in one shuffle; only choices of which the input has
+    several equal rows are told apart in another.
+    """
+    found = near_duplicates(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies"))
+    chosen = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"), F.col("k.copies").alias("kept_copies"))
+    keep = written(chosen, "kept")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
 
     def kept(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("text_hash", F.xxhash64("text")).join(keep, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+        single = rows.join(keep.where("kept_copies = 1"), same, "left_semi")
+        several = rows.join(keep.where("kept_copies > 1"), same, "left_semi")
+        return single.unionByName(several.dropDuplicates(["doc_id", "text_hash"]))
 
-    return apart(docs, ("text_hash", "kept_id", "kept_hash"), kept)
+    return apart(docs, ("text_hash", "kept_id", "kept_hash", "kept_copies"), kept)
