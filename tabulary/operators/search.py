@@ -209,6 +209,41 @@ def _leaves(node: Node | None) -> list[Node]:
     return [node] if node.words else [x for p in node.parts for x in _leaves(p)]
 
 
+def cover_density(text: Column, query: str | None, weight: float = 0.1) -> Column:
+    """Rank of a folded text (``search_text``): each shortest stretch that holds all words of the query adds
+    ``weight``, divided by one more than the other words in it. An OR ranks as its better side; null query: null.
+
+    The matching words are folded once from the last to the first, so the work is linear in the text.
+    """
+    node = parse(query)
+    return F.lit(None).cast("double") if node is None else _density(F.split(F.trim(text), " "), node, weight)
+
+
+def _density(parts: Column, node: Node, weight: float) -> Column:
+    if node.kind == "or":
+        return F.greatest(*(_density(parts, p, weight) for p in node.parts))
+    words = list(dict.fromkeys(w for leaf in _leaves(node) for w in leaf.words))
+    if not words:
+        return F.lit(0.0)
+    has = lambda w: F.array(*(w.rlike(f"^{_variants(x, SYNONYMS + BRIDGES)}$") for x in words))
+    hits = F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("at"), has(w).alias("has"))), lambda x: F.array_contains(x["has"], True))
+    none = F.array(*(F.lit(None).cast("struct<at:int,i:int>") for _ in words))
+    first = F.struct(none.alias("next"), F.lit(0).alias("i"), F.lit(-1).alias("end"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.transform(s["next"], lambda n, k: F.when(F.get(x["has"], k), F.struct(x["at"].alias("at"), s["i"].alias("i"))).otherwise(n))
+
+        def added(n: Column) -> Column:
+            end = F.array_max(n)
+            new = ~F.exists(n, lambda e: e.isNull()) & (end["at"] != s["end"])
+            more = F.when(new, F.lit(weight) / (1 + end["at"] - x["at"] - (s["i"] - end["i"]))).otherwise(0.0)
+            return F.struct(n.alias("next"), (s["i"] + 1).alias("i"), F.when(new, end["at"]).otherwise(s["end"]).alias("end"), (s["sum"] + more).alias("sum"))
+
+        return F.element_at(F.transform(F.array(near), added), 1)
+
+    return F.aggregate(F.reverse(hits), first, step, lambda s: s["sum"])
+
+
 def headline_tokens(x: Column) -> Column:
     """array<struct<t, lvl>>: marked stretches are level 3, the rest 0; null where nothing is left."""
     pieces = F.split(F.coalesce(x, F.lit("")), "\u0001")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulary.plans import archive, enrichment, records
+from tabulary.plans import archive, enrichment, labels, records
 
-_PARTS = (archive, enrichment, records)
+_PARTS = (archive, enrichment, labels, records)
 
 
 def queries() -> dict:

@@ -42,3 +42,12 @@ def test_overlay(spark):
     got = spark.range(1).select(S.overlay_matches(tokens, 'ihale "su"').alias("x")).first().x
     assert [tuple(t) for t in got] == [("MUHALEFET ", 0), ("İhale", 3), ("si ve ", 0), ("su", 3), (" ", 1), ("ihale", 3), ("si", 1)]
     assert S.match_terms('ve "bir iki" -üç dört') == ["bir iki", "dort"]
+
+
+@pytest.mark.parametrize(("text", "query", "want"), [
+    ("a b c", "a c", 0.05), ("a c", "c a", 0.1), ("a x a c", "a c", 0.1), ("a c a", "a c", 0.2), ("fon x fonlar", "fon", 0.2), ("a b", "a z", 0.0),
+    ("a b", "z OR a", 0.1), ("", "a", 0.0), (None, "a", 0.0), ("a", "", None), ("a b c", '"a b" c', 0.1), ("a", "-b", 0.0),
+])
+def test_cover_density(spark, text, query, want):
+    got = spark.range(1).select(S.cover_density(S.search_text(F.lit(text)), query)).first()[0]
+    assert got == (None if want is None else pytest.approx(want))
