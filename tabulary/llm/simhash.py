@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tabulary.llm.arrowmap import add_columns, apart, held_until_done, written
 from tabulary.llm.components import components
+from tabulary.llm.overlap import add_bands, joined_groups
 
 RADIUS = 3
 CROWD = 2048
@@ -197,15 +198,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFra
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD,
+                    alike: bool = False) -> DataFrame:
     """(id_col, text_hash, fp, root, component_id): the fingerprint of each row, the least
-    fingerprint linked to it, and the least id of that group."""
+    fingerprint linked to it, and the least id of that group. With ``alike``, texts that
+    share their words (``overlap``) are linked besides."""
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = written(add_fingerprint(base, "text", drop=("text",)), "fingerprints")
+    prints = written(add_fingerprint(add_bands(base) if alike else base, "text", drop=("text",)), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(nodes, radius, crowd))
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = written(nodes, "roots")
+    if alike:
+        rows = prints.join(nodes, "fp").select("text_hash", F.col("root").alias("group"), "n_shingles", "bands")
+        for found in joined_groups(base, rows):
+            nodes = nodes.join(found.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("fp", "least", F.coalesce("to", "root").alias("root"))
+        nodes = written(nodes, "roots")
     groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(groups, "root").select("fp", "root", "component_id"), "fp")
 
@@ -218,10 +226,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the least id.
 
+    Near-duplicates are op2's, and texts with a five-word similarity of 0.8 or more.
     Rows go to their group's choice in one shuffle; only choices of which the input has
     several equal rows are told apart in another.
     """
-    found = near_duplicates(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    found = near_duplicates(docs, alike=True).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies"))
     chosen = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"), F.col("k.copies").alias("kept_copies"))
     keep = written(chosen, "kept")

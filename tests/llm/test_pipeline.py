@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import brute
 from pyspark.sql import functions as F
 
@@ -38,3 +41,30 @@ def test_stages_leave_other_columns(spark, folder):
         assert got.drop(*names).exceptAll(stage(spark, docs, folder)).isEmpty(), name
         assert got.where(" or ".join(f"{n} is null or {n} <> '{n}'" for n in names)).isEmpty(), name
     assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == docs.count()
+
+
+def test_near_duplicates_by_five_words(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(base)
+        for changed in (2, 4, 4, 7, 9):
+            copy = list(base)
+            for at in rng.sample(range(5, 195), changed):
+                copy[at] = f"n{rng.randrange(10**9)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["İki söz", "i̇ki SÖZ", "iki söz", "", None]
+    prints = [brute.fingerprint(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    group, far = list(range(len(texts))), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        near = (prints[i] ^ prints[j]).bit_count() <= 3
+        alike = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+        far += alike and not near
+        if near or alike:
+            group = [group[i] if g == group[j] else g for g in group]
+    assert far > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {g: i for i, g in reversed(list(enumerate(group)))}
+    assert sorted(r.doc_id for r in simhash.one_of_each_stage(spark, docs, "").collect()) == sorted(first.values())
