@@ -14,7 +14,8 @@ stage of the same scan.
 Defined results: a null text has no words and no hits; a benchmark item without
 words is never found; a shorter item than ``size`` is one window of its own
 length; rows with equal ids stay separate; an empty benchmark leaves all rows
-clean. Input columns named like an output column are replaced.
+clean. A benchmark item with a null id marks hits like any other, but is not in the
+list of items and so not in their number. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ INDEX_BYTES = 2 << 20
 class Windows:
     """Windows of benchmark words, distinct by content, with the items that hold them."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         seen: dict[tuple, list[int]] = {}
         self.names = [name for name, _ in items]
         for k, (_, text) in enumerate(items):
@@ -126,14 +127,14 @@ def _search(windows: Windows, column: pa.Array, hits: list, items: list) -> list
             old = np.array(hits[lo + d], np.int64).reshape(-1, 2)
             hits[lo + d] = _merge(np.concatenate([old, found])).ravel().tolist()
             owners = np.unique(np.concatenate([windows.owners[w] for w in np.unique(window[a:b])]))
-            items[lo + d] = sorted({*items[lo + d], *(windows.names[k] for k in owners)})
+            items[lo + d] = sorted({*items[lo + d], *(windows.names[k] for k in owners if windows.names[k] is not None)})
     return counts
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    rows: list[tuple[str, str | None]] = []
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    rows: list[tuple[str | None, str | None]] = []
     size = 0
-    spaced = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    spaced = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for r in spaced.toLocalIterator():
         n = len(r.t or "") // 2 + 1
         if rows and size + n > limit:
@@ -148,7 +149,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                  item_text_col: str = "text", size: int = SIZE, part_words: int = PART_WORDS,
                  keep_text: bool = True) -> DataFrame:
     """``docs``, without the texts if not ``keep_text``, with n_words long, hits (word spans begin, end, begin, end ...) and
-    items (sorted ids of the benchmark items that share a window of ``size`` words)."""
+    items (sorted ids, without nulls, of the benchmark items that share a window of ``size`` words)."""
     out, sc = docs, docs.sparkSession.sparkContext
     ddl = "n_words long, hits array<int>, items array<string>"
     parts = _parts(benchmark, item_col, item_text_col, part_words)
@@ -207,7 +208,7 @@ def find_near(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return found
 
 
-def _near(index: Postings, lo: int, hi: int, names: list[str], terms: list[np.ndarray], slop: int) -> list[dict]:
+def _near(index: Postings, lo: int, hi: int, names: list[str | None], terms: list[np.ndarray], slop: int) -> list[dict]:
     seen = {}
     for name, ids in zip(names, terms, strict=True):
         if not len(ids) or not index.counts[ids].all():

@@ -266,6 +266,20 @@ def test_decontamination_in_parts(spark, docs, pairs):
     assert got == ordered(w[:4] for w in brute.contamination(pairs, items))
 
 
+def test_decontamination_keeps_items_without_id(spark, pairs, tmp_path):
+    at = str(tmp_path)
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(None, pairs[5][1]), (2, "W3 w4")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    got = taken(decontam.op10_decontaminate(spark, at), "doc_id", "n_words", "n_hit", "contaminated")
+    want = brute.contamination(pairs, [(1, pairs[5][1]), (2, "W3 w4")])
+    assert got == ordered((*w[:3], w[5]) for w in want)
+    found = [(r.n_items, r.items_sha256) for r in decontam.op10_decontaminate(spark, at).where("doc_id = 5").collect()]
+    w3 = " w3 w4 " in f" {pairs[5][1]} "
+    assert found == [(int(w3), brute.sha("2" if w3 else ""))] * 2
+    assert not {5, 6} & {r.doc_id for r in decontam.clean_stage(spark, docs, at).collect()}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x Alpha y beta gamma z"), (2, "alpha " + "q " * 20 + "beta gamma"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "gamma beta alpha"), (8, "zeta")], "item_id long, text string")
