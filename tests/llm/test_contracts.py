@@ -156,6 +156,13 @@ def test_chat_gathers_odd_rows(spark):
     assert got == {1: [("", "x"), ("", "x"), ("user", "")], None: [("user", "y")]}
 
 
+def test_chat_keeps_turns_beyond_the_parsers_limits(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "x"), (1, 0, "human", "y")], "conv_id long, turn long, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("turn") == 0, F.repeat(F.lit("ab"), 10_500_000)).otherwise(F.col("text")))
+    got = chat.format_conversations(long).select("layout", F.size("turns"), F.transform("turns", lambda t: t["role"]), F.length("formatted")).first()
+    assert tuple(got) == ("turns", 2, ["user", "assistant"], 21_000_001 + len("user") + len("assistant") + 48)
+
+
 def test_licences(spark):
     texts = ["text\nLicensed under the apache license -- version 2.0\nmore", "Released under the MIT License", None, "", "Licensed under CC BY NC 4.0", "The quick brown fox jumps over it all"]
     got = licences.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
