@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,12 +65,15 @@ def apart(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame],
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
+    """The folder that the driver and all executors share, as the session names it; a local
+    master may leave it unnamed."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all nodes share")
     return (path or _LOCAL_DEFAULT).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs only the tasks that it ran. Tables live in a folder
@@ -77,7 +81,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulary-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

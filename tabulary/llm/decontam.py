@@ -1,101 +1,170 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-Every partition of the training texts keeps an index of its own: for each
-benchmark term, the sorted token positions at which the partition holds it.
-Searching never moves training tokens. A window of benchmark words is looked up
-from its rarest term: the offset-adjusted positions of that term are the
-candidates, which the other terms' lists then cut down, rarest first.
-
-The test set is read in parts of at most ``PART_WORDS`` words. A part's terms
-are broadcast, so what a task holds of the benchmark is bounded whatever its
-size; a larger benchmark takes more parts, each searched by one more Python
-stage of the same scan.
-
-Defined results: a null text has no words and no hits; a benchmark item without
-words is never found; a shorter item than ``size`` is one window of its own
-length; rows with equal ids stay separate; an empty benchmark leaves all rows
-clean. A benchmark item with a null id marks hits like any other, but is not in the
-list of items and so not in their number. Input columns named like an output column are replaced.
+``build_index`` reads the training texts once and stores their postings: a row per
+term and block, a block being a stretch of one partition's texts (``BLOCK_BYTES``, or
+one longer text). A row lists every place of the term in the block; a place holds the
+text's number in the block and the word's number in the text. Since a term has a row
+in each block, even the commonest word is spread over the whole index.
+
+``phrases`` searches all windows of the benchmark's items. Their terms are counted
+over the whole corpus; the list of a window's rarest term, moved by the term's offset,
+gives its candidates; the second rarest cuts them down in a join, and what is left
+meets the lists of the other terms block by block, rarest first. ``near`` finds, in the
+same way, the stretches that hold all distinct terms of an item close together.
+
+The benchmark is a table like any other: it is neither collected nor broadcast beyond
+the size that Spark itself allows for a join. A task holds one block's lists and its
+candidates. Words are told apart by a 64-bit hash.
+
+Defined results: a null or empty text has no words and no hits; very long texts are
+blocks of their own; a benchmark item without words is never found; a shorter item than
+``size`` is one window of its own length; rows with equal or null ids stay separate; an
+empty benchmark leaves all rows clean, an empty table gives none. A benchmark item with
+a null id marks hits like any other, but is not in the list of items and so not in their
+number; items of one id count once. Columns of the input that an index does not keep
+are not read, so their names cannot clash; kept ones may not be called like its own
+(``block``, ``ord``, ``n_words``, ``term``, ``places``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulary.llm import bytewords as bw
-from tabulary.llm.arrowmap import add_columns, apart
+from tabulary.llm.arrowmap import apart, held_until_done, written
 
-PART_WORDS = 400_000
 SIZE = 10
-INDEX_BYTES = 2 << 20
-
-
-class Windows:
-    """Windows of benchmark words, distinct by content, with the items that hold them."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        seen: dict[tuple, list[int]] = {}
-        self.names = [name for name, _ in items]
-        for k, (_, text) in enumerate(items):
-            h = item_hashes(text)
-            step = min(size, len(h))
-            for i in range(len(h) - step + 1 if step else 0):
-                seen.setdefault(tuple(h[i : i + step].tolist()), []).append(k)
-        self.vocab = np.unique(np.array([t for w in seen for t in w], np.uint64))
-        self.length = np.array([len(w) for w in seen], np.int64)
-        self.terms = np.full((len(seen), size), -1, np.int64)
-        for row, w in enumerate(seen):
-            self.terms[row, : len(w)] = np.searchsorted(self.vocab, np.array(w, np.uint64))
-        self.owners = [np.unique(v) for v in seen.values()]
-
-
-def item_hashes(text: str | None) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return bw.word_hashes(bw.find_words(data, np.array([0, len(data)]), bw.LETTERS, lower=True))
-
-
-class Postings:
-    """Positional inverted index of some texts over a given vocabulary."""
-
-    def __init__(self, words: bw.Words, vocab: np.ndarray):
-        self.doc = words.doc
-        h = bw.word_hashes(words)
-        at = np.searchsorted(vocab, h)
-        at[at == len(vocab)] = 0
-        self.term = np.where(vocab[at] == h, at, -1) if len(vocab) else np.full(len(h), -1)
-        known = np.flatnonzero(self.term >= 0)
-        self.positions = known[np.argsort(self.term[known], kind="stable")]
-        self.counts = np.bincount(self.term[known], minlength=len(vocab))
-        self.begins = np.concatenate([[0], np.cumsum(self.counts)])
-
-    def phrases(self, terms: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first position) of every exact occurrence within one text."""
-        if not len(terms) or not len(self.term):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        size = np.where(terms >= 0, self.counts[terms], np.iinfo(np.int64).max)
-        order = np.argsort(size, axis=1, kind="stable")
-        rare = order[:, 0]
-        n = np.take_along_axis(size, order[:, :1], 1)[:, 0]
-        alive = np.flatnonzero(n > 0)
-        n = n[alive]
-        window = np.repeat(alive, n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[self.begins[terms[window, rare[window]]] + within] - rare[window]
-        ok = (start >= 0) & (start + length[window] <= len(self.term))
-        window, start = window[ok], start[ok]
-        ok = self.doc[start] == self.doc[start + length[window] - 1]
-        window, start = window[ok], start[ok]
-        for k in range(1, terms.shape[1]):
-            j = order[window, k]
-            want = terms[window, j]
-            ok = (want < 0) | (self.term[np.minimum(start + j, len(self.term) - 1)] == want)
-            window, start = window[ok], start[ok]
-        return window, start
+SLOP = 5
+BLOCK_BYTES = 2 << 20
+_SHIFT = 32
+_KEY = ["block", "ord"]
+
+
+@dataclass(frozen=True)
+class Index:
+    """``texts``: block, ord, the kept columns and n_words of each row; ``postings``: block, term, places."""
+
+    texts: DataFrame
+    postings: DataFrame
+
+
+def _lists(edges: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> bw.Words:
+    return bw.find_words(data, offsets, bw.LETTERS, lower=True)
+
+
+def build_index(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> Index:
+    """The stored index of ``docs``; ``keep`` columns go with each text."""
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    kept = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]])
+    schema = T.StructType([*T._parse_datatype_string("block long, ord int, n_words long, term long, places array<bigint>"), *kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
+        for batch in held_until_done(batches):
+            for lo, hi, data, offsets in bw.slices(batch.column("__text"), BLOCK_BYTES):
+                w = _words(data, offsets)
+                n = hi - lo
+                own = [batch.column(c).slice(lo, n) for c in kept.names]
+                texts = [np.full(n, block), np.arange(n, dtype=np.int32), np.diff(w.first).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, texts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), *own], names=schema.names)
+                h = bw.word_hashes(w)
+                doc = w.doc
+                place = (doc << _SHIFT) | (np.arange(len(h)) - w.first[doc])
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+                t = len(edge) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(t, block)), pa.nulls(t, pa.int32()), pa.nulls(t, pa.int64()), pa.array(h[edge[:-1]].view(np.int64)),
+                     _lists(edge, place[order]), *(pa.nulls(t, c.type) for c in own)], names=schema.names)
+                block += 1
+
+    stored = written(rows.mapInArrow(run, schema), "index", compression="zstd")
+    return Index(stored.where("ord is not null").drop("term", "places"), stored.where("term is not null").select("block", "term", "places"))
+
+
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """(item row k, terms in order) of every window of ``size`` words; null ``size``: all distinct terms of the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in held_until_done(batches):
+            for lo, hi, data, offsets in bw.slices(batch.column("text"), BLOCK_BYTES // 16):
+                w = _words(data, offsets)
+                h = bw.word_hashes(w).view(np.int64)
+                k = batch.column("k").to_numpy()[lo:hi]
+                if size is None:
+                    one = [np.unique(h[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                    owner = k
+                else:
+                    begin = np.arange(len(h))
+                    length = np.minimum(size, np.diff(w.first))[w.doc]
+                    whole = begin + length <= w.first[w.doc + 1]
+                    one = [h[a:b] for a, b in zip(begin[whole], (begin + length)[whole], strict=True)]
+                    owner = k[w.doc[whole]]
+                edges = np.concatenate([[0], np.cumsum([len(x) for x in one])])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), _lists(edges, np.concatenate([*one, np.zeros(0, np.int64)]))], names=["k", "terms"])
+
+    return items.select("k", "text").mapInArrow(run, "k long, terms array<bigint>").where(F.size("terms") > 0)
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return written(rows.withColumn("k", F.monotonically_increasing_id()), "items")
+
+
+def _rarest_first(sought: DataFrame, index: Index) -> DataFrame:
+    """``sought`` (id, terms) to (id, terms as struct<n, j, term> with the rarest first), n counted
+    over the whole corpus and j the term's offset; those with a term that the corpus lacks go."""
+    each = sought.select("id", F.size("terms").alias("size"), F.posexplode("terms").alias("j", "term"))
+    lists = index.postings.join(each.select("term").distinct(), "term", "left_semi")
+    counts = written(lists.groupBy("term").agg(F.sum(F.size("places")).alias("n")), "counts")
+    found = each.join(counts, "term").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "j", "term"))).alias("terms"))
+    return found.where(F.size("terms") == F.col("size")).select("id", "terms")
+
+
+def _first_two(ranked: DataFrame, index: Index, meet) -> DataFrame:
+    """(block, id, terms, starts): places of the rarest term, less its offset, that ``meet`` (starts, the
+    second term's places, its offset) leaves."""
+    term = lambda k: F.get("terms", k)["term"]
+    first = ranked.withColumn("term", term(0)).join(index.postings, "term")
+    first = first.select("block", "id", "terms", F.transform("places", lambda p: p - F.get("terms", 0)["j"]).alias("starts"))
+    seconds = ranked.where(F.size("terms") > 1).select(term(1).alias("term")).distinct()
+    lists = index.postings.join(seconds, "term", "left_semi")
+    both = first.where(F.size("terms") > 1).withColumn("term", term(1)).join(lists, ["block", "term"])
+    left = both.select("block", "id", "terms", meet(F.col("starts"), F.col("places"), F.get("terms", 1)["j"]).alias("starts"))
+    return left.where(F.size("starts") > 0).unionByName(first.where(F.size("terms") == 1))
+
+
+def _met_in_blocks(found: DataFrame, index: Index, after: int, work, schema: str) -> DataFrame:
+    """``work`` on the candidates of each block and the lists of their terms from the ``after``-th on."""
+    found = written(found, "candidates")
+    wanted = found.select(F.explode(F.slice("terms", after + 1, 1 << 30)).alias("t")).select("t.term").distinct()
+    lists = index.postings.join(wanted, "term", "left_semi").join(found.select("block").distinct(), "block", "left_semi")
+    return found.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(work, schema)
+
+
+def _block_lists(lists: pa.Table) -> dict[int, np.ndarray]:
+    column = lists.column("places").combine_chunks()
+    flat, edge = column.flatten().to_numpy(), column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column) else 0)
+    return {t: flat[a:b] for t, a, b in zip(lists.column("term").to_pylist(), edge[:-1], edge[1:], strict=True)}
+
+
+def _holds(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(places, wanted)
+    return places[np.minimum(at, len(places) - 1)] == wanted
 
 
 def _merge(spans: np.ndarray) -> np.ndarray:
@@ -106,150 +175,145 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]])]], 1)
 
 
-def _search(windows: Windows, column: pa.Array, hits: list, items: list) -> list[int]:
-    """Add each text's hit spans and item ids to hits and items; return word counts."""
-    counts: list[int] = []
-    for lo, _, data, offsets in bw.slices(column, INDEX_BYTES):
-        words = bw.find_words(data, offsets, bw.LETTERS, lower=True)
-        counts += np.diff(words.first).tolist()
-        index = Postings(words, windows.vocab)
-        window, start = index.phrases(windows.terms, windows.length)
-        if not len(window):
-            continue
-        doc = index.doc[start]
-        order = np.argsort(doc, kind="stable")
-        window, start, doc = window[order], start[order], doc[order]
-        edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            d = int(doc[a])
-            begin = start[a:b] - words.first[d]
-            found = np.stack([begin, begin + windows.length[window[a:b]]], 1)
-            old = np.array(hits[lo + d], np.int64).reshape(-1, 2)
-            hits[lo + d] = _merge(np.concatenate([old, found])).ravel().tolist()
-            owners = np.unique(np.concatenate([windows.owners[w] for w in np.unique(window[a:b])]))
-            items[lo + d] = sorted({*items[lo + d], *(windows.names[k] for k in owners if windows.names[k] is not None)})
-    return counts
-
-
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    rows: list[tuple[str | None, str | None]] = []
-    size = 0
-    spaced = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for r in spaced.toLocalIterator():
-        n = len(r.t or "") // 2 + 1
-        if rows and size + n > limit:
-            yield rows
-            rows, size = [], 0
-        rows.append((r.i, r.t))
-        size += n
-    yield rows
-
-
-def find_phrases(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
-                 item_text_col: str = "text", size: int = SIZE, part_words: int = PART_WORDS,
-                 keep_text: bool = True) -> DataFrame:
-    """``docs``, without the texts if not ``keep_text``, with n_words long, hits (word spans begin, end, begin, end ...) and
-    items (sorted ids, without nulls, of the benchmark items that share a window of ``size`` words)."""
-    out, sc = docs, docs.sparkSession.sparkContext
-    ddl = "n_words long, hits array<int>, items array<string>"
-    parts = _parts(benchmark, item_col, item_text_col, part_words)
-    part, k = next(parts), 0
-    while part is not None:
-        model = sc.broadcast(Windows(part, size))
-        part = next(parts, None)
-
-        def make(batch: pa.RecordBatch, model=model, first=k == 0) -> dict:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            if first:
-                hits, items = [[] for _ in range(len(column))], [[] for _ in range(len(column))]
-            else:
-                hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            counts = _search(model.value, column, hits, items)
-            return {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())),
-                    "items": pa.array(items, pa.list_(pa.string()))}
-
-        out = add_columns(out, ddl, make, drop=() if keep_text or part is not None else (text_col,))
-        k += 1
-    return out
-
-
-def find_near(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-              item_col: str = "item_id", item_text_col: str = "text", slop: int = 5,
-              part_words: int = PART_WORDS) -> DataFrame:
-    """Proximity matches: (id_col, item_id, begin, end) of the stretches that hold
-    all distinct terms of an item within its number of terms plus ``slop`` words.
-
-    For each occurrence of the item's rarest term the smallest covering stretch
-    within reach is reported, once per (begin, end).
-    """
-    sc = docs.sparkSession.sparkContext
-    found = None
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    for part in _parts(benchmark, item_col, item_text_col, part_words):
-        names = [n for n, _ in part]
-        terms = [np.unique(item_hashes(t)) for _, t in part]
-        vocab = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]))
-        model = sc.broadcast((names, [np.searchsorted(vocab, t) for t in terms], vocab))
-
-        def make(batch: pa.RecordBatch, model=model) -> dict:
-            names, terms, vocab = model.value
-            out: list[list] = []
-            for _, _, data, offsets in bw.slices(batch.column("text"), INDEX_BYTES):
-                words = bw.find_words(data, offsets, bw.LETTERS, lower=True)
-                index = Postings(words, vocab)
-                for d in range(len(offsets) - 1):
-                    out.append(_near(index, int(words.first[d]), int(words.first[d + 1]), names, terms, slop))
-            kind = pa.list_(pa.struct([("item_id", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
-            return {"near": pa.array(out, kind)}
-
-        here = add_columns(rows, "near array<struct<item_id:string,begin:int,end:int>>", make, drop=("text",))
-        here = here.select(id_col, F.inline("near"))
-        found = here if found is None else found.unionByName(here)
-    return found
-
-
-def _near(index: Postings, lo: int, hi: int, names: list[str | None], terms: list[np.ndarray], slop: int) -> list[dict]:
-    seen = {}
-    for name, ids in zip(names, terms, strict=True):
-        if not len(ids) or not index.counts[ids].all():
-            continue
-        lists = []
-        for t in sorted(ids, key=lambda t: index.counts[t]):
-            p = index.positions[index.begins[t] : index.begins[t + 1]]
-            lists.append(p[np.searchsorted(p, lo) : np.searchsorted(p, hi)])
-        if not all(map(len, lists)):
-            continue
-        reach = len(ids) + slop
-        for c in lists[0]:
-            best = None
-            near = [p[np.searchsorted(p, c - reach) : np.searchsorted(p, c + reach, side="right")] for p in lists[1:]]
-            for a in sorted({int(c), *(int(x) for p in near for x in p if x <= c)}):
-                ends = [int(c)]
-                for p in near:
-                    k = int(np.searchsorted(p, a))
-                    if k == len(p):
+def _phrases_of_block(found: pa.Table, lists: pa.Table) -> pa.Table:
+    """Rows (block, ord, hits, ids) of the texts that hold whole windows."""
+    have = _block_lists(lists)
+    starts, sizes, ids = [], [], []
+    for w, terms, at in zip(found.column("id").to_pylist(), found.column("terms").to_pylist(), found.column("starts").to_pylist(), strict=True):
+        at = np.array(at, np.int64)
+        for t in terms[2:]:
+            at = at[_holds(have[t["term"]], at + t["j"])] if len(at) and t["term"] in have else at[:0]
+        starts.append(at)
+        sizes.append(np.full(len(at), len(terms)))
+        ids.append(np.full(len(at), w))
+    start, size, window = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (starts, sizes, ids))
+    order = np.argsort(start, kind="stable")
+    start, size, window = start[order], size[order], window[order]
+    doc = start >> _SHIFT
+    edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+    begin = start & ((1 << _SHIFT) - 1)
+    hits = [_merge(np.stack([begin[a:b], begin[a:b] + size[a:b]], 1)).ravel().tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    held = [np.unique(window[a:b]).tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    block = found.column("block")[0].as_py() if found.num_rows else 0
+    return pa.table({"block": pa.array([block] * len(hits), pa.int64()), "ord": pa.array(doc[edge[:-1]], pa.int32()),
+                     "hits": pa.array(hits, pa.list_(pa.int32())), "ids": pa.array(held, pa.list_(pa.int64()))})
+
+
+def phrases(index: Index, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """(block, ord, hits, items) of the texts with hits: word spans (begin, end, begin, end ...), and
+    the sorted ids, without nulls, of the items that share a window of ``size`` words with the text."""
+    items = _items(benchmark, item_col, item_text_col)
+    cut = _windows(items, size)
+    sought = written(cut.select("terms").distinct().withColumn("id", F.monotonically_increasing_id()), "windows")
+    owners = cut.join(sought, "terms").join(items.select("k", "item").where("item is not null"), "k").select("id", "item").distinct()
+    same = lambda starts, places, j: F.array_intersect(starts, F.transform(places, lambda p: p - j))
+    left = _first_two(_rarest_first(sought, index), index, same)
+    hits = written(_met_in_blocks(left, index, 2, _phrases_of_block, "block long, ord int, hits array<int>, ids array<bigint>"), "hits")
+    named = hits.select(*_KEY, F.explode("ids").alias("id")).join(owners, "id").groupBy(*_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.drop("ids").join(named, _KEY, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
+def _near_in_block(reach_over: int):
+    """Rows (block, ord, id, begin, end) of the least stretches around each place of the rarest term."""
+
+    def run(found: pa.Table, lists: pa.Table) -> pa.Table:
+        have, seen = _block_lists(lists), set()
+        for item, terms, anchors in zip(found.column("id").to_pylist(), found.column("terms").to_pylist(), found.column("starts").to_pylist(), strict=True):
+            reach = len(terms) + reach_over
+            places = [have.get(t["term"], np.zeros(0, np.int64)) for t in terms[1:]]
+            for c in anchors:
+                near = []
+                for p in places:
+                    near.append(p[np.searchsorted(p, c - reach, side="right") : np.searchsorted(p, c + reach)])
+                    if not len(near[-1]):
                         break
-                    ends.append(int(p[k]))
                 else:
-                    if max(ends) - a < reach and (best is None or max(ends) - a < best[1] - best[0] - 1):
-                        best = (a, max(ends) + 1)
-            if best:
-                seen[name, best] = {"item_id": name, "begin": best[0] - lo, "end": best[1] - lo}
-    return list(seen.values())
+                    if best := _least_stretch(c, near, reach):
+                        seen.add((c >> _SHIFT, item, best[0] & ((1 << _SHIFT) - 1), best[1] & ((1 << _SHIFT) - 1)))
+        rows = sorted(seen)
+        block = found.column("block")[0].as_py() if found.num_rows else 0
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table([pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["block", "ord", "id", "begin", "end"])
+
+    return run
+
+
+def _least_stretch(c: int, near: list[np.ndarray], reach: int) -> tuple[int, int] | None:
+    """The shortest stretch (the first of them) of less than ``reach`` words that holds c and a place of each list."""
+    best = None
+    for a in sorted({c, *(int(x) for p in near for x in p if x <= c)}):
+        end = c
+        for p in near:
+            k = int(np.searchsorted(p, a))
+            if k == len(p):
+                return best
+            end = max(end, int(p[k]))
+        if end - a < reach and (best is None or end - a < best[1] - best[0] - 1):
+            best = (a, end + 1)
+    return best
+
+
+def near(index: Index, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", slop: int = SLOP) -> DataFrame:
+    """Proximity matches (block, ord, item, begin, end): the stretches of one text that hold all
+    distinct terms of an item and are shorter than their number plus ``slop`` words.
+
+    For each place of the item's rarest term the shortest covering stretch is given, once per (begin, end).
+    """
+    items = _items(benchmark, item_col, item_text_col)
+    sought = _windows(items, None).withColumnRenamed("k", "id")
+    ranked = _rarest_first(sought, index).withColumn("terms", F.transform("terms", lambda t: F.struct(t["n"], F.lit(0).alias("j"), t["term"])))
+
+    def close(starts: Column, places: Column, _: Column) -> Column:
+        reach = F.size("terms") + slop
+        return F.filter(starts, lambda s: F.exists(places, lambda p: F.abs(p - s) < reach))
+
+    left = _first_two(ranked, index, close)
+    found = _met_in_blocks(left, index, 1, _near_in_block(slop), "block long, ord int, id long, begin int, end int")
+    return found.join(items.select(F.col("k").alias("id"), "item"), "id").select(*_KEY, "item", "begin", "end")
+
+
+def find_phrases(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                 item_text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """(id_col, n_words, hits, items) of each row of ``docs``; see ``phrases``."""
+    index = build_index(docs, (id_col,), text_col)
+    return _all_texts(index, phrases(index, benchmark, item_col=item_col, item_text_col=item_text_col, size=size)).drop(*_KEY)
+
+
+def _all_texts(index: Index, found: DataFrame) -> DataFrame:
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return index.texts.join(found, _KEY, "left").select(*index.texts.columns, none("hits", "int"), none("items", "string"))
+
+
+def find_near(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text", slop: int = SLOP) -> DataFrame:
+    """(id_col, item, begin, end); see ``near``."""
+    index = build_index(docs, (id_col,), text_col)
+    found = near(index, benchmark, item_col=item_col, item_text_col=item_text_col, slop=slop)
+    return found.join(index.texts, _KEY).select(id_col, "item", "begin", "end")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    index = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    close = near(index, benchmark).groupBy(*_KEY).agg(F.count("*").alias("n_near"))
+    found = _all_texts(index, phrases(index, benchmark)).join(close, _KEY, "left")
     signed = F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("long"))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that share no window with the benchmark."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return apart(docs, ("n_words", "hits", "items"), lambda d: find_phrases(d, benchmark).where(F.size("hits") == 0))
+    """Pipeline stage: documents that share no window with the benchmark.
+
+    A text decides by its content alone, so texts with hits are named by a 128-bit hash.
+    """
+    names = ("__text_a", "__text_b")
+    marked = lambda d: d.withColumns({names[0]: F.xxhash64("text"), names[1]: F.xxhash64(F.lit(1), "text")})
+    index = build_index(marked(docs.select("text")), names)
+    found = phrases(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = written(index.texts.join(found, _KEY, "left_semi").select(*names).distinct(), "dirty")
+    return apart(docs, names, lambda d: marked(d).join(dirty, list(names), "left_anti"))

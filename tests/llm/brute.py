@@ -64,19 +64,30 @@ def contamination(docs, items, size=10):
         w = LETTERS.findall(lower(t))
         n = min(size, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + n]), set()).update([] if i is None else [str(i)])
     out = []
     for d, t in docs:
         w, hit, found = LETTERS.findall(lower(t)), set(), set()
         for n in {len(k) for k in windows}:
             for k in range(len(w) - n + 1):
-                if owners := windows.get(tuple(w[k : k + n])):
+                if (owners := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     found |= owners
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
 
 
+def near(docs, items, slop):
+    """(document, item) where one stretch of as many words as the item has distinct ones, and slop more, holds them all."""
+    for d, t in docs:
+        w = LETTERS.findall(lower(t))
+        for i, x in items:
+            terms = set(LETTERS.findall(lower(x)))
+            n = len(terms) + slop
+            if terms and any(terms <= set(w[k : k + n]) for k in range(max(1, len(w) - n + 1))):
+                yield d, i
+
+
 def language_model(docs):
     rows = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2, [*SPACED.findall(lower(t)), None]) for d, t in docs]
     count = collections.Counter(w for _, held, ws in rows if not held for w in ws)

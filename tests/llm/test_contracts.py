@@ -266,11 +266,32 @@ def test_decontamination(spark, folder, pairs):
     assert got == ordered(brute.contamination(pairs, items))
 
 
-def test_decontamination_in_parts(spark, docs, pairs):
-    items = [(i, t) for i, (_, t) in enumerate(pairs) if t][:9]
-    found = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"), part_words=20)
-    got = ordered((r.doc_id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), len(r["items"])) for r in found.collect())
-    assert got == ordered(w[:4] for w in brute.contamination(pairs, items))
+def test_decontamination_random(spark):
+    rng = random.Random(11)
+    words = lambda n, kinds: " ".join(f"K{rng.randrange(kinds)}" for _ in range(n))
+    items = [(i, words(rng.choice((1, 2, 5, 9, 10, 14, 30)), rng.choice((3, 40, 300)))) for i in range(30)]
+    items += [(3, items[4][1]), (None, words(25, 300)), (None, "la " * 15), (None, None)]
+    texts = [None, "", "la " * 400, " ".join(t for _, t in items if t)]
+    texts += [words(rng.randint(0, 60), rng.choice((3, 40, 300))) + " " + (rng.choice(items)[1] or "") + "\n" + words(rng.randint(0, 60), 300) for _ in range(60)]
+    texts.append(words(400_000, 100_000) + " " + items[7][1] + " " + items[-3][1] + " " + words(50_000, 9))  # a block of its own
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = ordered((r.doc_id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), brute.sha(",".join(r["items"]))) for r in found.collect())
+    want = brute.contamination(list(enumerate(texts)), items)
+    assert len(texts[-1]) > decontam.BLOCK_BYTES and want[-1][2] > 0
+    assert got == ordered((*w[:3], w[4]) for w in want)
+
+
+def test_proximity_random(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"k{rng.randrange(12)}" for _ in range(rng.randint(0, 50))) for _ in range(40)]
+    items = [(i, " ".join(f"K{rng.randrange(13)}" for _ in range(rng.randint(0, 6)))) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = decontam.find_near(docs, spark.createDataFrame(items, "item_id long, text string"), slop=2).collect()
+    for r in rows:
+        inside, terms = texts[r.doc_id].split()[r.begin : r.end], set(items[int(r["item"])][1].lower().split())
+        assert terms <= set(inside) and len(inside) <= len(terms) + 2
+    assert {(r.doc_id, int(r["item"])) for r in rows} == set(brute.near(list(enumerate(texts)), items, 2))
 
 
 def test_decontamination_keeps_items_without_id(spark, pairs, tmp_path):
