@@ -1,23 +1,26 @@
 """SentencePiece encoding that keeps, for every piece, its bytes in the original text.
 
-The text is normalised here: at each position the longest prefix that the
-model's compiled character map knows is replaced (one character is copied where
-it knows none), spaces are treated as the model says, and every normalised byte
-records the original byte that it came from. A piece's span is then the stretch
-of original bytes that its normalised bytes came from.
+The text is normalised here: at each position a symbol that the user has defined is
+taken as it stands, or else the longest prefix that the model's compiled character map
+knows is replaced (one character is copied where it knows none); spaces are treated as
+the model says, and every normalised byte records the original byte that it came from.
 
-The library merges the pieces of the whole text; their widths in normalised bytes
-must add up to the normalised text, which ties its pieces to the alignment.
+What is encoded is this normalised text: the library gets the model's vocabulary with
+its own normalisation switched off and merges the pieces. Their widths must add up to
+the normalised text, and each piece's span is the stretch of original bytes that its
+normalised bytes came from.
 
 Defined results: null and empty texts have no ids and no spans and decode to an
-empty text. Ids outside the vocabulary are an error of the library. Input
-columns named like an output column are replaced.
+empty text; a very long text is encoded whole, by the task that holds it; repeated rows
+stay; an empty table gives none. Ids outside the vocabulary are an error of the
+library. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +69,14 @@ class CharacterMap:
 
 
 class Normaliser:
-    def __init__(self, spec):
+    """A model's normalisation: its character map, its defined symbols and its treatment of spaces."""
+
+    def __init__(self, spec, symbols: tuple[bytes, ...] = (), suffix: bool = False):
         self.map = CharacterMap(spec.precompiled_charsmap)
-        self.prefix = spec.add_dummy_prefix
+        self.symbols: dict[int, list[bytes]] = {}
+        for x in sorted(symbols, key=len, reverse=True):
+            self.symbols.setdefault(x[0], []).append(x)
+        self.prefix, self.suffix = spec.add_dummy_prefix and not suffix, spec.add_dummy_prefix and suffix
         self.squeeze = spec.remove_extra_whitespaces
         self.mark = _MARK.encode() if spec.escape_whitespaces else b" "
         self.plain = not self.map.units and not self.squeeze
@@ -82,23 +90,30 @@ class Normaliser:
     def _align_plain(self, data: bytes) -> tuple[bytes, np.ndarray]:
         raw = np.frombuffer(data, np.uint8)
         origin = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(self.mark), 1))
-        head = self.mark if self.prefix else b""
-        return head + data.replace(b" ", self.mark), np.concatenate([np.zeros(len(head), np.int64), origin, [len(raw)]])
+        head, tail = self.mark * self.prefix, self.mark * self.suffix
+        return head + data.replace(b" ", self.mark) + tail, np.concatenate([np.zeros(len(head), np.int64), origin, np.full(len(tail) + 1, len(raw))])
+
+    def _step(self, data: bytes, at: int) -> tuple[bytes, int]:
+        """What stands for the text at ``at``, and how many bytes it takes."""
+        for x in self.symbols.get(data[at], ()):
+            if data.startswith(x, at):
+                return x, len(x)
+        if hit := self.map.longest(data, at):
+            return hit
+        n = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+        return data[at : at + n], n
 
     def _align_mapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
         steps, at = [], 0
         while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit is None:
-                n = max(1, min(len(data) - at, 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)))
-                hit = data[at : at + n], n
-            steps.append((hit[0], at, hit[1]))
-            at += hit[1]
+            text, n = self._step(data, at)
+            steps.append((text, at, n))
+            at += n
         if self.squeeze:
-            while steps and steps[0][0] in (b" ", b""):
-                steps.pop(0)
-            if not steps:
+            head = next((k for k, step in enumerate(steps) if step[0] != b" "), None)
+            if head is None:
                 return b"", np.array([len(data)])
+            steps = steps[head:]
         out, origin = bytearray(), []
         if self.prefix:
             out += self.mark
@@ -119,43 +134,51 @@ class Normaliser:
                 del out[-len(self.mark) :]
                 end = origin[-len(self.mark)]
                 del origin[-len(self.mark) :]
+        if self.suffix:
+            out += self.mark
+            origin += [end] * len(self.mark)
         return bytes(out), np.array([*origin, end])
 
 
 class Encoder:
-    def __init__(self, path: str):
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+    """A model's vocabulary behind our own normalisation; ``model`` is the serialised model."""
+
+    def __init__(self, model: bytes):
         proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(self.library.serialized_model_proto())
-        self.normaliser = Normaliser(proto.normalizer_spec)
+        proto.ParseFromString(model)
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
+        symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == kinds.USER_DEFINED)
+        self.normaliser = Normaliser(proto.normalizer_spec, symbols, proto.trainer_spec.treat_whitespace_as_suffix)
         self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces])
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
+        self.reader = sentencepiece.SentencePieceProcessor(model_proto=model)
+        spec = proto.normalizer_spec
+        spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """Ids, span begins and span ends (original bytes) of each text."""
-        data = [(t or "").encode() for t in texts]
-        aligned = [self.normaliser.align(d) for d in data]
-        ids = [np.array(x, np.int32) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
+        aligned = [self.normaliser.align((t or "").encode()) for t in texts]
+        ids = [np.array(x, np.int32) for x in self.merger.encode([x for x, _ in aligned], num_threads=1)]
         begins, ends = [], []
-        for k, (d, (_, origin)) in enumerate(zip(data, aligned, strict=True)):
+        for k, (text, origin) in enumerate(aligned):
             width = self.width[ids[k]]
             if (ids[k] == self.unknown).any():
-                width = np.array([len(p.surface.encode()) for p in self.library.encode(d.decode(), return_type="proto").pieces])
+                width = np.array([len(p.surface.encode()) for p in self.merger.encode(text.decode(), return_type="proto").pieces])
             edge = np.concatenate([[0], np.cumsum(width)])
-            if edge[-1] != len(origin) - 1:
+            if edge[-1] != len(text):
                 raise ValueError("pieces and normalised text differ in length")
             begins.append(origin[edge[:-1]].astype(np.int32))
             ends.append(origin[edge[1:]].astype(np.int32))
         return ids, begins, ends
 
     def decode(self, ids: list[int] | None) -> str:
-        return self.library.decode(ids) if ids else ""
+        return self.reader.decode(ids) if ids else ""
 
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(Path(path).read_bytes())
 
 
 def vocabulary_path(name: str = MODEL) -> str:

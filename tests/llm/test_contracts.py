@@ -249,15 +249,72 @@ def test_piece_spans_tile_the_text():
             assert b[0] == 0 and e[-1] == len(text.encode()) and (b[1:] == e[:-1]).all()
 
 
-def test_character_map_takes_the_longest_prefix():
-    from types import SimpleNamespace
-
-    spec = SimpleNamespace(precompiled_charsmap=b"", add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
-    n = pieces.Normaliser(spec)
-    n.map = SimpleNamespace(units=[1], longest=lambda data, at: next(((r, len(k)) for k, r in ((b"abc", b"X"), (b"ab", b"YY"), (b"\t", b" ")) if data.startswith(k, at)), None))
-    out, origin = n.align(b" abcab \t d ")
-    assert out.decode() == "▁XYY▁d"
-    assert origin.tolist() == [1, 1, 1, 1, 4, 4, 6, 6, 6, 9, 10]
+MAPPED = ["", " ", "  Ａｂ①  ㌔ é x ", "ﬁne ﬂow\u00a0\u3000x\t\ny", "e\u0301 ½ Å \u212b", "日本 ｶﾞｷﾞ \U0001f600", "\u200b a \u200b", "a" * 3000, "ＡＢ<sep>Ｃ <sep>", "▁ ▁", "\u200b", " \u200b "]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "nfkc", "identity"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_normaliser_aligns_as_the_compiled_map_says(rule, squeeze):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=squeeze).serialized_model_proto())
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    library, own = sentencepiece.SentencePieceNormalizer(model_proto=proto.SerializeToString()), pieces.Normaliser(proto.normalizer_spec)
+    rng = random.Random(6)
+    for text in [*MAPPED, *("".join(rng.choice("Ａｂ ①㌔ é\u0301\u3000\u200bｶﾞﬁ\n▁x") for _ in range(rng.randint(0, 30))) for _ in range(400))]:
+        want, at = library.normalize(text, with_offsets=True)
+        out, origin = own.align(text.encode())
+        assert out.decode() == want, text
+        if want:
+            bytes_of = [len(text[:k].encode()) for k in range(len(text) + 1)]
+            edges = [len(want[:k].encode()) for k in range(len(want) + 1)]
+            assert [int(origin[e]) for e in edges] == [bytes_of[k] for k in at], text
+
+
+@pytest.mark.parametrize("suffix", [False, True])
+def test_mapped_models_give_the_librarys_ids(suffix):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.CopyFrom(spec.normalizer_spec)
+    proto.trainer_spec.treat_whitespace_as_suffix = suffix
+    for at, symbol in ((31998, "<sep>"), (31999, "Ａ")):
+        proto.pieces[at].piece, proto.pieces[at].type = symbol, sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.Encoder(proto.SerializeToString())
+    rng = random.Random(8)
+    texts = MAPPED + ["".join(rng.choice(["Ａ", "ｂ", " ", "①", "<sep>", "word", "é", "\u3000", "<s", "ep>", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    ids, begins, ends = own.encode(texts)
+    assert [x.tolist() for x in ids] == library.encode(texts)
+    for text, i, b, e in zip(texts, ids, begins, ends, strict=True):
+        raw = text.encode()
+        assert all(raw[x:y].decode() in ("<sep>", "Ａ") for k, x, y in zip(i, b, e, strict=True) if k >= 31998)
+
+
+def test_unknown_pieces_have_spans():
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(pieces.vocabulary_path(), "rb").read())
+    kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
+    for p in proto.pieces:
+        if p.type == kinds.BYTE:
+            p.type = kinds.UNUSED
+    proto.trainer_spec.byte_fallback = False
+    ids, begins, ends = pieces.Encoder(proto.SerializeToString()).encode(["word \U00013000\U00013001 end"])
+    k = ids[0].tolist().index(0)
+    assert (begins[0][k], ends[0][k]) == (5, 13) and ends[0][-1] == 17
+
+
+def test_piece_stage_takes_long_texts(spark):
+    df = spark.createDataFrame([(1,), (2,)], "doc_id long").withColumn("text", F.when(F.col("doc_id") == 1, F.repeat(F.lit("long texts "), 200_000)).otherwise("x"))
+    got = {r.doc_id: r for r in pieces._digest(df).collect()}
+    assert got[1].span_end == 2_200_000 and got[1].decoded_sha256 == brute.sha("long texts " * 200_000) and got[2].span_end == 1
 
 
 def test_decontamination(spark, folder, pairs):
