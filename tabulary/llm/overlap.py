@@ -1,93 +1,112 @@
 """Groups of texts by the words they share: Jaccard similarity of five-word shingles.
 
-A text's shingles are all runs of ``WIDTH`` lower-cased words, or the whole text if
-it is shorter. Texts of which at least ``SHARE`` of their joint shingles are common
-are linked. Candidates agree in all ``ROWS`` minima of one of ``BANDS`` bands of
-MinHash; each is checked on the full shingle sets. A pair at exactly 0.8 is no
-candidate with a probability of 3e-6, one at 0.9 of 4e-12.
-
-Keys whose texts are all in one group by now are left out. What remains is compared with
-the least text of its key first; then, of each key, all pairs across groups.
+A text's shingles are all runs of ``WIDTH`` words (A-Z lower-cased, cut at ASCII white
+space), or the whole text if it is shorter. Texts of which at least ``SHARE`` of their
+joint shingles are common are linked. Candidates agree in all ``ROWS`` minima of one of
+``BANDS`` bands of MinHash; each is checked on the full shingle sets. A pair at exactly
+0.8 is no candidate with a probability of 3e-6, one at 0.9 of 4e-12.
+
+Keys whose texts are all in one group by now are left out of every round. First each text
+is compared with one other: of the least texts of its keys the one that it meets most
+often. Then it is compared with all of these; at last, in the keys that still hold
+several groups, each text with those of other groups.
+
+Defined results: texts without words have no shingles and are linked to none; texts are
+told apart by a 64-bit hash, shingles by another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulary.llm import bytewords as bw
 from tabulary.llm.arrowmap import add_columns, written
 from tabulary.llm.components import components
+from tabulary.llm.shingles import word_sets
 
 WIDTH = 5
 SHARE = (4, 5)
 BANDS, ROWS = 24, 4
 _XOR, _FACTOR = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
 _FACTOR |= np.uint64(1)
-_BLOCK = 1024
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct hashes of a text's shingles, sorted; none for a text without words."""
-    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[i : i + WIDTH])) for i in range(max(1, len(words) - WIDTH + 1))], np.uint64))
-
-
-def bands(found: np.ndarray) -> list[int]:
-    """The band keys of a set of shingles, as signed longs."""
-    if not len(found):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), _BLOCK):
-        least = np.minimum(least, ((found[at : at + _BLOCK, None] ^ _XOR) * _FACTOR).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def add_bands(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with n_shingles and the keys of its texts' bands."""
-
-    def make(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-        return {"n_shingles": pa.array([len(s) for s in sets], pa.int32()), "bands": pa.array([bands(s) for s in sets], pa.list_(pa.int64()))}
-
-    return add_columns(df, "n_shingles int, bands array<long>", make)
+_SLICE = 1 << 18
+
+
+def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, in order of their hash mixed with the text's number, and where they begin."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(first) - 1))])
+
+
+def bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys of texts that have shingles; the others' rows are zero."""
+    some = np.flatnonzero(np.diff(first))
+    out = np.zeros((len(first) - 1, BANDS), np.uint64)
+    if not len(some):
+        return out
+    keys = np.zeros((len(some), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat((h ^ _XOR[k]) * _FACTOR[k], first[some])
+        keys[:, k // ROWS] = bw.mix(keys[:, k // ROWS] * np.uint64(31) + least)
+    out[some] = bw.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
+    return out
+
+
+BANDS_DDL = "n_shingles int, bands array<long>"
+
+
+def bands_of(column: pa.Array) -> dict:
+    """n_shingles and the keys of the bands of each text."""
+    sizes, keys = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)]
+    for _, _, data, offsets in bw.slices(column, _SLICE):
+        h, first = _distinct(*word_sets(data, offsets, WIDTH))
+        sizes.append(np.diff(first))
+        keys.append(bands(h, first))
+    n = np.concatenate(sizes)
+    has = n > 0
+    at = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+    flat = np.concatenate(keys)[has].ravel().view(np.int64)
+    return {"n_shingles": pa.array(n.astype(np.int32)), "bands": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))}
+
+
+def _alike(batch: pa.RecordBatch) -> dict:
+    """Whether text_a and text_b of each row share enough shingles."""
+    sets = [[np.split(h, first[1:-1]) for _, _, data, offsets in bw.slices(batch.column(c), _SLICE) for h, first in [_distinct(*word_sets(data, offsets, WIDTH))]] for c in ("text_a", "text_b")]
+    a, b = ([x for part in side for x in part] for side in sets)
+    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+    joint = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - common
+    return {"alike": pa.array((joint > 0) & (common * SHARE[1] >= joint * SHARE[0]))}
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (u, v) between the groups of those ``pairs`` whose texts are alike."""
-
-    def make(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t).view(np.int64) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        return {"shingles": pa.array(sets, pa.list_(pa.int64()))}
-
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    sets = add_columns(texts.join(wanted, "text_hash", "left_semi").select("text_hash", "text"), "shingles array<long>", make, drop=("text",))
-    sets = written(sets.dropDuplicates(["text_hash"]), "shingles")
-    side = lambda x: sets.select(F.col("text_hash").alias(x), F.col("shingles").alias(f"of_{x}"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    joint = F.size("of_a") + F.size("of_b") - common
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(common * SHARE[1] >= joint * SHARE[0]).select("u", "v")
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("text_hash").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return add_columns(pairs.select("u", "v", "text_a", "text_b"), "alike boolean", _alike, drop=("text_a", "text_b")).where("alike").select("u", "v")
 
 
 def joined_groups(texts: DataFrame, rows: DataFrame) -> list[DataFrame]:
     """Maps (node, root) that join groups with alike texts, to be applied in turn.
 
-    ``texts`` has text_hash and text; ``rows`` has text_hash, group (a long),
-    n_shingles and bands.
+    ``texts`` has text_hash and text; ``rows`` has text_hash, group (a long), n_shingles and
+    bands. Only texts that share a key with another group are moved, once.
     """
     keyed = rows.select("group", "text_hash", "n_shingles", F.explode("bands").alias("key"))
     maps: list[DataFrame] = []
-    for last in (False, True):
+    for turn in range(3):
         several = keyed.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
         keyed = written(keyed.join(several, "key", "left_semi").distinct(), "keys")
-        if last:
+        if turn == 0:
+            texts = written(texts.join(keyed.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]), "candidates")
+        if turn == 2:
             other = keyed.select("key", *(F.col(c).alias(f"o_{c}") for c in ("group", "text_hash", "n_shingles")))
             met = keyed.join(other, "key").where("`group` < o_group")
         else:
@@ -95,9 +114,10 @@ def joined_groups(texts: DataFrame, rows: DataFrame) -> list[DataFrame]:
             met = keyed.join(least.select("key", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("group", "text_hash", "n_shingles"))), "key")
             met = met.where("`group` <> o_group")
         met = met.where(F.least("n_shingles", "o_n_shingles") * SHARE[1] >= F.greatest("n_shingles", "o_n_shingles") * SHARE[0])
-        pairs = met.select(F.col("text_hash").alias("a"), F.col("o_text_hash").alias("b"), F.col("group").alias("u"), F.col("o_group").alias("v"))
-        found = written(components(_checked(pairs.distinct(), texts)), "joined")
+        pairs = met.groupBy(F.col("text_hash").alias("a"), F.col("o_text_hash").alias("b"), F.col("group").alias("u"), F.col("o_group").alias("v")).agg(F.count("*").alias("n"))
+        if turn == 0:
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("n", "b", "u", "v")).alias("p")).select("a", "p.*")
+        found = written(components(_checked(pairs.select("a", "b", "u", "v"), texts)), "joined")
         maps.append(found)
-        if not last:
-            keyed = keyed.join(found, F.col("group") == F.col("node"), "left").select("key", F.coalesce("root", "group").alias("group"), "text_hash", "n_shingles")
+        keyed = keyed.join(found, F.col("group") == F.col("node"), "left").select("key", F.coalesce("root", "group").alias("group"), "text_hash", "n_shingles")
     return maps

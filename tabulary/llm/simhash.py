@@ -7,17 +7,19 @@ an odd number of common ones in m(i) and v. Fingerprints that differ in
 those bits leave some v orthogonal to them all: the 15 tables for radius 3 miss
 no pair.
 
-Copies collapse into one fingerprint before any table is built. A table's
-bucket of at most ``CROWD`` fingerprints is compared inside its task, which
+Copies collapse into one fingerprint before any table is built. Buckets are counted
+first. One of at most ``CROWD`` fingerprints is compared inside its task, which
 keeps only one link per fingerprint (to the least of its group), never all
-pairs. The members of a larger bucket are dealt out again by masks over the
-bits that the bucket leaves free. Then at most 16 bits are free, so a bucket has
-at most 65,536 members whatever the input, and is linked inside its task by
-looking up each member's neighbours. So no pair is lost and no task gathers more.
+pairs. The members of a larger bucket never meet in one task: they are dealt out at
+once by masks over the bits that the bucket leaves free. Then at most 16 bits are free,
+so a bucket has at most 65,536 members whatever the input, and is linked inside its
+task by looking up each member's neighbours. So no pair is lost and no task gathers more.
 
 Defined results: a null or empty text has no words and fingerprint zero, and is
-linked like any other; rows with a null id get the group's least id, or null if
-the group has none; repeated rows are copies of one another.
+linked like any other; very long texts are read whole, by the task that holds them;
+rows with a null id get the group's least id, or null if the group has none; repeated
+rows are copies of one another; an empty table gives none. Columns other than the id and
+the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,49 +29,44 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulary.llm import bytewords as bw
 from tabulary.llm.arrowmap import add_columns, apart, held_until_done, written
 from tabulary.llm.components import components
-from tabulary.llm.overlap import add_bands, joined_groups
+from tabulary.llm.overlap import BANDS_DDL, bands_of, joined_groups
+from tabulary.llm.shingles import shingle_hashes
 
 RADIUS = 3
+_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 CROWD = 2048
-_EDGE = -1
+#: Bytes of texts, and hashes, that are worked on at once: small enough for the caches.
+_SLICE, _HASHES = 1 << 18, 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of a text's word shingles, as an unsigned 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        start = np.concatenate([[0], end[:-1]])[: len(words) - width + 1]
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], 42) for a, b in zip(start.tolist(), (end[width - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
+    """The SimHash of each of a slice's texts over its word shingles, as unsigned longs."""
+    h, first = shingle_hashes(data, offsets, width)
+    n = np.diff(first)
+    ones = np.zeros((len(n), 64), np.int64)
+    for at in range(0, len(h), _HASHES):
+        end = min(at + _HASHES, len(h))
+        lo, hi = int(np.searchsorted(first, at, side="right")) - 1, int(np.searchsorted(first, end, side="left"))
+        some = np.flatnonzero(n[lo:hi]) + lo
+        bits = np.unpackbits(h[at:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[some] += np.add.reduceat(bits, np.maximum(first[some] - at, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def add_fingerprint(df: DataFrame, text_col: str = "text", width: int = 3, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with its texts' fingerprint ``fp`` as a (signed) long."""
-
-    def make(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        return {"fp": pa.array([_signed(fingerprint(t, width)) for t in texts], pa.int64())}
-
-    return add_columns(df, "fp long", make, drop=drop)
+def prints_of(column: pa.Array, width: int = 3) -> pa.Array:
+    """The SimHash of each text of a column, as (signed) longs."""
+    found = [fingerprints(data, offsets, width) for _, _, data, offsets in bw.slices(column, _SLICE)]
+    return pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
 
 
 def covering_masks(radius: int = RADIUS, within: int = (1 << 64) - 1) -> list[int]:
@@ -79,13 +76,9 @@ def covering_masks(radius: int = RADIUS, within: int = (1 << 64) - 1) -> list[in
     return [sum(1 << b for k, b in enumerate(bits) if ((k % size + 1) & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
-def _tables(radius: int, parents: dict[int, int]) -> dict[int, int]:
-    """The masks below each parent table, by table number; a full mask stays as it is."""
-    full, out = (1 << 64) - 1, {}
-    for number, mask in parents.items():
-        for v, more in enumerate(covering_masks(radius, full & ~mask), 1):
-            out[number * (1 << (radius + 1)) + v] = mask | more
-    return out
+def _tables(radius: int, mask: int = 0) -> list[int]:
+    """The masks below ``mask``, each with all of its bits."""
+    return [mask | more for more in covering_masks(radius, (1 << 64) - 1 & ~mask)]
 
 
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -122,25 +115,18 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(v), int(u)) for v, u in zip(x.view(np.int64), x[label].view(np.int64), strict=True) if u != v]
 
 
-def _bucket_scan(radius: int, crowd: int, last: bool):
-    """Arrow mapper over rows (tab, key, fp) sorted by table and key.
-
-    Gives links (-1, v, u) and the rows of crowded buckets as they came. A run of
-    rows of one bucket is held until it ends or, before the last round, passes ``crowd``.
-    """
-
-    def emit(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        t, k, f = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(k, pa.int64()), pa.array(f, pa.int64())], names=["tab", "key", "fp"])
+def _bucket_scan(radius: int):
+    """Arrow mapper over rows (tab, key, fp) sorted by table and key to links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.zeros(0, np.int64)
-        at, crowded = None, False
-        out: list[tuple[int, int, int]] = []
+        held: list[np.ndarray] = []
+        at = None
+        out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(held) > 1:
-                out.extend((_EDGE, b, a) for a, b in _links(np.unique(held), radius))
+            if sum(map(len, held)) > 1:
+                out.extend((a, b) for b, a in _links(np.unique(np.concatenate(held)), radius))
+            held.clear()
 
         for batch in held_until_done(batches):
             tab, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -152,50 +138,47 @@ def _bucket_scan(radius: int, crowd: int, last: bool):
             for a, n in zip(edge[~inner].tolist(), size[~inner].tolist(), strict=True):
                 if at != (tab[a], key[a]):
                     close()
-                    held, at, crowded = np.zeros(0, np.int64), (tab[a], key[a]), False
-                part = fp[a : a + n]
-                if crowded:
-                    out.extend((int(tab[a]), int(key[a]), int(f)) for f in part)
-                else:
-                    held = np.concatenate([held, part])
-                    if len(held) > crowd and not last:
-                        out.extend((int(tab[a]), int(key[a]), int(f)) for f in held)
-                        held, crowded = np.zeros(0, np.int64), True
-                if len(out) > 50_000:
-                    yield emit(out)
-                    out.clear()
+                    at = (tab[a], key[a])
+                held.append(fp[a : a + n])
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in out], _PAIRS)
+                out.clear()
         close()
-        if out:
-            yield emit(out)
+        yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in out], _PAIRS)
 
     return run
 
 
+def _masks(masks: list[int]) -> Column:
+    return F.array(*(F.lit(_signed(m)) for m in masks))
+
+
+def _keyed(rows: DataFrame, tables: Column, above: Column) -> DataFrame:
+    """(tab, key, fp) of each row (fp) and table: its number below table ``above``, and the bits that it keeps."""
+    each = rows.select("fp", above.alias("above"), F.posexplode(tables).alias("i", "mask"))
+    return each.select((F.col("above") * 1000 + F.col("i")).alias("tab"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+
+def _linked(keyed: DataFrame, radius: int) -> DataFrame:
+    dealt = keyed.repartition(F.col("tab"), F.col("key")).sortWithinPartitions("tab", "key")
+    return dealt.mapInArrow(_bucket_scan(radius), "u long, v long")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) that connect just the distinct ``fp`` of ``nodes`` which chains of
     pairs within ``radius`` bits connect. Two rounds of masks leave at most 16 bits free
     for radius 3 and less."""
     if radius > RADIUS:
         raise ValueError(f"masks are laid out for a radius of {RADIUS} at most")
-    parents, rows, found = {0: 0}, nodes.select("fp"), None
-    for level in range(2):
-        tables = _tables(radius, parents)
-        last = level == 1
-        if level == 0:
-            made = [F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in tables.items()]
-            keyed = rows.select("fp", F.inline(F.array(*made)))
-        else:
-            low = sorted({(t >> (radius + 1), t, m) for t, m in tables.items()})
-            mask = rows.sparkSession.createDataFrame([(p, t, _signed(m)) for p, t, m in low], "tab int, child int, mask long")
-            keyed = rows.join(F.broadcast(mask), "tab").select("fp", F.col("child").alias("tab"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        dealt = keyed.select("tab", "key", "fp").repartition(F.col("tab"), F.col("key")).sortWithinPartitions("tab", "key")
-        done = written(dealt.mapInArrow(_bucket_scan(radius, crowd, last), "tab int, key long, fp long"), "buckets")
-        here = done.where(F.col("tab") == _EDGE).select(F.col("fp").alias("u"), F.col("key").alias("v"))
-        found = here if found is None else found.unionByName(here)
-        rows, parents = done.where(F.col("tab") != _EDGE), tables
-        if last or rows.isEmpty():
-            break
-    return found
+    first = _tables(radius)
+    keyed = _keyed(nodes.select("fp"), _masks(first), F.lit(0))
+    crowded = written(keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("tab", "key"), "crowded")
+    if crowded.isEmpty():
+        return written(_linked(keyed, radius), "links")
+    small = keyed.join(crowded, ["tab", "key"], "left_anti")
+    below = F.array(*(_masks(_tables(radius, m)) for m in first))
+    members = _keyed(keyed.join(crowded, ["tab", "key"], "left_semi"), F.get(below, F.col("tab")), F.col("tab"))
+    return written(_linked(small, radius).unionByName(_linked(members, radius)), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD,
@@ -204,14 +187,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint linked to it, and the least id of that group. With ``alike``, texts that
     share their words (``overlap``) are linked besides."""
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = written(add_fingerprint(add_bands(base) if alike else base, "text", drop=("text",)), "fingerprints")
+
+    def make(batch: pa.RecordBatch) -> dict:
+        column = batch.column(batch.schema.get_field_index("text"))
+        return {"fp": prints_of(column)} | (bands_of(column) if alike else {})
+
+    prints = written(add_columns(base, "fp long" + f", {BANDS_DDL}" * alike, make, drop=("text",)), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(nodes, radius, crowd))
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = written(nodes, "roots")
     if alike:
-        rows = prints.join(nodes, "fp").select("text_hash", F.col("root").alias("group"), "n_shingles", "bands")
-        for found in joined_groups(base, rows):
+        rows = prints.join(nodes, "fp").select("text_hash", F.col("root").alias("group"), "n_shingles", "bands").dropDuplicates(["text_hash"])
+        for found in joined_groups(base.select("text_hash", "text"), rows):
             nodes = nodes.join(found.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("fp", "least", F.coalesce("to", "root").alias("root"))
         nodes = written(nodes, "roots")
     groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -19,6 +19,10 @@ def taken(df, *names):
     return ordered(tuple(r[n] for n in names) for r in df.collect())
 
 
+def sentence_of(rng, n):
+    return " ".join(f"Word{rng.randrange(90_000)}" for _ in range(n))
+
+
 @pytest.mark.parametrize("crowd", [4096, 2])
 def test_substrings(spark, docs, pairs, crowd):
     got = taken(substrings.repeats(docs, crowd=crowd), "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,6 +72,35 @@ def test_covering_links_lose_no_pair(spark, crowd):
     assert [find(i) for i in range(len(prints))] == brute.groups(prints)
 
 
+def test_shingle_hashes():
+    import numpy as np
+    import xxhash
+
+    from tabulary.llm import shingles
+
+    rng = random.Random(1)
+    texts = ["", " ", "a", "a b", "é\tB c", "x" * 5000] + [" ".join("".join(rng.choice("aBcé日") for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 30, 60, 150]))) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for width in (1, 3, 5):
+        h, first = shingles.shingle_hashes(data, offsets, width)
+        names, _ = shingles.word_sets(data, offsets, width)
+        want = []
+        for t in texts:
+            w = t.encode().lower().split()
+            want += [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+        assert h.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in want] and first[-1] == len(want)
+        assert len(set(zip(names.tolist(), want, strict=True))) == len(set(want)) == len(set(names.tolist()))
+
+
+def test_fingerprint_of_a_long_text():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["a", sentence_of(rng, 300_000), None, sentence_of(rng, 40), ""]
+    assert [x % (1 << 64) for x in simhash.prints_of(pa.array(texts)).to_pylist()] == [brute.fingerprint(t) for t in texts]
+
+
 def test_large_buckets_look_up_neighbours():
     import numpy as np
 

@@ -56,7 +56,7 @@ def test_near_duplicates_by_five_words(spark):
             texts.append(copy)
     texts = [" ".join(t) for t in texts] + ["İki söz", "i̇ki SÖZ", "iki söz", "", None]
     prints = [brute.fingerprint(t) for t in texts]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := brute.SPACED.findall(brute.lower(t))) else set() for t in texts]
     group, far = list(range(len(texts))), 0
     for i, j in itertools.combinations(range(len(texts)), 2):
         near = (prints[i] ^ prints[j]).bit_count() <= 3
