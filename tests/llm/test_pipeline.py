@@ -2,10 +2,11 @@ import itertools
 import random
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulary.llm import decontam, pieces, pii, quality, simhash
+from tabulary.llm import decontam, overlap, pieces, pii, quality, simhash
 
 
 def test_stages_take_effect(spark, folder):
@@ -43,7 +44,8 @@ def test_stages_leave_other_columns(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, wide, folder).count() == docs.count()
 
 
-def test_near_duplicates_by_five_words(spark):
+@pytest.mark.parametrize("crowd", [1024, 3])
+def test_near_duplicates_by_five_words(spark, crowd, monkeypatch):
     rng = random.Random(3)
     texts = []
     for _ in range(6):
@@ -67,4 +69,5 @@ def test_near_duplicates_by_five_words(spark):
     assert far > 10
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     first = {g: i for i, g in reversed(list(enumerate(group)))}
+    monkeypatch.setattr(overlap.joined_groups, "__defaults__", (crowd,))
     assert sorted(r.doc_id for r in simhash.one_of_each_stage(spark, docs, "").collect()) == sorted(first.values())
