@@ -43,7 +43,7 @@ from tabulary.llm.arrowmap import apart, held_until_done, written
 
 SIZE = 10
 SLOP = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 _SHIFT = 32
 _KEY = ["block", "ord"]
 
@@ -101,7 +101,7 @@ def _windows(items: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in held_until_done(batches):
-            for lo, hi, data, offsets in bw.slices(batch.column("text"), BLOCK_BYTES // 16):
+            for lo, hi, data, offsets in bw.slices(batch.column("text"), BLOCK_BYTES // 32):
                 w = _words(data, offsets)
                 h = bw.word_hashes(w).view(np.int64)
                 k = batch.column("k").to_numpy()[lo:hi]
@@ -125,24 +125,28 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return written(rows.withColumn("k", F.monotonically_increasing_id()), "items")
 
 
+def _of_terms(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms``. The set of terms is written first: where it is small, Spark
+    knows so before it plans the join, and filters the index where it lies."""
+    return index.postings.join(written(terms.distinct(), "terms"), "term", "left_semi")
+
+
 def _rarest_first(sought: DataFrame, index: Index) -> DataFrame:
     """``sought`` (id, terms) to (id, terms as struct<n, j, term> with the rarest first), n counted
     over the whole corpus and j the term's offset; those with a term that the corpus lacks go."""
     each = sought.select("id", F.size("terms").alias("size"), F.posexplode("terms").alias("j", "term"))
-    lists = index.postings.join(each.select("term").distinct(), "term", "left_semi")
-    counts = written(lists.groupBy("term").agg(F.sum(F.size("places")).alias("n")), "counts")
+    counts = written(_of_terms(index, each.select("term")).groupBy("term").agg(F.sum(F.size("places")).alias("n")), "counts")
     found = each.join(counts, "term").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "j", "term"))).alias("terms"))
-    return found.where(F.size("terms") == F.col("size")).select("id", "terms")
+    return written(found.where(F.size("terms") == F.col("size")).select("id", "terms"), "ranked")
 
 
 def _first_two(ranked: DataFrame, index: Index, meet) -> DataFrame:
     """(block, id, terms, starts): places of the rarest term, less its offset, that ``meet`` (starts, the
     second term's places, its offset) leaves."""
     term = lambda k: F.get("terms", k)["term"]
-    first = ranked.withColumn("term", term(0)).join(index.postings, "term")
+    first = ranked.withColumn("term", term(0)).join(_of_terms(index, ranked.select(term(0).alias("term"))), "term")
     first = first.select("block", "id", "terms", F.transform("places", lambda p: p - F.get("terms", 0)["j"]).alias("starts"))
-    seconds = ranked.where(F.size("terms") > 1).select(term(1).alias("term")).distinct()
-    lists = index.postings.join(seconds, "term", "left_semi")
+    lists = _of_terms(index, ranked.where(F.size("terms") > 1).select(term(1).alias("term")))
     both = first.where(F.size("terms") > 1).withColumn("term", term(1)).join(lists, ["block", "term"])
     left = both.select("block", "id", "terms", meet(F.col("starts"), F.col("places"), F.get("terms", 1)["j"]).alias("starts"))
     return left.where(F.size("starts") > 0).unionByName(first.where(F.size("terms") == 1))
@@ -151,8 +155,8 @@ def _first_two(ranked: DataFrame, index: Index, meet) -> DataFrame:
 def _met_in_blocks(found: DataFrame, index: Index, after: int, work, schema: str) -> DataFrame:
     """``work`` on the candidates of each block and the lists of their terms from the ``after``-th on."""
     found = written(found, "candidates")
-    wanted = found.select(F.explode(F.slice("terms", after + 1, 1 << 30)).alias("t")).select("t.term").distinct()
-    lists = index.postings.join(wanted, "term", "left_semi").join(found.select("block").distinct(), "block", "left_semi")
+    wanted = found.select(F.explode(F.slice("terms", after + 1, 1 << 30)).alias("t")).select("t.term")
+    lists = _of_terms(index, wanted).join(written(found.select("block").distinct(), "blocks"), "block", "left_semi")
     return found.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(work, schema)
 
 

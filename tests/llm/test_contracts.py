@@ -363,7 +363,7 @@ def test_decontamination_random(spark):
     items += [(3, items[4][1]), (None, words(25, 300)), (None, "la " * 15), (None, None)]
     texts = [None, "", "la " * 400, " ".join(t for _, t in items if t)]
     texts += [words(rng.randint(0, 60), rng.choice((3, 40, 300))) + " " + (rng.choice(items)[1] or "") + "\n" + words(rng.randint(0, 60), 300) for _ in range(60)]
-    texts.append(words(400_000, 100_000) + " " + items[7][1] + " " + items[-3][1] + " " + words(50_000, 9))  # a block of its own
+    texts.append(words(800_000, 100_000) + " " + items[7][1] + " " + items[-3][1] + " " + words(50_000, 9))  # a block of its own
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"))
     got = ordered((r.doc_id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), brute.sha(",".join(r["items"]))) for r in found.collect())
