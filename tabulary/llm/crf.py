@@ -1,8 +1,10 @@
 """A linear-chain conditional random field over word shapes, in numpy batches.
 
-A token's features are table rows: its shape, its known word (0: unknown), and
-the same of the tokens before and after it. Scores are sums of six looked-up
-rows per label plus a label-to-label matrix. Training maximises the penalised
+A token's features are table rows: its shape, its known word (0: unknown), the same
+of the tokens before and after it, and the known words two tokens off. Capitals are those
+of Unicode's two-byte range too. Words of one list share a row, which holds for
+capitalised words only. Scores are sums of eight looked-up rows per label plus a
+label-to-label matrix. Training maximises the penalised
 likelihood of a small labelled table; all sentences advance together through
 forward-backward. Decoding runs Viterbi over all sequences of a batch at once,
 the step at time t taking the sequences that are longer than t.
@@ -17,16 +19,27 @@ import numpy as np
 from tabulary.llm import bytewords as bw
 
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address")
-_SHAPES = 2 * 2 * 4 * 3 * 3
+_SHAPES = 2 * 2 * 2 * 4 * 3 * 3
 
 _TRAIL = np.isin(np.arange(256), np.frombuffer(b".,;:!?)\"'", np.uint8))
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|<>@=_/\\{}[]~^", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
-_UPPER = np.zeros(256, bool)
+_UPPER = np.zeros(1 << 16, bool)
 _UPPER[65:91] = True
+for _c in range(0x80, 0x800):
+    if chr(_c).isupper():
+        _UPPER[int.from_bytes(chr(_c).encode())] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
+def _upper(data: np.ndarray) -> np.ndarray:
+    """Marks the first byte of each capital letter."""
+    wide = data.astype(np.uint16)
+    pair = (wide << np.uint16(8)) | np.append(wide[1:], np.uint16(0))
+    return np.where(data >= 0xC0, _UPPER[pair], _UPPER[wide])
+
+
 def _counts(mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(mark)])
     return sums[end] - sums[start]
@@ -44,9 +57,9 @@ class Tokens:
     words: bw.Words
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, titles: np.ndarray) -> Tokens:
+def tokens(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> Tokens:
     """Tokens of whole texts. A sequence ends with a text, a line, or a token that ends a
-    sentence; a known title's full stop ends none."""
+    sentence; the full stop of a known title or of one capital ends none."""
     w = bw.find_words(data, offsets, bw.SPACED)
     n = len(w.start)
     if not n:
@@ -56,15 +69,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, titles: np.
         end -= _TRAIL[data[end - 1]] & (end - w.start > 1)
     trimmed = bw.Words(bw._LOWER[data], offsets, w.start, end, w.first)
     h = bw.word_hashes(trimmed)
-    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    word = np.where(known[at] == h, at + 1, 0) if len(known) else np.zeros(n, np.int64)
-    size = end - w.start
-    upper, digit = _counts(_UPPER[data], w.start, end), _counts(_DIGIT[data], w.start, end)
+    upper_at, letters = _upper(data), (data & 0xC0) != 0x80
+    upper_first = upper_at[w.start]
+    word = lexicon.rows(h, upper_first)
+    size = _counts(letters, w.start, end)
+    upper, digit = _counts(upper_at, w.start, end), _counts(_DIGIT[data], w.start, end)
     kind = np.where(digit == 0, 0, np.where(digit == size, 1, np.where(_DIGIT[data[w.start]], 2, 3)))
+    kind = np.where(_counts(_SYMBOL[data], w.start, w.end) > 0, 3, kind)
     case = np.where(upper == 0, 0, np.where(upper == size, 2, 1))
     length = np.digitize(size, [2, 5])
-    shape = (((_UPPER[data[w.start]] * 2 + (end < w.end)) * 4 + kind) * 3 + case) * 3 + length
-    stop = _STOP[data[w.end - 1]] & ~np.isin(h, titles)
+    again = np.zeros(n, bool)
+    again[1:] = h[1:] == h[:-1]
+    shape = ((((again * 2 + upper_first) * 2 + (end < w.end)) * 4 + kind) * 3 + case) * 3 + length
+    stop = _STOP[data[w.end - 1]] & ~np.isin(h, lexicon.titles) & ~(upper_first & (size == 1) & (w.end - end == 1) & (data[w.end - 1] == 46))
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     cut = np.zeros(n, bool)
     cut[w.first[w.first < n]] = True
@@ -72,26 +89,49 @@ def tokens(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, titles: np.
     return Tokens(w.start, end, shape, word, np.append(np.flatnonzero(cut), n), w)
 
 
+class Lexicon:
+    """Known words by hash, and the row that each has in the word tables; 0: unknown."""
+
+    def __init__(self, own: set[str], lists: list[set[str]], titles: tuple[str, ...]):
+        self.titles = _hashes(titles)
+        single = sorted(own)
+        row = {w: k for k, words in enumerate(lists, 1) for w in words} | {w: k for k, w in enumerate(single, len(lists) + 1)}
+        names = list(row)
+        found = np.array([_hashes([w])[0] for w in names], np.uint64)
+        order = np.argsort(found)
+        self.known, self.row, self.shared = found[order], np.array([row[w] for w in names])[order], len(lists)
+        self.size = len(single) + len(lists) + 1
+
+    def rows(self, h: np.ndarray, capital: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        row = np.where(self.known[at] == h, self.row[at], 0)
+        return np.where((row <= self.shared) & ~capital, 0, row)
+
+
 class Model:
-    """Feature tables (6 of rows x labels) and the label-to-label matrix."""
+    """Feature tables (8 of rows x labels) and the label-to-label matrix."""
 
-    def __init__(self, known: np.ndarray, titles: np.ndarray):
+    def __init__(self, lexicon: Lexicon):
         k = len(LABELS)
-        self.known, self.titles = known, titles
-        rows = [_SHAPES, len(known) + 1] + [_SHAPES + 1, len(known) + 2] * 2
+        self.lexicon = lexicon
+        rows = [_SHAPES, lexicon.size] + [_SHAPES + 1, lexicon.size + 1] * 2 + [lexicon.size + 1] * 2
         self.tables = [np.zeros((r, k), np.float32) for r in rows]
         self.step = np.zeros((k, k), np.float32)
 
     def features(self, t: Tokens) -> list[np.ndarray]:
         """Row numbers in each table; the last row of a neighbour's table stands for none."""
-        n = len(t.shape)
+        n, none = len(t.shape), self.lexicon.size
+        if not n:
+            return [t.shape] * len(self.tables)
         head, tail = np.zeros(n, bool), np.zeros(n, bool)
-        head[t.first[:-1]] = n > 0
-        tail[t.first[1:] - 1] = n > 0
-        out = [t.shape, t.word]
+        head[t.first[:-1]] = True
+        tail[t.first[1:] - 1] = True
+        out, far = [t.shape, t.word], []
         for gone, by in ((head, 1), (tail, -1)):
-            out += [np.where(gone, _SHAPES, np.roll(t.shape, by)), np.where(gone, len(self.known) + 1, np.roll(t.word, by))]
-        return out
+            word = np.where(gone, none, np.roll(t.word, by))
+            out += [np.where(gone, _SHAPES, np.roll(t.shape, by)), word]
+            far.append(np.where(gone, none, np.roll(word, by)))
+        return out + far
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         out = self.tables[0][rows[0]]
@@ -136,16 +176,14 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def train(table: list[tuple[list[str], list[str]]], lexicon: set[str], titles: tuple[str, ...], rounds: int = 80, rate: float = 0.15, penalty: float = 0.02) -> Model:
-    """A model from (tokens, labels) sentences; the lower-case words of ``lexicon`` become known."""
+def train(table: list[tuple[list[str], list[str]]], lexicon: Lexicon, rounds: int = 80, rate: float = 0.15, penalty: float = 0.02) -> Model:
+    """A model from (tokens, labels) sentences."""
     table = [(w, y) for w, y in table if w]
     data = np.frombuffer("\n".join(" ".join(w) for w, _ in table).encode(), np.uint8)
     ends = np.flatnonzero(data == 10) + 1
     offsets = np.concatenate([[0], ends, [len(data)]])
-    title_hash = _hashes(titles)
-    known = _hashes({*lexicon, *titles})
-    model = Model(known, title_hash)
-    t = tokens(data, offsets, known, title_hash)
+    model = Model(lexicon)
+    t = tokens(data, offsets, lexicon)
     t.first = t.words.first  # a labelled sentence is one sequence
     gold = np.array([LABELS.index(l) for _, y in table for l in y])
     rows = model.features(t)

@@ -9,14 +9,19 @@ Each pattern is read in time linear in the text: an e-mail address is looked for
 from its ``@`` outwards, and digit runs are entered at their first digit only,
 which finds the same leftmost matches.
 
-Defined results: null and empty texts have no spans; repeated rows stay; input
-columns named like an output column are replaced; an empty table gives none.
+The field finds what looks like a Western name or street address in running text; its
+measured precision and recall are in the README.
+
+Defined results: null and empty texts have no spans; a very long text is read whole, in
+time linear in its length, by the task that holds it; repeated rows stay; input columns
+named like an output column are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.llm import bytewords as bw
-from tabulary.llm import crf
+from tabulary.llm import crf, pii_table
 from tabulary.llm.arrowmap import add_columns
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "address")
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "st")
+_SLICE = 1 << 20
+_KIND = np.array([KINDS.index(x[2:]) if x != "O" else 0 for x in crf.LABELS])
+_INNER = np.array([x[0] == "I" for x in crf.LABELS])
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,148 +91,62 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Parts of the labelled table: its sentences are the patterns with each name and
-#: address put in turn. {n}: a name, {a}: an address; all other words are label O.
-_PATTERNS = (
-    "My name is {n} and I work here .", "Please contact {n} for details .", "Dear {n} , thank you for your letter .",
-    "Mr. {n} signed the form .", "Dr. {n} will see you on Monday .", "Mrs. {n} lives at {a} .", "Send it to {n} , {a} .",
-    "The parcel goes to {a} .", "Ship to: {a}", "Signed by {n}", "Regards , {n}", "Name: {n}", "Address: {a}", "I live at {a} .",
-    "Call {n} after noon .", "written by {n} in the spring", "Prof. {n} of the college spoke first .",
-)
-_NAMES = ("John Smith", "Mary Jones", "Anna Keller", "Peter Brandt", "Luis Ortega", "Claire Dubois", "Ivan Petrov", "Jane Doe", "Omar Said", "Eva Lund", "Paul")
-_ADDRESSES = ("12 Oak Street", "221 Baker Street", "4 Mill Lane", "77 Old Church Road", "1600 Park Avenue", "9 High Road", "35 River Lane , Leeds")
-_PLAIN = (
-    "The report was sent to the office on Monday .", "In spring the rivers rise and the fields are wet .", "Of these the first was the largest .",
-    "And then it rained for 12 days .", "There were 35 people at the meeting .", "On the table stood a bowl of Fruit and bread .",
-    "The The The The The", "OF THE RIVER AND THE SEA", "Every Word In This Title Has A Capital", "Le chat dort sur la chaise .",
-    "Der Hund lief durch den Garten und die Katze schlief .", "Los perros corren por la calle .", "Was it 4 or 9 ?", "At the time 77 of them were old .",
-    "This work is licensed under the terms below .", "Version 2.0 of the file was read in 2004 .", "A | B | C | D", "Und die Stadt war groß .",
-    "token = 4f2a91c03b", "Is and the of when there were with .", "Thly onre ered .", "Anden . Thnt of erin the onha .", "Erha the onin and Thion was .",
-)
-
-
-#: Syllables of words that no lexicon knows; they stand for all unknown words.
-_SYLLABLES = ("ba", "con", "der", "el", "fi", "gan", "ho", "il", "ra", "ment", "ne", "or", "qui", "st", "tu", "vin")
-
-
-def _strange(k: int) -> str:
-    """The k-th unknown word."""
-    n = len(_SYLLABLES)
-    return "".join(_SYLLABLES[(k * 7 + i * (k // 3 + 5)) % n] for i in range(1 + k % 4))
-
-
-def _filled(pattern: str, k: int) -> tuple[list[str], list[str]]:
-    words, labels = [], []
-    for w in pattern.split():
-        slot = {"{n}": ("name", _NAMES), "{a}": ("address", _ADDRESSES)}.get(w)
-        if slot is None:
-            words.append(w)
-            labels.append("O")
-            continue
-        for i, x in enumerate(slot[1][k % len(slot[1])].split()):
-            words.append(x)
-            labels.append(f"{'I' if i else 'B'}-{slot[0]}")
-    return words, labels
-
-
-def _unknown(pattern: str, k: int) -> tuple[list[str], list[str]]:
-    """The pattern with unknown lower-case words, some with commas, in its slots."""
-    words = []
-    for i, w in enumerate(pattern.split()):
-        if w in ("{n}", "{a}"):
-            words += [_strange(k + 3 * i + j) + "," * ((k + j) % 5 == 0) for j in range(1 + (k + i) % 3)]
-        else:
-            words.append(w)
-    return words, ["O"] * len(words)
-
-
-def _prose(k: int) -> tuple[list[str], list[str]]:
-    """A sentence of known and unknown words; its first word, and now and then another, is capitalised."""
-    small = ("is", "to", "at", "of", "and", "the", "in", "by", "for", "with", "on", "was", "at", "by", "to")
-    words = []
-    for i in range(5 + k % 9):
-        w = small[(k + i * 4) % len(small)] if (k * 5 + i * 3) % 4 == 0 else _strange(k * 11 + i)
-        words.append(w.capitalize() if i == 0 or (k % 6 == 0 and i % 4 == 2) else w)
-        if (k + i) % 7 == 0:
-            words[-1] += ","
-    words[-1] += "."
-    return words, ["O"] * len(words)
-
-
-def _odd(k: int) -> tuple[list[str], list[str]]:
-    """Table rows, repeated words, shouted words and short sentences of unknown words."""
-    w = [_strange(k * 13 + i) for i in range(4 + k % 6)]
-    shape = k % 6
-    if shape == 0:
-        w = " | ".join(x.capitalize() if (k // 6 + i) % 3 == 1 else x + "," * (i % 3 == 2) for i, x in enumerate(w)).split()
-    elif shape == 1:
-        w = [w[0].capitalize()] * (5 + k % 20)
-    elif shape == 2:
-        w = [w[0].capitalize(), ("a", "and", "of", "the", "for", "was", "de", "und")[k // 6 % 8], *w[1 : 1 + k // 48 % 3]]
-    elif shape == 3:
-        w = [x.upper() + "!!" * (k // 6 % 2) for x in w]
-    elif shape == 4:
-        w = [*w[:3], *[w[3].capitalize()] * (3 + k % 9), *w[:2]]
-    else:
-        w = [("Is", "From", "At", "To", "The", "By", "In", "Of")[k // 6 % 8], *w[: 1 + k // 48 % 3]]
-    return w, ["O"] * len(w)
-
-
-def labelled_table() -> list[tuple[list[str], list[str]]]:
-    """(tokens, labels) of a few hundred sentences."""
-    out = []
-    for k, pattern in enumerate(_PATTERNS):
-        for j in range(11):
-            out.append(_filled(pattern, j + k))
-            out.append(_unknown(pattern, j * 17 + k))
-    out += [(s.split(), ["O"] * len(s.split())) for s in _PLAIN * 8]
-    return out + [_prose(k) for k in range(240)] + [_odd(k) for k in range(288)]
-
-
-def lexicon() -> set[str]:
-    """Words whose own rows the model may learn: those of the patterns and plain sentences, and street words."""
-    words = " ".join([*_PATTERNS, *_PLAIN]).replace("{n}", "").replace("{a}", "").split()
-    streets = {"street", "lane", "road", "avenue", "st", "rd", "ave"}
-    return {w.strip(".,;:!?)").lower() for w in words} - {"", "|"} | streets
+@cache
+def _own_model() -> crf.Model:
+    return crf.train(pii_table.labelled_table(), crf.Lexicon(*pii_table.lexicon(), pii_table.TITLES))
 
 
 def trained(table: list[tuple[list[str], list[str]]] | None = None) -> crf.Model:
-    return crf.train(table or labelled_table(), lexicon(), TITLES)
+    """The field fitted on ``table`` (tokens, labels of each sentence), or on ``pii_table``'s; fitting is deterministic."""
+    return crf.train(table, crf.Lexicon(*pii_table.lexicon(), pii_table.TITLES)) if table else _own_model()
 
 
-def _field_spans(model: crf.Model, column: pa.Array) -> dict[int, list[tuple[str, int, int]]]:
-    """Names and addresses of the column's texts, by row; spans count bytes."""
-    out: dict[int, list[tuple[str, int, int]]] = {}
-    data, offsets = bw.text_buffers(column)
-    t = crf.tokens(data, offsets, model.known, model.titles)
+def _field_spans(model: crf.Model, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
+    """Names and addresses of a slice's texts, by row and in order; spans count code points."""
+    t = crf.tokens(data, offsets, model.lexicon)
     label = model.decode(t)
     hot = np.flatnonzero(label)
+    if not len(hot):
+        return {}
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     doc = np.searchsorted(t.words.first, hot, side="right") - 1
+    begin, end = points[t.start[hot]] - points[offsets[doc]], points[t.end[hot]] - points[offsets[doc]]
+    kind, inner = _KIND[label[hot]], _INNER[label[hot]]
     edge = np.zeros(len(t.shape) + 1, bool)
     edge[t.first] = True
-    for i, d in zip(hot.tolist(), doc.tolist(), strict=True):
-        kind = crf.LABELS[label[i]][2:]
-        a, b = int(t.start[i] - offsets[d]), int(t.end[i] - offsets[d])
-        spans = out.setdefault(d, [])
-        if crf.LABELS[label[i]][0] == "I" and not edge[i] and label[i - 1] and crf.LABELS[label[i - 1]][2:] == kind:
-            spans[-1] = (kind, spans[-1][1], b)
-        else:
-            spans.append((kind, a, b))
+    joins = np.zeros(len(hot), bool)
+    joins[1:] = inner[1:] & ~edge[hot[1:]] & (hot[1:] == hot[:-1] + 1) & (kind[1:] == kind[:-1])
+    head = np.flatnonzero(~joins)
+    last = np.append(head[1:], len(hot)) - 1
+    out: dict[int, list[tuple[str, int, int]]] = {}
+    for d, k, a, b in zip(doc[head].tolist(), kind[head].tolist(), begin[head].tolist(), end[last].tolist(), strict=True):
+        out.setdefault(d, []).append((KINDS[k], a, b))
+    return out
+
+
+def _outside(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of ``more`` (sorted, disjoint) that overlap no span of ``base``: one sweep over both."""
+    taken = sorted((a, b) for _, a, b in base)
+    out, k, reach = [], 0, 0
+    for kind, a, b in more:
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            out.append((kind, a, b))
     return out
 
 
 def all_spans(model: crf.Model, column: pa.Array) -> list[list[tuple[str, int, int]]]:
     """Spans of each text by kind as listed, then by start; code points."""
-    texts = column.to_pylist()
-    added = _field_spans(model, column)
     out = []
-    for k, text in enumerate(texts):
-        spans = base_spans(text) if text else []
-        if k in added:
-            raw = text.encode()
-            more = [(kind, len(raw[:a].decode()), len(raw[:b].decode())) for kind, a, b in added[k]]
-            spans += [m for m in sorted(more, key=lambda m: (KINDS.index(m[0]), m[1])) if all(m[2] <= a or b <= m[1] for _, a, b in spans)]
-        out.append(spans)
+    for lo, hi, data, offsets in bw.slices(column, _SLICE):
+        added = _field_spans(model, data, offsets)
+        for k, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
+            spans = base_spans(text) if text else []
+            if k in added:
+                spans += sorted(_outside(spans, added[k]), key=lambda m: (KINDS.index(m[0]), m[1]))
+            out.append(spans)
     return out
 
 

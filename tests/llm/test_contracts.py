@@ -5,6 +5,7 @@ import random
 import zlib
 
 import brute
+import heldout_names
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,37 @@ def test_pii_names_and_masks(spark):
     assert pii.masked("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a[card]f"
 
 
+def test_names_in_sentences_that_the_field_never_saw():
+    import pyarrow as pa
+
+    rows = list(heldout_names.parsed())
+    right = given = wanted = 0
+    for (_, want), got in zip(rows, pii.all_spans(pii.trained(), pa.array([t for t, _ in rows])), strict=True):
+        right, given, wanted = right + len(set(want) & set(got)), given + len(got), wanted + len(want)
+    assert wanted > 50 and right / given >= 0.9 and right / wanted >= 0.85
+    plain = ["My name is Łukasz Nowak and I work here.", "Ms. Linda Chen called.", "The invoice was paid by Sarah Connor.", "John Smith went to Paris."]
+    got = [[t[a:b] for _, a, b in s] for t, s in zip(plain, pii.all_spans(pii.trained(), pa.array(plain)), strict=True)]
+    assert got == [["Łukasz Nowak"], ["Linda Chen"], ["Sarah Connor"], ["John Smith"]]
+
+
+def test_spans_of_long_texts_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    text = "é Dear John Smith, write to a.b@c.de or 1.2.3.4 please.\n" * 40_000
+    began = time.perf_counter()
+    spans = pii.all_spans(pii.trained(), pa.array([text]))[0]
+    assert len(text) > 2 << 20 and time.perf_counter() - began < 60
+    assert [(k, text[a:b]) for k, a, b in spans if k == "name"] == [("name", "John Smith")] * 40_000
+    rng = random.Random(4)
+    for _ in range(300):
+        base = [("x", a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6)))]
+        edges = sorted(rng.sample(range(60), 8))
+        more = [("name", a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        assert pii._outside(base, more) == [m for m in more if all(m[2] <= a or b <= m[1] for _, a, b in base)]
+
+
 def test_pieces(spark, folder, pairs):
     import sentencepiece
 
