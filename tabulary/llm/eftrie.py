@@ -1,35 +1,36 @@
-"""A bigram trie in Elias-Fano form, written to a file and memory-mapped.
-
-Level 1 is the sorted list of contexts with the quantised weight that each gives
-to the shorter history. Level 2 holds the successors of all contexts, one list
-after the other, each sorted, with a quantised smoothed probability. Where a
-context's list begins is a monotone sequence, kept as Elias-Fano: low bits as
-they are, high bits in unary. A successor is searched for in its context's
-stretch only.
+"""An n-gram trie in Elias-Fano form, written to a file and memory-mapped.
+
+Every level holds the successors of its contexts, one list after the other, each sorted.
+Where a context's list begins is a monotone sequence, kept as Elias-Fano: low bits as
+they are, high bits in unary. An entry has a quantised smoothed probability and, as the
+context of the next level, a quantised weight that it gives to the shorter history. A
+successor is searched for in its context's stretch only; the place where it is found is
+its number as a context of the next level.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 
-#: Probabilities from 1 down to 10 ** -RANGE are kept in codes 1 to 255; code 0: none.
-RANGE = 8.5
+#: Values from 1 down to 10 ** -RANGE are kept in codes 1 to 65535; code 0: none.
+RANGE = 16
+_STEPS = 65534
 ABSENT = 0
-_WORD = np.uint64(64)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    level = np.rint(-np.log10(np.maximum(p, 10.0**-RANGE)) * (254 / RANGE))
-    return np.where(p > 0, 1 + np.clip(level, 0, 254), ABSENT).astype(np.uint8)
+    level = np.rint(-np.log10(np.maximum(p, 10.0**-RANGE)) * (_STEPS / RANGE))
+    return np.where(p > 0, 1 + np.clip(level, 0, _STEPS), ABSENT).astype(np.uint16)
+
+
+_TABLE = 10.0 ** (-(np.arange(_STEPS + 2) - 1) * (RANGE / _STEPS))
+_TABLE[ABSENT] = 0.0
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    table = 10.0 ** (-(np.arange(256) - 1) * (RANGE / 254))
-    table[ABSENT] = 0.0
-    return table[code]
+    return _TABLE[code]
 
 
 class EliasFano:
@@ -71,52 +72,54 @@ class EliasFano:
 
 
 class Trie:
-    """The levels in memory-mapped form; ``close`` removes the file."""
-
-    def __init__(self, contexts: int, keys: np.ndarray, counts: np.ndarray, bits: int):
-        """keys: sorted distinct (context << bits | successor); counts: how often each was seen."""
-        context = (keys >> np.uint64(bits)).astype(np.int64)
-        total = np.bincount(context, counts, contexts)
-        kinds = np.bincount(context, minlength=contexts)
-        mass = total + kinds
-        begins = EliasFano.encode(np.concatenate([[0], np.cumsum(kinds)]))
-        successor = keys & np.uint64((1 << bits) - 1)
-        levels = {
-            "low": begins.low.ravel(), "high": begins.high, "before": begins.before,
-            "head": (successor >> np.uint64(32)).astype(np.uint8), "tail": successor.astype(np.uint32),
-            "code": quantise(counts / mass[context]), "weight": quantise(np.where(mass > 0, kinds / np.maximum(mass, 1), 1.0)),
-        }
-        self.total, self.kinds = total, kinds
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
-        place, offset = {}, 0
-        with os.fdopen(handle, "wb") as out:
-            for name, a in levels.items():
-                place[name] = (offset, a.dtype, len(a))
-                out.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-                offset += a.nbytes + -a.nbytes % 8
-        whole = np.memmap(self.path, np.uint8, "r")
-        get = {k: whole[o : o + n * d.itemsize].view(d) for k, (o, d, n) in place.items()}
-        self.begins = EliasFano(get["low"].reshape(contexts + 1, -1) if contexts else get["low"].reshape(1, -1), get["high"], get["before"])
-        self.head, self.tail, self.code, self.weight = get["head"], get["tail"], get["code"], get["weight"]
+    """Levels of (contexts, keys, codes), memory-mapped until ``close``.
+
+    keys: sorted distinct (context << 32 | successor); codes: one for each key. A
+    level's contexts are numbered from 0.
+    """
+
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
+        parts = []
+        for contexts, keys, code in levels:
+            ends = np.searchsorted(keys, np.arange(contexts + 1, dtype=np.uint64) << np.uint64(32))
+            begins = EliasFano.encode(ends)
+            parts.append({"low": begins.low, "high": begins.high, "before": begins.before, "next": keys.astype(np.uint32), "code": code})
+        self._file = tempfile.TemporaryFile(prefix="trie-")  # noqa: SIM115  has no name, so it goes with the task
+        places, at = [], 0
+        for part in parts:
+            for a in part.values():
+                places.append((at, a.dtype, a.shape))
+                self._file.write(a.tobytes() + b"\0" * (8 - a.nbytes % 8))
+                at += a.nbytes + 8 - a.nbytes % 8
+        self._file.flush()
+        whole = np.memmap(self._file, np.uint8, "r")
+        views = iter([whole[o : o + d.itemsize * int(np.prod(s))].view(d).reshape(s) for o, d, s in places])
+        self.levels = [(EliasFano(next(views), next(views), next(views)), next(views), next(views)) for _ in parts]
 
     def close(self) -> None:
-        os.unlink(self.path)
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each successor in its context, ``ABSENT`` where it was never seen there."""
-        lo, hi = self.begins.access(context), self.begins.access(context + 1)
-        out = np.full(len(context), ABSENT, np.uint8)
+        self.levels = []
+        self._file.close()
+
+    def find(self, level: int, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Place of each successor in its context's list, -1 where it was never seen there or the context is -1."""
+        begins, following, _ = self.levels[level]
+        known = np.flatnonzero(context >= 0)
+        out = np.full(len(context), -1, np.int64)
+        context, successor = context[known], successor[known]
+        lo, hi = begins.access(context), begins.access(context + 1)
         end = hi.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            here = (self.head[mid].astype(np.uint64) << np.uint64(32)) | self.tail[mid]
-            less = here < successor[live]
+            less = following[mid] < successor[live]
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
             live = live[lo[live] < hi[live]]
         some = np.flatnonzero(lo < end)
-        at = lo[some]
-        here = (self.head[at].astype(np.uint64) << np.uint64(32)) | self.tail[at]
-        out[some] = np.where(here == successor[some], self.code[at], ABSENT)
+        hit = some[following[lo[some]] == successor[some]]
+        out[known[hit]] = lo[hit]
         return out
+
+    def codes(self, level: int, place: np.ndarray) -> np.ndarray:
+        code = self.levels[level][2]
+        return np.where(place >= 0, code[np.maximum(place, 0)] if len(code) else ABSENT, ABSENT).astype(np.uint16)

@@ -92,18 +92,26 @@ def language_model(docs):
     rows = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2, [*SPACED.findall(lower(t)), None]) for d, t in docs]
     count = collections.Counter(w for _, held, ws in rows if not held for w in ws)
     n, v = sum(count.values()), len(count)
-    pair = collections.Counter(p for _, held, ws in rows if not held for p in zip([0, *ws], ws, strict=False))
-    total, kinds = collections.Counter(), collections.Counter()
-    for (a, _), k in pair.items():
-        total[a] += k
-        kinds[a] += 1
+    total, kinds, gram = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, held, ws in rows:
+        for i, w in enumerate([] if held else ws):
+            gram[0 if i == 0 else ws[i - 1], w] += 1
+            if i:
+                gram[0 if i == 1 else ws[i - 2], ws[i - 1], w] += 1
+    for g, k in gram.items():
+        total[g[:-1]] += k
+        kinds[g[:-1]] += 1
     spare = 0.5 * v / n / (v + 1) if n else 1.0
     out = []
     for d, held, ws in rows:
         base, score = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 0.0
-        for a, b in zip([0, *ws], ws, strict=False):
-            single = (count[b] - 0.5) / n + spare if count[b] else spare
-            score += math.log10((pair[a, b] + kinds[a] * single) / (total[a] + kinds[a]) if total[a] else single)
+        for i, w in enumerate(ws):
+            p = (count[w] - 0.5) / n + spare if count[w] else spare
+            before = ws[i - 2 : i] if i > 1 else [0, *ws[:i]]
+            for context in (tuple(before[-1:]), tuple(before))[: len(before)]:
+                if total[context]:
+                    p = (gram[*context, w] + kinds[context] * p) / (total[context] + kinds[context])
+            score += math.log10(p)
         out.append((d, held, len(ws), sum(count[w] > 0 for w in ws), n, base, score))
     return out
 
