@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.functions.text import coverage_since, dative_year, let, squeeze, title_case, truncate_title, turkish_lower, turkish_upper
+from tabulary.functions.text import MONTHS, coverage_since, dative_year, let, squeeze, title_case, truncate_title, turkish_lower, turkish_upper
 
 #: Year the archive is meant to start with, and most letters of a page title.
 ARCHIVE_START, TITLE_MOST = 2020, 60
@@ -142,3 +142,23 @@ def slug_from_address(url: Column) -> Column:
     """The record that a page address names; null for other pages and broken addresses."""
     path = F.try_url_decode(F.try_parse_url(url, F.lit("PATH")))
     return F.nullif(F.regexp_extract(path, r"^/karar/([^/]+)/?$", 1), F.lit(""))
+
+
+def letterhead_date(text: Column) -> Column:
+    """yyyy-MM-dd of the first long date in the first 25 lines of a circular."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 25), "\n")
+    return circular_date(F.nullif(F.regexp_extract(head, rf"(\d{{1,2}}\s+(?:{'|'.join(MONTHS)})\s+\d{{4}})", 1), F.lit("")))
+
+
+def canonical_number(typed: Column) -> Column:
+    """Digits of a typed Turkish number, its last comma as a point with at most two decimals after it."""
+    clean = F.regexp_replace(typed, r"[^\d,]", "")
+    whole = F.regexp_replace(F.regexp_replace(clean, ",[^,]*$", ""), ",", "")
+    decimals = F.left(F.regexp_extract(clean, ",([^,]*)$", 1), F.lit(2))
+    return F.when(clean.contains(","), F.concat(whole, F.lit("."), decimals)).otherwise(clean)
+
+
+def number_input(canonical: Column) -> Column:
+    """A canonical number as shown while it is typed: points between thousands, a comma before decimals."""
+    whole = F.regexp_replace(F.substring_index(canonical, ".", 1), r"\B(?=(\d{3})+(?!\d))", ".")
+    return F.when(canonical.contains("."), F.concat(whole, F.lit(","), F.regexp_extract(canonical, r"\.(.*)$", 1))).otherwise(whole)

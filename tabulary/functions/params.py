@@ -70,3 +70,15 @@ def parse(raw: dict[str, str | list[str]]) -> SearchParams:
         _whole(_one(raw.get("yil")), 1900, 2200), day("baslangic"), day("bitis"), x if (x := _one(raw.get("sirala"))) in SORTS else "yeni", _whole(_one(raw.get("sayfa")), 1, 500) or 1,
         "1" if _one(raw.get("uzak")) == "1" else None,
     )
+
+
+#: Publishers and kinds of vacancy notices.
+PUBLISHERS, VACANCY_KINDS = ("khk", "diger"), ("ilk_atama", "yukselme", "ogretmen")
+
+
+def parse_topic(raw: dict[str, str | list[str]] | None) -> dict:
+    """Parameters of a topic's feed: range, types, publisher, kind of notice and order; wrong values are dropped."""
+    raw = raw or {}
+    found = parse({k: raw[k] for k in ("baslangic", "bitis", "tur", "sirala") if k in raw})
+    known = lambda k, values: x if (x := _one(raw.get(k))) in values else None
+    return {"baslangic": found.baslangic, "bitis": found.bitis, "tur": found.tur, "yayinci": known("yayinci", PUBLISHERS), "ilan": known("ilan", VACANCY_KINDS), "sirala": found.sirala}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulary.plans import archive, enrichment, labels, records
+from tabulary.plans import archive, enrichment, labels, pages, records
 
-_PARTS = (archive, enrichment, labels, records)
+_PARTS = (archive, enrichment, labels, pages, records)
 
 
 def queries() -> dict:

@@ -55,9 +55,47 @@ def circular_listing(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
     return table_rows(pages, keys, html).join(links, [*keys, "row"])
 
 
+#: The currencies of the bank's rates.
+CURRENCIES = ("GBP", "EUR", "USD", "JPY")
+
+
 def exchange_rates(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
-    """(keys, currency, rate): per unit, six decimals; rows are unit, currency code, then the rate."""
-    rows = table_rows(pages, keys, html)
-    unit, rate = F.get("cells", F.lit(0)).try_cast("double"), F.replace(F.get("cells", F.lit(2)), F.lit(","), F.lit(".")).try_cast("double")
-    made = rows.select(*keys, F.get("cells", F.lit(1)).alias("currency"), F.round(rate / unit, 6).alias("rate"))
-    return made.where(F.col("currency").rlike("^[A-Z]{3}$") & F.col("rate").isNotNull())
+    """(keys, date, currency, rate, banknote): selling rates per unit, six decimals, of a rates page's first table.
+
+    Rows begin with a unit, a name and the currency in brackets; pages without date or table give none.
+    """
+    date = F.regexp_extract(html, r"(\d{2}/\d{2}/\d{4})\s*-\s*Tarihinde Geçerli Olan Resmi Kurlar", 1)
+    table = F.regexp_extract(html, r"(?s)edit-resmi-kur-table(.*?)(?:</table>|$)", 1)
+    found = pages.select(*keys, date.alias("date"), F.explode(F.slice(F.split(table, r"<tr[\s>]"), 2, 1 << 20)).alias("r")).where("date <> ''")
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")))
+    rows = found.select(*keys, "date", cells.alias("c"))
+    unit, currency = (F.regexp_extract(F.get("c", F.lit(0)), r"^(\d+)\s.*\((\w{3})\)$", i) for i in (1, 2))
+    per_unit = lambda i: F.when(F.get("c", F.lit(i)).try_cast("double") > 0, F.round(F.get("c", F.lit(i)).try_cast("double") / unit.try_cast("double"), 6))
+    made = rows.select(*keys, "date", currency.alias("currency"), per_unit(2).alias("rate"), per_unit(4).alias("banknote"))
+    return made.where(F.col("currency").isin(*CURRENCIES))
+
+
+def archive_address(base: str, year: Column) -> Column:
+    """The archive's page of a year."""
+    return F.concat(F.lit(base.rstrip("/") + "/AR%C5%9E%C4%B0V/"), year.cast("string"))
+
+
+def linked_files(pages: DataFrame, keys: list[str], html: str, prefix: str = "", ending: str = ".pdf") -> DataFrame:
+    """(keys, link): distinct links of pages that begin with ``prefix`` and end in ``ending``, in either case."""
+    links = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), 1)
+    return pages.select(*keys, F.explode(links).alias("link")).where(F.col("link").startswith(prefix) & F.lower("link").endswith(ending)).distinct()
+
+
+def text_fixtures(spark, folder: str) -> DataFrame:
+    """(year, number, text) of files <year>-<number>.txt, read whole."""
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
+    part = lambda i: F.regexp_extract("file", r"^(\d+)-(\d+)\.txt$", i).try_cast("int")
+    return files.select(part(1).alias("year"), part(2).alias("number"), "text").where("year is not null")
+
+
+def circular_fixtures(spark, folder: str) -> DataFrame:
+    """(label, text, and the fields of the JSON beside it) of files <label>.md and <label>.json."""
+    name = lambda end: F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{end}$", 1)
+    texts = spark.read.text(f"{folder}/*.md", wholetext=True).select(name("md").alias("label"), F.col("value").alias("text"))
+    facts = spark.read.json(f"{folder}/*.json", multiLine=True)
+    return texts.join(facts.withColumn("label", name("json")), "label", "left")

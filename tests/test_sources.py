@@ -17,13 +17,10 @@ def test_archive_page(spark):
     assert [r.u for r in rows] == ["https://a.example/Portals/1.pdf", "https://b.example/list/x.pdf", "https://c.example/z"]
 
 
-def test_listing_and_rates(spark):
+def test_listing(spark):
     html = '<table><tr><td>MİA.1/2025</td><td>Daire</td><td><a href="a.pdf">PDF</a></td></tr><tr><td>no link</td></tr></table>'
     got = P.circular_listing(spark.createDataFrame([(1, html)], "k int, html string"), ["k"], "html").collect()
     assert [(r.pdf_href, r.cells[1]) for r in got] == [("a.pdf", "Daire")]
-    rates = "<table><tr><td>1</td><td>USD</td><td>41,5</td></tr><tr><td>100</td><td>JPY</td><td>28,1</td></tr><tr><td>x</td><td>y</td><td>z</td></tr></table>"
-    found = P.exchange_rates(spark.createDataFrame([(1, rates)], "k int, html string"), ["k"], "html").collect()
-    assert {(r.currency, r.rate) for r in found} == {("USD", 41.5), ("JPY", 0.281)}
 
 
 def test_feeds(spark):
