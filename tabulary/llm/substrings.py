@@ -11,16 +11,19 @@ and equal stretches own equal anchors at equal places. That makes the join exact
 3. occurrences of an anchor meet; a stretch whose hash meets another one is a
    repeat, and neighbouring repeats join into maximal ones.
 
-No pairs are made: a stretch only has to know whether another one like it
-exists. An anchor of more than ``CROWD`` occurrences is split by salt. Within a
-salt, a stretch that meets its like is settled; one that does not is sent on to
-a second round by its own hash, with one witness per hash of each salt, so that
-round holds a row per salt at most of any stretch.
+No pairs are made, and words are not compared one by one: the hashes of the stretches
+around a shared anchor take the place of a word-by-word extension, and a run of
+neighbouring stretches that all have their like is a maximal repeat. An anchor of n
+occurrences, if more than ``CROWD``, is split over the square root of n salts. Within a
+salt, a stretch that meets its like is settled; one that does not is sent on to a second
+round by its own hash, with one witness per hash of each salt. So both rounds hold about
+the square root of n rows of any anchor or stretch.
 
 Repeats are judged on the input. Defined results: null, empty and shorter texts
 have no repeats; copies of a text of at least ``length`` words repeat each other
-in full; rows with equal or null ids stay separate; an empty table gives none.
-Texts are told apart by a 64-bit hash and their byte length.
+in full; a very long text is worked on whole by one task; rows with equal or null ids stay
+separate; an empty table gives none. Columns other than the id and the text are not read,
+so their names cannot clash. Texts are told apart by hashes of 64 and 31 bits.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from tabulary.llm.arrowmap import held_until_done
 
 LENGTH = 35
 ANCHOR = 12
-CROWD = 1024
+CROWD = 256
 _KEY = ["t", "nb"]
 
 
@@ -65,7 +68,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def _seed(length: int, anchor: int):
-    """Rows (t, nb, text) to anchors (a, t, at), at holding the text's bytes and the anchor's word."""
+    """Rows (t, nb, text) to anchors (a, t, at), at holding the text's second hash and the anchor's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in held_until_done(batches):
@@ -243,14 +246,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     and kept_sha256 digests the words outside them, joined by one space.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.octet_length("text").cast("long").alias("nb"))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.crc32("text").bitwiseAND(F.lit((1 << 31) - 1)).alias("nb"))
     texts = keyed.groupBy(*_KEY).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
     seeds = texts.select(*_KEY, "text").mapInArrow(_seed(length, anchor), "a long, t long, at long")
     # Counted under another key than the join's: so both sides of the join are exchanges, and a
     # partition that a frequent anchor makes large can be split.
     known = seeds.groupBy(F.bitwise_not("a").alias("k")).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
     known = known.select(F.bitwise_not("k").alias("a"), "occurrences")
-    crowded = known.where(F.col("occurrences") > crowd).select("a", F.ceil(F.col("occurrences") / crowd).cast("int").alias("salts"))
+    crowded = known.where(F.col("occurrences") > crowd).select("a", F.ceil(F.sqrt("occurrences")).cast("int").alias("salts"))
     places = seeds.join(known.select("a"), "a", "left_semi").select("t", F.shiftright("at", 32).alias("nb"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     places = places.groupBy(*_KEY).agg(F.collect_list("place").alias("places"))
     wide = texts.select(*_KEY, "text").join(places, _KEY).mapInArrow(_extend(length, anchor), "a long, t long, nb long, first int, hashes binary")
