@@ -47,9 +47,9 @@ from tabulary.llm.arrowmap import held_until_done, written
 
 #: Text bytes of a block, and tokens of a shard if the shuffle has no more partitions.
 BLOCK_BYTES = 4 << 20
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 DISCOUNT = 0.5
-_SAMPLE = 50
+_SAMPLE, _FREQUENT = 50, 60_000
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _LOW = np.uint64((1 << 32) - 1)
 _BLOCK_ROW = -1
@@ -88,9 +88,11 @@ def _shards_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Busy:
-    """Contexts whose successors are spread, sorted by name, and over how many shards."""
+    """Contexts whose successors are spread, sorted by name, and over how many shards; and the
+    frequent words that messages name by their place in this list."""
 
-    def __init__(self, names: list[int], parts: list[int]):
+    def __init__(self, names: list[int], parts: list[int], frequent: list[int] = ()):
+        self.frequent = np.sort(np.array(frequent, np.uint64))
         order = np.argsort(np.array(names, np.uint64))
         self.names, self.parts = np.array(names, np.uint64)[order], np.array(parts, np.int64)[order]
 
@@ -108,6 +110,15 @@ class Busy:
         return to
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Sorted names byte by byte: their upper bytes hardly change, which packers make use of."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _from_planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel()
+
+
 class Block:
     """Words, pairs and triples of a block, and where and in which order they are sent.
 
@@ -131,6 +142,8 @@ class Block:
         self.triple[at] = which
         self.below, self.third = (triples >> np.uint64(32)).astype(np.int64), (triples & _LOW).astype(np.int64)
         self.home, self.spot = _shards_of(names, shards), busy.find(names)
+        at = np.minimum(np.searchsorted(busy.frequent, names), max(len(busy.frequent) - 1, 0))
+        self.code = np.where(busy.frequent[at] == names, at, -1) if len(busy.frequent) else np.full(len(names), -1)
         of_pair = _pair_names(names[self.context], names[self.word])
         self.pair_spot = busy.find(of_pair)
         self.guest2, self.guest3 = self.spot[self.context] >= 0, self.pair_spot[self.below] >= 0
@@ -164,9 +177,12 @@ class Block:
         far3, n_far3 = guests[head], np.diff(np.append(head, len(guests)))
         words = [own, far2, self.word[p], self.context[far3], self.word[far3], self.third[t]]
         used = np.unique(np.concatenate(words))
-        lists = [_small(np.searchsorted(used, w)) for w in words]
+        code = self.code[used]
+        listed = code >= 0
+        place = np.where(listed, np.cumsum(listed) - 1, listed.sum() + np.cumsum(~listed) - 1)
+        lists = [_small(place[np.searchsorted(used, w)]) for w in words]
         numbers = [_small(x) for x in (counts[0][own], n_own, n_far2, counts[1][p], n_third, n_far3, counts[2][t])]
-        return _pack(self.names[used], *lists, *numbers)
+        return _pack(_small(code[listed]), _planes(self.names[used[~listed]]), *lists, *numbers)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], busy: Busy, shards: int) -> Iterator[tuple[int, Block, np.ndarray, np.ndarray]]:
@@ -215,14 +231,16 @@ def _block_rows(busy, shards: int):
             rank = np.empty(len(b.names), np.uint32)
             rank[by_count] = np.arange(len(b.names))
             planes = rank[b.tokens].view(np.uint8).reshape(-1, 4).T
-            data = _pack(*map(np.ascontiguousarray, planes), _small(by_count), b.names, _small(b.length), ids, marks)
+            listed = b.code >= 0
+            data = _pack(*map(np.ascontiguousarray, planes), _small(by_count), _small(b.code[listed]), _planes(b.names[~listed]), _small(b.length), ids, marks)
             yield pa.RecordBatch.from_arrays([pa.array([_BLOCK_ROW], pa.int32()), pa.array([name], pa.int64()), pa.array([squeeze(data)], pa.binary())], names=["shard", "block", "payload"])
 
     return run
 
 
 def _read_block(data: bytes, busy: Busy, shards: int) -> tuple[Block, np.ndarray, np.ndarray]:
-    *planes, by_count, names, length, ids, marks = _unpack(zstandard.ZstdDecompressor().decompress(data))
+    *planes, by_count, listed, others, length, ids, marks = _unpack(zstandard.ZstdDecompressor().decompress(data))
+    names = np.sort(np.concatenate([busy.frequent[listed], _from_planes(others)]))
     rank = np.ascontiguousarray(np.stack(planes, 1)).view("<u4").ravel()
     return Block(names, by_count.astype(np.int64)[rank], length.astype(np.int64), busy, shards), ids.view(np.int64), marks
 
@@ -261,37 +279,43 @@ def _joined(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 class _Shard:
     """The messages of one shard with words numbered alike, the counts of its n-grams, and its trie."""
 
-    def __init__(self, payloads: list[bytes]):
+    def __init__(self, payloads: list[bytes], frequent: np.ndarray):
         asked = [_unpack(p) for p in payloads]
-        self.vocabulary, inverse = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        names = [np.concatenate([frequent[x[0]], _from_planes(x[1])]) for x in asked]
+        self.vocabulary, inverse = np.unique(np.concatenate(names), return_inverse=True)
+        inverse = inverse.astype(np.int32)
         at, self.asked = 0, []
-        for x in asked:
-            own = inverse[at : at + len(x[0])]
-            at += len(x[0])
-            self.asked.append([own[i] for i in x[1:7]] + [n.astype(np.int64) for n in x[7:]])
+        for x, n in zip(asked, map(len, names), strict=True):
+            self.asked.append([inverse[at : at + n][i] for i in x[2:8]] + x[8:])
+            at += n
+        del inverse, names
         join = lambda k: np.concatenate([x[k] for x in self.asked])
         size = len(self.vocabulary)
         self.counts = np.zeros(size, np.int64)
-        np.add.at(self.counts, join(0), join(6))
+        np.add.at(self.counts, join(0), join(6).astype(np.int64))
         self.guests2 = np.unique(join(1))
-        keys, sums = _summed(np.concatenate([_joined(self.contexts(x), x[2]) for x in self.asked]), join(9))
-        self.total2, self.kinds2 = self.totals(keys, sums, size)
+        asked2 = np.concatenate([_joined(self.contexts(x), x[2]) for x in self.asked])
+        keys2, sums = _summed(asked2, join(9))
+        self.total2, self.kinds2 = self.totals(keys2, sums, size)
         far = np.zeros(size, bool)
         far[self.guests2] = True
-        context = (keys >> np.uint64(32)).astype(np.int64)
+        context = (keys2 >> np.uint64(32)).astype(np.int64)
         code2 = eftrie.quantise(np.where(far[context], sums * _UNIT, sums / np.maximum(self.total2 + self.kinds2, 1)[context]))
         self.guests3 = np.unique(np.concatenate([_joined(x[3], x[4]) for x in self.asked]))
-        self.pairs = len(keys)
+        self.pairs = len(keys2)
         nodes = self.pairs + len(self.guests3)
-        where = lambda x: np.where(keys[np.minimum(np.searchsorted(keys, x), max(self.pairs - 1, 0))] == x, np.searchsorted(keys, x), -1) if self.pairs else np.full(len(x), -1, np.int64)
-        below = np.concatenate([self.nodes(x, where(_joined(self.contexts(x), x[2]))) for x in self.asked])
-        known = below >= 0
-        keys, sums = _summed(_joined(below[known], join(5)[known]), join(12)[known])
-        self.total3, self.kinds3 = self.totals(keys, sums, nodes)
-        context = (keys >> np.uint64(32)).astype(np.int64)
+        place = np.searchsorted(keys2, asked2)
+        place = np.where(keys2[np.minimum(place, self.pairs - 1)] == asked2, place, -1) if self.pairs else np.full(len(asked2), -1)
+        edge = np.cumsum([0, *(len(x[2]) for x in self.asked)])
+        below = np.concatenate([self.nodes(x, place[a:b]) for x, a, b in zip(self.asked, edge[:-1], edge[1:], strict=True)])
+        del asked2, place
+        known = np.flatnonzero(below >= 0)
+        keys3, sums = _summed(_joined(below[known], join(5)[known]), join(12)[known])
+        del below, known
+        self.total3, self.kinds3 = self.totals(keys3, sums, nodes)
+        context = (keys3 >> np.uint64(32)).astype(np.int64)
         code3 = eftrie.quantise(np.where(context >= self.pairs, sums * _UNIT, sums / np.maximum(self.total3 + self.kinds3, 1)[context]))
-        pair_keys = _summed(np.concatenate([_joined(self.contexts(x), x[2]) for x in self.asked]), join(9))[0]
-        self.trie = eftrie.Trie([(size, pair_keys, code2), (nodes, keys, code3)])
+        self.trie = eftrie.Trie([(size, keys2, code2), (nodes, keys3, code3)])
         self.weight2, self.weight3 = (eftrie.quantise(np.where(t > 0, k / np.maximum(t + k, 1), 1.0)) for t, k in ((self.total2, self.kinds2), (self.total3, self.kinds3)))
 
     @staticmethod
@@ -319,13 +343,25 @@ class _Shard:
         return _pack(_small(self.counts[x[0]]), self.weight2[x[0]], self.trie.codes(0, place), weight, self.trie.codes(1, third))
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(busy):
     """Requests sorted by shard to answers (kind 0), totals of spread contexts (1) and of words (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _by(batches, "shard"):
+            blocks, payloads = [r[1] for r in rows], [r[2] for r in rows]
+            rows.clear()
+            yield from _answer_shard(number, blocks, payloads, busy.value.frequent)
+
+    return run
+
+
+def _answer_shard(number: int, blocks: list[int], payloads: list[bytes], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    for number, rows in _by(batches, "shard"):
-        shard = _Shard([r[2] for r in rows])
+    if payloads:
+        shard = _Shard(payloads, frequent)
+        payloads.clear()
         try:
-            out: list[tuple] = [(0, number, row[1], squeeze(shard.answer(x)), None, None, None) for row, x in zip(rows, shard.asked, strict=True)]
+            out: list[tuple] = [(0, number, block, squeeze(shard.answer(x)), None, None, None) for block, x in zip(blocks, shard.asked, strict=True)]
         finally:
             shard.trie.close()
         name = shard.vocabulary
@@ -401,19 +437,22 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = [(0, total), (int(_START), len(offsets) - 1)]
             for names in (h, pairs):
                 x, n = np.unique(names, return_counts=True)
-                out += zip(x[n * 20_000 > total].view(np.int64).tolist(), n[n * 20_000 > total].tolist(), strict=True)
+                often = (n * 20_000 > total) | ((n > 2) & (names is h))
+                out += zip(x[often].view(np.int64).tolist(), n[often].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["word", "n"])
 
 
 def busy_contexts(docs: DataFrame, partitions: int) -> tuple[Busy, int]:
     """Contexts with over half a shard's share in a fiftieth of the texts, four for each shard at most, and
-    the number of shards: of SHARD_TOKENS, or one for each partition if that makes more."""
+    the number of shards: of SHARD_TOKENS, or two for each partition if that makes more. Besides, the
+    ``_FREQUENT`` most frequent words, which only save room in messages."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE)) == 0).select("text")
     sums = written(some.mapInArrow(_tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "tally")
     total = sums.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(2, partitions, -(-total * _SAMPLE // SHARD_TOKENS))
+    shards = max(2, 2 * partitions, -(-total * _SAMPLE // SHARD_TOKENS))
     top = sums.where((F.col("word") != 0) & (2 * shards * F.col("n") > total)).orderBy(F.desc("n"), "word").limit(4 * shards).collect()
-    return Busy([r.word % (1 << 64) for r in top], [max(1, min(shards - 1, -(-4 * r.n * shards // total))) for r in top]), shards
+    often = sums.where("word not in (0, " + str(int(_START)) + ")").orderBy(F.desc("n"), "word").limit(_FREQUENT).collect()
+    return Busy([r.word % (1 << 64) for r in top], [max(1, min(shards - 1, -(-4 * r.n * shards // total))) for r in top], [r.word % (1 << 64) for r in often]), shards
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,7 +464,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     found, shards = busy_contexts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     busy = sc.broadcast(found)
     asked = rows.mapInArrow(_requests(busy, shards), _ROW).repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
-    answers = written(asked.mapInArrow(_answer, _ANSWER), "answers")
+    answers = written(asked.mapInArrow(_answer(busy), _ANSWER), "answers")
     del asked
     sums = answers.where("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("v")).first()
     totals = np.zeros((len(found.names), 2), np.int64)

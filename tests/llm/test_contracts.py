@@ -201,6 +201,14 @@ def test_licences(spark):
     texts = ["text\nLicensed under the apache license -- version 2.0\nmore", "Released under the MIT License", None, "", "Licensed under CC BY NC 4.0", "The quick brown fox jumps over it all"]
     got = licences.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert [sorted({m.licence for m in r.matches}) for r in got] == [["apache-2.0"], ["mit"], [], [], ["cc-by-nc-4.0"], []]
+    mit = dict(licences.TEMPLATES[4:5])["mit"]
+    bsd = next(t for n, t in licences.TEMPLATES if n == "bsd-3-clause")
+    commented = "\n".join("# " + line for line in mit.replace(". ", ".\n").split("\n"))
+    texts = ["Some prose first. Licensed under the MIT License. More prose ...", mit.split("\n\n")[1], mit.split("\n\n")[2], f"Prose before it.\n{mit.replace(chr(10), ' ')} And prose after it, of many words.",
+             commented, "x " * 300 + ".\n\n" + bsd + "\n\n" + "y " * 200, "In no event shall the author be late; the software is provided by mail and the terms apply."]
+    got = licences.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [{m.licence for m in r.matches} >= {w} for r, w in zip(got, ["mit"] * 5 + ["bsd-3-clause"], strict=False)] == [True] * 6 and not got[6].matches
+    assert max(m.dice for m in got[4].matches) > 0.95
     assert licences.scan(spark.createDataFrame([("x",)], "text string"), templates=()).first().matches == []
     for n in range(2, 60):
         a = set(range(n))
@@ -225,7 +233,7 @@ def test_language_model_spreads_frequent_contexts(spark, monkeypatch):
     monkeypatch.setattr(lm, "_SAMPLE", 1)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3, "doc_id")
     busy, shards = lm.busy_contexts(docs, 7)
-    assert len(busy.names) >= 3 and shards == 7 and len(texts[-1][1]) > lm.BLOCK_BYTES
+    assert len(busy.names) >= 3 and shards == 14 and len(texts[-1][1]) > lm.BLOCK_BYTES
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     got = {r.doc_id: r for r in lm.score(docs, held).collect()}
     for w in brute.language_model(texts):
