@@ -164,8 +164,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(keyed: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     """Edges (u, v) between groups with alike texts among those of one key."""
-    blocks = keyed.groupBy("key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks"))
-    rows = keyed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "text_hash"), F.col("blocks")).cast("int"))
+    # Only crowded keys are looked up: they are few, so that the rows need not be moved for it.
+    crowded = keyed.groupBy("key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks")).where("blocks > 1")
+    rows = keyed.join(written(crowded, "crowded"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "text_hash"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("key", "group", "text_hash", "own", other)
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"), "group", "text_hash")
