@@ -25,6 +25,7 @@ output column are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -109,17 +110,20 @@ def size_bounds(size: int, threshold: float) -> range:
     return range(math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9) + 1)
 
 
+_COMMON = frozenset("a all and any are as at be by for from general in is it may not of on or other out public that the this to under use version with without you your".split())
+
+
 def telling_words(bigrams: list[str], threshold: float) -> set[str]:
     """Words of which a set that reaches ``threshold`` with these bigrams must hold one.
 
     Such a set has at least t / 2 * (a + b) of the b bigrams, a being its least admissible
     size; so if all bigrams but fewer than that touch these words, one of its own does.
-    The longest words are taken, since they are rare.
+    Words that are common in any text are taken last, longer ones first.
     """
     b = len(bigrams)
     needed = math.ceil(threshold * (b + size_bounds(b, threshold)[0]) / 2 - 1e-9)
     left, out = list(bigrams), set()
-    for word in sorted({w for g in bigrams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for word in sorted({w for g in bigrams for w in g.split()}, key=lambda w: (w in _COMMON, -len(w), w)):
         if len(left) < needed:
             break
         out.add(word)
@@ -151,9 +155,10 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[tuple[str, st
     least = min((size_bounds(len(b), threshold)[0] for _, b in known), default=0)
     top = max((size_bounds(len(b), threshold)[-1] for _, b in known), default=0)
     lists = [[k for k, (_, b) in enumerate(known) if n in size_bounds(len(b), threshold)] for n in range(top + 1)]
-    names = F.array(*(F.lit(n) for n, _ in known))
-    grams = F.array(*(F.array(*map(F.lit, b)) for _, b in known))
-    able = F.array(*(F.array(*map(F.lit, x)) if x else F.array().cast("array<int>") for x in lists))
+    # Constants that the optimiser folds once, instead of thousands of literals in the plan.
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    names, grams = constant([n for n, _ in known], "array<string>"), constant([b for _, b in known], "array<array<string>>")
+    able = constant(lists, "array<array<int>>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = F.concat(F.split(text, "\n"), F.split(text, _PARAGRAPH), F.split(text, _SENTENCE_END), F.array(text))
     blocks = F.array_distinct(F.filter(parts, lambda x: x.rlike("[A-Za-z0-9]")))
@@ -165,17 +170,17 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[tuple[str, st
 
         found = lambda b: F.transform(F.coalesce(F.get(able, F.size(b)), F.array().cast("array<int>")), lambda k: dice(b, k))
         none = F.array().cast("array<struct<licence:string,dice:double,block:string>>")
-        return _let(_words(block), lambda w: F.when(F.size(w) < least, none).otherwise(_let(_bigrams(w), found)))
+        return _let(_words(block), lambda w: F.when((F.size(w) < least) | ~F.arrays_overlap(w, telling), none).otherwise(_let(_bigrams(w), found)))
 
     # Texts and blocks without any telling word cannot match and are not taken apart.
-    telling = "|".join(sorted(set().union(*(telling_words(b, threshold) for _, b in known))))
-    tells = lambda x: F.lower(x).rlike(telling)
+    telling = constant(sorted(set().union(*(telling_words(b, threshold) for _, b in known))), "array<string>")
+    raw = lambda x: F.split(F.lower(x), "[^a-z0-9]+")
     kind = "array<struct<licence:string,dice:double,block:string>>"
     if not known:
         hits = F.array().cast(kind)
     else:
-        hits = F.filter(F.flatten(F.transform(F.filter(blocks, tells), compared)), lambda m: m["dice"] >= threshold)
-        hits = F.when(tells(text), hits).otherwise(F.array().cast(kind))
+        hits = F.filter(F.flatten(F.transform(blocks, compared)), lambda m: m["dice"] >= threshold)
+        hits = F.when(F.arrays_overlap(raw(text), telling), hits).otherwise(F.array().cast(kind))
     return docs.withColumns({"n_blocks": F.size(blocks).cast("long"), "matches": hits.cast(kind)})
 
 
