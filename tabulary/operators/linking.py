@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,27 +58,47 @@ def circular_matches(circulars: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select("url", status.alias("status"), F.when(status.isin("imported", "have"), F.coalesce("own", "one")).alias("record_id"))
 
 
-def alert_matches(alerts: DataFrame, records: DataFrame, queries: dict[int, str]) -> DataFrame:
-    """(alert_id, record_ids): new records by topic, document type, entity or query of each active alert.
+def alert_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
+    """(alert_id, id): new records by topic, document type, entity or search text of each active alert.
 
-    ``queries`` are the search texts of alerts that have one, compiled into the scan
-    of the new records; the others are joined by value.
+    Search texts become rows of what they need; a record meets an alert where one of its words
+    starts with the alert's longest one, and only then are the alert's patterns tried. Alerts
+    and records are never paired but by a shared value or word. Texts that ``search.demands``
+    does not take apart match nothing here.
     """
     active = alerts.where("is_active")
     parts = []
     for wanted, have in (("topics", "topics"), ("doc_types", None), ("entity_ids", "entity_ids")):
-        a = active.select("alert_id", F.explode(wanted).alias("v"))
-        r = records.select(F.col("id"), F.explode(have).alias("v")) if have else records.select("id", F.col("doc_type").alias("v"))
+        a = active.select("alert_id", F.explode(F.array_distinct(wanted)).alias("v"))
+        r = records.select(F.col("id"), F.explode(F.array_distinct(have)).alias("v")) if have else records.select("id", F.col("doc_type").alias("v"))
         parts.append(a.join(r, "v").select("alert_id", "id"))
-    if queries:
-        text = S.search_text(F.col("text"))
-        tests = F.array(*(F.when(S.strict(text, q), F.lit(k)) for k, q in queries.items()))
-        hits = records.select("id", F.explode(F.array_compact(tests)).alias("alert_id"))
-        parts.append(hits.join(active.select("alert_id"), "alert_id", "left_semi").select(F.col("alert_id").cast(alerts.schema["alert_id"].dataType).alias("alert_id"), "id"))
-    found = parts[0]
+    if "query" in alerts.columns:
+        asked = active.where("trim(query) <> ''").select("alert_id", F.inline(_demands("query")))
+        texts = records.select("id", S.search_text(F.col("text")).alias("t"))
+        words = texts.select("id", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("w"))
+        starts = words.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w"))), lambda n: F.left("w", n))).alias("anchor")).distinct()
+        found = starts.join(asked.select("anchor").distinct(), "anchor", "left_semi")
+        met = asked.join(found, "anchor").join(texts, "id")
+        parts.append(met.where(_holds()).select("alert_id", "id"))
+    out = parts[0]
     for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.groupBy("alert_id").agg(F.array_sort(F.collect_set("id")).alias("record_ids"))
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _demands(query: Column | str) -> Column:
+    """What each text needs, an element for each anchor of each way to satisfy it."""
+
+    def run(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: [{"anchor": a, "wanted": list(d.wanted), "unwanted": list(d.unwanted)} for d in S.demands(q) or [] for a in d.anchors])
+
+    return F.pandas_udf(run, "array<struct<anchor:string,wanted:array<string>,unwanted:array<string>>>")(query)
+
+
+def _holds() -> Column:
+    """All wanted patterns are in ``t`` and no unwanted one."""
+    hit = lambda p: F.regexp_like(F.col("t"), p)
+    return F.forall("wanted", hit) & ~F.exists("unwanted", hit)
 
 
 def reuse_summaries(records: DataFrame) -> DataFrame:

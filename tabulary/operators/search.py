@@ -127,15 +127,48 @@ def loose_extra(df: DataFrame, text_col: str, query: str, cap: int = COUNT_CAP)
 
 
 def facets(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
-    """(dimension, value, n): counts of each dimension under the filters of all the others."""
-    out = None
-    for name in chosen:
-        rows = df
-        for other, values in chosen.items():
-            if other != name and values:
-                rows = rows.where(F.col(other).isin(*values))
-        here = rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("dimension"), "value", "n")
-        out = here if out is None else out.unionByName(here)
+    """(dimension, value, n): counts of each dimension under the filters of all the others, in one
+    pass; without dimensions an empty table."""
+    def passes(name: str) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(o).isin(*v) for o, v in chosen.items() if o != name and v), F.lit(True))
+
+    value = lambda name: F.struct(F.lit(name).alias("dimension"), F.col(name).cast("string").alias("value"), F.coalesce(passes(name), F.lit(False)).alias("ok"))
+    none = F.lit(None).cast("array<struct<dimension:string,value:string,ok:boolean>>")
+    each = df.select(F.inline(F.array(*map(value, chosen)) if chosen else none)).where("ok")
+    return each.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Demand:
+    """What one way to satisfy a query needs: a word that starts with one of ``anchors``, patterns found and others not."""
+
+    anchors: tuple[str, ...]
+    wanted: tuple[str, ...]
+    unwanted: tuple[str, ...]
+
+
+def demands(query: str | None, near: int = NEAR) -> list[Demand] | None:
+    """The ways to satisfy ``strict``, for queries of plain words, phrases and negated ones, OR-ed at most; null for
+    others: deeper ones, and ways without any wanted word."""
+    node = parse(query)
+    if node is None:
+        return None
+    out = []
+    for way in node.parts if node.kind == "or" else (node,):
+        parts = way.parts if way.kind == "and" else (way,)
+        yes, no = [p for p in parts if p.kind != "not"], [p.parts[0] for p in parts if p.kind == "not"]
+        if not yes or any(p.kind not in ("word", "phrase") for p in (*yes, *no)):
+            return None
+        known = SYNONYMS + BRIDGES
+        regex = lambda words: " " + " ".join(_variants(w, known) for w in words) + " "
+        wanted = [regex(p.words) for p in yes]
+        if node.kind == "and" and near > 0 and not no and all(p.kind == "word" for p in parts):
+            gap = f"(?: [^ ]+){{0,{near - 1}}} "
+            v = [_variants(p.words[0], known) for p in parts]
+            wanted = [f" (?:{a}{gap}{b}|{b}{gap}{a}) " for a, b in zip(v, v[1:], strict=False)]
+        word = max((w for p in yes for w in p.words), key=lambda w: (not any(t == w for t, _ in known), len(w)))
+        anchors = (word, *(a.split()[0] for t, a in known if t == word))
+        out.append(Demand(anchors, tuple(wanted), tuple(regex(p.words) for p in no)))
     return out
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulary.functions import labels as LB
 from tabulary.functions import text as T
+from tabulary.operators import linking as K
 from tabulary.operators import lists as L
 from tabulary.operators import merge as M
 from tabulary.operators import search as S
+from tabulary.sources.stored import derived
 from tabulary.sources.tables import read
 
 QUERIES: dict = {}
@@ -28,7 +31,9 @@ _DOCS = f"docs AS (SELECT *, ' ' || trim(regexp_replace({_FOLD}, '[^a-z0-9]+', '
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").withColumn("t", S.search_text(F.col("text")))
+    """Documents with their folded text, which is stored once for all searches."""
+    fold = lambda rows: rows.select("doc_id", "lang", "source", "n_chars", S.search_text(F.col("text")).alias("t"))
+    return derived(spark, "search", read(spark, d, "documents"), fold)
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, lang FROM docs WHERE contains(t, ' tion')")
@@ -258,8 +263,8 @@ def prev_next(spark, d):
 @query("SELECT (SELECT max(o_orderdate::DATE) FROM orders) AS latest, (SELECT max(o_orderdate::DATE) FROM orders WHERE o_orderdate::DATE < DATE '2000-06-01') AS before")
 def latest_day(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
-    both = o.agg(F.max("day").alias("latest"), F.max(F.when(F.col("day") < F.lit(TODAY).cast("date"), F.col("day"))).alias("before"))
-    return both
+    latest, before = L.latest_before(o, "day"), L.latest_before(o, "day", TODAY)
+    return latest.withColumnRenamed("day", "latest").join(before.withColumnRenamed("day", "before"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
@@ -353,10 +358,9 @@ def site_status(spark, d):
     return o.agg(today.alias("today"), F.count("*").alias("total"), F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest"))
 
 
-@query("SELECT upper(left(n_name, 1)) AS letter, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@query("SELECT CASE WHEN regexp_matches(n_name, '^[A-Za-z]') THEN upper(translate(left(n_name, 1), 'iı', 'İI')) ELSE '#' END AS letter, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 def letter_groups(spark, d):
-    n = read(spark, d, "nation")
-    return n.groupBy(F.upper(F.left("n_name", F.lit(1))).alias("letter")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    return LB.letter_groups(read(spark, d, "nation"), "n_name", ["n_name"]).select("letter", F.array_join("titles", ",").alias("names"))
 
 
 @query("SELECT url, sum(length(html))::BIGINT AS clicks FROM pages GROUP BY url HAVING sum(length(html)) > 0 ORDER BY clicks DESC, url LIMIT 12")
@@ -382,10 +386,20 @@ def inherit_labels(spark, d):
     return M.inherit_labels(docs, labels, docs.select("doc_id", (F.col("doc_id") + 1).alias("cited_id")), "doc_id", "label")
 
 
-@query("""WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 = 0), e AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderdate::DATE >= DATE '2001-01-01')
-SELECT a.c_custkey, count(DISTINCT e.o_orderkey) AS hits FROM a JOIN e ON e.o_custkey = a.c_custkey OR e.o_custkey = a.c_custkey + 1 GROUP BY 1""")
+@query("""WITH a AS (SELECT c_custkey AS alert_id, (['ihale', 'marka', 'atama'])[c_nationkey % 3 + 1] AS topic, CASE c_nationkey % 4 WHEN 0 THEN 'F' END AS doc_type, c_custkey + 1 AS entity, CASE c_custkey % 5 WHEN 0 THEN 'urgent order' WHEN 1 THEN 'low tender -late' END AS query FROM customer WHERE c_acctbal > 0),
+e AS (SELECT o_orderkey AS id, (['ihale', 'marka', 'sirket'])[o_custkey % 3 + 1] AS topic, o_orderstatus AS doc_type, o_custkey AS entity, ' ' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')) || ' order tender ' || CASE WHEN o_orderkey % 3 = 0 THEN 'late ' ELSE '' END AS t FROM orders WHERE o_orderdate::DATE >= DATE '2001-07-01'),
+m AS (SELECT alert_id, id FROM a JOIN e ON a.topic = e.topic AND o_topic(a.alert_id) UNION SELECT alert_id, id FROM a JOIN e USING (doc_type) UNION SELECT alert_id, id FROM a JOIN e USING (entity)
+UNION SELECT alert_id, id FROM a JOIN e ON (query = 'urgent order' AND regexp_matches(t, ' (urgent[^ ]*( [^ ]+){0,2} order[^ ]*|order[^ ]*( [^ ]+){0,2} urgent[^ ]*) ')) OR (query = 'low tender -late' AND contains(t, ' low') AND contains(t, ' tender') AND NOT contains(t, ' late')))
+SELECT alert_id, id FROM m""".replace(" AND o_topic(a.alert_id)", ""))
 def alert_match(spark, d):
-    a = read(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey")
-    e = read(spark, d, "orders").where("o_orderdate >= '2001-01-01'").select("o_orderkey", "o_custkey")
-    keys = a.select("c_custkey", F.explode(F.array("c_custkey", F.col("c_custkey") + 1)).alias("o_custkey"))
-    return keys.join(e, "o_custkey").groupBy("c_custkey").agg(F.countDistinct("o_orderkey").alias("hits"))
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    key = F.col("c_custkey")
+    alerts = read(spark, d, "customer").select(
+        key.alias("alert_id"), (F.col("c_acctbal") > 0).alias("is_active"), F.array(pick(("ihale", "marka", "atama"), F.col("c_nationkey") % 3)).alias("topics"),
+        F.array_compact(F.array(F.when(F.col("c_nationkey") % 4 == 0, "F"))).alias("doc_types"), F.array(key + 1).alias("entity_ids"),
+        F.when(key % 5 == 0, "urgent order").when(key % 5 == 1, "low tender -late").alias("query"))
+    order = F.col("o_orderkey")
+    text = F.concat("o_orderpriority", F.lit(" order tender "), F.when(order % 3 == 0, "late").otherwise(""))
+    records = read(spark, d, "orders").where("o_orderdate >= '2001-07-01'").select(
+        order.alias("id"), F.array(pick(("ihale", "marka", "sirket"), F.col("o_custkey") % 3)).alias("topics"), F.col("o_orderstatus").alias("doc_type"), F.array("o_custkey").alias("entity_ids"), text.alias("text"))
+    return K.alert_matches(alerts, records)

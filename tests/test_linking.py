@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabulary.functions import params
 from tabulary.operators import linking as L
+from tabulary.operators import search as S
 
 day = datetime.date
 
@@ -31,10 +32,30 @@ def test_circulars(spark):
 
 
 def test_alerts(spark):
-    alerts = spark.createDataFrame([(1, ["ihale"], [], [], True), (2, [], ["yasa"], [5], True), (3, [], [], [], True), (4, ["ihale"], [], [], False)], "alert_id int, topics array<string>, doc_types array<string>, entity_ids array<long>, is_active boolean")
-    records = spark.createDataFrame([(1, ["ihale", "marka"], "x", [5], "su deposu"), (2, [], "yasa", [], "yol"), (3, [], "x", [], "depo")], "id int, topics array<string>, doc_type string, entity_ids array<long>, text string")
-    got = {r.alert_id: r.record_ids for r in L.alert_matches(alerts, records, {3: "depo", 4: "yol"}).collect()}
-    assert got == {1: [1], 2: [1, 2], 3: [1, 3]}
+    rows = [(1, ["ihale"], [], [], True, None), (2, [], ["yasa"], [5], True, " "), (3, [], [], [], True, "depo"), (4, ["ihale"], [], [], False, "yol"), (5, [], [], [], True, 'tüzük OR "su dep"'), (6, [], [], [], True, "su -yol"), (7, [], [], [], True, "su depo"), (8, [], [], [], True, "-su")]
+    alerts = spark.createDataFrame(rows, "alert_id int, topics array<string>, doc_types array<string>, entity_ids array<long>, is_active boolean, query string")
+    records = spark.createDataFrame([(1, ["ihale", "marka"], "x", [5], "su deposu"), (2, [], "yasa", [], "yol"), (3, [], "x", [], "depo"), (4, [], "x", [], "su bir iki üç dört depo yolu"), (5, [], "x", [], "Yönetmelik"), (6, [], "x", [], None)], "id int, topics array<string>, doc_type string, entity_ids array<long>, text string")
+    got = sorted((r.alert_id, r.id) for r in L.alert_matches(alerts, records).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (3, 4), (5, 1), (5, 5), (6, 1), (7, 1)]
+    assert L.alert_matches(alerts.drop("query"), records).count() == 3
+
+
+def test_demands_say_what_strict_says(spark):
+    texts = ["su deposu", "su a b c d depo", "depo su", "yonetmelik", "kocan su", "tapu", "", "sular depo", "imar", "planlama onayi su"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(S.search_text(F.col("text")).alias("t"))
+    for query in ("su depo", '"su depo"', "tüzük OR koçan", "su -depo", "imar su", "su OR depo -tapu"):
+        ways = S.demands(query)
+        hit = lambda p: F.col("t").rlike(p)
+        test = F.lit(False)
+        for w in ways:
+            one = F.lit(True)
+            for p in w.wanted:
+                one = one & hit(p)
+            for p in w.unwanted:
+                one = one & ~hit(p)
+            test = test | (one & hit("|".join(f" {a}" for a in w.anchors)))
+        assert [r[0] for r in rows.select(test).collect()] == [r[0] for r in rows.select(S.strict(F.col("t"), query)).collect()], query
+    assert S.demands("-su") is None and S.demands("") is None
 
 
 def test_reused_summaries(spark):
