@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.functions.gazette import find_references
+from tabulary.functions.labels import parse_circular
 from tabulary.functions.text import normalize
 from tabulary.operators import search as S
 from tabulary.operators.lists import earlier_match, first_per
@@ -50,9 +51,18 @@ def cited_records(records: DataFrame) -> DataFrame:
 
 def circular_matches(circulars: DataFrame, records: DataFrame) -> DataFrame:
     """(url, status, record_id): ``imported`` where a record came from the circular's page, else ``have`` where one
-    record has its reference, ``ambiguous`` where several do, else ``missing``."""
+    record has its reference or names it at its head (column ``head``, if there is one), ``ambiguous`` where several
+    do, else ``missing``.
+
+    Names in heads are taken out once and joined like references, not tried one circular after another.
+    """
     by_url = records.where("source_url is not null").groupBy(F.col("source_url").alias("url")).agg(F.min("id").alias("own"))
-    by_ref = records.where("ref_type is not null").groupBy("ref_type", "ref_number").agg(F.min("id").alias("one"), F.count("*").alias("n"))
+    known = records.where("ref_type is not null").select("ref_type", "ref_number", "id")
+    if "head" in records.columns:
+        names = F.regexp_extract_all("head", F.lit(r"(?i)(?<![A-Za-zÇĞİÖŞÜçğıöşü])((?:M[İIi]A|MT|[ÖO]|YD|Y)\.?\s*\d+[A-Z]?\s*/\s*\d{4})(?!\d)"), 1)
+        named = records.select("id", F.explode(names).alias("n")).select("id", parse_circular(F.col("n")).alias("c"))
+        known = known.unionByName(named.select("c.ref_type", "c.ref_number", "id").where("ref_type is not null")).distinct()
+    by_ref = known.groupBy("ref_type", "ref_number").agg(F.min("id").alias("one"), F.count("*").alias("n"))
     joined = circulars.join(by_url, "url", "left").join(by_ref, ["ref_type", "ref_number"], "left")
     status = F.when(F.col("own").isNotNull(), "imported").when(F.col("n") == 1, "have").when(F.col("n") > 1, "ambiguous").otherwise("missing")
     return joined.select("url", status.alias("status"), F.when(status.isin("imported", "have"), F.coalesce("own", "one")).alias("record_id"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulary.plans import archive, enrichment, labels, pages, records
+from tabulary.plans import archive, enrichment, labels, pages, records, titles
 
-_PARTS = (archive, enrichment, labels, pages, records)
+_PARTS = (archive, enrichment, labels, pages, records, titles)
 
 
 def queries() -> dict:
