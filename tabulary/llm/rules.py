@@ -9,15 +9,19 @@ determinant gives centre and scatter. A document is rejected if its squared
 Mahalanobis distance passes the 0.9999 quantile of chi-squared.
 
 All of it is DataFrame work. A step sums moments per (group, start, distance
-bin): bins are few, so a hot group is folded on the map side, and the subset of
-the nearest three quarters is the lowest bins that hold them. Shares are mostly
-zero, so each variance gets a fixed floor, which also keeps the matrices of
-small or constant groups invertible.
+bin): bins are few, so a hot group is folded on the map side. The subset is the lowest
+bins that hold three quarters; the last of them counts by the share of it that is needed, so
+that every subset has the same size, however many rows tie, and determinants can be
+compared. Shares are mostly zero, so each variance gets a fixed floor (a regularised
+determinant), which also keeps the matrices of small or constant groups invertible. With
+these floors no single share can reject a document that passes the base rules by a
+repeated-word share alone; several together can.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
 null lang and source form groups of their own; documents that fail the base
-rules are not part of any estimate; repeated rows count once each; an empty
-table gives an empty result.
+rules are not part of any estimate; very long texts are counted whole; ties in distance
+share a bin; repeated rows count once each; an empty table gives an empty result. Columns
+that are not kept are not read; kept ones may not be called like a result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ SUBSET = 0.75
 STEPS = 4
 #: chi-squared with 4 degrees of freedom: quantiles 0.75 and 0.9999.
 CHI2_SUBSET, CHI2_CUT = 5.385, 23.513
-_BINS = 16
+_BINS = 32
 
 
 def _let(value: Column, body) -> Column:
@@ -100,7 +104,7 @@ def _moments() -> list[Column]:
 
 def _resum() -> list[Column]:
     names = [f"s{i}" for i in range(4)] + [f"s{i}{j}" for i in range(4) for j in range(i + 1)]
-    return [F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)]
+    return [F.sum(F.col("n") * F.col("part")).alias("n"), *(F.sum(F.col(c) * F.col("part")).alias(c) for c in names)]
 
 
 def _estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +162,7 @@ def robust_estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> Da
         sums = placed.groupBy(*keys, "start", "bin").agg(*_moments())
         w = Window.partitionBy(*keys, "start")
         ranked = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
-        core = ranked.where(F.col("before") < SUBSET * F.col("all"))
+        core = ranked.where(F.col("before") < SUBSET * F.col("all")).withColumn("part", F.least(F.lit(1.0), (SUBSET * F.col("all") - F.col("before")) / F.col("n")))
         now = _estimate(core.groupBy(*keys, "start").agg(*_resum()), [*keys, "start"])
     fields = [c for c in now.columns if c not in keys and c != "log_det"]
     best = written(now.groupBy(*keys).agg(F.min(F.struct("log_det", *fields)).alias("b")).select(*keys, "b.*"), "best")

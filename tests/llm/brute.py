@@ -144,3 +144,32 @@ def counts(text):
     repeat = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
     lines = [x for x in text.split("\n") if SPACED.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat)
+
+
+def robust_distances(x, floor, bins, steps=4, share=0.75, median=5.385):
+    """Squared, scaled distances of a group's vectors from its minimum covariance determinant estimate."""
+    x, floor = np.array(x, float), np.diag(floor)
+
+    def spread(centre, scatter):
+        d = x - centre
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d)
+
+    def binned(d2):
+        return np.floor(np.log(d2 + 1e-6) * bins)
+
+    starts = []
+    for centre, scatter in ((np.array([np.sort(np.floor(c * 100 + 0.5))[(len(c) + 1) // 2 - 1] / 100 for c in x.T]), floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
+        for _ in range(steps):
+            b, weight, before = binned(spread(centre, scatter)), np.zeros(len(x)), 0
+            for k in np.unique(b):
+                n = (b == k).sum()
+                weight[b == k] = min(1.0, max(0.0, (share * len(x) - before) / n))
+                before += n
+            weight /= weight.sum()
+            centre = weight @ x
+            scatter = (x - centre).T @ ((x - centre) * weight[:, None]) + floor
+        starts.append((np.log(np.linalg.det(scatter)), len(starts), centre, scatter))
+    _, _, centre, scatter = min(starts)
+    d2 = spread(centre, scatter)
+    edge = np.sort(binned(d2))[int(np.ceil(share * len(x))) - 1]
+    return d2 / max(1.0, np.exp((edge + 1) / bins) / median)

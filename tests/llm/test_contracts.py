@@ -153,6 +153,36 @@ def test_rule_counts(spark, folder, pairs):
     assert kept and not any(r.base_failed for r in kept)
 
 
+def test_rules_judge_like_a_plain_determinant(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(700):
+        group = i % 3
+        words = [f"w{rng.randint(0, 10 ** rng.randint(1, 6))}" for _ in range(rng.randint(55, 160))]
+        if rng.random() < 0.15:
+            words = [w + rng.choice(("#", "$$$", "%%%%%%%%", "")) for w in words]
+        text = " ".join(words) if group else "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+        if rng.random() < 0.1:
+            text += "\n" + "\n".join([" ".join(words[:9])] * rng.randint(1, 6))
+        rows.append((i, text, ("en", None, "de")[group], "s" if group else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    groups = {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, repeat = brute.counts(text)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert got[i].base_failed == failed
+        lines = sum(bool(x.split()) for x in text.split("\n"))
+        if not failed:
+            groups.setdefault((lang, source), []).append((i, [chars / n, min(symbols / chars, 1) ** 0.5, min(dup / lines, 1) ** 0.5, min(repeat / n, 1) ** 0.5]))
+    apart = 0
+    for members in groups.values():
+        for (i, _), d in zip(members, brute.robust_distances([x for _, x in members], rules.FLOOR, rules._BINS), strict=True):
+            assert abs(got[i].distance - d) < 1e-6 * max(1, d) and got[i].kept == (d <= rules.CHI2_CUT)
+            apart += d > rules.CHI2_CUT
+    assert len(groups) == 3 and 10 < apart < 300
+
+
 def test_rules_reject_what_lies_apart(spark):
     rng = random.Random(4)
     clean = [(i, " ".join(f"word{rng.randint(0, 4000)}" for _ in range(rng.randint(60, 200)))) for i in range(300)]
