@@ -206,14 +206,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], busy: Busy, shards: int) -> Itera
 
 
 def _requests(busy, shards: int):
-    """Rows (id, text, held) to what each block asks of each shard."""
+    """Rows (id, text, held) to what each block asks of each shard, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for name, b, _, marks in _blocks(batches, busy.value, shards):
             learn = np.repeat(marks & 1 == 0, b.length)
             counts = [np.bincount(b.tokens[learn], minlength=len(b.names)), np.bincount(b.pair[learn], minlength=len(b.word)),
                       np.bincount(b.triple[learn & (b.triple >= 0)], minlength=len(b.third))]
-            rows = [(s, m) for s in range(shards) if (m := b.message(s, counts)) is not None]
+            rows = [(s, squeeze(m)) for s in range(shards) if (m := b.message(s, counts)) is not None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array([m for _, m in rows], pa.binary())],
                 names=["shard", "block", "payload"])
@@ -280,7 +281,8 @@ class _Shard:
     """The messages of one shard with words numbered alike, the counts of its n-grams, and its trie."""
 
     def __init__(self, payloads: list[bytes], frequent: np.ndarray):
-        asked = [_unpack(p) for p in payloads]
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        asked = [_unpack(unsqueeze(p)) for p in payloads]
         names = [np.concatenate([frequent[x[0]], _from_planes(x[1])]) for x in asked]
         self.vocabulary, inverse = np.unique(np.concatenate(names), return_inverse=True)
         inverse = inverse.astype(np.int32)
@@ -437,7 +439,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = [(0, total), (int(_START), len(offsets) - 1)]
             for names in (h, pairs):
                 x, n = np.unique(names, return_counts=True)
-                often = (n * 20_000 > total) | ((n > 2) & (names is h))
+                often = (n * 20_000 > total) | ((n > 1) & (names is h))
                 out += zip(x[often].view(np.int64).tolist(), n[often].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["word", "n"])
 
