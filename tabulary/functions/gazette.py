@@ -10,6 +10,7 @@ another from left to right.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from datetime import date as Date
 
 import pandas as pd
@@ -187,30 +188,41 @@ def _without_header(text: str) -> str:
             return text
 
 
-def slice_body(text: str | None, label: str | None, others: list[str]) -> tuple[str | None, int | None]:
-    """From the label to the nearest later label of another record; null up to 40 characters."""
-    hit = _elastic(label).search(text) if text and label else None
-    if not hit:
-        return None, None
-    start, after = hit.start(), hit.start() + len(label)
-    ends = [m.start() for m in (_elastic(o).search(text, after) for o in others) if m]
-    body = _without_header(text[start : min(ends, default=len(text))].strip())
-    return (body if len(body) > 40 else None), text.count("\f", 0, start) + 1
+def slice_bodies(text: str | None, labels: list[str]) -> list[tuple[str, str | None, int | None]]:
+    """(label, body, page) of each label: from its first place to the nearest later place of another
+    label; bodies of up to 40 characters are null. Each label is looked for once."""
+    if not text:
+        return [(x, None, None) for x in labels]
+    places = {x: [m.start() for m in _elastic(x).finditer(text)] for x in labels}
+    every = sorted((at, x) for x, found in places.items() for at in found)
+    out: list[tuple[str, str | None, int | None]] = []
+    for x, found in places.items():
+        if not found:
+            out.append((x, None, None))
+            continue
+        k = bisect_left(every, (found[0] + len(x), ""))
+        while k < len(every) and every[k][1] == x:
+            k += 1
+        body = _without_header(text[found[0] : every[k][0] if k < len(every) else len(text)].strip())
+        out.append((x, body if len(body) > 40 else None, text.count("\f", 0, found[0]) + 1))
+    return out
 
 
 def extract_bodies(records: DataFrame, issues: DataFrame, key: str, text: str) -> DataFrame:
-    """``records`` (key, ordinal, ref_type, ref_number, ...) with body and page_from, cut out of their issue's text."""
+    """``records`` (key, ordinal, ref_type, ref_number, ...) with body and page_from, cut out of their issue's text.
+
+    A text is moved and cut once for its issue; records then meet their bodies by label.
+    """
     anchored = records.withColumn("anchor", body_anchor(F.col("ref_type"), F.col("ref_number")))
-    labels = anchored.groupBy(key).agg(F.collect_set("anchor").alias("labels"))
-    joined = anchored.join(issues.select(key, F.col(text).alias("__text")).join(labels, key), key)
+    labels = anchored.where("anchor is not null").groupBy(key).agg(F.array_sort(F.collect_set("anchor")).alias("labels"))
+    fields = "array<struct<anchor:string,body:string,page_from:int>>"
 
-    @F.pandas_udf(T.StructType().add("body", "string").add("page_from", "integer"))
-    def cut(text: pd.Series, anchor: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        rows = [slice_body(t, a, [x for x in ls if x != a]) for t, a, ls in zip(text, anchor, labels, strict=True)]
-        return pd.DataFrame({"body": [r[0] for r in rows], "page_from": pd.array([r[1] for r in rows], "Int32")})
+    def cut(texts: pd.Series, labels: pd.Series) -> pd.Series:
+        rows = (slice_bodies(t, list(x)) for t, x in zip(texts, labels, strict=True))
+        return pd.Series([[{"anchor": a, "body": b, "page_from": p} for a, b, p in r] for r in rows])
 
-    found = joined.withColumn("__cut", cut("__text", "anchor", "labels"))
-    return found.select(*records.columns, "anchor", F.col("__cut.body").alias("body"), F.col("__cut.page_from").alias("page_from"))
+    bodies = issues.select(key, F.col(text).alias("__text")).join(labels, key).select(key, F.inline(F.pandas_udf(cut, fields)("__text", "labels")))
+    return anchored.join(bodies, [key, "anchor"], "left").select(*records.columns, "anchor", "body", "page_from")
 
 
 def review_flags(kind: Column, body: Column, anchor: Column) -> Column:

@@ -20,7 +20,7 @@ _FORM = "EMİRNAMESİ|TÜZÜĞÜ|TEBLİĞİ"
 #: Title patterns with the level of each part (0 boilerplate, 1 distinctive, 2 between).
 MASKS = (
     (r"^(\d{4}\s+ZORLA MAL İKTİSABI YASASI)(\s*[-/]\s*)(.+)$", (0, 0, 1)),
-    (r"^(.*?İSİM DEĞİŞTİRME MÜRACAATI\s*/\s*)(.+?)(\s+İ[Nn]\s+)(.+?)(\s+OLARAK İSMİNİN DEĞİŞMESİ.*)$", (0, 1, 0, 1, 0)),
+    (r"^(.*?İSİM DEĞİŞTİRME MÜRACAATI\s*/\s*)(.+?)(\s+İ[NnȘ]\s+)(.+?)(\s+OLARAK İSMİNİN DEĞİŞMESİ.*)$", (0, 1, 0, 1, 0)),
     (r"^(.*?(?:TASFİYE İŞLEMLERİNE BAŞLANMASI|SİCİLDEN KAYIT SİLİNMESİ)\s*/\s*)(.+)$", (0, 1)),
     (r"^(SÖZLEŞMELİ PERSONEL\s*/\s*)(.+)$", (0, 1)),
     (r"^(ÖDENEK AKTARMA\s*/\s*)(.+?)(\s+\d{4} MALİ YILI BÜTÇESİ)?$", (0, 1, 2)),

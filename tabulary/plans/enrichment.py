@@ -155,5 +155,5 @@ def deadlines(spark, d):
 
 @query(None)
 def entity_mentions(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"), "text")
+    docs = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "text")
     return docs.select("doc_id", F.explode(G.entities(F.col("title"), F.col("text"))).alias("e")).select("doc_id", "e.*")

@@ -126,9 +126,8 @@ def law_blocks(spark, d):
 
 @query(None)
 def masked_titles(spark, d):
-    """Every document's first line, split into levels, with the matches of a query on top."""
-    title = F.substring_index("text", "\n", 1)
-    return read(spark, d, "documents").select("doc_id", S.overlay_matches(Y.mask_title(title), "the der").alias("tokens"))
+    """Every document's text as a title, split into levels, with the matches of a query on top."""
+    return read(spark, d, "documents").select("doc_id", S.overlay_matches(Y.mask_title(F.col("text")), "the der").alias("tokens"))
 
 
 @query(None)
@@ -139,6 +138,7 @@ def snippets(spark, d):
 
 @query(None)
 def summary_checks(spark, d):
-    """The first 120 letters of every document, checked as a summary of its first line."""
-    docs = read(spark, d, "documents")
-    return docs.withColumn("c", Y.check_summary(F.substring_index("text", "\n", 1), F.left("text", F.lit(120)))).select("doc_id", "c.*")
+    """Every conversation's second turn, checked as a summary of its first."""
+    c = read(spark, d, "conversations")
+    pairs = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("summary"))
+    return pairs.withColumn("c", Y.check_summary(F.col("title"), F.col("summary"))).select("conv_id", "c.*")
