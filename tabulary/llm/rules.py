@@ -143,10 +143,7 @@ def _near(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Start from coordinate medians (by bins of a hundredth), with the floors as scatter."""
     long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(x) * 100).alias("b")) for i, x in enumerate(VECTOR)))))
-    counts = long.groupBy(*keys, "i", "b").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys, "i")
-    upto = counts.select("*", F.sum("n").over(w.orderBy("b")).alias("upto"), F.sum("n").over(w).alias("all"))
-    at = upto.where("2 * upto >= all").groupBy(*keys, "i").agg((F.min("b") / 100).alias("m"))
+    at = long.groupBy(*keys, "i").agg((F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)") / 100).alias("m"))
     wide = at.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(4)))
     chol = [F.lit(FLOOR[i] ** 0.5 if i == j else 0.0).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
     return wide.select(*keys, *(f"m{i}" for i in range(4)), *chol, F.lit(0.0).alias("log_det"))
