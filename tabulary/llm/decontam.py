@@ -217,6 +217,17 @@ def phrases(index: Index, benchmark: DataFrame, *, item_col: str = "item_id", it
     return hits.drop("ids").join(named, _KEY, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
+def _close(anchors: np.ndarray, places: list[np.ndarray], reach: int) -> np.ndarray:
+    """The anchors that have a place of each list less than ``reach`` away."""
+    for p in places:
+        if not len(p) or not len(anchors):
+            return anchors[:0]
+        k = np.searchsorted(p, anchors)
+        after, before = p[np.minimum(k, len(p) - 1)] - anchors, anchors - p[np.maximum(k - 1, 0)]
+        anchors = anchors[((k < len(p)) & (after < reach)) | ((k > 0) & (before < reach))]
+    return anchors
+
+
 def _near_in_block(reach_over: int):
     """Rows (block, ord, id, begin, end) of the least stretches around each place of the rarest term."""
 
@@ -225,15 +236,10 @@ def _near_in_block(reach_over: int):
         for item, terms, anchors in zip(found.column("id").to_pylist(), found.column("terms").to_pylist(), found.column("starts").to_pylist(), strict=True):
             reach = len(terms) + reach_over
             places = [have.get(t["term"], np.zeros(0, np.int64)) for t in terms[1:]]
-            for c in anchors:
-                near = []
-                for p in places:
-                    near.append(p[np.searchsorted(p, c - reach, side="right") : np.searchsorted(p, c + reach)])
-                    if not len(near[-1]):
-                        break
-                else:
-                    if best := _least_stretch(c, near, reach):
-                        seen.add((c >> _SHIFT, item, best[0] & ((1 << _SHIFT) - 1), best[1] & ((1 << _SHIFT) - 1)))
+            for c in _close(np.array(anchors, np.int64), places, reach).tolist():
+                near = [p[np.searchsorted(p, c - reach, side="right") : np.searchsorted(p, c + reach)] for p in places]
+                if best := _least_stretch(c, near, reach):
+                    seen.add((c >> _SHIFT, item, best[0] & ((1 << _SHIFT) - 1), best[1] & ((1 << _SHIFT) - 1)))
         rows = sorted(seen)
         block = found.column("block")[0].as_py() if found.num_rows else 0
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
