@@ -1,17 +1,20 @@
 """Tables that are derived from others once and then read, such as folded search texts.
 
-They lie below ``spark.checkpoint.dir``, or the warehouse where that is unset, in a
-folder of the application, and are named after the files they were made of: a table
+They lie below ``spark.checkpoint.dir``, or where that is unset the warehouse (a local
+master: a temporary folder), in a folder of the application, and are named after the files they were made of: a table
 whose files have changed gets a new derived one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL = "file:///tmp/tabulary-checkpoints"
+
 
 def _files(rows: DataFrame) -> str:
     """A name for the state of a table's files, from their paths, sizes and times."""
@@ -23,7 +26,8 @@ def _files(rows: DataFrame) -> str:
 
 def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``make(rows)``, written on first use and read from then on."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or (_LOCAL if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) else spark.conf.get("spark.sql.warehouse.dir"))
     path = f"{folder.rstrip('/')}/tabulary-derived-{spark.sparkContext.applicationId}/{name}-{_files(rows)}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
