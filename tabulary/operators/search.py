@@ -252,6 +252,11 @@ def cover_density(text: Column, query: str | None, weight: float = 0.1) -> Colum
     return F.lit(None).cast("double") if node is None else _density(F.split(F.trim(text), " "), node, weight)
 
 
+def rank(text: Column, query: str | None, date: Column, today: Column) -> Column:
+    """Cover density, to six digits, times the boost of recent records."""
+    return F.round(cover_density(text, query), 6) * recency_boost(date, today)
+
+
 def _density(parts: Column, node: Node, weight: float) -> Column:
     if node.kind == "or":
         return F.greatest(*(_density(parts, p, weight) for p in node.parts))

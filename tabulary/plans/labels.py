@@ -33,6 +33,13 @@ def search_rank(spark, d):
     return docs.where(S.loose(F.col("t"), "the is")).select("doc_id", F.round(S.cover_density(F.col("t"), "the is"), 6).alias("density"))
 
 
+@query(f"WITH ranked AS ({SQL['search_rank']}) SELECT r.doc_id, round(density * CASE WHEN doc_id % 900 < 90 THEN 1.5 WHEN doc_id % 900 < 365 THEN 1.2 ELSE 1.0 END::DOUBLE, 6) AS rank FROM ranked r")
+def search_rank_boosted(spark, d):
+    day = F.date_sub(F.lit("2000-06-01").cast("date"), (F.col("doc_id") % 900).cast("int"))
+    docs = _docs(spark, d).where(S.loose(F.col("t"), "the is"))
+    return docs.select("doc_id", F.round(S.rank(F.col("t"), "the is", day, F.lit("2000-06-01").cast("date")), 6).alias("rank"))
+
+
 @query("""SELECT o_orderpriority AS topic, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate))::VARCHAR ELSE min(year(o_orderdate)) || '–' || max(year(o_orderdate)) END AS years,
 replace(format('{:,}', count(*)), ',', '.') AS records FROM orders GROUP BY o_orderpriority""")
 def coverage_labels(spark, d):
