@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabulary.llm import chat, decontam, licences, lm, pieces, pii, quality, rules, simhash, substrings, whitening
+from tabulary.llm import chat, decontam, licences, lm, packing, pieces, pii, quality, rules, simhash, substrings, whitening
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_packing": packing.op11_packing,
     "op13_whitening": whitening.op13_whitening,
 }
 SQL: dict[str, str] = {
