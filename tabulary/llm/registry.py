@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabulary.llm import chat, decontam, licences, lm, packing, pieces, pii, quality, rules, simhash, substrings, whitening
+from tabulary.llm import chat, decontam, licences, lm, packing, pieces, pii, quality, ranking, rules, simhash, substrings, whitening
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -17,11 +17,13 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_packing": packing.op11_packing,
+    "op12_ranking": ranking.op12_ranking,
     "op13_whitening": whitening.op13_whitening,
 }
 SQL: dict[str, str] = {
     "op5_chat": chat.OP5_SQL,
     "op6_licences": licences.oracle_sql(),
+    "op12_ranking": ranking.OP12_SQL,
 }
 
 
