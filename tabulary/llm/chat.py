@@ -1,10 +1,15 @@
 r"""Chat formatting: schema fingerprints choose how a raw record becomes turns.
 
-A record is JSON. Its fingerprint is the hash of its nested field paths, sorted,
-values and array lengths left out. ``LAYOUTS`` lists known layouts as examples
-with declarative paths to role and text; the fingerprint of each example selects
-its mapping. Unknown fingerprints give a null ``turns``, and ``layout`` is null,
-so new layouts can be counted and mapped; no record is dropped.
+A record is a JSON text, or a struct with some of the fields of ``RECORD``. Its layout is
+found by a fingerprint: the hash of those of its nested field paths that any mapping
+reads, values and array lengths left out. ``LAYOUTS`` declares for each layout where its
+turns are; the hash of the paths that it reads selects its mapping, so other keys (ids, names,
+sources) never stand in the way. ``fingerprint`` itself hashes all paths; records of no layout have
+a null ``layout`` and null ``turns`` and can be counted by it; no record is dropped.
+A path is there if it has a value or, at the top of a JSON text, a key.
+
+JSON texts are read without the parser's usual limit on strings. Beyond 128 MiB
+``fingerprint`` is null (no variant holds such a record); layout and turns do not need it.
 
 The template writes a turn as ``<|im_start|>role\ntext<|im_end|>\n``. Control
 strings inside roles and texts (those of this template and of other common
@@ -24,10 +29,9 @@ output column are replaced.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of this and other templates: first character, then the rest.
@@ -35,18 +39,21 @@ _CONTROL = [("<", r"\|im_start\|>"), ("<", r"\|im_end\|>"), ("<", r"\|endoftext\
 _ESCAPE = "(?:" + "|".join(f"(?<={a})(?={chr(92) * 2}*{b})" for a, b in _CONTROL) + ")"
 _UNESCAPE = "(?:" + "|".join(rf"(?<={a}){chr(92) * 2}(?={chr(92) * 2}*{b})" for a, b in _CONTROL) + ")"
 
-#: name, example record, and where its turns are: ("each", array, role, text) or
-#: ("fixed", [(role, paths of texts that are joined by a blank line), ...]).
+#: Where the turns of a layout are, in parts: ("each", array, role, text), or
+#: ("one", role, fields whose texts are joined by a blank line).
 LAYOUTS = [
-    ("messages", {"messages": [{"role": "user", "content": "x"}]}, ("each", "messages", "role", "content")),
-    ("conversations", {"conversations": [{"from": "human", "value": "x"}]}, ("each", "conversations", "from", "value")),
-    ("turns", {"conv_id": 1, "turns": [{"turn": 0, "role": "user", "text": "x"}]}, ("each", "turns", "role", "text")),
-    ("dialog", {"dialog": {"turns": [{"speaker": "user", "utterance": "x"}]}}, ("each", "dialog.turns", "speaker", "utterance")),
-    ("instruction", {"instruction": "x", "input": "x", "output": "x"}, ("fixed", [("user", ["instruction", "input"]), ("assistant", ["output"])])),
-    ("instruction_only", {"instruction": "x", "output": "x"}, ("fixed", [("user", ["instruction"]), ("assistant", ["output"])])),
-    ("prompt", {"prompt": "x", "completion": "x"}, ("fixed", [("user", ["prompt"]), ("assistant", ["completion"])])),
-    ("system_prompt", {"system": "x", "prompt": "x", "response": "x"}, ("fixed", [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])])),
-    ("question", {"question": "x", "answer": "x"}, ("fixed", [("user", ["question"]), ("assistant", ["answer"])])),
+    ("messages", [("each", "messages", "role", "content")]),
+    ("system_messages", [("one", "system", ["system"]), ("each", "messages", "role", "content")]),
+    ("conversations", [("each", "conversations", "from", "value")]),
+    ("turns", [("each", "turns", "role", "text")]),
+    ("dialog", [("each", "dialog.turns", "speaker", "utterance")]),
+    ("instruction", [("one", "user", ["instruction", "input"]), ("one", "assistant", ["output"])]),
+    ("instruction_only", [("one", "user", ["instruction"]), ("one", "assistant", ["output"])]),
+    ("instruction_response", [("one", "user", ["instruction"]), ("one", "assistant", ["response"])]),
+    ("prompt", [("one", "user", ["prompt"]), ("one", "assistant", ["completion"])]),
+    ("prompt_response", [("one", "user", ["prompt"]), ("one", "assistant", ["response"])]),
+    ("system_prompt", [("one", "system", ["system"]), ("one", "user", ["prompt"]), ("one", "assistant", ["response"])]),
+    ("question", [("one", "user", ["question"]), ("one", "assistant", ["answer"])]),
 ]
 #: Roles that layouts call otherwise.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
@@ -58,27 +65,74 @@ def _paths(schema: Column) -> Column:
     return F.regexp_replace(schema, leaf, "*")
 
 
+#: No bound on one string; Spark's own default is 20,000,000 characters.
+_JSON = {"maxStringLen": str((1 << 31) - 1)}
+
+
 def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a JSON text; null where it is no JSON."""
-    return F.xxhash64(_paths(F.schema_of_variant(F.try_parse_json(record))))
+    """Hash of all nested field paths of a JSON text; null where it is no JSON."""
+    paths = _paths(F.schema_of_variant(F.from_json(record, T.VariantType(), _JSON)))
+    return F.when(paths.isNotNull(), F.xxhash64(paths))
+
+
+def _reads(parts: list) -> list[str]:
+    """The sorted paths that a layout's mapping reads."""
+    each = [f"{p[1]}[].{field}" for p in parts if p[0] == "each" for field in p[2:]]
+    return sorted([*each, *(field for p in parts if p[0] == "one" for field in p[2])])
+
+
+def _schema() -> T.StructType:
+    """A struct of all fields that some mapping reads."""
+    made: dict = {}
+    for _, parts in LAYOUTS:
+        for path in _reads(parts):
+            at = made
+            for step in path.split(".")[:-1]:
+                at = at.setdefault(step, {})
+            at[path.split(".")[-1]] = None
+
+    def struct(fields: dict) -> T.StructType:
+        kinds = {n.removesuffix("[]"): T.StringType() if f is None else T.ArrayType(struct(f)) if n.endswith("[]") else struct(f) for n, f in fields.items()}
+        return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+    return struct(made)
+
+
+RECORD = _schema()
+
+
+def _has(record: Column, path: str) -> Column:
+    if "[]" not in path:
+        return record[path].isNotNull()
+    array, field = path.split("[].")
+    return F.coalesce(F.exists(_at(record, array), lambda x: x[field].isNotNull()), F.lit(False))
+
+
+def _at(record: Column, path: str) -> Column:
+    for step in path.split("."):
+        record = record[step]
+    return record
+
+
+def layout_print(record: Column, keys: Column | None = None) -> Column:
+    """Hash of the paths of a ``RECORD`` that mappings read; ``keys`` are present whatever their values."""
+    known = sorted({path for _, parts in LAYOUTS for path in _reads(parts)})
+    there = [_has(record, p) if keys is None or "[]" in p else _has(record, p) | F.coalesce(F.array_contains(keys, p), F.lit(False)) for p in known]
+    return F.xxhash64(F.array_join(F.array(*(F.when(t, F.lit(p)) for t, p in zip(there, known, strict=True))), ","))
 
 
-def _layout_table(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(n, json.dumps(e)) for n, e, _ in LAYOUTS], "layout string, example string")
-    return rows.select("layout", fingerprint(F.col("example")).alias("fingerprint"))
+def _each(record: Column, array: str, role: str, text: str) -> Column:
+    return F.transform(_at(record, array), lambda x: F.struct(F.coalesce(x[role], F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
 
 
-def _turns(v: Column, mapping: tuple) -> Column:
-    got = lambda root, path: F.coalesce(F.try_variant_get(root, f"$.{path}", "string"), F.lit(""))
-    if mapping[0] == "each":
-        _, array, role, text = mapping
-        one = lambda x: F.struct(got(x, role).alias("role"), got(x, text).alias("text"))
-        return F.transform(F.try_variant_get(v, f"$.{array}", "array<variant>"), one)
-    made = []
-    for role, paths in mapping[1]:
-        parts = F.filter(F.array(*(got(v, p) for p in paths)), lambda x: x != "")
-        made.append(F.struct(F.lit(role).alias("role"), F.array_join(parts, "\n\n").alias("text")))
-    return F.array(*made)
+def _one(record: Column, role: str, fields: list[str]) -> Column:
+    texts = F.filter(F.array(*(record[field] for field in fields)), lambda x: x != "")
+    return F.array(F.struct(F.lit(role).alias("role"), F.array_join(texts, "\n\n").alias("text")))
+
+
+def _turns(record: Column, parts: list) -> Column:
+    made = [(_each if kind == "each" else _one)(record, *where) for kind, *where in parts]
+    return made[0] if len(made) == 1 else F.concat(*made)
 
 
 def _with_own_roles(turns: Column) -> Column:
@@ -86,22 +140,37 @@ def _with_own_roles(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
 
 
+def _mapped(rows: DataFrame) -> DataFrame:
+    """``rows`` with layout and turns, from __record and __print."""
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    for layout, parts in LAYOUTS:
+        hit = F.col("__print") == F.xxhash64(F.lit(",".join(_reads(parts))))
+        name = F.when(hit, F.lit(layout)).otherwise(name)
+        turns = F.when(hit, _turns(F.col("__record"), parts)).otherwise(turns)
+    return rows.withColumn("layout", name).withColumn("turns", _with_own_roles(turns)).drop("__record", "__print")
+
+
 def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """``records`` with fingerprint, layout and turns: array<struct<role, text>>.
+    """``records`` with fingerprint, layout and turns: array<struct<role, text>>, from JSON texts.
 
     Input columns named like an output column are replaced.
     """
-    spark = records.sparkSession
-    known = {r.fingerprint: r.layout for r in _layout_table(spark).collect()}
-    mapping = {n: m for n, _, m in LAYOUTS}
-    rows = records.withColumn("fingerprint", fingerprint(F.col(record_col)))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    v = F.try_parse_json(F.col(record_col))
-    for print_, name in known.items():
-        hit = F.col("fingerprint") == print_
-        layout = F.when(hit, F.lit(name)).otherwise(layout)
-        turns = F.when(hit, _turns(v, mapping[name])).otherwise(turns)
-    return rows.withColumn("layout", layout).withColumn("turns", _with_own_roles(turns))
+    record = F.col(record_col)
+    rows = records.withColumn("__record", F.from_json(record, RECORD, _JSON))
+    rows = rows.withColumn("__print", layout_print(F.col("__record"), F.json_object_keys(record))).withColumn("fingerprint", fingerprint(record))
+    return _mapped(rows)
+
+
+def structured_turns(records: DataFrame, **fields: Column) -> DataFrame:
+    """``records`` with fingerprint, layout and turns, from columns that stand for fields of ``RECORD``."""
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in RECORD}
+    unknown = set(fields) - set(blank)
+    if unknown:
+        raise ValueError(f"no layout reads {sorted(unknown)}")
+    whole = F.struct(*(c.cast(RECORD[n].dataType).alias(n) for n, c in (blank | fields).items()))
+    rows = records.withColumn("__record", whole)
+    rows = rows.withColumn("__print", layout_print(F.col("__record"))).withColumn("fingerprint", F.col("__print"))
+    return _mapped(rows)
 
 
 def escape(text: Column) -> Column:
@@ -141,48 +210,80 @@ def read_segments(formatted: Column) -> Column:
     return F.transform(parts, one)
 
 
-def add_loss_mask(df: DataFrame, formatted_col: str = "formatted") -> DataFrame:
-    """``df`` with segments (role, escaped body, head, size), as read back from the output, and
-    loss_spans: the code point spans of the assistant texts, in order.
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Begins are running sums over the segments' sizes, kept in arrays.
-    """
+
+def _sums_before(sizes: Column) -> Column:
+    """For each element the sum of those before it, over blocks of about the square root of their number."""
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("long")
+    n = F.size(sizes)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda b: F.aggregate(F.slice(sizes, b * width + 1, width), zero, add))
+    before = lambda firsts: F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.get(firsts, F.floor(i / width).cast("int")) + F.aggregate(F.slice(sizes, i - i % width + 1, i % width), zero, add))
+    firsts = F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(_let(firsts, before))
+
+
+def add_loss_mask(df: DataFrame, formatted_col: str = "formatted") -> DataFrame:
+    """``df`` with segments (role, escaped body, head, size, begin of the body), as read back from the
+    output, and loss_spans (role, begin, end, segment): the code points of the assistant texts, in order."""
     d = df.withColumn("segments", read_segments(F.col(formatted_col)))
     sizes = F.transform("segments", lambda s: s["size"].cast("long"))
-    ends = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    spans = F.transform("segments", lambda s, i: F.struct(s["role"].alias("role"), (F.get("__at", i) + s["head"]).alias("begin"), (F.get("__at", i) + s["size"] - len(END) - 1).alias("end")))
-    return d.withColumn("__at", ends).withColumn("loss_spans", F.filter(spans, lambda s: s["role"] == "assistant")).drop("__at")
+    placed = lambda at: F.transform("segments", lambda s, i: s.withField("begin", F.get(at, i) + s["head"]))
+    d = d.withColumn("segments", _let(_let(sizes, _sums_before), placed))
+    spans = F.transform("segments", lambda s, i: F.struct(
+        s["role"].alias("role"), s["begin"].alias("begin"), (s["begin"] + s["size"] - s["head"] - len(END) - 1).alias("end"), i.alias("segment")))
+    return d.withColumn("loss_spans", F.filter(spans, lambda s: s["role"] == "assistant"))
+
+
+def text_under_mask(segments: Column, spans: Column) -> Column:
+    """The text of the spans, unescaped, nothing between. A span is cut out of its own segment, so
+    the whole string is never searched from its start for each of them."""
+
+    def cut(s: Column) -> Column:
+        g = F.get(segments, s["segment"])
+        return unescape(g["body"].substr((s["begin"] - g["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))
+
+    return F.array_join(F.transform(spans, cut), "")
 
 
 def gather(conversations: DataFrame) -> DataFrame:
     """(conv_id, fingerprint, layout, turns) per conversation, from rows (conv_id, turn, role, text).
 
-    Each row is fingerprinted as a record in the layout "turns" whose values are blank; roles
-    and texts never pass through JSON, whose parser bounds the length of records and strings.
+    The rows of a conversation become a record in the layout "turns", as structs: they never
+    pass through JSON.
     """
-    blank = F.to_json(F.struct(F.lit(0).alias("conv_id"), F.array(F.struct(F.lit(0).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))).alias("turns")))
-    known = canonical_turns(conversations.select("conv_id", "turn", "role", "text", blank.alias("record"))).drop("record", "turns")
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = known.groupBy("conv_id").agg(F.min("fingerprint").alias("fingerprint"), F.min("layout").alias("layout"), F.sort_array(F.collect_list(one)).alias("turns"))
-    return rows.withColumn("turns", _with_own_roles(F.col("turns")))
+    rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("__rows"))
+    record = F.transform("__rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return structured_turns(rows, turns=record).drop("__rows")
+
+
+def with_format(turns: DataFrame) -> DataFrame:
+    return turns.withColumn("formatted", format_turns(F.col("turns")))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """(conv_id, fingerprint, layout, turns, formatted) of each conversation."""
-    return gather(conversations).withColumn("formatted", format_turns(F.col("turns")))
+    return with_format(gather(conversations))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations are records of rows, the added one is a record of another layout."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
-    made = F.array(*(F.struct(F.lit(-1), F.lit(n), F.lit(role), F.lit(trap)) for n, role in enumerate(("user", "assistant"))))
-    added = spark.range(1).select(F.inline(made.cast("array<struct<conv_id:bigint,turn:bigint,role:string,text:string>>"))).to(rows.schema)
-    found = add_loss_mask(format_conversations(rows.unionByName(added)))
+    added = spark.range(1).select(F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.to_json(F.struct(F.lit(trap).alias("prompt"), F.lit(trap).alias("completion"))).alias("record"))
+    turns = gather(rows).unionByName(canonical_turns(added).drop("record"))
+    found = add_loss_mask(with_format(turns))
     texts = F.transform("segments", lambda s: F.concat(s["role"], F.lit("\n"), unescape(s["body"]), F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["role"] == "assistant"), lambda s: unescape(s["body"])), "")
-    return found.withColumn("__loss", loss).select(
+    return found.withColumn("__loss", text_under_mask(F.col("segments"), F.col("loss_spans"))).select(
         "conv_id", F.size("segments").cast("long").alias("n_turns"), F.sha2(F.array_join(texts, ""), 256).alias("turns_sha256"),
-        F.length("__loss").cast("long").alias("loss_chars"), F.sha2("__loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("__loss").cast("long").alias("loss_chars"), F.sha2("__loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "layout",
     )
 
 
@@ -199,6 +300,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(body) + 24)::BIGINT AS formatted_chars
+  sum(length(role) + length(body) + 24)::BIGINT AS formatted_chars,
+  CASE WHEN conv_id = -1 THEN 'prompt' ELSE 'turns' END AS layout
 FROM made GROUP BY conv_id
 """

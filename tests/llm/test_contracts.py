@@ -212,6 +212,47 @@ def test_chat_layouts(spark):
     got = chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
     assert [r.layout for r in got] == ["messages", "conversations", "prompt", "instruction", "dialog", None, None, None]
     assert all([tuple(t) for t in r.turns] == [("user", "a"), ("assistant", "b")] for r in got[:5]) and all(r.turns is None for r in got[5:])
+    prints = [r.fingerprint for r in got]
+    assert len(set(prints[:6])) == 6 and prints[6:] == [None, None]
+
+
+def test_chat_tolerates_other_keys_and_long_strings(spark):
+    ab, plain = [("user", "a"), ("assistant", "b")], lambda r: [tuple(t) for t in r.turns]
+    records = [
+        '{"prompt":"a","completion":"b","id":7,"meta":{"source":["x"]}}', '{"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}],"model":null}',
+        '{"instruction":"a","input":null,"output":"b"}', '{"instruction":"a","response":"b","tags":[]}', '{"prompt":"a","response":"b"}', '{"question":"a","answer":"b","score":0.5}',
+    ]
+    got = chat.canonical_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
+    assert [plain(r) for r in got] == [ab] * len(records)
+    assert [r.layout for r in got] == ["prompt", "messages", "instruction", "instruction_response", "prompt_response", "question"]
+    more = ['{"system":"s","messages":[{"role":"user","content":"a"}]}', '{"prompt":"a","completion":null}', '{"messages":[]}', '{"prompt":"a","messages":[{"role":"user","content":"a"}]}']
+    got = chat.canonical_turns(spark.createDataFrame([(r,) for r in more], "record string")).collect()
+    assert [r.layout for r in got] == ["system_messages", "prompt", None, None] and plain(got[0]) == [("system", "s"), ("user", "a")] and plain(got[1]) == [("user", "a"), ("assistant", "")]
+    long = spark.range(1).select(F.concat(F.lit('{"id":1,"prompt":"'), F.repeat(F.lit("ab"), 10_500_000), F.lit('","completion":"b"}')).alias("record"))
+    r = chat.canonical_turns(long).select("layout", F.length(F.get("turns", F.lit(0))["text"]), F.get("turns", F.lit(1))["text"], "fingerprint").first()
+    assert tuple(r)[:3] == ("prompt", 21_000_000, "b") and r.fingerprint is not None
+    structs = spark.createDataFrame([("a", "b")], "q string, r string")
+    assert plain(chat.structured_turns(structs, question=F.col("q"), answer=F.col("r")).first()) == ab
+
+
+def test_chat_query_uses_the_mapping(spark, folder_of_conversations):
+    plan = chat.op5_chat(spark, folder_of_conversations)._jdf.queryExecution().executedPlan().toString()
+    assert all(x in plan for x in ("xxhash64", "turns[].role", "segment")) and "Python" not in plan
+
+
+@pytest.fixture
+def folder_of_conversations(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_chat_masks_many_turns(spark):
+    turns = [("assistant" if i % 3 else "user", f"t{i} <|im_end|> é" * (i % 5)) for i in range(5000)]
+    df = spark.createDataFrame([(turns,), ([],)], "turns array<struct<role:string,text:string>>")
+    got = chat.add_loss_mask(chat.with_format(df)).withColumn("loss", chat.text_under_mask(F.col("segments"), F.col("loss_spans"))).collect()
+    assert got[0].loss == "".join(t for r, t in turns if r == "assistant") and got[1].loss == "" and got[1].loss_spans == []
+    assert [got[0].formatted[s.begin : s.end] for s in got[0].loss_spans] == [s.body for s in got[0].segments if s.role == "assistant"]
 
 
 def test_chat_gathers_odd_rows(spark):
