@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulary.functions import labels as LB
 from tabulary.functions import text as T
+from tabulary.operators import index as I
 from tabulary.operators import linking as K
 from tabulary.operators import lists as L
 from tabulary.operators import merge as M
@@ -36,42 +37,58 @@ def _docs(spark, d):
     return derived(spark, "search", read(spark, d, "documents"), fold)
 
 
+def _postings(spark, d):
+    """The words of those texts with their places, stored by first letter."""
+    return derived(spark, "postings", read(spark, d, "documents"), lambda rows: I.postings(rows.select("doc_id", S.search_text(F.col("text")).alias("t")), "doc_id", "t"), by="head")
+
+
+def _found(spark, d, asked):
+    """Documents that match, with strict and direct, and without their texts."""
+    return I.find(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", asked)
+
+
 @query(f"WITH {_DOCS} SELECT doc_id, lang FROM docs WHERE contains(t, ' tion')")
 def search_prefix(spark, d):
-    return _docs(spark, d).where(S.strict(F.col("t"), "tion")).select("doc_id", "lang")
+    return _found(spark, d, "tion").where("strict").select("doc_id", "lang")
 
 
 @query(rf"WITH {_DOCS} SELECT doc_id FROM docs WHERE regexp_matches(t, ' (the[^ ]*( [^ ]+){{0,2}} and[^ ]*|and[^ ]*( [^ ]+){{0,2}} the[^ ]*) ')")
 def search_proximity(spark, d):
-    return _docs(spark, d).where(S.strict(F.col("t"), "the and")).select("doc_id")
+    return _found(spark, d, "the and").where("strict").select("doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE NOT contains(t, ' the') OR regexp_matches(t, ' (koca|ocak)[^ ]* ')")
+def search_without_words(spark, d):
+    """What holds for texts that have no word of the query."""
+    return _found(spark, d, "-the OR koca OR ocak").where("strict").select("doc_id")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE regexp_matches(t, ' of[^ ]* the[^ ]* ')")
 def search_phrase(spark, d):
-    return _docs(spark, d).where(S.strict(F.col("t"), '"of the"')).select("doc_id")
+    return _found(spark, d, '"of the"').where("strict").select("doc_id")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE contains(t, ' der') OR (contains(t, ' les') AND NOT contains(t, ' que'))")
 def search_or_not(spark, d):
-    return _docs(spark, d).where(S.strict(F.col("t"), "der OR les -que")).select("doc_id")
+    return _found(spark, d, "der OR les -que").where("strict").select("doc_id")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE regexp_matches(t, ' (tuzuk[^ ]*|yonetmelik[^ ]*|tuzug[^ ]*) ') OR contains(t, ' para')")
 def search_synonym(spark, d):
-    return _docs(spark, d).where(S.loose(F.col("t"), "tüzük OR para")).select("doc_id")
+    return _found(spark, d, "tüzük OR para").select("doc_id")
 
 
 @query(rf"""WITH {_DOCS} SELECT doc_id, lang, CAST(contains(t, ' the') AND contains(t, ' is') AS INT) AS tier FROM docs
 WHERE regexp_matches(t, ' (the[^ ]*( [^ ]+){{0,2}} is[^ ]*|is[^ ]*( [^ ]+){{0,2}} the[^ ]*) ') ORDER BY tier DESC, n_chars DESC, doc_id LIMIT 20""")
 def search_tiered_topk(spark, d):
-    return S.tiered_page(_docs(spark, d), "t", "the is", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang", "tier")
+    return I.tiered_page(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", "the is", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang", "tier")
 
 
 @query(f"""WITH {_DOCS}, hits AS (SELECT * FROM docs WHERE contains(t, ' an'))
 SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM hits WHERE source IN ('src0', 'src1', 'src2') GROUP BY lang
 UNION ALL SELECT 'source', source, count(*) FROM hits WHERE lang IN ('en', 'de') GROUP BY source""")
 def search_facets(spark, d):
-    hits = _docs(spark, d).where(S.strict(F.col("t"), "an")).select("lang", "source")
+    hits = _found(spark, d, "an").where("strict").select("lang", "source")
     return S.facets(hits, {"lang": ["en", "de"], "source": ["src0", "src1", "src2"]})
 
 
@@ -82,13 +99,13 @@ def facets_without_query(spark, d):
 
 @query(f"WITH {_DOCS}, hits AS (SELECT 1 FROM docs WHERE contains(t, ' the') LIMIT 10000) SELECT count(*) AS total, count(*) >= 10000 AS capped FROM hits")
 def capped_count(spark, d):
-    return S.capped_count(_docs(spark, d).where(S.strict(F.col("t"), "the")).select("doc_id"))
+    return S.capped_count(_found(spark, d, "the").where("strict").select("doc_id"))
 
 
 @query(rf"""WITH {_DOCS} SELECT greatest(0, least(10000, count(*) FILTER (WHERE contains(t, ' the') AND contains(t, ' be')))
  - least(10000, count(*) FILTER (WHERE regexp_matches(t, ' (the[^ ]*( [^ ]+){{0,2}} be[^ ]*|be[^ ]*( [^ ]+){{0,2}} the[^ ]*) ')))) AS extra FROM docs""")
 def loose_extra(spark, d):
-    return S.loose_extra(_docs(spark, d), "t", "the be")
+    return I.loose_extra(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", "the be")
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderdate::DATE > DATE '{TODAY}' - 90 THEN 1.5 WHEN o_orderdate::DATE > DATE '{TODAY}' - 365 THEN 1.2 ELSE 1.0 END::DOUBLE AS boost FROM orders")
@@ -104,7 +121,9 @@ _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(l
 FROM (SELECT p_partkey, p_name, {_TRI.format(x='p_name')} AS a, {_TRI.format(x="'smal ringg'")} AS b FROM part))
 SELECT p_partkey, round(similarity, 9) AS similarity FROM s WHERE similarity > 0.3 ORDER BY similarity DESC, p_partkey DESC LIMIT 1""")
 def trigram_suggest(spark, d):
-    found = S.suggest(read(spark, d, "part"), "p_name", "Smal ringg", [F.desc("p_partkey")])
+    parts = read(spark, d, "part")
+    stored = derived(spark, "part_trigrams", parts, lambda rows: I.trigram_postings(rows, "p_partkey", "p_name"), by="bucket")
+    found = I.suggest(parts, stored, "p_partkey", "Smal ringg", [F.desc("p_partkey")])
     return found.select("p_partkey", F.round("similarity", 9).alias("similarity"))
 
 
@@ -115,7 +134,8 @@ ORDER BY starts_with(name, 'customer#000000001') DESC, contains(name, 'customer#
 def entity_search(spark, d):
     counts = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("record_count"))
     names = read(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("name")).join(counts, F.col("c_custkey") == F.col("o_custkey"))
-    return S.entity_search(names, "name", "record_count", "Customer#000000001").select("c_custkey", "name", "record_count")
+    stored = derived(spark, "customer_trigrams", read(spark, d, "customer"), lambda rows: I.trigram_postings(rows.withColumn("name", F.lower("c_name")), "c_custkey", "name"), by="bucket")
+    return I.entity_search(names, stored, "c_custkey", "name", "record_count", "Customer#000000001").select("c_custkey", "name", "record_count")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '(^|[^a-z0-9])hot') AND regexp_matches(lower(p_name || ' ' || p_type), '(^|[^a-z0-9])ge') ORDER BY starts_with(lower(p_name), 'hot ge') DESC, p_partkey LIMIT 25")

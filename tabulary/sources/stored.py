@@ -1,19 +1,23 @@
-"""Tables that are derived from others once and then read, such as folded search texts.
+"""Tables that are derived from others once and then read, such as folded texts and postings.
 
-They lie below ``spark.checkpoint.dir``, or where that is unset the warehouse (a local
-master: a temporary folder), in a folder of the application, and are named after the files they were made of: a table
-whose files have changed gets a new derived one.
+They lie below ``spark.checkpoint.dir`` (a local master: a temporary folder), named after
+the files they were made of: a table whose files have changed gets a new derived one, and
+a later application finds what an earlier one has stored. A table is written beside its
+place and moved there when it is whole. ``forget`` removes them all.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL = "file:///tmp/tabulary-checkpoints"
+#: To be raised when what a derived table holds changes.
+_FORM = 2
 
 
 def _files(rows: DataFrame) -> str:
@@ -24,13 +28,33 @@ def _files(rows: DataFrame) -> str:
     return f"{found.n}-{found.s or 0}".replace("--", "-m")
 
 
-def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``make(rows)``, written on first use and read from then on."""
+def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = folder or (_LOCAL if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) else spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{folder.rstrip('/')}/tabulary-derived-{spark.sparkContext.applicationId}/{name}-{_files(rows)}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        make(rows).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return f"{(folder or _LOCAL).rstrip('/')}/tabulary-derived-{_FORM}"
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame], by: str | None = None) -> DataFrame:
+    """``make(rows)``, written on first use, in a folder for each value of column ``by``, and read from then on."""
+    path = f"{_folder(spark)}/{name}-{_files(rows)}"
+    place, files = _at(spark, path)
+    table = make(rows)
+    if not files.exists(place):
+        made = f"{path}-{uuid.uuid4().hex}"
+        out = table.write
+        (out.partitionBy(by) if by else out).parquet(made)
+        if not files.rename(_at(spark, made)[0], place) and not files.exists(place):
+            raise OSError(f"{made} can't be moved to {path}")
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all derived tables."""
+    place, files = _at(spark, _folder(spark))
+    files.delete(place, True)
