@@ -1,7 +1,7 @@
 """Search over stored postings: words with their places, and trigrams of names.
 
-``postings`` has a row for each word and text, in a folder for each first letter and sorted
-by word within: the words of a query are ranges of it, so a scan reads the folders of
+``postings`` has a row for each word and block of texts, in a folder for each first letter and
+sorted by word within: the words of a query are ranges of it, so a scan reads the folders of
 their letters and, in those, the row groups that may hold them. A text meets a query only
 through the words they share: places are gathered by text, phrases are intersections of
 shifted places, and neighbours are places at most ``near`` apart. Texts of queries that hold
@@ -19,15 +19,22 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulary.functions.text import trigrams
 from tabulary.operators.search import BRIDGES, NEAR, SYNONYMS, Node, fold_text, parse
 
+BLOCK_BYTES = 2 << 20
 _BUCKETS = 32
 
 
@@ -40,10 +47,48 @@ class Token:
 
 
 def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(head, term, id, places) of folded texts (``search.search_text``), to be stored by ``head``."""
-    words = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.trim(text_col), " ")).alias("at", "term")).where("term <> ''")
-    rows = words.groupBy("term", "id").agg(F.sort_array(F.collect_list("at")).alias("places")).withColumn("head", F.left("term", F.lit(1)))
-    return rows.repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id")
+    """(head, term, block, found) of folded texts (``search.search_text``), to be stored by ``head``; ``found``
+    has the id and the places of each text of a block, some ``BLOCK_BYTES`` of one partition's texts or one longer text."""
+    rows = texts.select(F.col(id_col).alias("id"), F.trim(text_col).alias("text"))
+    key = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("found", T.ArrayType(
+        T.StructType([T.StructField("id", key), T.StructField("places", T.ArrayType(T.IntegerType()))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, side="right")))
+                part = batch.slice(lo, hi - lo)
+                term, found = _block(part.column("id"), part.column("text"))
+                yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), found], names=schema.names)
+                lo, block = hi, block + 1
+
+    made = rows.mapInArrow(run, schema).withColumn("head", F.left("term", F.lit(1)))
+    return made.repartitionByRange("head", "term", "block").sortWithinPartitions("head", "term", "block")
+
+
+def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The distinct words of some texts, and for each the ids and places where it stands."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    size = pc.list_value_length(lists).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(size)), size)
+    place = (np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    order = np.flatnonzero(code != coded.dictionary.index("").as_py())
+    order = order[np.argsort(code[order], kind="stable")]
+    code, doc, place = code[order], doc[order], place[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    code, doc = code[first], doc[first]
+    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(place))
+    one = pa.StructArray.from_arrays([ids.take(pa.array(doc)), places], names=["id", "places"])
+    return coded.dictionary.take(pa.array(code[edge[:-1]])), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), one)
 
 
 def _ways(words: tuple[str, ...], synonyms: tuple) -> list[tuple[Token, ...]]:
@@ -109,7 +154,7 @@ def find(texts: DataFrame, stored: DataFrame, id_col: str, query: str | None, ne
     tokens = sorted({t for leaf in _leaves(node) for run in _ways(leaf.words, SYNONYMS + BRIDGES) for t in run})
     is_one = lambda t: F.col("term").startswith(t.text) if t.prefix else F.col("term") == t.text
     sought = stored.where(F.col("head").isin(sorted({t.text[0] for t in tokens})) & reduce(lambda a, b: a | b, map(is_one, tokens)))
-    each = sought.select("id", "places", F.explode(F.array_compact(F.array(*(F.when(is_one(t), F.lit(k)) for k, t in enumerate(tokens))))).alias("k"))
+    each = sought.select("term", F.inline("found")).select("id", "places", F.explode(F.array_compact(F.array(*(F.when(is_one(t), F.lit(k)) for k, t in enumerate(tokens))))).alias("k"))
     gathered = each.groupBy("id").agg(*(F.array_sort(F.flatten(F.collect_list(F.when(F.col("k") == k, F.col("places"))))).alias(f"p{k}") for k in range(len(tokens))))
     none = F.array().cast("array<int>")
     if _holds_without_words(node):

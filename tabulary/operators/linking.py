@@ -71,10 +71,7 @@ def circular_matches(circulars: DataFrame, records: DataFrame) -> DataFrame:
 def alert_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
     """(alert_id, id): new records by topic, document type, entity or search text of each active alert.
 
-    Search texts become rows of what they need; a record meets an alert where one of its words
-    starts with the alert's longest one, and only then are the alert's patterns tried. Alerts
-    and records are never paired but by a shared value or word. Texts that ``search.demands``
-    does not take apart match nothing here.
+    Alerts and records meet only in a value or word that both have; see ``text_matches``.
     """
     active = alerts.where("is_active")
     parts = []
@@ -83,32 +80,46 @@ def alert_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
         r = records.select(F.col("id"), F.explode(F.array_distinct(have)).alias("v")) if have else records.select("id", F.col("doc_type").alias("v"))
         parts.append(a.join(r, "v").select("alert_id", "id"))
     if "query" in alerts.columns:
-        asked = active.where("trim(query) <> ''").select("alert_id", F.inline(_demands("query")))
-        texts = records.select("id", S.search_text(F.col("text")).alias("t"))
-        words = texts.select("id", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("w"))
-        starts = words.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w"))), lambda n: F.left("w", n))).alias("anchor")).distinct()
-        found = starts.join(asked.select("anchor").distinct(), "anchor", "left_semi")
-        met = asked.join(found, "anchor").join(texts, "id")
-        parts.append(met.where(_holds()).select("alert_id", "id"))
+        parts.append(text_matches(active, records))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def _demands(query: Column | str) -> Column:
-    """What each text needs, an element for each anchor of each way to satisfy it."""
+def text_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
+    """(alert_id, id): records whose text satisfies an alert's query, read as plain words, phrases, OR and minus.
 
+    Queries become clauses and clauses rows of words. A clause first meets the records that have
+    the word of it that fewest records have; those vote with the clause's other words, and only
+    where all have voted are barred words and phrases looked at. The empty word, which all
+    records have, stands for clauses that only bar. Null texts are empty; blank queries match nothing.
+    """
+    key = ["alert_id", "way"]
+    ways = alerts.select("alert_id", F.posexplode(_clauses("query")).alias("way", "c")).select(*key, "c.*")
+    texts = records.select("id", S.search_text(F.col("text")).alias("t"))
+    has = texts.select("id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.trim("t"), " ")))).alias("word"))
+    needs = ways.select(*key, F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))).alias("word"))
+    bars = ways.select(*key, F.explode("barred_words").alias("word"))
+    has = has.join(needs.select("word").unionByName(bars.select("word")).distinct(), "word", "left_semi")
+    counted = needs.join(has.groupBy("word").agg(F.count("*").alias("n")), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy(*key).agg(F.min(F.struct("n", "word"))["word"].alias("first"), F.count("*").alias("need"))
+    met = rarest.join(has.withColumnRenamed("word", "first"), "first").select(*key, "id", "first", "need")
+    others = met.where("need > 1").join(needs, key).where("word <> first").join(has, ["id", "word"]).groupBy(*key, "id").agg(F.count("*").alias("votes"))
+    left = met.join(others, [*key, "id"], "left").where(F.coalesce("votes", F.lit(0)) + 1 == F.col("need")).select(*key, "id")
+    left = left.join(left.join(bars, key).join(has, ["id", "word"]).select(*key, "id"), [*key, "id"], "left_anti")
+    phrased = ways.where("size(phrases) + size(barred_phrases) > 0").select(*key, "phrases", "barred_phrases")
+    held = lambda p: F.col("t").contains(F.concat(F.lit(" "), p, F.lit(" ")))
+    checked = left.join(phrased, key).join(texts, "id").where(F.forall("phrases", held) & ~F.exists("barred_phrases", held))
+    return left.join(phrased, key, "left_anti").select("alert_id", "id").unionByName(checked.select("alert_id", "id")).distinct()
+
+
+def _clauses(query: Column | str) -> Column:
     def run(queries: pd.Series) -> pd.Series:
-        return queries.map(lambda q: [{"anchor": a, "wanted": list(d.wanted), "unwanted": list(d.unwanted)} for d in S.demands(q) or [] for a in d.anchors])
-
-    return F.pandas_udf(run, "array<struct<anchor:string,wanted:array<string>,unwanted:array<string>>>")(query)
-
+        return queries.map(lambda q: [vars(c) for c in S.clauses(q)])
 
-def _holds() -> Column:
-    """All wanted patterns are in ``t`` and no unwanted one."""
-    hit = lambda p: F.regexp_like(F.col("t"), p)
-    return F.forall("wanted", hit) & ~F.exists("unwanted", hit)
+    words = ", ".join(f"{n}: array<string>" for n in ("words", "phrases", "barred_words", "barred_phrases"))
+    return F.pandas_udf(run, f"array<struct<{words}>>")(query)
 
 
 def reuse_summaries(records: DataFrame) -> DataFrame:

@@ -139,36 +139,25 @@ def facets(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Demand:
-    """What one way to satisfy a query needs: a word that starts with one of ``anchors``, patterns found and others not."""
+class Clause:
+    """One way to satisfy a query of plain words: the words that must be there, phrases too, and words and phrases that must not."""
 
-    anchors: tuple[str, ...]
-    wanted: tuple[str, ...]
-    unwanted: tuple[str, ...]
+    words: tuple[str, ...]
+    phrases: tuple[str, ...]
+    barred_words: tuple[str, ...]
+    barred_phrases: tuple[str, ...]
 
 
-def demands(query: str | None, near: int = NEAR) -> list[Demand] | None:
-    """The ways to satisfy ``strict``, for queries of plain words, phrases and negated ones, OR-ed at most; null for
-    others: deeper ones, and ways without any wanted word."""
+def clauses(query: str | None) -> list[Clause]:
+    """The ways to satisfy a query word by word, without prefixes, synonyms or proximity; none for a blank one."""
     node = parse(query)
-    if node is None:
-        return None
     out = []
-    for way in node.parts if node.kind == "or" else (node,):
+    for way in () if node is None else node.parts if node.kind == "or" else (node,):
         parts = way.parts if way.kind == "and" else (way,)
         yes, no = [p for p in parts if p.kind != "not"], [p.parts[0] for p in parts if p.kind == "not"]
-        if not yes or any(p.kind not in ("word", "phrase") for p in (*yes, *no)):
-            return None
-        known = SYNONYMS + BRIDGES
-        regex = lambda words: " " + " ".join(_variants(w, known) for w in words) + " "
-        wanted = [regex(p.words) for p in yes]
-        if node.kind == "and" and near > 0 and not no and all(p.kind == "word" for p in parts):
-            gap = f"(?: [^ ]+){{0,{near - 1}}} "
-            v = [_variants(p.words[0], known) for p in parts]
-            wanted = [f" (?:{a}{gap}{b}|{b}{gap}{a}) " for a, b in zip(v, v[1:], strict=False)]
-        word = max((w for p in yes for w in p.words), key=lambda w: (not any(t == w for t, _ in known), len(w)))
-        anchors = (word, *(a.split()[0] for t, a in known if t == word))
-        out.append(Demand(anchors, tuple(wanted), tuple(regex(p.words) for p in no)))
+        distinct = lambda x: tuple(sorted(set(x)))
+        out.append(Clause(distinct(w for p in yes for w in p.words), distinct(" ".join(p.words) for p in yes if p.kind == "phrase"),
+                          distinct(p.words[0] for p in no if p.kind == "word"), distinct(" ".join(p.words) for p in no if p.kind == "phrase")))
     return out
 
 

@@ -406,20 +406,20 @@ def inherit_labels(spark, d):
     return M.inherit_labels(docs, labels, docs.select("doc_id", (F.col("doc_id") + 1).alias("cited_id")), "doc_id", "label")
 
 
-@query("""WITH a AS (SELECT c_custkey AS alert_id, (['ihale', 'marka', 'atama'])[c_nationkey % 3 + 1] AS topic, CASE c_nationkey % 4 WHEN 0 THEN 'F' END AS doc_type, c_custkey + 1 AS entity, CASE c_custkey % 5 WHEN 0 THEN 'urgent order' WHEN 1 THEN 'low tender -late' END AS query FROM customer WHERE c_acctbal > 0),
-e AS (SELECT o_orderkey AS id, (['ihale', 'marka', 'sirket'])[o_custkey % 3 + 1] AS topic, o_orderstatus AS doc_type, o_custkey AS entity, ' ' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')) || ' order tender ' || CASE WHEN o_orderkey % 3 = 0 THEN 'late ' ELSE '' END AS t FROM orders WHERE o_orderdate::DATE >= DATE '2001-07-01'),
-m AS (SELECT alert_id, id FROM a JOIN e ON a.topic = e.topic AND o_topic(a.alert_id) UNION SELECT alert_id, id FROM a JOIN e USING (doc_type) UNION SELECT alert_id, id FROM a JOIN e USING (entity)
-UNION SELECT alert_id, id FROM a JOIN e ON (query = 'urgent order' AND regexp_matches(t, ' (urgent[^ ]*( [^ ]+){0,2} order[^ ]*|order[^ ]*( [^ ]+){0,2} urgent[^ ]*) ')) OR (query = 'low tender -late' AND contains(t, ' low') AND contains(t, ' tender') AND NOT contains(t, ' late')))
-SELECT alert_id, id FROM m""".replace(" AND o_topic(a.alert_id)", ""))
+@query("""WITH a AS (SELECT c_custkey AS alert_id, 'k' || c_custkey AS topic, 'F-' || (c_custkey + 1) AS doc_type, c_custkey + 2 AS entity, c_custkey % 6 AS kind, ' clerk' || c_custkey || ' ' AS own, ' clerk' || (c_custkey + 3) || ' ' AS other FROM customer WHERE c_acctbal > 0),
+e AS (SELECT o_orderkey AS id, 'k' || o_custkey AS topic, o_orderstatus || '-' || o_custkey AS doc_type, o_custkey AS entity, ' ' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')) || ' order clerk' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ' late' ELSE '' END || CASE WHEN o_orderkey % 997 > 0 THEN ' tender' ELSE '' END || ' ' AS t FROM orders),
+q AS (SELECT alert_id, id FROM a JOIN e ON CASE kind WHEN 0 THEN contains(t, own) AND contains(t, ' urgent ') WHEN 1 THEN contains(t, ' order' || own) WHEN 2 THEN contains(t, own) AND NOT contains(t, ' urgent ') AND NOT contains(t, ' late ')
+  WHEN 3 THEN contains(t, own) OR contains(t, other) OR (contains(t, ' 4 ') AND contains(t, ' not specified ') AND NOT contains(t, ' tender ')) WHEN 4 THEN contains(t, ' tender ') AND contains(t, own) AND NOT contains(t, ' 3 medium ') ELSE alert_id % 600 = 5 AND NOT contains(t, ' tender ') END)
+SELECT alert_id, id FROM a JOIN e USING (topic) UNION SELECT alert_id, id FROM a JOIN e USING (doc_type) UNION SELECT alert_id, id FROM a JOIN e USING (entity) UNION SELECT alert_id, id FROM q""")
 def alert_match(spark, d):
-    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
-    key = F.col("c_custkey")
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    own = lambda n: F.concat(F.lit("clerk"), key + n)
+    asked = [F.concat(own(0), F.lit(" urgent")), F.concat(F.lit('"Order '), own(0), F.lit('"')), F.concat(own(0), F.lit(" -urgent -late")), F.concat(own(0), F.lit(" OR "), own(3), F.lit(' OR 4 "not specified" -tender')),
+             F.concat(F.lit("tender "), own(0), F.lit(' -"3 medium"')), F.when(key % 600 == 5, "-tender")]
     alerts = read(spark, d, "customer").select(
-        key.alias("alert_id"), (F.col("c_acctbal") > 0).alias("is_active"), F.array(pick(("ihale", "marka", "atama"), F.col("c_nationkey") % 3)).alias("topics"),
-        F.array_compact(F.array(F.when(F.col("c_nationkey") % 4 == 0, "F"))).alias("doc_types"), F.array(key + 1).alias("entity_ids"),
-        F.when(key % 5 == 0, "urgent order").when(key % 5 == 1, "low tender -late").alias("query"))
-    order = F.col("o_orderkey")
-    text = F.concat("o_orderpriority", F.lit(" order tender "), F.when(order % 3 == 0, "late").otherwise(""))
-    records = read(spark, d, "orders").where("o_orderdate >= '2001-07-01'").select(
-        order.alias("id"), F.array(pick(("ihale", "marka", "sirket"), F.col("o_custkey") % 3)).alias("topics"), F.col("o_orderstatus").alias("doc_type"), F.array("o_custkey").alias("entity_ids"), text.alias("text"))
+        key.alias("alert_id"), (F.col("c_acctbal") > 0).alias("is_active"), F.array(F.concat(F.lit("k"), key)).alias("topics"),
+        F.array(F.concat(F.lit("F-"), key + 1)).alias("doc_types"), F.array(key + 2).alias("entity_ids"), F.get(F.array(*asked), (key % 6).cast("int")).alias("query"))
+    text = F.concat("o_orderpriority", F.lit(" order clerk"), "o_custkey", F.when(order % 3 == 0, " late").otherwise(""), F.when(order % 997 > 0, " tender").otherwise(""))
+    records = read(spark, d, "orders").select(
+        order.alias("id"), F.array(F.concat(F.lit("k"), "o_custkey")).alias("topics"), F.concat_ws("-", "o_orderstatus", "o_custkey").alias("doc_type"), F.array("o_custkey").alias("entity_ids"), text.alias("text"))
     return K.alert_matches(alerts, records)

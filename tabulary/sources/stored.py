@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _LOCAL = "file:///tmp/tabulary-checkpoints"
 #: To be raised when what a derived table holds changes.
-_FORM = 2
+_FORM = 3
 
 
 def _files(rows: DataFrame) -> str:
@@ -48,7 +48,7 @@ def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[Dat
     if not files.exists(place):
         made = f"{path}-{uuid.uuid4().hex}"
         out = table.write
-        (out.partitionBy(by) if by else out).parquet(made)
+        (out.partitionBy(by) if by else out).parquet(made, compression="zstd")
         if not files.rename(_at(spark, made)[0], place) and not files.exists(place):
             raise OSError(f"{made} can't be moved to {path}")
     return spark.read.schema(table.schema).parquet(path)
