@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.operators.lists import recent
+from tabulary.operators.lists import numbered, recent
 
 #: Entries of a feed, and addresses of a sitemap file.
 FEED_SIZE, CHUNK_SIZE = 50, 45_000
@@ -26,16 +26,10 @@ def rss_items(records: DataFrame, base: str, size: int = FEED_SIZE) -> DataFrame
     return newest.select(F.struct("published_at", "id").alias("position"), F.concat(*parts).alias("item"))
 
 
-def sitemap(rows: DataFrame, address: Column, changed: Column, priority: Column, key: Column, size: int = CHUNK_SIZE) -> DataFrame:
-    """(chunk, loc, lastmod, priority): addresses in files of about ``size``.
-
-    The number of files follows the number of rows, and a row's file the hash of
-    its key: a new address does not move the others of the same number of files,
-    and no global order has to be counted out.
-    """
-    chunks = rows.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / size)).alias("chunks"))
-    made = rows.select(address.alias("loc"), changed.alias("lastmod"), priority.alias("priority"), F.xxhash64(key).alias("__h"))
-    return made.crossJoin(F.broadcast(chunks)).select(F.pmod("__h", "chunks").cast("int").alias("chunk"), "loc", "lastmod", "priority")
+def sitemap(rows: DataFrame, address: Column, changed: Column, priority: Column, order: list[Column], size: int = CHUNK_SIZE) -> DataFrame:
+    """(chunk, loc, lastmod, priority): addresses in ``order``, ``size`` to a file."""
+    made = numbered(rows, order, "__place")
+    return made.select(F.floor(F.col("__place") / size).cast("int").alias("chunk"), address.alias("loc"), changed.alias("lastmod"), priority.alias("priority"))
 
 
 def recent_chunk(records: DataFrame, today: Column, months: int = 6) -> DataFrame:

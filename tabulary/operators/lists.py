@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulary.sources.stored import kept
+
 
 def all_of(tests: list[Column | None]) -> Column:
     """Conjunction of the tests that are given; true without any."""
@@ -28,6 +30,19 @@ def date_filter(date: Column, year: int | None = None, begin: str | None = None,
     ])
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 in ``order``, which must leave no ties.
+
+    Ranges of the order are written; each row's place is that in its range and the number of rows in
+    the ranges before. So no task sees more than a range, and the numbers can be computed again.
+    """
+    ranges = kept(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn("__within", within).join(before, "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
+
+
 def deadline_state(deadline: Column, today: Column) -> Column:
     """open, closed, or null without a deadline."""
     return F.when(deadline >= today, "open").when(deadline < today, "closed")

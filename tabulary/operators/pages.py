@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulary.functions.gazette import format_reference
 from tabulary.functions.labels import ARCHIVE_START
 from tabulary.functions.params import TOPICS
-from tabulary.operators.lists import first_per
+from tabulary.operators.lists import all_of, deadline_state, first_per, numbered
 
 LIST_COLUMNS = ("id", "slug", "has_own_page", "title", "summary", "doc_type", "ref_type", "ref_number", "published_at", "deadline_at")
 #: Least letters of a body with a page of its own, and least records of a listed entity.
@@ -74,19 +74,36 @@ def list_items(rows: DataFrame) -> DataFrame:
     return made.withColumn("address", record_address(F.col("has_own_page"), F.col("slug"), F.col("issue_year"), F.col("issue_number"), F.col("ref_label")))
 
 
-def list_filter(rows: DataFrame, record_topics: DataFrame, record_entities: DataFrame, *, topics: tuple = (), doc_types: tuple = (), entity: int | None = None,
-                year: int | None = None, begin: str | None = None, end: str | None = None, with_body: bool = False) -> DataFrame:
-    """Rows under all filters that are given: any of the topics, any of the types, the entity, year and range."""
+def list_filter(rows: DataFrame, record_topics: DataFrame, record_entities: DataFrame, entities: DataFrame, *, topics: tuple = (), doc_types: tuple = (), entity_slug: str | None = None,
+                year: int | None = None, begin: str | None = None, end: str | None = None, deadline: str | None = None, issuer: str | None = None, vacancy: str | None = None,
+                today: Column | None = None) -> DataFrame:
+    """Rows with a page of their own under all filters that are given: any of the topics, any of the types, the
+    entity, year and range, the state of the deadline (open or closed on ``today``), the issuer, the kind of vacancy."""
+    rows = rows.where("has_own_page")
     if topics:
         rows = rows.join(record_topics.where(F.col("topic").isin(*topics)).select(F.col("record_id").alias("id")), "id", "left_semi")
-    if entity is not None:
-        rows = rows.join(record_entities.where(F.col("entity_id") == entity).select(F.col("record_id").alias("id")), "id", "left_semi")
+    if entity_slug is not None:
+        named = record_entities.join(entities.where(F.col("slug") == entity_slug).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+        rows = rows.join(named.select(F.col("record_id").alias("id")), "id", "left_semi")
     day = F.col("published_at").cast("date")
     tests = [F.col("doc_type").isin(*doc_types) if doc_types else None, (F.year(day) == year) if year is not None else None, (day >= F.lit(begin).cast("date")) if begin else None,
-             (day <= F.lit(end).cast("date")) if end else None, F.coalesce(F.length("body_text") > 0, F.lit(False)) if with_body else None]
-    for test in tests:
-        rows = rows if test is None else rows.where(test)
-    return rows
+             (day <= F.lit(end).cast("date")) if end else None, (deadline_state(F.col("deadline_at").cast("date"), F.current_date() if today is None else today) == deadline) if deadline else None,
+             (F.col("issuer") == issuer) if issuer is not None else None, (F.col("munhal_kind") == vacancy) if vacancy is not None else None]
+    return rows.where(all_of(tests))
+
+
+def list_page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page of a filtered list."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+#: Bodies of this many characters or more are not carried into pages.
+BODY_LIMIT = 200_000
+
+
+def body_guard(bodies: list[str], limit: int = BODY_LIMIT) -> Column:
+    """True where each of the bodies is shorter than the limit; a null one is empty."""
+    return all_of([F.coalesce(F.length(b), F.lit(0)) < limit for b in bodies])
 
 
 def contains_text(column: Column, part: str) -> Column:
@@ -95,8 +112,8 @@ def contains_text(column: Column, part: str) -> Column:
 
 
 def amends(title: Column) -> Column:
-    """Titles that amend or annul: TADİL or İPTAL, blanks, ED, in either case."""
-    return title.rlike(r"(?i)(TADİL|İPTAL|tadi̇l|i̇ptal|tadil|iptal)\s+ED")
+    """Titles that amend or annul: TADİL or İPTAL, blanks, ED, with A to Z in either case; no small letter stands for İ."""
+    return title.rlike(r"(?i)(TADİL|İPTAL)[\s\p{Z}\uFEFF]+ED")
 
 
 def issue_rows(issues: DataFrame, records: DataFrame) -> DataFrame:
@@ -218,27 +235,47 @@ def fan_out(records: DataFrame, record_entities: DataFrame, entities: DataFrame)
     return out
 
 
-def sitemap_entries(records: DataFrame, issues: DataFrame, entities: DataFrame, topic_years: DataFrame, laws: DataFrame, today: Column, months: int = 24) -> DataFrame:
-    """(chunk, path, lastmod, priority, changefreq) of all addresses but the fixed pages (chunk 0)."""
-    def entry(rows: DataFrame, chunk: str, path: Column, lastmod: Column | None, priority: Column, often: Column) -> DataFrame:
+#: Path, priority and change frequency of the pages that always exist; whether they change daily with the archive.
+FIXED_PAGES = (
+    ("/", 1.0, "daily", True), ("/bugun", 0.9, "daily", True), ("/sayilar", 0.6, "weekly", True), ("/kurum", 0.6, "weekly", True), ("/sirket", 0.6, "weekly", True), ("/yer", 0.6, "weekly", True),
+    ("/rehber", 0.7, "monthly", False), ("/yasa", 0.8, "weekly", True), ("/tuzuk", 0.8, "weekly", True), ("/arac", 0.7, "monthly", False), ("/hakkinda", 0.5, "yearly", False),
+    ("/iletisim", 0.4, "yearly", False), ("/gizlilik", 0.3, "yearly", False), ("/kullanim-kosullari", 0.3, "yearly", False), ("/konu", 0.8, "daily", True),
+)
+#: Months that the file of recent records covers; addresses of one file.
+RECENT_MONTHS, FILE_SIZE = 6, 45_000
+
+
+def sitemap_entries(records: DataFrame, issues: DataFrame, entities: DataFrame, topic_years: DataFrame, laws: DataFrame, today: Column, months: int = RECENT_MONTHS, size: int = FILE_SIZE) -> DataFrame:
+    """(chunk, file, path, lastmod, priority, changefreq) of all addresses.
+
+    Records are in date order, the latest first, ``size`` to a file; the recent ones have one file, the
+    archive as many as it needs. The other chunks are one file each.
+    """
+    def entry(rows: DataFrame, chunk: str, path: Column, lastmod: Column | None, priority: Column, often: Column, file: Column | None = None) -> DataFrame:
         when = F.lit(None).cast("date") if lastmod is None else lastmod.cast("date")
-        return rows.select(F.lit(SITEMAP_CHUNKS[chunk]).alias("chunk"), path.alias("path"), when.alias("lastmod"), priority.cast("double").alias("priority"), often.alias("changefreq"))
+        at = F.lit(0) if file is None else file
+        return rows.select(F.lit(SITEMAP_CHUNKS[chunk]).alias("chunk"), at.cast("int").alias("file"), path.alias("path"), when.alias("lastmod"), priority.cast("double").alias("priority"), often.alias("changefreq"))
 
     year, edge, lit = F.year(today), F.add_months(today, -months), F.lit
-    pages = records.where("has_own_page").withColumn("__new", F.col("published_at").cast("date") > edge)
+    pages = records.where("has_own_page").select("slug", "published_at", "id")
+    order = [F.desc("published_at"), F.desc("id")]
+    new = pages.where(F.col("published_at").cast("date") > edge).orderBy(*order).limit(size)
+    old = numbered(pages.where(F.col("published_at").cast("date") <= edge), order, "place")
     slug, date = F.concat(lit("/karar/"), "slug"), F.col("published_at")
     by_year = lambda c, new, old, from_: F.when(c >= year - from_, new).otherwise(old)
     years = issues.select("year").distinct()
+    fixed = F.array(*(F.struct(lit(p).alias("path"), lit(w).alias("priority"), lit(o).alias("often"), lit(d).alias("daily")) for p, w, o, d in (*FIXED_PAGES, *((f"/konu/{t}", 0.8, "daily", True) for t in TOPICS))))
     parts = [
-        entry(pages.where("__new"), "recent", slug, date, lit(0.8), lit("monthly")),
-        entry(pages.where("not __new"), "archive", slug, date, lit(0.3), lit("yearly")),
+        entry(records.sparkSession.range(1).select(F.inline(fixed)), "static", F.col("path"), F.when(F.col("daily"), today), F.col("priority"), F.col("often")),
+        entry(new, "recent", slug, date, lit(0.8), lit("monthly")),
+        entry(old, "archive", slug, date, lit(0.3), lit("yearly"), F.floor(F.col("place") / size)),
         entry(issues, "issues", F.concat_ws("/", lit("/sayilar"), F.col("year").cast("string"), F.col("number").cast("string")), date, lit(0.4), lit("yearly")),
         entry(years, "issues", F.concat_ws("/", lit("/sayilar"), F.col("year").cast("string")), None, by_year(F.col("year"), 0.6, 0.3, 1), by_year(F.col("year"), "weekly", "yearly", 0)),
         entry(entities.where(F.col("record_count") >= LISTED), "entities", F.concat(F.create_map(*(lit(x) for p in ENTITY_PATHS.items() for x in p))[F.col("kind")], "slug"), None,
               F.when(F.col("record_count") > 20, 0.6).otherwise(0.4), lit("monthly")),
         entry(topic_years.where(F.col("topic").isin(*TOPICS) & (F.col("year") >= ARCHIVE_START)), "topic_years", F.concat_ws("/", lit("/konu"), "topic", F.col("year").cast("string")), None,
               by_year(F.col("year"), 0.6, 0.3, 1), by_year(F.col("year"), "weekly", "yearly", 0)),
-        entry(laws.where("lang = 'tr' and extract_status = 'ok'"), "laws", F.concat(lit("/"), "kind", lit("/"), "slug"), F.col("body_modified_at"), lit(0.6), lit("monthly")),
+        entry(laws.where("lang = 'tr' and extract_status = 'ok'"), "laws", F.concat(lit("/"), "kind", lit("/"), "slug"), F.col("body_modified_at"), lit(0.7), lit("monthly")),
     ]
     out = parts[0]
     for part in parts[1:]:

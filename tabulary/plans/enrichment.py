@@ -135,12 +135,6 @@ def long_dates(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.date_long(F.col("o_orderdate").cast("date")).alias("day"))
 
 
-@query(None)
-def contents_records(spark, d):
-    """Records of every page's innermost table rows; pages without a table give none."""
-    return G.parse_contents_table(read(spark, d, "pages").select("page_id", "html"), ["page_id"], "html")
-
-
 @query(None)
 def text_records(spark, d):
     """Records of every document's lines."""
@@ -151,9 +145,3 @@ def text_records(spark, d):
 def deadlines(spark, d):
     docs = read(spark, d, "documents").withColumn("d", G.extract_deadline("text"))
     return docs.select("doc_id", F.col("d.deadline_at").alias("deadline_at"), F.col("d.note").alias("note"))
-
-
-@query(None)
-def entity_mentions(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "text")
-    return docs.select("doc_id", F.explode(G.entities(F.col("title"), F.col("text"))).alias("e")).select("doc_id", "e.*")

@@ -20,11 +20,12 @@ _MADE = f"""
 records AS (SELECT o_orderkey AS id, o_custkey AS issue_id, 'k-' || o_orderkey AS slug, o_totalprice > 150000 AS has_own_page, o_orderpriority || '-' || o_orderstatus || '_' || (o_custkey % 7) || '% tuzugu ve degisiklikleri hakkinda ' || (o_custkey % 500) AS title,
   NULL::VARCHAR AS summary, CASE o_orderstatus WHEN 'O' THEN 'tuzuk' WHEN 'F' THEN 'genelge' ELSE 'baska' END AS doc_type, CASE WHEN o_orderkey % 4 > 0 THEN 'ae' END AS ref_type, (o_orderkey % 900)::VARCHAR AS ref_number,
   o_orderdate::DATE AS published_at, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate::DATE + 10 END AS deadline_at, o_orderpriority AS section,
-  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN repeat('x', (o_orderkey % 400)::INT) END AS body_text, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey - 1 END AS related_record_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey - 2 END AS corrects_id FROM orders),
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN repeat('x', (o_orderkey % 400)::INT) END AS body_text, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey - 1 END AS related_record_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey - 2 END AS corrects_id,
+  CASE o_custkey % 4 WHEN 0 THEN 'khk' WHEN 1 THEN 'diger' END AS issuer, CASE WHEN o_custkey % 3 > 0 THEN 'ilk' END AS munhal_kind FROM orders),
 issues AS (SELECT c_custkey AS id, 1996 + c_nationkey % 6 AS year, c_custkey AS number, DATE '1996-01-01' + (c_custkey % 1500)::INT AS published_at, CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END AS text_quality FROM customer),
 record_topics AS (SELECT DISTINCT l_orderkey AS record_id, ([{_TOPIC_LIST}, 'baska'])[l_partkey % 11 + 1] AS topic FROM lineitem),
 record_entities AS (SELECT l_orderkey AS record_id, l_suppkey AS entity_id, max(l_discount) AS confidence FROM lineitem GROUP BY ALL),
-entities AS (SELECT s_suppkey AS id, (['institution', 'company', 'place'])[s_nationkey % 3 + 1] AS kind, 's-' || s_suppkey AS slug, s_name AS name, count(record_id) AS record_count FROM supplier LEFT JOIN record_entities ON entity_id = s_suppkey AND record_id % 50 = 0 GROUP BY ALL),
+entities AS (SELECT s_suppkey AS id, (['institution', 'company', 'place'])[s_nationkey % 3 + 1] AS kind, 's-' || s_suppkey AS slug, s_name AS name, count(record_id) AS record_count FROM supplier LEFT JOIN record_entities ON entity_id = s_suppkey GROUP BY ALL),
 laws AS (SELECT p_partkey AS law_key, 'l-' || p_partkey AS slug, CASE WHEN p_size % 2 = 0 THEN 'yasa' ELSE 'tuzuk' END AS kind, lower(p_name) AS title_normalized, CASE WHEN p_size > 10 THEN 1950 + p_size END AS law_year, CASE WHEN p_size > 5 THEN p_partkey % 90 END AS law_number,
   CASE WHEN p_partkey % 13 = 0 THEN 'en' ELSE 'tr' END AS lang, CASE WHEN p_partkey % 17 = 0 THEN 'empty' ELSE 'ok' END AS extract_status, CASE WHEN p_partkey % 3 = 0 THEN DATE '2001-01-01' + p_size END AS body_modified_at FROM part)"""
 
@@ -37,13 +38,14 @@ def _tables(spark, d) -> dict:
         F.concat("o_orderpriority", F.lit("-"), "o_orderstatus", F.lit("_"), F.col("o_custkey") % 7, F.lit("% tuzugu ve degisiklikleri hakkinda "), F.col("o_custkey") % 500).alias("title"), F.lit(None).cast("string").alias("summary"),
         F.when(F.col("o_orderstatus") == "O", "tuzuk").when(F.col("o_orderstatus") == "F", "genelge").otherwise("baska").alias("doc_type"), F.when(key % 4 > 0, "ae").alias("ref_type"), (key % 900).cast("string").alias("ref_number"),
         day.alias("published_at"), F.when(key % 5 == 0, F.date_add(day, 10)).alias("deadline_at"), F.col("o_orderpriority").alias("section"),
-        F.when(key % 3 == 0, "").when(key % 3 == 1, F.repeat(F.lit("x"), (key % 400).cast("int"))).alias("body_text"), F.when(key % 9 == 0, key - 1).alias("related_record_id"), F.when(key % 11 == 0, key - 2).alias("corrects_id"))
+        F.when(key % 3 == 0, "").when(key % 3 == 1, F.repeat(F.lit("x"), (key % 400).cast("int"))).alias("body_text"), F.when(key % 9 == 0, key - 1).alias("related_record_id"), F.when(key % 11 == 0, key - 2).alias("corrects_id"),
+        F.when(F.col("o_custkey") % 4 == 0, "khk").when(F.col("o_custkey") % 4 == 1, "diger").alias("issuer"), F.when(F.col("o_custkey") % 3 > 0, "ilk").alias("munhal_kind"))
     quality = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10000)
     issues = c.select(F.col("c_custkey").alias("id"), (1996 + F.col("c_nationkey") % 6).alias("year"), F.col("c_custkey").alias("number"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int")).alias("published_at"), quality.alias("text_quality"))
     names = F.array(*map(F.lit, (*TOPICS, "baska")))
     topics = li.select(F.col("l_orderkey").alias("record_id"), F.get(names, (F.col("l_partkey") % 11).cast("int")).alias("topic")).distinct()
     links = li.groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("entity_id")).agg(F.max("l_discount").alias("confidence"))
-    counts = links.where("record_id % 50 = 0").groupBy(F.col("entity_id").alias("s_suppkey")).agg(F.count("*").alias("record_count"))
+    counts = links.groupBy(F.col("entity_id").alias("s_suppkey")).agg(F.count("*").alias("record_count"))
     kinds = F.array(*map(F.lit, ("institution", "company", "place")))
     entities = s.join(counts, "s_suppkey", "left").select(F.col("s_suppkey").alias("id"), F.get(kinds, F.col("s_nationkey") % 3).alias("kind"), F.concat(F.lit("s-"), "s_suppkey").alias("slug"), F.col("s_name").alias("name"), F.coalesce("record_count", F.lit(0).cast("long")).alias("record_count"))
     part = F.col("p_partkey")
@@ -82,10 +84,25 @@ def list_items(t):
     return P.list_items(_list_rows(t)).select("id", "doc_type_label", "ref_label", "published_at", "primary_topic", "address")
 
 
-@query(""" SELECT id FROM records r WHERE EXISTS (SELECT 1 FROM record_topics WHERE record_id = r.id AND topic IN ('ihale', 'marka')) AND EXISTS (SELECT 1 FROM record_entities WHERE record_id = r.id AND entity_id = 3)
-AND doc_type IN ('tuzuk', 'genelge') AND year(published_at) BETWEEN 1996 AND 2000 AND published_at >= DATE '1996-03-01' AND published_at <= DATE '2000-12-31' AND length(body_text) > 0""")
+@query(""" SELECT id FROM records r WHERE has_own_page AND EXISTS (SELECT 1 FROM record_topics WHERE record_id = r.id AND topic IN ('ihale', 'marka')) AND EXISTS (SELECT 1 FROM record_entities JOIN entities e ON e.id = entity_id WHERE record_id = r.id AND e.slug IN ('s-3'))
+AND doc_type IN ('tuzuk', 'genelge') AND published_at >= DATE '1996-03-01' AND published_at <= DATE '2000-12-31'""")
 def list_filters(t):
-    return P.list_filter(t["records"], t["record_topics"], t["record_entities"], topics=("ihale", "marka"), doc_types=("tuzuk", "genelge"), entity=3, begin="1996-03-01", end="2000-12-31", with_body=True).select("id")
+    return P.list_filter(t["records"], t["record_topics"], t["record_entities"], t["entities"], topics=("ihale", "marka"), doc_types=("tuzuk", "genelge"), entity_slug="s-3", begin="1996-03-01", end="2000-12-31").select("id")
+
+
+@query(f""" SELECT id FROM records WHERE has_own_page AND deadline_at IS NOT NULL AND deadline_at >= DATE '{TODAY}' AND issuer = 'khk' AND munhal_kind = 'ilk'
+UNION ALL SELECT id FROM records WHERE has_own_page AND deadline_at IS NOT NULL AND deadline_at < DATE '{TODAY}' AND year(published_at) = 1998 AND issuer = 'diger'""")
+def list_filters_of_notices(t):
+    """Open vacancies of one issuer, and one year's closed notices of another."""
+    rows = lambda **given: P.list_filter(t["records"], t["record_topics"], t["record_entities"], t["entities"], today=F.lit(TODAY).cast("date"), **given).select("id")
+    return rows(deadline="open", issuer="khk", vacancy="ilk").unionByName(rows(deadline="closed", year=1998, issuer="diger"))
+
+
+@query(_ROWS + """ SELECT id, slug FROM rows WHERE has_own_page AND year(published_at) = 1999 AND id IN (SELECT record_id FROM record_topics WHERE topic = 'ihale') ORDER BY published_at DESC, id DESC LIMIT 20 OFFSET 20""")
+def topic_page(t):
+    """The second page of a topic's list."""
+    kept = P.list_filter(t["records"], t["record_topics"], t["record_entities"], t["entities"], topics=("ihale",), year=1999).select("id")
+    return P.list_page(_list_rows(t).join(kept, "id", "left_semi"), [F.desc("published_at"), F.desc("id")], 20, 20).select("id", "slug")
 
 
 @query(r""" SELECT id FROM records WHERE contains(title, 'F_3%')""")
@@ -150,9 +167,9 @@ def run_statistics(t):
     return P.run_statistics(made)
 
 
-@query(" SELECT r.id, length(coalesce(body_text, '')) >= 200 OR count(entity_id) > 0 AS own FROM records r LEFT JOIN record_entities ON record_id = r.id AND entity_id < 20 GROUP BY r.id, body_text")
+@query(" SELECT r.id, length(coalesce(body_text, '')) >= 200 OR count(entity_id) > 0 AS own FROM records r LEFT JOIN record_entities ON record_id = r.id AND r.id % 2 = 0 GROUP BY r.id, body_text")
 def thin_records(t):
-    n = t["record_entities"].where("entity_id < 20").groupBy(F.col("record_id").alias("id")).agg(F.count("*").alias("n"))
+    n = t["record_entities"].where("record_id % 2 = 0").groupBy(F.col("record_id").alias("id")).agg(F.count("*").alias("n"))
     return t["records"].join(n, "id", "left").select("id", P.has_own_page(F.col("body_text"), F.col("n")).alias("own"))
 
 
@@ -191,11 +208,15 @@ def detail_fan_out(t):
     return P.fan_out(t["records"], t["record_entities"], t["entities"])
 
 
-@query(f""", e AS (SELECT CASE WHEN published_at > DATE '{TODAY}' - INTERVAL 24 MONTH THEN 1 ELSE 5 END AS chunk, '/karar/' || slug AS path, published_at AS lastmod, CASE WHEN published_at > DATE '{TODAY}' - INTERVAL 24 MONTH THEN 0.8 ELSE 0.3 END::DOUBLE AS priority, CASE WHEN published_at > DATE '{TODAY}' - INTERVAL 24 MONTH THEN 'monthly' ELSE 'yearly' END AS changefreq FROM records WHERE has_own_page)
-SELECT * FROM e UNION ALL SELECT 2, '/sayilar/' || year || '/' || number, published_at, 0.4, 'yearly' FROM issues UNION ALL SELECT DISTINCT 2, '/sayilar/' || year, NULL::DATE, CASE WHEN year >= 1999 THEN 0.6 ELSE 0.3 END, CASE WHEN year >= 2000 THEN 'weekly' ELSE 'yearly' END FROM issues
-UNION ALL SELECT 3, CASE kind WHEN 'institution' THEN '/kurum/' WHEN 'company' THEN '/sirket/' ELSE '/yer/' END || slug, NULL, CASE WHEN record_count > 20 THEN 0.6 ELSE 0.4 END, 'monthly' FROM entities WHERE record_count >= 2
-UNION ALL SELECT DISTINCT 4, '/konu/' || topic || '/' || year(published_at) + 22, NULL, 0.6, 'weekly' FROM record_topics JOIN records ON id = record_id WHERE topic <> 'baska' AND year(published_at) + 22 >= 2020
-UNION ALL SELECT 6, '/' || kind || '/' || slug, body_modified_at, 0.6, 'monthly' FROM laws WHERE lang = 'tr' AND extract_status = 'ok'""")
+@query(f""", o AS (SELECT '/karar/' || slug AS path, published_at AS day, id, published_at > DATE '{TODAY}' - INTERVAL 6 MONTH AS new FROM records WHERE has_own_page),
+e AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY day DESC, id DESC) - 1 AS n FROM o),
+s AS (SELECT unnest([{", ".join(f"{{'path': '{p}', 'w': {w}, 'o': '{o}', 'd': {'true' if d else 'false'}}}" for p, w, o, d in (*P.FIXED_PAGES, *((f"/konu/{t}", 0.8, "daily", True) for t in TOPICS)))}], recursive := true))
+SELECT 0 AS chunk, 0 AS file, path, CASE WHEN d THEN DATE '{TODAY}' END AS lastmod, w::DOUBLE AS priority, o AS changefreq FROM s
+UNION ALL SELECT CASE WHEN new THEN 1 ELSE 5 END, CASE WHEN new THEN 0 ELSE n // 45000 END::INT, path, day, CASE WHEN new THEN 0.8 ELSE 0.3 END, CASE WHEN new THEN 'monthly' ELSE 'yearly' END FROM e WHERE NOT new OR n < 45000
+UNION ALL SELECT 2, 0, '/sayilar/' || year || '/' || number, published_at, 0.4, 'yearly' FROM issues UNION ALL SELECT DISTINCT 2, 0, '/sayilar/' || year, NULL::DATE, CASE WHEN year >= 1999 THEN 0.6 ELSE 0.3 END, CASE WHEN year >= 2000 THEN 'weekly' ELSE 'yearly' END FROM issues
+UNION ALL SELECT 3, 0, CASE kind WHEN 'institution' THEN '/kurum/' WHEN 'company' THEN '/sirket/' ELSE '/yer/' END || slug, NULL, CASE WHEN record_count > 20 THEN 0.6 ELSE 0.4 END, 'monthly' FROM entities WHERE record_count >= 2
+UNION ALL SELECT DISTINCT 4, 0, '/konu/' || topic || '/' || year(published_at) + 22, NULL, 0.6, 'weekly' FROM record_topics JOIN records ON id = record_id WHERE topic <> 'baska' AND year(published_at) + 22 >= 2020
+UNION ALL SELECT 6, 0, '/' || kind || '/' || slug, body_modified_at, 0.7, 'monthly' FROM laws WHERE lang = 'tr' AND extract_status = 'ok'""")
 def sitemap_entries(t):
     years = t["record_topics"].join(t["records"].select(F.col("id").alias("record_id"), (F.year("published_at") + 22).alias("year")), "record_id").select("topic", "year").distinct()
     return P.sitemap_entries(t["records"], t["issues"], t["entities"], years, t["laws"], F.lit(TODAY).cast("date"))
@@ -215,7 +236,7 @@ def number_inputs(t):
     return t["records"].select("id", canonical.alias("canonical")).withColumn("shown", LB.number_input(F.col("canonical")))
 
 
-@query(r""" SELECT id, NOT (id % 3 = 0) AS amending FROM records""")
+@query(r""" SELECT id, id % 3 = 1 AS amending FROM records""")
 def amending_titles(t):
     n = F.col("id") % 3
     return t["records"].select("id", P.amends(F.concat(F.col("title"), F.when(n == 0, " İPTAL KARARI").when(n == 1, " TADİL  EDİLMESİ").otherwise(" iptal edilmesi"))).alias("amending"))

@@ -79,11 +79,11 @@ def rss_feed(spark, d):
     return feeds.rss_items(rows, "https://archive.example/").select("item")
 
 
-@query(None)
+@query("""SELECT ((row_number() OVER (ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) - 1) // 1000)::INT AS chunk, 'https://archive.example/' || o_orderkey AS loc, o_orderdate::DATE AS lastmod, 0.5::DOUBLE AS priority FROM orders""")
 def sitemap_chunks(spark, d):
-    """Addresses of all orders in files of about 1,000; a file is chosen by hash."""
+    """Addresses of all orders, the latest first, in files of 1,000."""
     r = _records(spark, d)
-    return feeds.sitemap(r, F.concat(F.lit("https://archive.example/"), "id"), F.col("published_at"), F.lit(0.5), F.col("id"), 1000)
+    return feeds.sitemap(r, F.concat(F.lit("https://archive.example/"), "id"), F.col("published_at").cast("date"), F.lit(0.5), [F.desc(F.col("published_at").cast("date")), F.desc("id")], 1000)
 
 
 @query("""WITH a AS (SELECT c_custkey, greatest(floor(c_acctbal) * 1000, 0) AS a FROM customer)
@@ -105,9 +105,9 @@ def vehicle_import(spark, d):
     return V.with_vehicle_import(read(spark, d, "customer").select("c_custkey", p.alias("p"))).select("c_custkey", F.round("duty.total", 2).alias("total"))
 
 
-@query("SELECT o_orderkey, DATE '2001-03-15' < (o_orderdate::DATE + INTERVAL 5 YEAR)::DATE AS allowed, (2001 - year(o_orderdate) - CASE WHEN strftime(o_orderdate, '%m%d') > '0315' THEN 1 ELSE 0 END)::INT AS age FROM orders WHERE o_orderdate::DATE <= DATE '2001-03-15'")
+@query("SELECT o_orderkey, DATE '2001-03-15' < (o_orderdate::DATE + INTERVAL 5 YEAR)::DATE AS allowed, greatest(2001 - year(o_orderdate) - CASE WHEN strftime(o_orderdate, '%m%d') > '0315' THEN 1 ELSE 0 END, 0)::INT AS age FROM orders")
 def vehicle_age(spark, d):
-    o = read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date")).where("day <= '2001-03-15'")
+    o = read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     made = o.withColumn("a", V.age_check(F.col("day"), F.lit("2001-03-15").cast("date")))
     return made.select("o_orderkey", F.col("a.allowed").alias("allowed"), F.col("a.age_years").cast("int").alias("age"))
 
@@ -138,7 +138,7 @@ def snippets(spark, d):
 
 @query(None)
 def summary_checks(spark, d):
-    """Every conversation's second turn, checked as a summary of its first."""
-    c = read(spark, d, "conversations")
-    pairs = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("summary"))
-    return pairs.withColumn("c", Y.check_summary(F.col("title"), F.col("summary"))).select("conv_id", "c.*")
+    """Every turn of every conversation, checked as a summary of the one before."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("summary"))
+    pairs = c.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("summary").alias("title")), ["conv_id", "turn"])
+    return pairs.withColumn("c", Y.check_summary(F.col("title"), F.col("summary"))).select("conv_id", "turn", "c.*")

@@ -54,6 +54,14 @@ def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[Dat
     return spark.read.schema(table.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written for this application and read back: lineage ends there, and its partitions stay as they are."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/kept-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession) -> None:
     """Remove all derived tables."""
     place, files = _at(spark, _folder(spark))

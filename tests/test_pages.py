@@ -1,8 +1,10 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from tabulary.functions import labels, params
+from tabulary.operators import lists as L
 from tabulary.operators import pages as P
 from tabulary.sources import pages as S
 
@@ -37,7 +39,7 @@ def test_letterhead(spark):
 def test_addresses_and_amendments(spark):
     at = lambda own, year, label: one(spark, P.record_address(F.lit(own), F.lit("s"), F.lit(year).cast("int"), F.lit(4), F.lit(label)))
     assert [at(True, 2020, "A.E. 1"), at(False, 2020, "A.E. 1"), at(False, None, None), at(False, 2020, None)] == ["/karar/s", "/sayilar/2020/4#karar-A.E.%201", "/karar/s", "/sayilar/2020/4"]
-    assert [one(spark, P.amends(F.lit(x))) for x in ("KARAR TADİL EDİLMESİ", "İPTAL  EDİLEN", "iptal edildi", "İPTALED", "TADİLAT")] == [True, True, True, False, False]
+    assert [one(spark, P.amends(F.lit(x))) for x in ("KARAR TADİL EDİLMESİ", "İPTAL  EDİLEN", "iptal edildi", "İPTALED", "TADİLAT", "tadİl\u00a0edilmesi")] == [True, True, False, False, False, True]
     assert [one(spark, P.contains_text(F.lit(x), "5%_\\")) for x in ("a 5%_\\ b", "a 5x_y b")] == [True, False]
 
 
@@ -71,3 +73,18 @@ def test_exchange_rates(spark):
     html = "01/02/2025 - Tarihinde Geçerli Olan Resmi Kurlar <table id='edit-resmi-kur-table'>" + cell("1 Amerikan Doları (USD)", "41.1", "41.5", "41", "41.6") + cell("100 Japon Yeni (JPY)", "28", "28.1", "", "-") + cell("1 x (CHF)", 1, 2, 3, 4) + "</table><table>" + cell("1 Euro (EUR)", 1, 2, 3, 4) + "</table>"
     rows = spark.createDataFrame([(1, html), (2, html.replace("Resmi", "")), (3, None)], "k int, html string")
     assert {tuple(r) for r in S.exchange_rates(rows, ["k"], "html").collect()} == {(1, "01/02/2025", "USD", 41.5, 41.6), (1, "01/02/2025", "JPY", 0.281, None)}
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id int, day int").repartition(7)
+    got = {r.id: r.place for r in L.numbered(df, [F.desc("day"), F.desc("id")], "place").collect()}
+    want = sorted(rows, key=lambda r: (-(r[1] or 0), -r[0]))
+    assert got == {i: k for k, (i, _) in enumerate(want)}
+    assert L.numbered(df.limit(0), [F.desc("id")], "place").count() == 0
+
+
+def test_bodies_under_the_limit(spark):
+    df = spark.createDataFrame([("a" * 9, None), ("a" * 10, "b"), (None, "b" * 10), (None, None)], "x string, y string")
+    assert [r[0] for r in df.select(P.body_guard(["x", "y"], 10)).collect()] == [True, False, False, True]

@@ -27,8 +27,8 @@ def test_feeds(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"T<{i}>", None, datetime.date(2025, 1, 1 + i), True) for i in range(5)], "id int, slug string, title string, summary string, published_at date, has_own_page boolean")
     items = feeds.rss_items(rows, "https://a.example/", 2).orderBy(F.desc("position")).collect()
     assert len(items) == 2 and items[0]["item"].startswith("<item><title>T&lt;4&gt;</title><link>https://a.example/s4</link>")
-    chunks = feeds.sitemap(rows, F.col("slug"), F.col("published_at"), F.lit(0.5), F.col("slug"), size=2).collect()
-    assert len(chunks) == 5 and {r.chunk for r in chunks} <= {0, 1, 2}
+    chunks = feeds.sitemap(rows, F.col("slug"), F.col("published_at"), F.lit(0.5), [F.desc("published_at")], size=2).collect()
+    assert sorted((r.chunk, r["loc"]) for r in chunks) == [(0, "s3"), (0, "s4"), (1, "s1"), (1, "s2"), (2, "s0")]
     assert feeds.recent_chunk(rows, F.lit("2025-07-03").cast("date")).count() == 2
 
 
