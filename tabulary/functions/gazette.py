@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from datetime import date as Date
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,13 +189,53 @@ def _without_header(text: str) -> str:
             return text
 
 
+def _folded(text: str) -> tuple[str, list[int]]:
+    """The text without white space and dots, letters that match in either case made equal, and where each character stood."""
+    kept = [(at, c) for at, c in enumerate(text) if c != "." and not c.isspace()]
+    low = (_SAME.get(c) or (c.lower() if len(c.lower()) == 1 else c) for _, c in kept)
+    return "".join(low), [at for at, _ in kept]
+
+
+#: Letters that are equal where case is ignored, beyond their small form.
+_SAME = {"İ": "i", "I": "i", "ı": "i", "ſ": "s"}
+
+
+def label_places(text: str, labels: list[str]) -> dict[str, list[int]]:
+    """Where each label begins in the text, with elastic dots and white space.
+
+    One automaton of all labels runs over the folded text once; where it stops, the label's own
+    pattern is tried at that place only.
+    """
+    out: dict[str, list[int]] = {x: [] for x in labels}
+    found: dict[str, list[str]] = {}
+    for x in out:
+        found.setdefault(_folded(x)[0], []).append(x)
+    found.pop("", None)
+    if not found:
+        return out
+    automaton = ahocorasick.Automaton()
+    for folded, same in found.items():
+        automaton.add_word(folded, (len(folded), same))
+    automaton.make_automaton()
+    folded, place = _folded(text)
+    patterns, free = {x: _elastic(x) for x in out}, dict.fromkeys(out, 0)
+    for last, (size, same) in automaton.iter(folded):
+        at = place[last - size + 1]
+        for x in same:
+            if at >= free[x] and (m := patterns[x].match(text, at)):
+                out[x].append(at)
+                free[x] = m.end()
+    return out
+
+
 def slice_bodies(text: str | None, labels: list[str]) -> list[tuple[str, str | None, int | None]]:
     """(label, body, page) of each label: from its first place to the nearest later place of another
-    label; bodies of up to 40 characters are null. Each label is looked for once."""
+    label; bodies of up to 40 characters are null."""
     if not text:
         return [(x, None, None) for x in labels]
-    places = {x: [m.start() for m in _elastic(x).finditer(text)] for x in labels}
+    places = label_places(text, labels)
     every = sorted((at, x) for x, found in places.items() for at in found)
+    pages = [at for at, c in enumerate(text) if c == "\f"]
     out: list[tuple[str, str | None, int | None]] = []
     for x, found in places.items():
         if not found:
@@ -204,7 +245,7 @@ def slice_bodies(text: str | None, labels: list[str]) -> list[tuple[str, str | N
         while k < len(every) and every[k][1] == x:
             k += 1
         body = _without_header(text[found[0] : every[k][0] if k < len(every) else len(text)].strip())
-        out.append((x, body if len(body) > 40 else None, text.count("\f", 0, found[0]) + 1))
+        out.append((x, body if len(body) > 40 else None, bisect_left(pages, found[0]) + 1))
     return out
 
 

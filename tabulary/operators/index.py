@@ -47,12 +47,15 @@ class Token:
 
 
 def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(head, term, block, found) of folded texts (``search.search_text``), to be stored by ``head``; ``found``
-    has the id and the places of each text of a block, some ``BLOCK_BYTES`` of one partition's texts or one longer text."""
+    """(head, term, block, ids, ends, places) of folded texts (``search.search_text``), to be stored by ``head``.
+
+    A row has the ids of the texts of a block that have the word, one after the other where in each it
+    stands, and where in these places each text's end. A block is some ``BLOCK_BYTES`` of one partition's
+    texts, or one longer text."""
     rows = texts.select(F.col(id_col).alias("id"), F.trim(text_col).alias("text"))
     key = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("found", T.ArrayType(
-        T.StructType([T.StructField("id", key), T.StructField("places", T.ArrayType(T.IntegerType()))])))])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(key)),
+                           T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -62,16 +65,16 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, side="right")))
                 part = batch.slice(lo, hi - lo)
-                term, found = _block(part.column("id"), part.column("text"))
-                yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), found], names=schema.names)
+                term, *lists = _block(part.column("id"), part.column("text"))
+                yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), *lists], names=schema.names)
                 lo, block = hi, block + 1
 
     made = rows.mapInArrow(run, schema).withColumn("head", F.left("term", F.lit(1)))
     return made.repartitionByRange("head", "term", "block").sortWithinPartitions("head", "term", "block")
 
 
-def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """The distinct words of some texts, and for each the ids and places where it stands."""
+def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, ...]:
+    """The distinct words of some texts, and for each the ids, ends and places."""
     lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
     size = pc.list_value_length(lists).to_numpy()
     coded = lists.flatten().dictionary_encode()
@@ -86,9 +89,10 @@ def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     first = np.flatnonzero(new)
     code, doc = code[first], doc[first]
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
-    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(place))
-    one = pa.StructArray.from_arrays([ids.take(pa.array(doc)), places], names=["id", "places"])
-    return coded.dictionary.take(pa.array(code[edge[:-1]])), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), one)
+    upto = np.append(first, len(place))
+    ends = upto[1:] - np.repeat(upto[edge[:-1]], np.diff(edge))
+    listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+    return coded.dictionary.take(pa.array(code[edge[:-1]])), listed(edge, ids.take(pa.array(doc))), listed(edge, pa.array(ends.astype(np.int32))), listed(upto[edge], pa.array(place))
 
 
 def _ways(words: tuple[str, ...], synonyms: tuple) -> list[tuple[Token, ...]]:
@@ -154,7 +158,9 @@ def find(texts: DataFrame, stored: DataFrame, id_col: str, query: str | None, ne
     tokens = sorted({t for leaf in _leaves(node) for run in _ways(leaf.words, SYNONYMS + BRIDGES) for t in run})
     is_one = lambda t: F.col("term").startswith(t.text) if t.prefix else F.col("term") == t.text
     sought = stored.where(F.col("head").isin(sorted({t.text[0] for t in tokens})) & reduce(lambda a, b: a | b, map(is_one, tokens)))
-    each = sought.select("term", F.inline("found")).select("id", "places", F.explode(F.array_compact(F.array(*(F.when(is_one(t), F.lit(k)) for k, t in enumerate(tokens))))).alias("k"))
+    begin = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
+    texts_of = sought.select("term", "ends", "places", F.posexplode("ids").alias("i", "id")).select("term", "id", F.slice("places", begin + 1, F.get("ends", F.col("i")) - begin).alias("places"))
+    each = texts_of.select("id", "places", F.explode(F.array_compact(F.array(*(F.when(is_one(t), F.lit(k)) for k, t in enumerate(tokens))))).alias("k"))
     gathered = each.groupBy("id").agg(*(F.array_sort(F.flatten(F.collect_list(F.when(F.col("k") == k, F.col("places"))))).alias(f"p{k}") for k in range(len(tokens))))
     none = F.array().cast("array<int>")
     if _holds_without_words(node):

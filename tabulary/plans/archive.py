@@ -43,9 +43,13 @@ def _postings(spark, d):
     return derived(spark, "postings", read(spark, d, "documents"), lambda rows: I.postings(rows.select("doc_id", S.search_text(F.col("text")).alias("t")), "doc_id", "t"), by="head")
 
 
+def _facts(spark, d):
+    return read(spark, d, "documents").drop("text")
+
+
 def _found(spark, d, asked):
     """Documents that match, with strict and direct, and without their texts."""
-    return I.find(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", asked)
+    return I.find(_facts(spark, d), _postings(spark, d), "doc_id", asked)
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, lang FROM docs WHERE contains(t, ' tion')")
@@ -82,7 +86,7 @@ def search_synonym(spark, d):
 @query(rf"""WITH {_DOCS} SELECT doc_id, lang, CAST(contains(t, ' the') AND contains(t, ' is') AS INT) AS tier FROM docs
 WHERE regexp_matches(t, ' (the[^ ]*( [^ ]+){{0,2}} is[^ ]*|is[^ ]*( [^ ]+){{0,2}} the[^ ]*) ') ORDER BY tier DESC, n_chars DESC, doc_id LIMIT 20""")
 def search_tiered_topk(spark, d):
-    return I.tiered_page(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", "the is", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang", "tier")
+    return I.tiered_page(_facts(spark, d), _postings(spark, d), "doc_id", "the is", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang", "tier")
 
 
 @query(f"""WITH {_DOCS}, hits AS (SELECT * FROM docs WHERE contains(t, ' an'))
@@ -106,7 +110,7 @@ def capped_count(spark, d):
 @query(rf"""WITH {_DOCS} SELECT greatest(0, least(10000, count(*) FILTER (WHERE contains(t, ' the') AND contains(t, ' be')))
  - least(10000, count(*) FILTER (WHERE regexp_matches(t, ' (the[^ ]*( [^ ]+){{0,2}} be[^ ]*|be[^ ]*( [^ ]+){{0,2}} the[^ ]*) ')))) AS extra FROM docs""")
 def loose_extra(spark, d):
-    return I.loose_extra(_docs(spark, d).drop("t"), _postings(spark, d), "doc_id", "the be")
+    return I.loose_extra(_facts(spark, d), _postings(spark, d), "doc_id", "the be")
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderdate::DATE > DATE '{TODAY}' - 90 THEN 1.5 WHEN o_orderdate::DATE > DATE '{TODAY}' - 365 THEN 1.2 ELSE 1.0 END::DOUBLE AS boost FROM orders")

@@ -143,3 +143,17 @@ def circular_matches(spark, d):
     s = F.col("s_suppkey").cast("string")
     circulars = read(spark, d, "supplier").select(F.concat(F.lit("u"), s).alias("url"), F.lit("mia").alias("ref_type"), F.concat(s, F.lit("/2025")).alias("ref_number"))
     return linking.circular_matches(circulars, records)
+
+
+@query(r"""WITH p AS (SELECT o_custkey AS issue, o_orderkey AS number, CASE o_orderkey % 3 WHEN 0 THEN 'Sayı : ' WHEN 1 THEN 'SAYI:' ELSE 'sayı  :  ' END || o_orderkey || chr(10) || repeat('metin' || (o_orderkey % 7) || ' ', (o_orderkey % 12)::INT) || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN chr(12) ELSE '' END AS piece FROM orders)
+SELECT issue, number::VARCHAR AS ref_number, CASE WHEN length(regexp_replace(piece, '\s+$', '')) > 40 THEN regexp_replace(piece, '\s+$', '') END AS body,
+  (1 + coalesce(sum((number % 4 = 0)::INT) OVER (PARTITION BY issue ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS page_from FROM p""")
+def issue_bodies(spark, d):
+    """Every order's body, cut out of a text of all orders of its customer."""
+    key = F.col("o_orderkey")
+    head = F.when(key % 3 == 0, "Sayı : ").when(key % 3 == 1, "SAYI:").otherwise("sayı  :  ")
+    piece = F.concat(head, key, F.lit("\n"), F.repeat(F.concat(F.lit("metin"), key % 7, F.lit(" ")), (key % 12).cast("int")), F.lit("\n"), F.when(key % 4 == 0, "\f").otherwise(""))
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("issue"), key, piece.alias("piece"))
+    issues = rows.groupBy("issue").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    records = rows.select("issue", F.lit("ae").alias("ref_type"), key.cast("string").alias("ref_number"))
+    return G.extract_bodies(records, issues, "issue", "text").select("issue", "ref_number", "body", "page_from")

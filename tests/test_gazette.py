@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,19 @@ def test_bodies(spark):
     assert got[1].body is None and got[1].page_from == 3 and got[2].page_from is None
 
 
+def test_labels_equal_their_patterns():
+    rng = random.Random(2)
+    labels = ["Sayı : 1", "Sayı : 12", "KARAR NO: 3", "A.E. 12", "Ü(K-I) 7-2025", "SAYI: 5", "İ.S. 1", "1 1", "a", "A."]
+    parts = [*labels, "SAYI:12", "sayi :1", "karar no:3", "A.E12", "AE 12", "Ü.(K-I)7-2025", "ü ( k - i ) 7 - 2025", "A. E. 1 2", "metin ", "\n", "\f", "3", ".", " ", "İS1", "ıs 1", "1 11", "1.1"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        want = {x: [m.start() for m in G._elastic(x).finditer(text)] for x in labels}
+        assert G.label_places(text, labels) == want, text
+    many = [f"Sayı : {i}" for i in range(3000)]
+    text = "".join(f"{x}\nmetin metin\n" for x in many)
+    assert all(len(v) == 1 for v in G.label_places(text, many).values())
+
+
 def test_classification(spark):
     lit, none = F.lit, F.lit(None).cast("string")
     row = spark.range(1).select(
