@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.functions.text import ACCENTED, MORE_ACCENTED, MORE_PLAIN, PLAIN, clean_body, normalize, similarity, squeeze, unaccent
+from tabulary.functions.text import ACCENTED, MORE_ACCENTED, MORE_PLAIN, PLAIN, clean_body, let, normalize, similarity, squeeze, unaccent
 
 #: Search term, alternative.
 SYNONYMS = (
@@ -208,21 +208,55 @@ def plain_words(query: str) -> list[str] | None:
     return words
 
 
-def snippet(body: Column, query: str, most: int = 40) -> Column:
-    """Up to ``most`` words around the first match of any of the query's words, which are put
-    between \\u0001 and \\u0002; the start of the body where none matches."""
-    words = sorted({w for n in _leaves(parse(query)) for w in n.words}, key=lambda w: (-len(w), w))
-    start = "|".join(words) or "(?!)"
-    parts = F.split(clean_body(body), " ")
-    hit = lambda w: F.regexp_replace(unaccent(w), "[^a-z0-9]+", "").rlike(f"^(?:{start})")
+#: Most and least words of a snippet, and letters of a word that ends none.
+MOST_WORDS, LEAST_WORDS, SHORT_WORD = 40, 20, 3
 
-    def around(p: Column) -> Column:
-        at = F.array_position(F.transform(p, hit), F.lit(True))
-        begin = F.greatest(F.lit(1), at.cast("int") - most // 2)
-        marked = F.transform(F.slice(p, begin, F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit("\u0001"), w, F.lit("\u0002"))).otherwise(w))
-        return F.array_join(marked, " ")
 
-    return F.element_at(F.transform(F.array(parts), around), 1)
+def _items(query: str | None) -> list[str]:
+    """A pattern for each distinct word of a query, of words that stand for it."""
+    words = dict.fromkeys(w for n in _leaves(parse(query)) for w in n.words)
+    return ["^(?:" + "|".join(v if " " not in v else "|".join(f"{x}$" for x in v.split()) for v in [w, *(a for t, a in SYNONYMS + BRIDGES if t == w)]) + ")" for w in words]
+
+
+def snippet(body: Column, query: str | None, most: int = MOST_WORDS, least: int = LEAST_WORDS, short: int = SHORT_WORD) -> Column:
+    """The best stretch of up to ``most`` words, matches between \\u0001 and \\u0002.
+
+    Of all stretches that begin with a match the one with the most different words of the query is
+    taken, then the shortest, then the first. It grows by half of what is left to the left and by
+    the rest to the right; ends then go back over words of up to ``short`` letters that match
+    nothing. A body without a match gives its first ``least`` words. The query is read loosely.
+    """
+    items = _items(query)
+    folded = lambda w: F.regexp_replace(unaccent(w), "[^a-z0-9]+", "")
+    bits = lambda f: reduce(lambda a, b: a + b, (F.when(f.rlike(p), 1 << k).otherwise(0) for k, p in enumerate(items)), F.lit(0))
+    word = lambda w: let(folded(w), lambda f: F.struct(w.alias("w"), bits(f).alias("bits"), (F.length(f) <= short).alias("short")))
+
+    def best(words: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("at"), x["bits"].alias("bits"))), lambda h: h["bits"] > 0)
+        return let(hits, lambda h: F.array_min(F.transform(h, lambda x, i: stretch(F.filter(F.slice(h, i + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most), x["at"]))))
+
+    def stretch(near: Column, begin: Column) -> Column:
+        firsts = F.array_compact(F.array(*(F.array_min(F.transform(F.filter(near, lambda y: y["bits"].bitwiseAND(1 << k) > 0), lambda y: y["at"])) for k in range(len(items)))))  # noqa: B023
+        return let(firsts, lambda f: F.struct((-F.size(f)).alias("rank"), (F.array_max(f) - begin).alias("more"), begin.alias("begin"), F.array_max(f).alias("end")))
+
+    def good(words: Column, i: Column) -> Column:
+        x = F.get(words, i)
+        return ~x["short"] | (x["bits"] > 0)
+
+    def cut(words: Column, b: Column) -> Column:
+        left = F.greatest(F.lit(0), b["begin"] - F.floor((most - (b["end"] - b["begin"] + 1)) / 2).cast("int"))
+        begin = F.array_min(F.filter(F.sequence(left, b["begin"]), lambda i: good(words, i) | (i == b["begin"])))
+        return let(begin, lambda at: let(F.least(F.size(words), at + most) - 1, lambda right: marked(
+            words, at, F.array_max(F.filter(F.sequence(b["end"], right), lambda i: good(words, i) | (i == b["end"]))))))
+
+    def marked(words: Column, begin: Column, end: Column) -> Column:
+        one = lambda x: F.when(x["bits"] > 0, F.concat(F.lit("\u0001"), x["w"], F.lit("\u0002"))).otherwise(x["w"])
+        return F.array_join(F.transform(F.slice(words, begin + 1, end - begin + 1), one), " ")
+
+    first = lambda words: F.array_join(F.transform(F.slice(words, 1, least), lambda x: x["w"]), " ")
+    if not items:
+        return let(F.transform(F.split(clean_body(body), " "), word), first)
+    return let(F.transform(F.split(clean_body(body), " "), word), lambda words: let(best(words), lambda b: F.when(b.isNull(), first(words)).otherwise(cut(words, b))))
 
 
 def _leaves(node: Node | None) -> list[Node]:
@@ -231,14 +265,29 @@ def _leaves(node: Node | None) -> list[Node]:
     return [node] if node.words else [x for p in node.parts for x in _leaves(p)]
 
 
+#: Weights of the classes of a record's text: title; subject and summary; body; anything else.
+CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
+
 def cover_density(text: Column, query: str | None, weight: float = 0.1) -> Column:
-    """Rank of a folded text (``search_text``): each shortest stretch that holds all words of the query adds
-    ``weight``, divided by one more than the other words in it. An OR ranks as its better side; null query: null.
+    """``weighted_density`` of one text of one weight."""
+    return weighted_density([(text, weight)], query)
 
-    The matching words are folded once from the last to the first, so the work is linear in the text.
+
+def weighted_density(texts: list[tuple[Column, float]], query: str | None) -> Column:
+    """Rank of a record's folded texts (``search_text``), one after the other, each with the weight of its class.
+
+    Each shortest stretch that holds all words of the query adds the harmonic mean of the weights of its
+    matching words, divided by one more than the other words in it. An OR ranks as its better
+    side; null query: null. The matching words are folded once from the last to the first, so the
+    work is linear in the texts.
     """
     node = parse(query)
-    return F.lit(None).cast("double") if node is None else _density(F.split(F.trim(text), " "), node, weight)
+    if node is None:
+        return F.lit(None).cast("double")
+    parts = [F.filter(F.split(F.trim(t), " "), lambda w: w != "") for t, _ in texts]
+    placed = [F.transform(p, lambda w: F.struct(w.alias("w"), F.lit(1 / weight).alias("inv"))) for p, (_, weight) in zip(parts, texts, strict=True)]
+    return _density(placed[0] if len(placed) == 1 else F.concat(*placed), node)
 
 
 def rank(text: Column, query: str | None, date: Column, today: Column) -> Column:
@@ -246,25 +295,32 @@ def rank(text: Column, query: str | None, date: Column, today: Column) -> Column
     return F.round(cover_density(text, query), 6) * recency_boost(date, today)
 
 
-def _density(parts: Column, node: Node, weight: float) -> Column:
+def weighted_rank(texts: list[tuple[Column, float]], query: str | None, date: Column, today: Column) -> Column:
+    """Weighted density, to six digits, times the boost of recent records."""
+    return F.round(weighted_density(texts, query), 6) * recency_boost(date, today)
+
+
+def _density(parts: Column, node: Node) -> Column:
     if node.kind == "or":
-        return F.greatest(*(_density(parts, p, weight) for p in node.parts))
+        return F.greatest(*(_density(parts, p) for p in node.parts))
     words = list(dict.fromkeys(w for leaf in _leaves(node) for w in leaf.words))
     if not words:
         return F.lit(0.0)
     has = lambda w: F.array(*(w.rlike(f"^{_variants(x, SYNONYMS + BRIDGES)}$") for x in words))
-    hits = F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("at"), has(w).alias("has"))), lambda x: F.array_contains(x["has"], True))
-    none = F.array(*(F.lit(None).cast("struct<at:int,i:int>") for _ in words))
-    first = F.struct(none.alias("next"), F.lit(0).alias("i"), F.lit(-1).alias("end"), F.lit(0.0).alias("sum"))
+    hits = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p["inv"].alias("inv"), has(p["w"]).alias("has"))), lambda x: F.array_contains(x["has"], True))
+    none = F.array(*(F.lit(None).cast("struct<at:int,i:int,inv:double>") for _ in words))
+    first = F.struct(none.alias("next"), F.lit(0).alias("i"), F.lit(0.0).alias("inv"), F.lit(-1).alias("end"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, x: Column) -> Column:
-        near = F.transform(s["next"], lambda n, k: F.when(F.get(x["has"], k), F.struct(x["at"].alias("at"), s["i"].alias("i"))).otherwise(n))
+        # Of the matching words behind x: how many there are, and the sum of their inverse weights.
+        near = F.transform(s["next"], lambda n, k: F.when(F.get(x["has"], k), F.struct(x["at"].alias("at"), s["i"].alias("i"), s["inv"].alias("inv"))).otherwise(n))
 
         def added(n: Column) -> Column:
             end = F.array_max(n)
             new = ~F.exists(n, lambda e: e.isNull()) & (end["at"] != s["end"])
-            more = F.when(new, F.lit(weight) / (1 + end["at"] - x["at"] - (s["i"] - end["i"]))).otherwise(0.0)
-            return F.struct(n.alias("next"), (s["i"] + 1).alias("i"), F.when(new, end["at"]).otherwise(s["end"]).alias("end"), (s["sum"] + more).alias("sum"))
+            mean = (s["i"] - end["i"] + 1) / (s["inv"] + x["inv"] - end["inv"])
+            more = F.when(new, mean / (1 + end["at"] - x["at"] - (s["i"] - end["i"]))).otherwise(0.0)
+            return F.struct(n.alias("next"), (s["i"] + 1).alias("i"), (s["inv"] + x["inv"]).alias("inv"), F.when(new, end["at"]).otherwise(s["end"]).alias("end"), (s["sum"] + more).alias("sum"))
 
         return F.element_at(F.transform(F.array(near), added), 1)
 

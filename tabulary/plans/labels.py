@@ -40,6 +40,22 @@ def search_rank_boosted(spark, d):
     return docs.select("doc_id", F.round(S.rank(F.col("t"), "the is", day, F.lit("2000-06-01").cast("date")), 6).alias("rank"))
 
 
+@query(rf"""WITH {_DOCS}, words AS (SELECT doc_id, unnest(string_split(trim(t), ' ')) AS w, generate_subscripts(string_split(trim(t), ' '), 1) AS pos FROM docs),
+hits AS (SELECT doc_id, pos, w LIKE 'the%' AS a, w LIKE 'is%' AS b, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(CASE WHEN pos <= 8 THEN 1.0 ELSE 5.0 END::DOUBLE) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, CASE WHEN pos <= 8 THEN 1.0 ELSE 5.0 END::DOUBLE AS inv FROM words WHERE w LIKE 'the%' OR w LIKE 'is%'),
+ends AS (SELECT doc_id, pos, k, greatest(min(pos) FILTER (WHERE a) OVER w, min(pos) FILTER (WHERE b) OVER w) AS q,
+  (min(pos) FILTER (WHERE a) OVER w) IS NOT NULL AND (min(pos) FILTER (WHERE b) OVER w) IS NOT NULL AS whole
+  FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+covers AS (SELECT doc_id, q, max(pos) AS p FROM ends WHERE whole GROUP BY doc_id, q)
+SELECT c.doc_id, round(sum((h.k - g.k + 1) / (h.upto - g.upto + g.inv) / (1 + c.q - c.p - (h.k - g.k))), 6) AS density
+FROM covers c JOIN hits h ON h.doc_id = c.doc_id AND h.pos = c.q JOIN hits g ON g.doc_id = c.doc_id AND g.pos = c.p GROUP BY c.doc_id""")
+def search_rank_weighted(spark, d):
+    """The first eight words of a text are its title, the rest its body."""
+    docs = _docs(spark, d).where(S.loose(F.col("t"), "the is"))
+    words = F.split(F.trim("t"), " ")
+    texts = [(F.array_join(F.slice(words, 1, 8), " "), S.CLASS_WEIGHTS["A"]), (F.array_join(F.slice(words, 9, 1 << 30), " "), S.CLASS_WEIGHTS["C"])]
+    return docs.select("doc_id", F.round(S.weighted_density(texts, "the is"), 6).alias("density"))
+
+
 @query("""SELECT o_orderpriority AS topic, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate))::VARCHAR ELSE min(year(o_orderdate)) || '–' || max(year(o_orderdate)) END AS years,
 replace(format('{:,}', count(*)), ',', '.') AS records FROM orders GROUP BY o_orderpriority""")
 def coverage_labels(spark, d):

@@ -9,7 +9,9 @@ from tabulary.functions import summaries as Y
 from tabulary.functions import title_deed as D
 from tabulary.functions import vehicle_import as V
 from tabulary.operators import feeds, linking
+from tabulary.operators import index as I
 from tabulary.operators import search as S
+from tabulary.plans.archive import _DOCS, _FOLD, _postings
 from tabulary.sources.tables import read
 
 QUERIES: dict = {}
@@ -130,10 +132,27 @@ def masked_titles(spark, d):
     return read(spark, d, "documents").select("doc_id", S.overlay_matches(Y.mask_title(F.col("text")), "the der").alias("tokens"))
 
 
-@query(None)
+@query(rf"""WITH {_DOCS}, c AS (SELECT doc_id, string_split(trim(left(trim(regexp_replace(regexp_replace(regexp_replace(text, '[#*`|]', '', 'g'), '-{{2,}}', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), 30720)), ' ') AS p FROM docs WHERE contains(t, ' the') AND contains(t, ' is')),
+f AS (SELECT doc_id, p, list_transform(p, lambda w: regexp_replace({_FOLD.replace("coalesce(text, '')", "w")}, '[^a-z0-9]+', '', 'g')) AS w FROM c),
+h AS (SELECT doc_id, p, w, list_transform(w, lambda x: starts_with(x, 'the')::INT + 2 * starts_with(x, 'is')::INT) AS bits FROM f),
+one AS (SELECT doc_id, unnest(bits) AS b, generate_subscripts(bits, 1) AS pos FROM h),
+hit AS (SELECT doc_id, pos, b FROM one WHERE b > 0),
+near AS (SELECT x.doc_id, x.pos AS s, min(y.pos) FILTER (WHERE y.b & 1 > 0) AS a, min(y.pos) FILTER (WHERE y.b & 2 > 0) AS i FROM hit x JOIN hit y ON x.doc_id = y.doc_id AND y.pos BETWEEN x.pos AND x.pos + 39 GROUP BY ALL),
+best AS (SELECT DISTINCT ON (doc_id) doc_id, s, greatest(coalesce(a, i), coalesce(i, a)) AS e FROM near ORDER BY doc_id, (a IS NULL)::INT + (i IS NULL)::INT, greatest(coalesce(a, i), coalesce(i, a)) - s, s),
+grown AS (SELECT h.*, coalesce(s, 1) AS s, e, list_min(list_filter(range(greatest(1, s - (40 - (e - s + 1)) // 2), s + 1), lambda j: length(w[j]) > 3 OR bits[j] > 0 OR j = s)) AS l FROM h LEFT JOIN best USING (doc_id)),
+ends AS (SELECT *, list_max(list_filter(range(e, least(len(p), l + 39) + 1), lambda j: length(w[j]) > 3 OR bits[j] > 0 OR j = e)) AS r FROM grown)
+SELECT doc_id, CASE WHEN e IS NULL THEN array_to_string(p[1:20], ' ') ELSE array_to_string(list_transform(range(l, r + 1), lambda j: CASE WHEN bits[j] > 0 THEN '<' || p[j] || '>' ELSE p[j] END), ' ') END AS snippet FROM ends""")
 def snippets(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.where(S.strict(S.search_text(F.col("text")), "the")).select("doc_id", S.headline_tokens(S.snippet(F.col("text"), "the")).alias("tokens"))
+    """The best stretch of every document that matches, its matches in angle brackets."""
+    hits = I.find(read(spark, d, "documents"), _postings(spark, d), "doc_id", "the is")
+    return hits.select("doc_id", F.translate(S.snippet(F.col("text"), "the is"), "\u0001\u0002", "<>").alias("snippet"))
+
+
+@query(None)
+def headlines(spark, d):
+    """The same as tokens with their levels."""
+    hits = I.find(read(spark, d, "documents"), _postings(spark, d), "doc_id", "der")
+    return hits.select("doc_id", S.headline_tokens(S.snippet(F.col("text"), "der")).alias("tokens"))
 
 
 @query(None)

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,10 +30,52 @@ def test_blank_and_broken_queries(spark):
 
 def test_snippet_and_tokens(spark):
     text, tokens = spark.range(1).select(S.snippet(F.lit("a b İhalesine girdi"), "ihale").alias("s"), S.headline_tokens(F.lit("x \u0001y\u0002 z\u0001q")).alias("t")).first()
-    assert text == "a b \u0001İhalesine\u0002 girdi"
+    assert text == "\u0001İhalesine\u0002 girdi"
     assert [tuple(t) for t in tokens] == [("x ", 0), ("y", 3), (" z", 0), ("q", 3)]
 
 
+def plain_snippet(text, query, most=40, least=20, short=3):
+    """The rules of ``snippet`` one after the other, for queries of plain words without synonyms."""
+    words = " ".join(text.split()).split(" ")
+    asked = sorted({w for w in S.fold_text(query).split()})
+    fold = ["".join(re.findall("[a-z0-9]+", S.fold_text(w))) for w in words]
+    match = [{q for q in asked if f.startswith(q)} for f in fold]
+    found = []
+    for b in [i for i, m in enumerate(match) if m]:
+        for e in range(b, min(len(words), b + most)):
+            found.append((-len(set().union(*match[b : e + 1])), e - b, b, e))
+    if not found:
+        return " ".join(words[:least])
+    _, _, b, e = min(found)
+    bad = [len(f) <= short and not m for f, m in zip(fold, match, strict=True)]
+    at = max(0, b - (most - (e - b + 1)) // 2)
+    while at < b and bad[at]:
+        at += 1
+    end = min(len(words), at + most) - 1
+    while end > e and bad[end]:
+        end -= 1
+    return " ".join(f"<{w}>" if m else w for w, m in list(zip(words, match, strict=True))[at : end + 1])
+
+
+def test_snippets_take_the_best_stretch(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["an", "su", "İhale", "ihalesi", "kurul", "belediye", "yol,", "b", "büyük-şehir", "(yolu)", "karar"]) for _ in range(rng.choice([0, 1, 5, 30, 90, 200]))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for q in ("ihale", "ihale yol kurul", "yok", "buyuksehir su"):
+        got = {r.id: r.s for r in df.select("id", F.translate(S.snippet(F.col("t"), q), "\u0001\u0002", "<>").alias("s")).collect()}
+        assert got == {i: plain_snippet(t, q) for i, t in enumerate(texts)}
+    assert df.limit(1).select(S.snippet(F.lit(None).cast("string"), "a"), S.snippet(F.lit("x y"), "")).first()[:] == (None, "x y")
+
+
+@pytest.mark.parametrize(("texts", "query", "want"), [
+    ([("a", 1.0), ("b", 0.2)], "a", 1.0), ([("x", 1.0), ("a", 0.2)], "a", 0.2), ([("a", 1.0), ("b", 0.2)], "a b", 2 / (1 + 5)), ([("a x", 1.0), ("y b", 0.2)], "a b", 2 / (1 + 5) / 3),
+    ([("", 1.0), ("a a", 0.4)], "a", 0.8), ([("a", 1.0), (None, 0.2)], "a", 1.0), ([("x", 1.0)], "a", 0.0),
+])
+def test_titles_weigh_more(spark, texts, query, want):
+    got = spark.range(1).select(S.weighted_density([(S.search_text(F.lit(t)), w) for t, w in texts], query)).first()[0]
+    assert got == pytest.approx(want)
+
+
 def test_facets_leave_out_their_own_filter(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "p string, q string")
     got = {tuple(r) for r in S.facets(df, {"p": ["a"], "q": ["x"]}).collect()}
