@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tabulary.operators.merge import merge
+from tabulary.operators import versions
 
 
 def available_now(spark: SparkSession, folder: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], files: int = 100) -> StreamingQuery:
@@ -22,16 +22,15 @@ def available_now(spark: SparkSession, folder: str, schema: str, checkpoint: str
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merging_handler(spark: SparkSession, target: str, keys: list[str], policy: dict[str, str], order: str) -> Callable[[DataFrame, int], None]:
-    """A handler that merges each batch into versions ``target``/v=<batch>; the highest is the table.
+def merging_handler(spark: SparkSession, target: str, keys: list[str], policy: dict[str, str], order: str, buckets: int = versions.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A handler that merges each batch into the versioned table ``target``, as version <batch> + 1.
 
-    A batch that is handled again writes the same version again, so a restart
-    neither loses nor doubles rows.
+    Only the buckets that a batch falls into are written. A batch that is handled again writes
+    the same version again, so a restart neither loses nor doubles rows.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        columns = [c for c in batch.columns if c != order]
-        old = spark.createDataFrame([], batch.select(columns).schema) if number == 0 else spark.read.parquet(f"{target}/v={number - 1}")
-        merge(old, batch, keys, policy, order).drop("__inserted").write.mode("overwrite").parquet(f"{target}/v={number}")
+        schema = batch.select([c for c in batch.columns if c != order]).schema
+        versions.merge_into(target, batch, schema, keys, policy, number + 1, order, buckets)
 
     return handle

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tabulary.operators import lists as L
 from tabulary.operators import merge as M
+from tabulary.operators import versions as V
 
 
 def test_merge_policies(spark):
@@ -45,3 +46,25 @@ def test_queue(spark):
     rows = spark.createDataFrame([(1, "pending", 0, "2025-01-01"), (2, "failed", 1, "2025-01-01"), (3, "failed", 3, "2025-01-01"), (4, "failed", 1, "2025-05-30"), (5, "ok", 0, "2025-01-01")], "id int, status string, tries int, day string")
     queue = M.work_queue(rows.withColumn("day", F.to_date("day")), "status", "tries", "day", F.lit("2025-06-01").cast("date"), [F.desc("id")])
     assert [r.id for r in queue.collect()] == [2, 1]
+
+
+def test_versions_write_what_changed(spark, tmp_path):
+    at, schema = f"{tmp_path}/t", "k int, v string, w string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    first = V.merge_into(at, spark.range(500).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("v"), F.lit(None).cast("string").alias("w")), schema, ["k"], {}, 1, buckets=16)
+    before = files()
+    assert sorted(first) == list(range(16)) and V.table(spark, at, schema).count() == 500
+    two = V.merge_into(at, rows((3, "b", "x"), (900, "n", None)), schema, ["k"], {"v": "new", "w": "prefer_new"}, 2, buckets=16)
+    assert 1 <= len(two) <= 2 and all(files()[p] == t for p, t in before.items())
+    now = {r.k: (r.v, r.w) for r in V.table(spark, at, schema).collect()}
+    assert len(now) == 501 and now[3] == ("b", "x") and now[900] == ("n", None) and now[4] == ("a", None)
+    # An update that changes nothing writes nothing; the same version again gives the same table.
+    assert V.merge_into(at, rows((3, "b", "x")), schema, ["k"], {"v": "new"}, 3, buckets=16) == []
+    assert V.merge_into(at, rows().limit(0), schema, ["k"], {}, 3, buckets=16) == []
+    assert sorted(V.merge_into(at, rows((3, "b", "x"), (900, "n", None)), schema, ["k"], {"v": "new", "w": "prefer_new"}, 2, buckets=16)) == sorted(two)
+    assert {r.k: (r.v, r.w) for r in V.table(spark, at, schema).collect()} == now
+    assert V.table(spark, at, schema, 1).count() == 500 and V.table(spark, at, schema, 0).count() == 0
+    V.replace_in(at, rows((1, "z", None)), ["k"], 4, buckets=16)
+    assert [tuple(r) for r in V.table(spark, at, schema).collect()] == [(1, "z", None)] and V.table(spark, at, schema, 2).count() == 501
+    assert V.forget_before(spark, at, 4) == 16 + len(two) and V.table(spark, at, schema).count() == 1

@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tabulary.operators import feeds
+from tabulary.operators import feeds, versions
 from tabulary.sources import pages as P
 from tabulary.streaming import queue
 
@@ -41,5 +41,5 @@ def test_queue_merges_each_file_once(spark, tmp_path):
         if more:
             spark.createDataFrame(more, schema).coalesce(1).write.parquet(f"{folder}/2")
         queue.available_now(spark, f"{folder}/*", schema, f"{tmp_path}/check", handle).awaitTermination()
-    last = spark.read.parquet(f"{target}/v=1").orderBy("k").collect()
+    last = versions.table(spark, target, "k int, v string").orderBy("k").collect()
     assert [tuple(r) for r in last] == [(1, "a"), (2, "c"), (3, None)]
