@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.functions.gazette import find_references
-from tabulary.functions.labels import parse_circular
+from tabulary.functions.labels import circular_date, circular_title, parse_circular
 from tabulary.functions.text import normalize
 from tabulary.operators import search as S
 from tabulary.operators.lists import earlier_match, first_per
@@ -49,8 +49,31 @@ def cited_records(records: DataFrame) -> DataFrame:
     return refs.join(known, ["ref_type", "ref_number"]).where("id <> cited_id").select("id", "cited_id").distinct()
 
 
-def circular_matches(circulars: DataFrame, records: DataFrame) -> DataFrame:
-    """(url, status, record_id): ``imported`` where a record came from the circular's page, else ``have`` where one
+#: Fixed value: the categories of vacancies.
+VACANCY_CATEGORY = "[iİ]lk-[aA]tama|[yY]ükselme|[öÖ]ğretmenlik"
+_CANCELLED = r"(?i)\(\s*[İIi]ptal\s*\)"
+
+
+def circular_candidates(rows: DataFrame) -> DataFrame:
+    """(url, label, ref_type, ref_number, title, department, category, deadline, cancelled) of a listing's rows
+    (row, circular, category, department, pdf_url, deadline_text).
+
+    Left out are rows whose name is no circular's or of a series without records, without a file or a
+    department, or of another category than vacancies. Of rows that list one circular again the first
+    holds. A cancellation is a mark in the department's name, and is taken out of it; what stands after
+    ``?`` in an address is no part of it. Circulars without a title are left out last.
+    """
+    named = rows.withColumn("c", parse_circular(F.col("circular"))).withColumn("url", F.split_part("pdf_url", F.lit("?"), F.lit(1)))
+    good = named.where(F.col("c.ref_type").isNotNull() & (F.col("url") != "") & F.col("category").rlike(VACANCY_CATEGORY) & (F.col("department") != ""))
+    first = first_per(good.withColumn("label", F.col("c.label")), ["label"], [F.col("row")])
+    bare = F.trim(F.regexp_replace("department", _CANCELLED, ""))
+    made = first.select("url", "label", "c.ref_type", "c.ref_number", circular_title(F.col("label"), bare, F.col("category")).alias("title"), bare.alias("department"), "category",
+                        circular_date(F.col("deadline_text")).alias("deadline"), F.col("department").rlike(_CANCELLED).alias("cancelled"))
+    return made.where("title is not null")
+
+
+def circular_matches(circulars: DataFrame, records: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, url, status, record_id): ``imported`` where a record came from the circular's page, else ``have`` where one
     record has its reference or names it at its head (column ``head``, if there is one), ``ambiguous`` where several
     do, else ``missing``.
 
@@ -65,7 +88,7 @@ def circular_matches(circulars: DataFrame, records: DataFrame) -> DataFrame:
     by_ref = known.groupBy("ref_type", "ref_number").agg(F.min("id").alias("one"), F.count("*").alias("n"))
     joined = circulars.join(by_url, "url", "left").join(by_ref, ["ref_type", "ref_number"], "left")
     status = F.when(F.col("own").isNotNull(), "imported").when(F.col("n") == 1, "have").when(F.col("n") > 1, "ambiguous").otherwise("missing")
-    return joined.select("url", status.alias("status"), F.when(status.isin("imported", "have"), F.coalesce("own", "one")).alias("record_id"))
+    return joined.select(*(keep or []), "url", status.alias("status"), F.when(status.isin("imported", "have"), F.coalesce("own", "one")).alias("record_id"))
 
 
 def alert_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from tabulary.operators import lists as L
 from tabulary.operators import merge as M
 from tabulary.operators import pages as P
 from tabulary.operators import search as S
-from tabulary.sources.stored import derived
+from tabulary.operators import versions as V
+from tabulary.sources.stored import derived, scratch
 from tabulary.sources.tables import read
 
 QUERIES: dict = {}
@@ -316,6 +317,18 @@ def merge_upsert(spark, d):
     return done.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), "o_orderstatus", "o_orderpriority", F.col("__inserted").alias("inserted"))
 
 
+@query(SQL["merge_upsert"].replace(", t.o_orderkey IS NULL AS inserted", ""))
+def versioned_merge(spark, d):
+    """The same merge into a stored table, of which only the buckets that updates fall into are written again."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    news = o.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, "NEW").alias("o_orderpriority"))
+    target = scratch(spark, "orders")
+    V.write(o.where("o_orderkey % 3 <> 0"), target, ["o_orderkey"], 1)
+    V.merge_into(target, news, o.schema, ["o_orderkey"], {"o_totalprice": "new", "o_orderpriority": "prefer_new"}, 2)
+    done = V.table(spark, target, o.schema)
+    return done.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 <> 0 AND c_custkey % 3 = 0")
 def insert_ignore(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_name")

@@ -145,6 +145,27 @@ def circular_matches(spark, d):
     return linking.circular_matches(circulars, records)
 
 
+@query(r"""WITH k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'mia' WHEN c_custkey % 3 = 1 THEN 'khkmt' END AS ref_type, (c_custkey % 70) || '/2025' AS ref_number, CASE WHEN c_custkey % 9 = 0 THEN 'https://f/' || c_custkey || '.pdf' END AS url, 'mia. ' || (c_custkey % 90) || ' / 2025 ve' AS head FROM customer),
+r AS (SELECT o_orderkey AS row, o_orderkey % 900 AS n, ['mia', 'khkmt', NULL, NULL][o_orderkey % 4 + 1] AS ref_type, ['MİA', 'MT', 'YD', ''][o_orderkey % 4 + 1] AS series, o_custkey % 5 < 3 AS vacancy, CASE WHEN o_custkey % 13 > 0 THEN 'Tapu ' || (o_custkey % 7) END AS department, o_orderkey % 11 = 0 AS cancelled, 'https://f/' || (o_custkey % 800) || '.pdf' AS url, o_orderkey % 17 > 0 AS filed FROM orders),
+c AS (SELECT DISTINCT ON (series, n) row, series || '.' || n || '/2025' AS label, ref_type, n || '/2025' AS ref_number, n, department, cancelled, url FROM r WHERE ref_type IS NOT NULL AND vacancy AND filed AND department IS NOT NULL ORDER BY series, n, row),
+m AS (SELECT c.label, count(k.id) AS found, min(k.id) AS one FROM c LEFT JOIN k ON (k.ref_type = c.ref_type AND k.ref_number = c.ref_number) OR (c.ref_type = 'mia' AND k.id % 90 = n) GROUP BY 1),
+o AS (SELECT url, min(id) AS id FROM k WHERE url IS NOT NULL GROUP BY 1)
+SELECT c.label, c.url, department, cancelled, CASE WHEN o.id IS NOT NULL THEN 'imported' WHEN found = 1 THEN 'have' WHEN found > 1 THEN 'ambiguous' ELSE 'missing' END AS status, CASE WHEN o.id IS NOT NULL THEN o.id WHEN found = 1 THEN one END AS record_id FROM c JOIN m USING (label) LEFT JOIN o ON o.url = c.url""")
+def circular_listing(spark, d):
+    """Listings made of the orders: repeats, cancellations, other categories, rows without file or department."""
+    key, row, cust = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    records = read(spark, d, "customer").select(key.alias("id"), F.when(key % 3 == 0, "mia").when(key % 3 == 1, "khkmt").alias("ref_type"), F.concat((key % 70).cast("string"), F.lit("/2025")).alias("ref_number"),
+                                                F.when(key % 9 == 0, F.concat(F.lit("https://f/"), key, F.lit(".pdf"))).alias("source_url"), F.concat(F.lit("mia. "), (key % 90).cast("string"), F.lit(" / 2025 ve")).alias("head"))
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    rows = read(spark, d, "orders").select(
+        row.alias("row"), F.concat(pick(("MİA. ", "mt.", "YD ", "Duyuru "), row % 4), row % 900, F.lit(" / 2025")).alias("circular"), pick(("2025 İlk-Atama", "Yükselme", "öğretmenlik", "Sözleşmeli", "Sınav"), cust % 5).alias("category"),
+        F.when(cust % 13 > 0, F.concat(F.lit("Tapu "), cust % 7, F.when(row % 11 == 0, " ( İptal )").otherwise(""))).otherwise("").alias("department"),
+        F.when(row % 17 > 0, F.concat(F.lit("https://f/"), cust % 800, F.lit(".pdf?ver="), row)).alias("pdf_url"), F.lit("1.2.2025").alias("deadline_text"))
+    found = linking.circular_candidates(rows)
+    status = linking.circular_matches(found.select("url", "label", "ref_type", "ref_number"), records, ["label"])
+    return found.join(status, ["label", "url"]).select("label", "url", "department", "cancelled", "status", "record_id")
+
+
 @query(r"""WITH p AS (SELECT o_custkey AS issue, o_orderkey AS number, CASE o_orderkey % 3 WHEN 0 THEN 'Sayı : ' WHEN 1 THEN 'SAYI:' ELSE 'sayı  :  ' END || o_orderkey || chr(10) || repeat('metin' || (o_orderkey % 7) || ' ', (o_orderkey % 12)::INT) || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN chr(12) ELSE '' END AS piece FROM orders)
 SELECT issue, number::VARCHAR AS ref_number, CASE WHEN length(regexp_replace(piece, '\s+$', '')) > 40 THEN regexp_replace(piece, '\s+$', '') END AS body,
   (1 + coalesce(sum((number % 4 = 0)::INT) OVER (PARTITION BY issue ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS page_from FROM p""")

@@ -54,10 +54,15 @@ def derived(spark: SparkSession, name: str, rows: DataFrame, make: Callable[[Dat
     return spark.read.schema(table.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for this application, that ``forget`` removes too."""
+    return f"{_folder(spark)}/kept-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df``, written for this application and read back: lineage ends there, and its partitions stay as they are."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/kept-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
