@@ -50,7 +50,7 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(head, term, block, ids, ends, places) of folded texts (``search.search_text``), to be stored by ``head``.
 
     A row has the ids of the texts of a block that have the word, one after the other where in each it
-    stands, and where in these places each text's end. A block is some ``BLOCK_BYTES`` of one partition's
+    stands, and where in these places each text's end (null if it stands once in each). A block is some ``BLOCK_BYTES`` of one partition's
     texts, or one longer text."""
     rows = texts.select(F.col(id_col).alias("id"), F.trim(text_col).alias("text"))
     key = rows.schema["id"].dataType
@@ -69,8 +69,8 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), *lists], names=schema.names)
                 lo, block = hi, block + 1
 
-    made = rows.mapInArrow(run, schema).withColumn("head", F.left("term", F.lit(1)))
-    return made.repartitionByRange("head", "term", "block").sortWithinPartitions("head", "term", "block")
+    made = rows.mapInArrow(run, schema).repartitionByRange("term", "block")
+    return made.withColumn("head", F.left("term", F.lit(1))).sortWithinPartitions("head", "term", "block")
 
 
 def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, ...]:
@@ -91,8 +91,11 @@ def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, ...]:
     edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
     upto = np.append(first, len(place))
     ends = upto[1:] - np.repeat(upto[edge[:-1]], np.diff(edge))
+    once = np.add.reduceat(np.diff(upto) > 1, edge[:-1]) == 0 if len(code) else np.zeros(0, bool)
+    ends, size = ends[~np.repeat(once, np.diff(edge))], np.where(once, 0, np.diff(edge))
+    ended = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(once, False)), pa.array(ends.astype(np.int32)))
     listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
-    return coded.dictionary.take(pa.array(code[edge[:-1]])), listed(edge, ids.take(pa.array(doc))), listed(edge, pa.array(ends.astype(np.int32))), listed(upto[edge], pa.array(place))
+    return coded.dictionary.take(pa.array(code[edge[:-1]])), listed(edge, ids.take(pa.array(doc))), ended, listed(upto[edge], pa.array(place))
 
 
 def _ways(words: tuple[str, ...], synonyms: tuple) -> list[tuple[Token, ...]]:
@@ -158,8 +161,9 @@ def find(texts: DataFrame, stored: DataFrame, id_col: str, query: str | None, ne
     tokens = sorted({t for leaf in _leaves(node) for run in _ways(leaf.words, SYNONYMS + BRIDGES) for t in run})
     is_one = lambda t: F.col("term").startswith(t.text) if t.prefix else F.col("term") == t.text
     sought = stored.where(F.col("head").isin(sorted({t.text[0] for t in tokens})) & reduce(lambda a, b: a | b, map(is_one, tokens)))
-    begin = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
-    texts_of = sought.select("term", "ends", "places", F.posexplode("ids").alias("i", "id")).select("term", "id", F.slice("places", begin + 1, F.get("ends", F.col("i")) - begin).alias("places"))
+    begin = F.when(F.col("ends").isNull(), F.col("i")).when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
+    end = F.coalesce(F.get("ends", F.col("i")), F.col("i") + 1)
+    texts_of = sought.select("term", "ends", "places", F.posexplode("ids").alias("i", "id")).select("term", "id", F.slice("places", begin + 1, end - begin).alias("places"))
     each = texts_of.select("id", "places", F.explode(F.array_compact(F.array(*(F.when(is_one(t), F.lit(k)) for k, t in enumerate(tokens))))).alias("k"))
     gathered = each.groupBy("id").agg(*(F.array_sort(F.flatten(F.collect_list(F.when(F.col("k") == k, F.col("places"))))).alias(f"p{k}") for k in range(len(tokens))))
     none = F.array().cast("array<int>")
