@@ -496,7 +496,11 @@ def test_decontamination_random(spark):
     texts += [words(rng.randint(0, 60), rng.choice((3, 40, 300))) + " " + (rng.choice(items)[1] or "") + "\n" + words(rng.randint(0, 60), 300) for _ in range(60)]
     texts.append(words(800_000, 100_000) + " " + items[7][1] + " " + items[-3][1] + " " + words(50_000, 9))  # a block of its own
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = decontam.find_phrases(docs, spark.createDataFrame(items, "item_id long, text string"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_phrases(docs, benchmark)
+    index = decontam.build_index(docs)
+    parted = decontam._all_texts(index, decontam.phrases(decontam.find(index, benchmark, slop=None, part_bytes=20_000)))
+    assert taken(parted, "doc_id", "n_words", "hits", "items") == taken(found, "doc_id", "n_words", "hits", "items")
     got = ordered((r.doc_id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), brute.sha(",".join(r["items"]))) for r in found.collect())
     want = brute.contamination(list(enumerate(texts)), items)
     assert len(texts[-1]) > decontam.BLOCK_BYTES and want[-1][2] > 0
@@ -529,6 +533,13 @@ def test_decontamination_keeps_items_without_id(spark, pairs, tmp_path):
     assert not {5, 6} & {r.doc_id for r in decontam.clean_stage(spark, docs, at).collect()}
 
 
+def test_proximity_of_frequent_terms(spark):
+    docs = spark.createDataFrame([(i, "the end of " * 667) for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the end"), (3, "end")], "item_id long, text string")
+    got = decontam.find_near(docs, items).groupBy("item", (F.col("end") - F.col("begin")).alias("size")).count().collect()
+    assert {(r.item, r.size, r["count"]) for r in got} == {("1", 1, 40 * 667), ("2", 2, 40 * 667), ("3", 1, 40 * 667)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x Alpha y beta gamma z"), (2, "alpha " + "q " * 20 + "beta gamma"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "gamma beta alpha"), (8, "zeta")], "item_id long, text string")
