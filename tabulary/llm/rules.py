@@ -4,15 +4,15 @@ Each document becomes a vector of transformed statistics: mean word length, and
 the square roots of its symbol, repeated-line and repeated-word shares. For each
 (lang, source) the minimum covariance determinant of three quarters of the
 vectors is sought by concentration steps from two deterministic starts, the
-coordinate medians and the plain moments; the start that ends with the smaller
-determinant gives centre and scatter. A document is rejected if its squared
+coordinate medians and the plain moments, each until its determinant falls no more; the
+start that ends with the smaller determinant gives centre and scatter. A document is rejected if its squared
 Mahalanobis distance passes the 0.9999 quantile of chi-squared.
 
 All of it is DataFrame work. A step sums moments per (group, start, distance
 bin): bins are few, so a hot group is folded on the map side. The subset is the lowest
 bins that hold three quarters; the last of them counts by the share of it that is needed, so
 that every subset has the same size, however many rows tie, and determinants can be
-compared. Shares are mostly zero, so each variance gets a fixed floor (a regularised
+compared. Shares are mostly zero, so each variance gets a floor, a parameter (a regularised
 determinant), which also keeps the matrices of small or constant groups invertible. With
 these floors no single share can reject a document that passes the base rules by a
 repeated-word share alone; several together can.
@@ -33,10 +33,11 @@ from tabulary.llm.arrowmap import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 VECTOR = ("x0", "x1", "x2", "x3")
-#: Variance floor of each coordinate.
+#: Variance floor of each coordinate: what varies less than this is taken to vary so much.
 FLOOR = (0.16, 0.0035, 0.03, 0.03)
 SUBSET = 0.75
-STEPS = 4
+#: A start has settled when a step lowers the logarithm of its determinant by no more than this; the most steps.
+SETTLED, MOST_STEPS = 1e-6, 100
 #: chi-squared with 4 degrees of freedom: quantiles 0.75 and 0.9999.
 CHI2_SUBSET, CHI2_CUT = 5.385, 23.513
 _BINS = 32
@@ -107,13 +108,13 @@ def _resum() -> list[Column]:
     return [F.sum(F.col("n") * F.col("part")).alias("n"), *(F.sum(F.col(c) * F.col("part")).alias(c) for c in names)]
 
 
-def _estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
+def _estimate(sums: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
     """Centre m0 .., lower Cholesky factor c00 .. of the floored covariance, log determinant."""
     means = sums.select(*keys, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(4)), *(f"s{i}{j}" for i in range(4) for j in range(i + 1)))
     cov = {}
     for i in range(4):
         for j in range(i + 1):
-            cov[f"v{i}{j}"] = F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOOR[i] if i == j else 0.0)
+            cov[f"v{i}{j}"] = F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(floor[i] if i == j else 0.0)
     out = means.withColumns(cov)
     for j in range(4):
         inner = lambda i, j: sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(j)), F.lit(0.0))
@@ -140,27 +141,47 @@ def _near(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, on).drop(*(f"__{k}" for k in keys))
 
 
-def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _medians(rows: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
     """Start from coordinate medians (by bins of a hundredth), with the floors as scatter."""
     long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(x) * 100).alias("b")) for i, x in enumerate(VECTOR)))))
     at = long.groupBy(*keys, "i").agg((F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)") / 100).alias("m"))
     wide = at.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(4)))
-    chol = [F.lit(FLOOR[i] ** 0.5 if i == j else 0.0).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
+    chol = [F.lit(floor[i] ** 0.5 if i == j else 0.0).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)]
     return wide.select(*keys, *(f"m{i}" for i in range(4)), *chol, F.lit(0.0).alias("log_det"))
 
 
-def robust_estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """Per group of ``keys``: centre, Cholesky factor, and ``scale`` of the distances."""
-    plain = _estimate(rows.groupBy(*keys).agg(*_moments()), keys)
-    now = _medians(rows, keys).withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1)))
-    for k in range(steps):
-        now = written(now, f"estimate{k}")
-        placed = _near(rows, now, keys).withColumn("d2", _distance()).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * _BINS))
-        sums = placed.groupBy(*keys, "start", "bin").agg(*_moments())
-        w = Window.partitionBy(*keys, "start")
-        ranked = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
-        core = ranked.where(F.col("before") < SUBSET * F.col("all")).withColumn("part", F.least(F.lit(1.0), (SUBSET * F.col("all") - F.col("before")) / F.col("n")))
-        now = _estimate(core.groupBy(*keys, "start").agg(*_resum()), [*keys, "start"])
+def _step(rows: DataFrame, now: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
+    """One concentration step of each (group, start) of ``now``: the moments of the nearest three quarters."""
+    placed = _near(rows, now.drop("log_det"), keys).withColumn("d2", _distance()).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * _BINS))
+    sums = placed.groupBy(*keys, "start", "bin").agg(*_moments())
+    w = Window.partitionBy(*keys, "start")
+    ranked = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
+    core = ranked.where(F.col("before") < SUBSET * F.col("all")).withColumn("part", F.least(F.lit(1.0), (SUBSET * F.col("all") - F.col("before")) / F.col("n")))
+    return _estimate(core.groupBy(*keys, "start").agg(*_resum()), [*keys, "start"], floor)
+
+
+def _settled(rows: DataFrame, starts: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
+    """Each (group, start) after as many steps as its determinant needs to fall no more.
+
+    Groups that have settled take no part in further steps.
+    """
+    now, done = written(starts.withColumn("log_det", F.lit(float("inf"))), "starts"), None
+    for _ in range(MOST_STEPS):
+        was = now.select(*keys, "start", F.col("log_det").alias("was"))
+        now = written(_near(_step(rows, now, keys, floor), was, [*keys, "start"]), "estimates")
+        falls = F.col("was") - F.col("log_det") > SETTLED
+        still = now.where(~falls).drop("was")
+        done = still if done is None else done.unionByName(still)
+        now = now.where(falls).drop("was")
+        if now.isEmpty():
+            break
+    return done.unionByName(now)
+
+
+def robust_estimates(rows: DataFrame, keys: list[str], floor: tuple[float, ...] = FLOOR) -> DataFrame:
+    """Per group of ``keys``: centre, Cholesky factor, and ``scale`` of the distances; ``floor`` is added to the variances."""
+    plain = _estimate(rows.groupBy(*keys).agg(*_moments()), keys, floor)
+    now = _settled(rows, _medians(rows, keys, floor).withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))), keys, floor)
     fields = [c for c in now.columns if c not in keys and c != "log_det"]
     best = written(now.groupBy(*keys).agg(F.min(F.struct("log_det", *fields)).alias("b")).select(*keys, "b.*"), "best")
     bins = _near(rows, best, keys).groupBy(*keys, F.floor(F.log(_distance() + 1e-6) * _BINS).alias("bin")).agg(F.count("*").alias("n"))
@@ -171,11 +192,12 @@ def robust_estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> Da
     return written(_near(best, scale, keys), "robust")
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), keys: tuple[str, ...] = ("lang", "source"),
+          floor: tuple[float, ...] = FLOOR) -> DataFrame:
     """``keep`` columns with the statistics of each document, ``distance`` (squared, scaled;
     null for documents that fail the base rules) and ``kept``."""
     rows = written(with_statistics(docs, text_col, keep), "statistics")
-    found = robust_estimates(rows.where("not base_failed"), list(keys))
+    found = robust_estimates(rows.where("not base_failed"), list(keys), floor)
     passed = _near(rows.where("not base_failed"), found, list(keys)).select(*rows.columns, (_distance() / F.col("scale")).alias("distance"))
     failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
     return passed.unionByName(failed).withColumn("kept", F.coalesce(F.col("distance") <= CHI2_CUT, F.lit(False)))

@@ -146,7 +146,7 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat)
 
 
-def robust_distances(x, floor, bins, steps=4, share=0.75, median=5.385):
+def robust_distances(x, floor, bins, share=0.75, median=5.385, settled=1e-6, most=100):
     """Squared, scaled distances of a group's vectors from its minimum covariance determinant estimate."""
     x, floor = np.array(x, float), np.diag(floor)
 
@@ -159,7 +159,8 @@ def robust_distances(x, floor, bins, steps=4, share=0.75, median=5.385):
 
     starts = []
     for centre, scatter in ((np.array([np.sort(np.floor(c * 100 + 0.5))[(len(c) + 1) // 2 - 1] / 100 for c in x.T]), floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
-        for _ in range(steps):
+        det = np.inf
+        for _ in range(most):
             b, weight, before = binned(spread(centre, scatter)), np.zeros(len(x)), 0
             for k in np.unique(b):
                 n = (b == k).sum()
@@ -168,6 +169,9 @@ def robust_distances(x, floor, bins, steps=4, share=0.75, median=5.385):
             weight /= weight.sum()
             centre = weight @ x
             scatter = (x - centre).T @ ((x - centre) * weight[:, None]) + floor
+            det, was = np.log(np.linalg.det(scatter)), det
+            if was - det <= settled:
+                break
         starts.append((np.log(np.linalg.det(scatter)), len(starts), centre, scatter))
     _, _, centre, scatter = min(starts)
     d2 = spread(centre, scatter)

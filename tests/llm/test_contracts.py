@@ -1,6 +1,7 @@
 """Each operator's query against a plain version, over rows with nulls, blanks, copies and ties."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -183,6 +184,31 @@ def test_rules_judge_like_a_plain_determinant(spark):
     assert len(groups) == 3 and 10 < apart < 300
 
 
+def test_rules_find_the_least_determinant(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    groups, floor = {}, (0.01, 0.01, 0.01, 0.01)
+    for g in range(6):
+        x = rng.normal(0, 1, (12, 4)) * rng.uniform(0.3, 1.5, 4) + rng.uniform(-2, 2, 4)
+        x[: g % 4] += rng.uniform(4, 9, 4)
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "lang int, x0 double, x1 double, x2 double, x3 double")
+    got = {r.lang: r for r in rules.robust_estimates(rows, ["lang"], floor).collect()}
+    exact = 0
+    for g, x in groups.items():
+        least = min((np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) + np.diag(floor))[1], s) for s in itertools.combinations(range(12), 9))
+        found = 2 * sum(math.log(got[g][f"c{i}{i}"]) for i in range(4))
+        assert least[0] - 1e-9 <= found <= least[0] + 0.7
+        exact += found < least[0] + 1e-6
+        if g % 4:
+            assert not set(least[1]) & set(range(g % 4))
+            assert all(abs(got[g][f"m{i}"] - x[g % 4 :, i].mean()) < 0.8 for i in range(4))
+    assert exact >= 3
+
+
 def test_rules_reject_what_lies_apart(spark):
     rng = random.Random(4)
     clean = [(i, " ".join(f"word{rng.randint(0, 4000)}" for _ in range(rng.randint(60, 200)))) for i in range(300)]
