@@ -1,8 +1,8 @@
 """Licence scans: blocks of text against licence templates, by Dice over word bigrams.
 
 A block is a line, a sentence, a paragraph (lines up to one without letters and digits) or
-a whole text. Sentences end at a full stop, colon or semicolon before white space, also
-within a line, and run over line ends; so a notice within a paragraph is found, and a
+a whole text. Sentences end at a full stop or semicolon before white space, or at a colon
+that ends a line, also within a line, and run over line ends; so a notice within a paragraph is found, and a
 licence without paragraphs is found by its sentences. Blocks and templates are normalised
 alike: lower case, runs of a-z and 0-9 as words. A template of several paragraphs or
 sentences is compared as a whole and by each of them.
@@ -46,7 +46,15 @@ _GPL_TAIL = """This program is distributed in the hope that it will be useful, b
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
-#: Public licences, whole where they are short, else their notices. Blank lines part paragraphs.
+#: Licences and their identifiers in source files.
+SPDX = (
+    ("apache-2.0", ("Apache-2.0",)), ("mit", ("MIT",)), ("gpl-2.0", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")), ("gpl-3.0", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")),
+    ("lgpl-2.1", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later")), ("lgpl-3.0", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")), ("bsd-2-clause", ("BSD-2-Clause",)),
+    ("bsd-3-clause", ("BSD-3-Clause",)), ("mpl-2.0", ("MPL-2.0",)), ("isc", ("ISC",)), ("unlicense", ("Unlicense",)), ("cc-by-4.0", ("CC-BY-4.0",)), ("cc-by-sa-4.0", ("CC-BY-SA-4.0",)),
+    ("cc-by-nc-4.0", ("CC-BY-NC-4.0",)), ("cc0-1.0", ("CC0-1.0",)),
+)
+
+#: Public licences, whole where they are short, else their notices and openings. Blank lines part paragraphs.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
@@ -81,9 +89,33 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    # Openings of long licences: their paragraphs and sentences tell the whole text.
+    ("apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
+
+"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.
+
+"Legal Entity" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity. For the purposes of this definition, "control" means (i) the power, direct or indirect, to cause the direction or management of such entity, whether by contract or otherwise, or (ii) ownership of fifty percent (50%) or more of the outstanding shares, or (iii) beneficial ownership of such entity."""),
+    ("gpl-3.0", """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+
+The GNU General Public License is a free, copyleft license for software and other kinds of works.
+
+The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users. We, the Free Software Foundation, use the GNU General Public License for most of our software; it applies also to any other work released this way by its authors."""),
+    ("gpl-2.0", "This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it. (Some other Free Software Foundation software is covered by the GNU Lesser General Public License instead.)"),
+    ("lgpl-2.1", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it. You can use it too, but we suggest you first think carefully about whether this license or the ordinary General Public License is the better strategy to use in any particular case, based on the explanations below."),
+    ("lgpl-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("lgpl-3.0", "The Library refers to a covered work governed by this License, other than an Application or a Combined Work as defined below."),
+    ("mpl-2.0", """"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."""),
+    ("mpl-2.0", """"Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."""),
+    ("mit", "is licensed under the terms of the MIT license"),
+    ("mit", "is licensed under the MIT License - see the LICENSE file for details"),
+    ("apache-2.0", "is licensed under the terms of the Apache License, Version 2.0"),
+    ("bsd-3-clause", "is licensed under the terms of the BSD 3-Clause License"),
+    *((name, f"SPDX-License-Identifier: {mark}") for name, marks in SPDX for mark in marks),
 )
 _PARAGRAPH = r"\n[^A-Za-z0-9\n]*\n"
-_SENTENCE_END = r"(?<=[.:;])\s+"
+_SENTENCE_END = r"(?<=[.;])\s+|(?<=:)\s*\n\s*"
 #: Least words of a template's sentence that is compared by itself: shorter ones are found in other texts too.
 _LEAST_WORDS = 12
 
@@ -200,7 +232,7 @@ WITH templates(k, licence, grams) AS (VALUES {rows}),
 blocks AS (
   SELECT doc_id, unnest(list_distinct(list_filter(
     list_concat(string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\n[^A-Za-z0-9\n]*\n'),
-      string_split(regexp_replace(coalesce(text, ''), '([.:;])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), [coalesce(text, '')]),
+      string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.;])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), ':[ \t\x0B\f\r]*\n[ \t\n\x0B\f\r]*', ':' || chr(1), 'g'), chr(1)), [coalesce(text, '')]),
     lambda x: regexp_matches(x, '[A-Za-z0-9]')))) AS block
   FROM documents
 ), words AS (

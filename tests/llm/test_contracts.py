@@ -314,6 +314,21 @@ def test_licences(spark):
             assert (m in licences.size_bounds(n, 0.8)) == (best >= 0.8 - 1e-12), (n, m, len(a))
 
 
+def test_licences_are_told_apart(spark):
+    whole = "\n\n".join(t for n, t in licences.TEMPLATES if t.startswith("GNU GENERAL PUBLIC LICENSE Version 3"))
+    texts = {
+        "This project is licensed under the terms of the MIT license.": {"mit"}, "// SPDX-License-Identifier: MIT\nint main() {}": {"mit"}, "# SPDX-License-Identifier: ISC": {"isc"},
+        "SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-3.0"}, "SPDX-License-Identifier: GPL-2.0-only": {"gpl-2.0"}, "SPDX-License-Identifier: BSD-2-Clause": {"bsd-2-clause"},
+        "x\n\n\"Licensor\" shall mean the copyright owner or entity authorized by\nthe copyright owner that is granting the License.\n\ny": {"apache-2.0"},
+        "Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.": {"gpl-3.0"},
+        "The widget project is licensed under the terms of the Apache License, Version 2.0.": {"apache-2.0"}, "SPDX identifies a license by its identifier.": set(),
+        "The parties are licensed under the terms of the agreement.": set(), "a" * 10 + " word" * 250_000 + "\n\n" + whole: {"gpl-3.0"},
+    }
+    got = licences.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len(max(texts, key=len)) > 1 << 20
+    assert {r.text: {m.licence for m in r.matches} for r in got} == texts
+
+
 def test_language_model(spark, folder, pairs):
     got = ordered((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.op7_lm(spark, folder).collect())
     want = brute.language_model(pairs)
