@@ -14,7 +14,7 @@ and equal stretches own equal anchors at equal places. That makes the join exact
 No pairs are made, and words are not compared one by one: the hashes of the stretches
 around a shared anchor take the place of a word-by-word extension, and a run of
 neighbouring stretches that all have their like is a maximal repeat. An anchor of n
-occurrences, if more than ``CROWD``, is split over the square root of n salts. Within a
+occurrences, in one text or many, if more than ``CROWD``, is split over the square root of n salts. Within a
 salt, a stretch that meets its like is settled; one that does not is sent on to a second
 round by its own hash, with one witness per hash of each salt. So both rounds hold about
 the square root of n rows of any anchor or stretch.
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.llm import bytewords as bw
-from tabulary.llm.arrowmap import held_until_done
+from tabulary.llm.arrowmap import held_until_done, written
 
 LENGTH = 35
 ANCHOR = 12
@@ -164,22 +164,25 @@ def _settled(part, row: np.ndarray, start: np.ndarray, many: np.ndarray) -> Iter
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``rows`` rows, cut between values of the sorted keys."""
+    """Batches of about ``rows`` rows, cut between values of the sorted keys; each row is copied once."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in held_until_done(batches):
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
+        if not batch.num_rows:
             continue
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        differs = np.zeros(table.num_rows - 1, bool)
-        for key in keys:
-            k = table.column(key).to_numpy()
-            differs |= k[1:] != k[:-1]
-        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-        if cut:
-            yield table.slice(0, cut)
-        held = [table.slice(cut)]
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for k in columns:
+            new[1:] |= k[1:] != k[:-1]
+        new[0] = last is not None and any(k[0] != x for k, x in zip(columns, last, strict=True))
+        last = [k[-1] for k in columns]
+        if sum(b.num_rows for b in held) + batch.num_rows >= rows and new.any():
+            cut = int(np.flatnonzero(new)[-1])
+            if held or cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -257,11 +260,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     places = seeds.join(known.select("a"), "a", "left_semi").select("t", F.shiftright("at", 32).alias("nb"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     places = places.groupBy(*_KEY).agg(F.collect_list("place").alias("places"))
     wide = texts.select(*_KEY, "text").join(places, _KEY).mapInArrow(_extend(length, anchor), "a long, t long, nb long, first int, hashes binary")
-    salted = wide.join(crowded, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("t", "nb"), F.col("salts")), F.lit(0)).cast("int"))
+    salted = wide.join(crowded, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("t", "nb", "first"), F.col("salts")), F.lit(0)).cast("int"))
     salted = salted.select("a", "salt", F.col("salts").isNotNull().alias("salted"), "t", "nb", "first", "hashes")
     met = salted.repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_meet, _MET)
     more = met.where("hash is not null").repartition("hash").sortWithinPartitions("hash").mapInArrow(_second, _MET)
     found = met.where("hash is null").unionByName(more).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    found = written(found, "spans")
     full = texts.join(found, _KEY, "left").select(*_KEY, "copies", "text", F.coalesce("spans", F.array().cast("array<struct<first:int,n:int>>")).alias("spans"))
     done = full.mapInArrow(_cut(length), "t long, nb long, n_words long, n_removed long, kept_sha256 string, repeats array<int>")
     return keyed.select("id", *_KEY).join(done, _KEY).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "repeats")

@@ -40,6 +40,30 @@ def test_substrings_random(spark):
         assert got == ordered(brute.substrings(texts, 8))
 
 
+def test_substrings_of_one_long_text(spark):
+    rng = random.Random(21)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(300_000)]
+    passage = " ".join(words[:60])
+    long = " ".join(" ".join(words[i : i + 900]) + " " + passage for i in range(60, 270_000, 900))
+    texts = [(1, long), (2, "x " + passage), (3, "la " * 30_000), (4, " ".join(words[5:25]))]
+    assert len(long) > 1 << 20
+    got = taken(substrings.repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), crowd=16), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.substrings(texts))
+
+
+def test_runs_are_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 5000)) // 3
+    rest = rng.integers(0, 9, 5000)
+    batches = [pa.record_batch({"k": keys[a : a + 70], "v": rest[a : a + 70]}) for a in range(0, 5000, 70)]
+    parts = list(substrings._whole_runs(iter(batches), ("k",), rows=200))
+    assert np.array_equal(np.concatenate([p.column("v").to_numpy() for p in parts]), rest) and len(parts) > 5
+    assert all(a.column("k")[-1] != b.column("k")[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_fingerprints(spark, folder, pairs):
     got = taken(simhash.op2_simhash(spark, folder), "doc_id", "fingerprint", "component_id")
     prints = [brute.fingerprint(t) for _, t in pairs]
