@@ -8,8 +8,11 @@ bytes; labels, language, source and id are never among them.
 Defined results: null and empty texts have all statistics zero and are scored
 like any other; of repeated labels of one id the least holds; labels that are
 null or whose document is missing teach nothing; without labels of both kinds
-every score is the share of label 1 (a half without labels). Input columns named
-like an output column are replaced.
+every score is the share of label 1 (a half without labels). Of labelled documents with
+equal hashes that the sample cannot all take, the least ids are taken; rows with equal texts
+have equal scores, and repeated rows stay. A very long text is measured whole, as a slice of
+its own; an empty table gives no rows. Input columns named like an output column are
+replaced.
 """
 
 from __future__ import annotations

@@ -208,6 +208,24 @@ def test_rules_judge_like_a_plain_determinant(spark):
     assert len(groups) == 3 and 10 < apart < 300
 
 
+def test_quality_and_rules_of_very_long_texts(spark):
+    import collections
+
+    rng = random.Random(31)
+    words = [f"Word{rng.randrange(90_000)}" for _ in range(150_000)]
+    long = "\n".join(" ".join(words[i : i + 50]) for i in range(0, 150_000, 50)) + "\n" + " ".join(words[:50]) + " # end"
+    assert len(long) > 1 << 20
+    df = spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    w = long.split()
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    marked = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    assert (got[1].n_words, got[1].n_symbols, got[1].n_dup_lines, got[1].n_repeat_words) == (len(w), 1, 0, len(marked)) and got[1].distance == got[2].distance
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    scored = quality.add_score(df, quality.fit(df, none)).collect()
+    assert len(scored) == 3 and scored[0].score == scored[1].score
+
+
 def test_rules_find_the_least_determinant(spark):
     import itertools
 
