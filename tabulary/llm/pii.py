@@ -102,7 +102,8 @@ def trained(table: list[tuple[list[str], list[str]]] | None = None) -> crf.Model
 
 
 def _field_spans(model: crf.Model, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
-    """Names and addresses of a slice's texts, by row and in order; spans count code points."""
+    """Names and addresses of a slice's texts, by row and in order; spans count code points. One that
+    begins with the word it ends with, as repeated words do, is none."""
     t = crf.tokens(data, offsets, model.lexicon)
     label = model.decode(t)
     hot = np.flatnonzero(label)
@@ -119,11 +120,20 @@ def _field_spans(model: crf.Model, data: np.ndarray, offsets: np.ndarray) -> dic
     head = np.flatnonzero(~joins)
     last = np.append(head[1:], len(hot)) - 1
     out: dict[int, list[tuple[str, int, int]]] = {}
-    for d, k, a, b in zip(doc[head].tolist(), kind[head].tolist(), begin[head].tolist(), end[last].tolist(), strict=True):
-        out.setdefault(d, []).append((KINDS[k], a, b))
+    ends = zip(hot[head].tolist(), hot[last].tolist(), strict=True)
+    for d, k, a, b, (x, y) in zip(doc[head].tolist(), kind[head].tolist(), begin[head].tolist(), end[last].tolist(), ends, strict=True):
+        same = x != y and data[t.start[x] : t.end[x]].tobytes() == data[t.start[y] : t.end[y]].tobytes()
+        if _leads(data, t.start[x]) and _leads(data, t.start[y]) and not same:
+            out.setdefault(d, []).append((KINDS[k], a, b))
     return out
 
 
+def _leads(data: np.ndarray, at: int) -> bool:
+    """Whether a word may begin or end a name or address: with a capital or a digit; runs of articles and particles do not."""
+    first = data[at : at + 4].tobytes().decode("utf-8", "ignore")[:1]
+    return first.isupper() or first.isdigit()
+
+
 def _outside(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Those of ``more`` (sorted, disjoint) that overlap no span of ``base``: one sweep over both."""
     taken = sorted((a, b) for _, a, b in base)

@@ -2,7 +2,47 @@
 
 import re
 
-SENTENCES = """My name is [n Łukasz Nowak] and I work here.
+SENTENCES = """Doctor [n O'Brien] is on call tonight.
+The keys are with [n Maria del Carmen Fuentes] at the front desk.
+Das Büro liegt in der [a Hauptstraße 12], 10115 Berlin.
+The Grand Canyon is in Arizona.
+El paquete llegó a [a Calle Mayor 15] el lunes.
+[n Siobhan O'Connell] drove the bus for thirty years.
+Nos vemos en [a Avenida Libertad 220] a las ocho.
+Please forward this to [n K. Yamamoto] before Friday.
+Unser Lager ist am [a Lindenweg 7] zu finden.
+The statue in Trafalgar Square was cleaned in May.
+The grant was awarded to Professor [n Adaeze Nwosu].
+Lake Superior is larger than Ireland.
+Have you seen [n Brigitte Kaltenbach] today?
+[n Rosa de la Vega] opened a bakery in Seville.
+The minutes were taken by [n Ingmar Thorsen].
+Golden Retriever puppies were sold at the fair.
+My dentist moved to [a 48 Cherry Tree Lane] in March.
+Captain [n Reyes] greeted the crew.
+The Eiffel Tower was closed on Monday.
+Ich habe gestern mit [n Friederike Baumgart] telefoniert.
+Their lawyer, Mr. [n Pemberton], asked for more time.
+Le colis est pour [n Étienne Marchand], merci.
+She grew up at [a 5 rue Victor Hugo] in Lyon.
+[n Tunde Bakare] scored twice in the second half.
+The Supreme Court agreed with the State of New York.
+Ask [n Wilhelmina Croft] about the rota.
+Black Forest cake is served with cream.
+Die Rechnung geht an [n Ottokar Weiss], bitte.
+We buried him next to his wife [n Philomena].
+Sent by [n Juan Carlos Iglesias] from his phone
+Our new address is [a 1207 Sunset Boulevard].
+The Pacific Ocean covers a third of the planet.
+La profesora [n Inés Barragán] explicó la lección.
+[n J. R. Whitlock] signed the petition.
+Deliver to the back door of [a 77 Mill Road], please.
+Microsoft Office was installed on all machines.
+[n Cormac McAllister] and [n Niamh Doyle] sang a duet.
+The Tour de France begins in Brest.
+Tell Ms. [n Okonkwo] that her car is ready.
+Die Wohnung in der [a Goethestraße 33] ist frei.
+My name is [n Łukasz Nowak] and I work here.
 Ms. [n Linda Chen] called.
 The invoice was paid by [n Sarah Connor].
 [n John Smith] went to Paris.

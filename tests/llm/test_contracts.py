@@ -452,7 +452,7 @@ def test_names_in_sentences_that_the_field_never_saw():
     right = given = wanted = 0
     for (_, want), got in zip(rows, pii.all_spans(pii.trained(), pa.array([t for t, _ in rows])), strict=True):
         right, given, wanted = right + len(set(want) & set(got)), given + len(got), wanted + len(want)
-    assert wanted > 50 and right / given >= 0.9 and right / wanted >= 0.85
+    assert wanted > 80 and right / given >= 0.9 and right / wanted >= 0.9
     plain = ["My name is Łukasz Nowak and I work here.", "Ms. Linda Chen called.", "The invoice was paid by Sarah Connor.", "John Smith went to Paris."]
     got = [[t[a:b] for _, a, b in s] for t, s in zip(plain, pii.all_spans(pii.trained(), pa.array(plain)), strict=True)]
     assert got == [["Łukasz Nowak"], ["Linda Chen"], ["Sarah Connor"], ["John Smith"]]
