@@ -635,6 +635,7 @@ def test_empty_tables(spark, empty, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     for name, f in registry.queries().items():
         assert f(spark, at).count() == (1 if name == "op5_chat" else 0), name
 
