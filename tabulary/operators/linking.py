@@ -11,6 +11,7 @@ from tabulary.functions.labels import circular_date, circular_title, parse_circu
 from tabulary.functions.text import normalize
 from tabulary.operators import search as S
 from tabulary.operators.lists import earlier_match, first_per
+from tabulary.sources.stored import kept
 
 
 def without_takedowns(records: DataFrame, removed: DataFrame) -> DataFrame:
@@ -119,17 +120,17 @@ def text_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
     records have, stands for clauses that only bar. Null texts are empty; blank queries match nothing.
     """
     key = ["alert_id", "way"]
-    ways = alerts.select("alert_id", F.posexplode(_clauses("query")).alias("way", "c")).select(*key, "c.*")
+    ways = kept(alerts.select("alert_id", F.posexplode(_clauses("query")).alias("way", "c")).select(*key, "c.*"), "clauses")
     texts = records.select("id", S.search_text(F.col("text")).alias("t"))
     has = texts.select("id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.trim("t"), " ")))).alias("word"))
     needs = ways.select(*key, F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))).alias("word"))
     bars = ways.select(*key, F.explode("barred_words").alias("word"))
-    has = has.join(needs.select("word").unionByName(bars.select("word")).distinct(), "word", "left_semi")
+    has = kept(has.join(needs.select("word").unionByName(bars.select("word")).distinct(), "word", "left_semi"), "words")
     counted = needs.join(has.groupBy("word").agg(F.count("*").alias("n")), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy(*key).agg(F.min(F.struct("n", "word"))["word"].alias("first"), F.count("*").alias("need"))
     met = rarest.join(has.withColumnRenamed("word", "first"), "first").select(*key, "id", "first", "need")
     others = met.where("need > 1").join(needs, key).where("word <> first").join(has, ["id", "word"]).groupBy(*key, "id").agg(F.count("*").alias("votes"))
-    left = met.join(others, [*key, "id"], "left").where(F.coalesce("votes", F.lit(0)) + 1 == F.col("need")).select(*key, "id")
+    left = kept(met.join(others, [*key, "id"], "left").where(F.coalesce("votes", F.lit(0)) + 1 == F.col("need")).select(*key, "id"), "votes")
     left = left.join(left.join(bars, key).join(has, ["id", "word"]).select(*key, "id"), [*key, "id"], "left_anti")
     phrased = ways.where("size(phrases) + size(barred_phrases) > 0").select(*key, "phrases", "barred_phrases")
     held = lambda p: F.col("t").contains(F.concat(F.lit(" "), p, F.lit(" ")))

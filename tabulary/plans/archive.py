@@ -426,15 +426,15 @@ def inherit_labels(spark, d):
     return M.inherit_labels(docs, labels, docs.select("doc_id", (F.col("doc_id") + 1).alias("cited_id")), "doc_id", "label")
 
 
-@query("""WITH a AS (SELECT c_custkey AS alert_id, 'k' || c_custkey AS topic, 'F-' || (c_custkey + 1) AS doc_type, c_custkey + 2 AS entity, c_custkey % 6 AS kind, ' clerk' || c_custkey || ' ' AS own, ' clerk' || (c_custkey + 3) || ' ' AS other FROM customer WHERE c_acctbal > 0),
+@query("""WITH a AS (SELECT c_custkey AS alert_id, 'k' || c_custkey AS topic, 'F-' || (c_custkey + 1) AS doc_type, c_custkey + 2 AS entity, c_custkey % 6 AS kind, ' clerk' || c_custkey || ' ' AS own, ' clerk' || (c_custkey + 3) || ' ' AS other, ' clerk' || (c_custkey + 5) || ' ' AS third FROM customer WHERE c_acctbal > 0),
 e AS (SELECT o_orderkey AS id, 'k' || o_custkey AS topic, o_orderstatus || '-' || o_custkey AS doc_type, o_custkey AS entity, ' ' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')) || ' order clerk' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ' late' ELSE '' END || CASE WHEN o_orderkey % 997 > 0 THEN ' tender' ELSE '' END || ' ' AS t FROM orders),
 q AS (SELECT alert_id, id FROM a JOIN e ON CASE kind WHEN 0 THEN contains(t, own) AND contains(t, ' urgent ') WHEN 1 THEN contains(t, ' order' || own) WHEN 2 THEN contains(t, own) AND NOT contains(t, ' urgent ') AND NOT contains(t, ' late ')
-  WHEN 3 THEN contains(t, own) OR contains(t, other) OR (contains(t, ' 4 ') AND contains(t, ' not specified ') AND NOT contains(t, ' tender ')) WHEN 4 THEN contains(t, ' tender ') AND contains(t, own) AND NOT contains(t, ' 3 medium ') ELSE alert_id % 600 = 5 AND NOT contains(t, ' tender ') END)
+  WHEN 3 THEN contains(t, own) OR contains(t, other) OR (contains(t, third) AND contains(t, ' not specified ') AND NOT contains(t, ' tender ')) WHEN 4 THEN contains(t, ' tender ') AND contains(t, own) AND NOT contains(t, ' 3 medium ') ELSE alert_id % 600 = 5 AND NOT contains(t, ' tender ') END)
 SELECT alert_id, id FROM a JOIN e USING (topic) UNION SELECT alert_id, id FROM a JOIN e USING (doc_type) UNION SELECT alert_id, id FROM a JOIN e USING (entity) UNION SELECT alert_id, id FROM q""")
 def alert_match(spark, d):
     key, order = F.col("c_custkey"), F.col("o_orderkey")
     own = lambda n: F.concat(F.lit("clerk"), key + n)
-    asked = [F.concat(own(0), F.lit(" urgent")), F.concat(F.lit('"Order '), own(0), F.lit('"')), F.concat(own(0), F.lit(" -urgent -late")), F.concat(own(0), F.lit(" OR "), own(3), F.lit(' OR 4 "not specified" -tender')),
+    asked = [F.concat(own(0), F.lit(" urgent")), F.concat(F.lit('"Order '), own(0), F.lit('"')), F.concat(own(0), F.lit(" -urgent -late")), F.concat(own(0), F.lit(" OR "), own(3), F.lit(" OR "), own(5), F.lit(' "not specified" -tender')),
              F.concat(F.lit("tender "), own(0), F.lit(' -"3 medium"')), F.when(key % 600 == 5, "-tender")]
     alerts = read(spark, d, "customer").select(
         key.alias("alert_id"), (F.col("c_acctbal") > 0).alias("is_active"), F.array(F.concat(F.lit("k"), key)).alias("topics"),
