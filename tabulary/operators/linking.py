@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,58 +94,95 @@ def circular_matches(circulars: DataFrame, records: DataFrame, keep: list[str] |
     return joined.select(*(keep or []), "url", status.alias("status"), F.when(status.isin("imported", "have"), F.coalesce("own", "one")).alias("record_id"))
 
 
+#: Alerts from which on a condition counts as common; alerts that meet the hits of a common set at a time; records from which on a word is dealt out.
+_COMMON, _DEALT, _HEAVY = 16, 256, 1 << 16
+
+
 def alert_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
     """(alert_id, id): new records by topic, document type, entity or search text of each active alert.
 
     Alerts and records meet only in a value or word that both have; see ``text_matches``.
     """
     active = alerts.where("is_active")
-    parts = []
+    asked, had = [], []
     for wanted, have in (("topics", "topics"), ("doc_types", None), ("entity_ids", "entity_ids")):
-        a = active.select("alert_id", F.explode(F.array_distinct(wanted)).alias("v"))
-        r = records.select(F.col("id"), F.explode(F.array_distinct(have)).alias("v")) if have else records.select("id", F.col("doc_type").alias("v"))
-        parts.append(a.join(r, "v").select("alert_id", "id"))
-    if "query" in alerts.columns:
-        parts.append(text_matches(active, records))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        key = lambda v: F.concat(F.lit(f"{wanted}:"), F.col(v).cast("string")).alias("key")  # noqa: B023, E731
+        asked.append(active.select("alert_id", F.explode(wanted).alias("v")).select("alert_id", key("v")))
+        had.append(records.select("id", F.explode(F.array_distinct(have)).alias("v")).select("id", key("v")) if have else records.select("id", key("doc_type")))
+    return _paired(asked, had, active if "query" in alerts.columns else None, records)
 
 
 def text_matches(alerts: DataFrame, records: DataFrame) -> DataFrame:
     """(alert_id, id): records whose text satisfies an alert's query, read as plain words, phrases, OR and minus.
 
-    Queries become clauses and clauses rows of words. A clause first meets the records that have
-    the word of it that fewest records have; those vote with the clause's other words, and only
-    where all have voted are barred words and phrases looked at. The empty word, which all
-    records have, stands for clauses that only bar. Null texts are empty; blank queries match nothing.
+    Queries become clauses, and equal clauses are looked for once. A clause meets the records that
+    have the word of it that fewest records have, and is then held against their texts. The empty
+    word, which all records have, stands for clauses that only bar. Null texts are empty; blank
+    queries match nothing.
     """
-    key = ["alert_id", "way"]
-    ways = kept(alerts.select("alert_id", F.posexplode(_clauses("query")).alias("way", "c")).select(*key, "c.*"), "clauses")
+    return _paired([], [], alerts, records)
+
+
+def _paired(asked: list[DataFrame], had: list[DataFrame], searching: DataFrame | None, records: DataFrame) -> DataFrame:
+    """(alert_id, id) of alerts (alert_id, key) and records (id, key) that share a key, and of queries and texts.
+
+    Each condition meets its records once. Conditions of few alerts are then spread over them. Of
+    common ones each set that alerts have is met once, and its records go to all alerts that have
+    it: those pairs, the bulk of them, need no comparing. Joins are no broadcasts, for
+    stored tables are many times their files' size in memory.
+    """
+    if searching is not None:
+        asked = [*asked, searching.select("alert_id", F.explode(_clauses("query")).alias("c")).select("alert_id", F.concat(F.lit("query:"), F.to_json("c")).alias("key"))]
+    every = kept(reduce(DataFrame.unionByName, asked).where("key is not null").distinct(), "asked")
+    conditions = kept(every.groupBy("key").agg(F.count("*").alias("owners")).withColumn("cond", F.monotonically_increasing_id()), "conditions")
+    hits = [h.join(conditions.hint("merge"), "key").select("cond", "id") for h in had]
+    if searching is not None:
+        hits.append(_text_hits(conditions, records))
+    hits = kept(reduce(DataFrame.unionByName, hits), "hits")
+    owned = kept(every.join(conditions.hint("merge"), "key").select("alert_id", "cond", "owners"), "owned")
+    few = owned.where(F.col("owners") <= _COMMON).join(hits.hint("merge"), "cond").select("alert_id", "id").distinct()
+    sets = owned.where(F.col("owners") > _COMMON).groupBy("alert_id").agg(F.array_sort(F.collect_set("cond")).alias("conds"))
+    named = sets.groupBy("conds").agg(F.min("alert_id").alias("set"), F.count("*").alias("members"))
+    members = kept(sets.join(named.hint("merge"), "conds").select("alert_id", "set", "members", F.when(F.col("alert_id") == F.col("set"), F.col("conds")).alias("conds")), "members")
+    shared = members.select("set", "members", F.explode("conds").alias("cond")).join(hits.hint("merge"), "cond").select("set", "members", "id").distinct()
+    shared = kept(shared, "shared")
+    few = few.join(members.select("alert_id", "set").hint("merge"), "alert_id", "left").join(shared.select("set", "id").hint("merge"), ["set", "id"], "left_anti")
+    parts = F.ceil(F.col("members") / _DEALT)
+    dealt = shared.select("set", "id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    most = members.select("alert_id", "set", F.pmod(F.xxhash64("alert_id"), parts).alias("part")).join(dealt.hint("merge"), ["set", "part"])
+    return few.select("alert_id", "id").unionByName(most.select("alert_id", "id"))
+
+
+def _text_hits(conditions: DataFrame, records: DataFrame) -> DataFrame:
+    """(cond, id): the records that satisfy each condition whose key is a clause."""
+    clause = F.from_json(F.substring("key", 7, 1 << 30), _CLAUSE)
+    clauses = conditions.where(F.col("key").startswith("query:")).select("cond", clause.alias("c"))
     texts = records.select("id", S.search_text(F.col("text")).alias("t"))
     has = texts.select("id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.trim("t"), " ")))).alias("word"))
-    needs = ways.select(*key, F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))).alias("word"))
-    bars = ways.select(*key, F.explode("barred_words").alias("word"))
-    has = kept(has.join(needs.select("word").unionByName(bars.select("word")).distinct(), "word", "left_semi"), "words")
-    counted = needs.join(has.groupBy("word").agg(F.count("*").alias("n")), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy(*key).agg(F.min(F.struct("n", "word"))["word"].alias("first"), F.count("*").alias("need"))
-    met = rarest.join(has.withColumnRenamed("word", "first"), "first").select(*key, "id", "first", "need")
-    others = met.where("need > 1").join(needs, key).where("word <> first").join(has, ["id", "word"]).groupBy(*key, "id").agg(F.count("*").alias("votes"))
-    left = kept(met.join(others, [*key, "id"], "left").where(F.coalesce("votes", F.lit(0)) + 1 == F.col("need")).select(*key, "id"), "votes")
-    left = left.join(left.join(bars, key).join(has, ["id", "word"]).select(*key, "id"), [*key, "id"], "left_anti")
-    phrased = ways.where("size(phrases) + size(barred_phrases) > 0").select(*key, "phrases", "barred_phrases")
+    counts = kept(has.groupBy("word").agg(F.count("*").alias("n")), "words")
+    needs = clauses.select("cond", "c", F.explode(F.when(F.size("c.words") > 0, F.col("c.words")).otherwise(F.array(F.lit("")))).alias("word"))
+    counted = needs.select("cond", "word").join(counts.hint("merge"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("cond").agg(F.min(F.struct("n", "word")).alias("first")).select("cond", "first.*").where("n > 0")
+    firsts = kept(rarest.join(clauses.hint("merge"), "cond"), "firsts")
+    # A word of very many records is dealt out, or left out if no clause begins with it; there are few of them.
+    parts = F.ceil(F.col("n") / _HEAVY)
+    sought = firsts.select("word").distinct().withColumn("sought", F.lit(True))
+    heavy = counts.where(F.col("n") > _HEAVY).join(sought.hint("merge"), "word", "left").select("word", "sought", parts.alias("parts"))
+    dealt = has.join(F.broadcast(heavy), "word", "left").where("parts is null or sought").select("id", "word", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).alias("part"))
+    met = dealt.join(firsts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).hint("merge"), ["word", "part"]).select("cond", "c", "id")
     held = lambda p: F.col("t").contains(F.concat(F.lit(" "), p, F.lit(" ")))
-    checked = left.join(phrased, key).join(texts, "id").where(F.forall("phrases", held) & ~F.exists("barred_phrases", held))
-    return left.join(phrased, key, "left_anti").select("alert_id", "id").unionByName(checked.select("alert_id", "id")).distinct()
+    holds = F.forall(F.concat("c.words", "c.phrases"), held) & ~F.exists(F.concat("c.barred_words", "c.barred_phrases"), held)
+    return met.join(texts.hint("merge"), "id").where(holds).select("cond", "id")
+
+
+_CLAUSE = "struct<words: array<string>, phrases: array<string>, barred_words: array<string>, barred_phrases: array<string>>"
 
 
 def _clauses(query: Column | str) -> Column:
     def run(queries: pd.Series) -> pd.Series:
         return queries.map(lambda q: [vars(c) for c in S.clauses(q)])
 
-    words = ", ".join(f"{n}: array<string>" for n in ("words", "phrases", "barred_words", "barred_phrases"))
-    return F.pandas_udf(run, f"array<struct<{words}>>")(query)
+    return F.pandas_udf(run, f"array<{_CLAUSE}>")(query)
 
 
 def reuse_summaries(records: DataFrame) -> DataFrame:

@@ -81,3 +81,32 @@ def test_parameters():
     assert params.parse({"konu": "ihale,none", "q": "x" * 201}) == params.SearchParams()
     assert p.address() == "/ara?q=a&konu=ihale%2Cmarka&tur=yasa&baslangic=2025-01-01&uzak=1" and params.SearchParams().address() == "/ara"
     assert params.parse({"sayfa": "3"}).offset == 40
+
+
+def test_alerts_of_common_conditions(spark):
+    """Conditions of one alert, of few and of very many, in sets, each pair once; a word of very many records."""
+    rng = random.Random(9)
+    topics, words = ["ihale", "marka", "atama"], ["su", "yol", "depo"]
+    alerts = [(i, rng.sample(topics, rng.choice([0, 1, 2])), [], [i % 50], True, rng.choice([None, "su", "-su", f"w{i % 40}", f"yol OR w{i % 7} OR -depo", 'depo "su yol"'])) for i in range(900)]
+    records = [(i, rng.sample(topics, rng.choice([0, 1, 2])), "x", [i % 60], " ".join([*(rng.choice(words) for _ in range(rng.choice([0, 1, 3]))), f"w{i % 45}"])) for i in range(120)]
+    found = L.alert_matches(spark.createDataFrame(alerts, "alert_id int, topics array<string>, doc_types array<string>, entity_ids array<long>, is_active boolean, query string"),
+                            spark.createDataFrame(records, "id int, topics array<string>, doc_type string, entity_ids array<long>, text string"))
+    got = [tuple(r) for r in found.collect()]
+    want = {(a[0], r[0]) for a in alerts for r in records if set(a[1]) & set(r[1]) or a[3] == r[3] or ((n := S.parse(a[5])) and holds(n, r[4]))}
+    assert sorted(got) == sorted(want)
+
+
+def test_heavy_words_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(L, "_HEAVY", 3)
+    alerts = spark.createDataFrame([(1, "su"), (2, "-depo"), (3, "su yol"), (4, "yol")], "alert_id int, query string")
+    texts = [(i, "su" + " depo" * (i % 2) + " yol" * (i % 7 == 0)) for i in range(40)]
+    got = sorted(tuple(r) for r in L.text_matches(alerts, spark.createDataFrame(texts, "id int, text string")).collect())
+    assert got == sorted([(1, i) for i in range(40)] + [(2, i) for i in range(0, 40, 2)] + [(k, i) for k in (3, 4) for i in range(0, 40, 7)])
+
+
+def test_no_broadcast_but_of_frequent_words(spark):
+    """Stored tables are small as files and large in memory: the driver held them before."""
+    alerts = spark.createDataFrame([(i, [], [], [i], True, f"w{i}") for i in range(9)], "alert_id int, topics array<string>, doc_types array<string>, entity_ids array<long>, is_active boolean, query string")
+    records = spark.createDataFrame([(i, [], "x", [i], f"w{i}") for i in range(9)], "id int, topics array<string>, doc_type string, entity_ids array<long>, text string")
+    found = L.alert_matches(alerts, records)
+    assert found.count() == 9 and "Broadcast" not in found._jdf.queryExecution().toString()
