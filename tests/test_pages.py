@@ -88,3 +88,24 @@ def test_numbers_follow_the_order(spark):
 def test_bodies_under_the_limit(spark):
     df = spark.createDataFrame([("a" * 9, None), ("a" * 10, "b"), (None, "b" * 10), (None, None)], "x string, y string")
     assert [r[0] for r in df.select(P.body_guard(["x", "y"], 10)).collect()] == [True, False, False, True]
+
+
+def test_amendments_equal_a_plain_reading(spark):
+    """Ends within longer ends, ids that are their own best, dates shared by many; no join of records with records."""
+    rng = random.Random(4)
+    ends = ["abcd", "zabcd", "abcd yyy", "yzabcd", "ab-cd", "zab-cd"]
+    rows = [(i, "tuzuk" if rng.random() < 0.9 else "x", rng.random() < 0.7, rng.choice(["q-", "", "r"]) + rng.choice(ends), None if rng.random() < 0.05 else datetime.date(2000, 1, rng.choice(range(1, 20)))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (200, "tuzuk", True, None, datetime.date(2000, 1, 1))], "id int, doc_type string, has_own_page boolean, title_normalized string, published_at date")
+    found = P.other_amendments(df, df, 2)
+    want = set()
+    for i, kind, _, title, date in rows:
+        end = title.split("-")[-1]
+        best = {}
+        for j, k, own, t, d in rows:
+            if kind == k == "tuzuk" and own and len(end) > 2 and t.endswith(end) and j != i and d and date and d != date:
+                best[d] = max(j, best.get(d, -1))
+        want |= {(i, best[d], d) for d in sorted(best, reverse=True)[:8]}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 500
+    same = spark.createDataFrame([(i, "tuzuk", True, "x-bir tuzuk", datetime.date(2000, 1, 1 + i % 28)) for i in range(1000)], "id int, doc_type string, has_own_page boolean, title_normalized string, published_at date")
+    made = P.other_amendments(same, same, 3)
+    assert made.count() == 8000 and "endswith" not in made._jdf.queryExecution().executedPlan().toString().lower()
