@@ -48,13 +48,13 @@ BOILERPLATE = (
 def _merged(tokens: Column) -> Column:
     """Neighbours of one level become one token; empty ones go."""
     none = F.array().cast("array<struct<t:string,lvl:int>>")
+    begins = lambda ts: F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i)["lvl"] != F.get(ts, i - 1)["lvl"]))
 
-    def add(a: Column, x: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        joined = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.concat(last["t"], x["t"]).alias("t"), x["lvl"].alias("lvl"))))
-        return F.when(x["t"] == "", a).when(last["lvl"] == x["lvl"], joined).otherwise(F.concat(a, F.array(x)))
+    def runs(ts: Column, at: Column) -> Column:
+        texts = lambda b, k: F.transform(F.slice(ts, b + 1, F.coalesce(F.get(at, k + 1), F.size(ts)) - b), lambda x: x["t"])
+        return F.transform(at, lambda b, k: F.struct(F.array_join(texts(b, k), "").alias("t"), F.get(ts, b)["lvl"].alias("lvl")))
 
-    return F.aggregate(tokens, none, add)
+    return let(F.filter(tokens, lambda x: x["t"] != ""), lambda ts: F.when(F.size(ts) > 0, let(begins(ts), lambda at: runs(ts, at))).when(ts.isNotNull(), none))
 
 
 def mask_title(title: Column) -> Column:
@@ -65,7 +65,9 @@ def mask_title(title: Column) -> Column:
         parts = F.filter(F.split(t, r"(?<=[/\-–—,:()])(?![/\-–—,:()])|(?<![/\-–—,:()])(?=[/\-–—,:()])"), lambda p: p != "")
 
         def level(p: Column) -> Column:
-            upper = T.turkish_upper(p)
+            return let(T.turkish_upper(p), lambda upper: level_of(p, upper))
+
+        def level_of(p: Column, upper: Column) -> Column:
             plain = F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: upper.contains(b))
             yearly = p.rlike(r"^\s*\d{4}\s*$") | upper.rlike("MALİ YILI|ÖĞRETİM YILI")
             return F.when(p.rlike(r"^[/\-–—,:()\s]+$") | plain, 0).when(yearly, 2).otherwise(1)
