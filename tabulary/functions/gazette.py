@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from datetime import date as Date
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,6 +230,10 @@ def label_places(text: str, labels: list[str]) -> dict[str, list[int]]:
     return out
 
 
+#: Issues whose bodies a task holds at once.
+_AT_ONCE = 64
+
+
 def slice_bodies(text: str | None, labels: list[str]) -> list[tuple[str, str | None, int | None]]:
     """(label, body, page) of each label: from its first place to the nearest later place of another
     label; bodies of up to 40 characters are null."""
@@ -256,13 +262,18 @@ def extract_bodies(records: DataFrame, issues: DataFrame, key: str, text: str) -
     """
     anchored = records.withColumn("anchor", body_anchor(F.col("ref_type"), F.col("ref_number")))
     labels = anchored.where("anchor is not null").groupBy(key).agg(F.array_sort(F.collect_set("anchor")).alias("labels"))
-    fields = "array<struct<anchor:string,body:string,page_from:int>>"
-
-    def cut(texts: pd.Series, labels: pd.Series) -> pd.Series:
-        rows = (slice_bodies(t, list(x)) for t, x in zip(texts, labels, strict=True))
-        return pd.Series([[{"anchor": a, "body": b, "page_from": p} for a, b, p in r] for r in rows])
-
-    bodies = issues.select(key, F.col(text).alias("__text")).join(labels, key).select(key, F.inline(F.pandas_udf(cut, fields)("__text", "labels")))
+    schema = T.StructType([issues.select(key).schema[0], T.StructField("anchor", T.StringType()), T.StructField("body", T.StringType()), T.StructField("page_from", T.IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(lo, _AT_ONCE)
+                issue = part.column(0)
+                rows = [(i, *r) for i in range(part.num_rows) for r in slice_bodies(part.column(1)[i].as_py(), part.column(2)[i].as_py())]
+                at, anchor, body, page = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([issue.take(pa.array(at, pa.int32())), pa.array(anchor, pa.string()), pa.array(body, pa.string()), pa.array(page, pa.int32())], names=schema.names)
+
+    bodies = issues.select(key, F.col(text).alias("__text")).join(labels, key).select(key, "__text", "labels").mapInArrow(cut, schema)
     return anchored.join(bodies, [key, "anchor"], "left").select(*records.columns, "anchor", "body", "page_from")
 
 
@@ -313,12 +324,12 @@ def entities(title: Column, body: Column) -> Column:
         out = [F.when(upper_all.contains(_upper(n)), made("institution", title_case(F.lit(n)), none, upper_title.contains(_upper(n)))) for n in INSTITUTIONS]
         for name, district in PLACES:
             pattern = rf"(^|[^{_CAPITAL}]){_upper(name)}(?=$|[^{_CAPITAL}])"
-            out.append(F.when(upper_all.rlike(pattern), made("place", F.lit(name), F.lit(district), upper_title.rlike(pattern))))
+            out.append(F.when(upper_all.contains(_upper(name)) & upper_all.rlike(pattern), made("place", F.lit(name), F.lit(district), upper_title.rlike(pattern))))
         return F.filter(F.array(*out), lambda e: e.isNotNull())
 
     listed = let(flat(title), lambda t: let(flat(text), lambda a: known(t, a)))
     names = F.filter(F.transform(F.regexp_extract_all(text, F.lit(_COMPANY), 1), squeeze), lambda n: F.length(n) >= 8)
-    firms = F.transform(names, lambda n: made("company", title_case(n), F.lit(None).cast("string"), turkish_upper(title).contains(turkish_upper(n))))
+    firms = F.transform(names, lambda n: let(title_case(n), lambda name: made("company", name, F.lit(None).cast("string"), turkish_upper(title).contains(turkish_upper(n)))))
     every = F.concat(listed, firms)
     return let(every, lambda es: F.filter(es, lambda e, i: ~F.exists(F.transform(es, lambda o, j: F.struct(o.alias("o"), j.alias("j"))), lambda p: (p["o"]["slug"] == e["slug"]) & ((p["o"]["confidence"] > e["confidence"]) | ((p["o"]["confidence"] == e["confidence"]) & (p["j"] < i))))))
 
@@ -380,7 +391,8 @@ def deadline_in(body: str | None) -> tuple[Date | None, str | None]:
     return (next(iter(found)) if len(found) == 1 else None), note or None
 
 
-@F.pandas_udf(T.StructType().add("deadline_at", "date").add("note", "string"))
-def extract_deadline(body: pd.Series) -> pd.DataFrame:
-    rows = [deadline_in(b) for b in body]
-    return pd.DataFrame({"deadline_at": [r[0] for r in rows], "note": [r[1] for r in rows]})
+@F.arrow_udf(T.StructType().add("deadline_at", "date").add("note", "string"))
+def extract_deadline(body: pa.Array) -> pa.Array:
+    """One text at a time: a batch's texts are not all Python objects at once."""
+    rows = [deadline_in(b.as_py()) for b in body]
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.date32()), pa.array([r[1] for r in rows], pa.string())], names=["deadline_at", "note"])
