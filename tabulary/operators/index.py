@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,7 +51,8 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A row has the ids of the texts of a block that have the word, one after the other where in each it
     stands, and where in these places each text's end (null if it stands once in each). A block is some ``BLOCK_BYTES`` of one partition's
-    texts, or one longer text."""
+    texts, or one longer text. Nothing is shuffled: each partition of texts sorts its own words, and
+    so makes a file for each first letter."""
     rows = texts.select(F.col(id_col).alias("id"), F.trim(text_col).alias("text"))
     key = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(key)),
@@ -69,8 +70,7 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), *lists], names=schema.names)
                 lo, block = hi, block + 1
 
-    made = rows.mapInArrow(run, schema).repartitionByRange("term", "block")
-    return made.withColumn("head", F.left("term", F.lit(1))).sortWithinPartitions("head", "term", "block")
+    return rows.mapInArrow(run, schema).withColumn("head", F.left("term", F.lit(1))).sortWithinPartitions("head", "term", "block")
 
 
 def _block(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, ...]:
@@ -161,6 +161,9 @@ def find(texts: DataFrame, stored: DataFrame, id_col: str, query: str | None, ne
     tokens = sorted({t for leaf in _leaves(node) for run in _ways(leaf.words, SYNONYMS + BRIDGES) for t in run})
     is_one = lambda t: F.col("term").startswith(t.text) if t.prefix else F.col("term") == t.text
     sought = stored.where(F.col("head").isin(sorted({t.text[0] for t in tokens})) & reduce(lambda a, b: a | b, map(is_one, tokens)))
+    plain = node.kind == "and" and all(p.kind == "word" for p in node.parts)
+    if all(len(run) == 1 for leaf in _leaves(node) for run in _ways(leaf.words, SYNONYMS + BRIDGES)) and not (plain and near > 0):
+        return _join_words(texts, id_col, node, tokens, sought, is_one)
     begin = F.when(F.col("ends").isNull(), F.col("i")).when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
     end = F.coalesce(F.get("ends", F.col("i")), F.col("i") + 1)
     texts_of = sought.select("term", "ends", "places", F.posexplode("ids").alias("i", "id")).select("term", "id", F.slice("places", begin + 1, end - begin).alias("places"))
@@ -172,12 +175,33 @@ def find(texts: DataFrame, stored: DataFrame, id_col: str, query: str | None, ne
         gathered = ids.join(gathered, "id", "left").select("id", *(F.coalesce(f"p{k}", none).alias(f"p{k}") for k in range(len(tokens))))
     at = {t: F.col(f"p{k}") for k, t in enumerate(tokens)}
     loose = _truth(node, SYNONYMS + BRIDGES, at)
-    plain = node.kind == "and" and all(p.kind == "word" for p in node.parts)
     strict = reduce(lambda a, b: a & b, (_neighbours(a.words[0], b.words[0], near, at) for a, b in itertools.pairwise(node.parts))) if plain and near > 0 else loose
     hits = gathered.where(loose).select(F.col("id").alias(id_col), strict.alias("strict"), _truth(node, BRIDGES, at).alias("direct"))
     return texts.join(hits, id_col)
 
 
+def _join_words(texts: DataFrame, id_col: str, node: Node, tokens: list[Token], sought: DataFrame, is_one: Callable[[Token], Column]) -> DataFrame:
+    """``find`` for queries that only ask which words a text has: no places are read."""
+    has = [is_one(t).alias(f"p{k}") for k, t in enumerate(tokens)]
+    each = sought.select(F.explode("ids").alias("id"), *has)
+    gathered = each.groupBy("id").agg(*(F.bool_or(f"p{k}").alias(f"p{k}") for k in range(len(tokens))))
+    if _holds_without_words(node):
+        ids = texts.select(F.col(id_col).alias("id")).distinct()
+        gathered = ids.join(gathered, "id", "left").select("id", *(F.coalesce(f"p{k}", F.lit(False)).alias(f"p{k}") for k in range(len(tokens))))
+    at = {t: F.col(f"p{k}") for k, t in enumerate(tokens)}
+    loose, direct = _holds(node, SYNONYMS + BRIDGES, at), _holds(node, BRIDGES, at)
+    return texts.join(gathered.where(loose).select(F.col("id").alias(id_col), loose.alias("strict"), direct.alias("direct")), id_col)
+
+
+def _holds(node: Node, synonyms: tuple, at: dict[Token, Column]) -> Column:
+    """``_truth`` of a query of single words, where ``at`` says whether a text has them."""
+    if node.kind == "not":
+        return ~_holds(node.parts[0], synonyms, at)
+    if node.kind in ("and", "or"):
+        return reduce((lambda a, b: a & b) if node.kind == "and" else (lambda a, b: a | b), (_holds(p, synonyms, at) for p in node.parts))
+    return reduce(lambda a, b: a | b, (at[run[0]] for run in _ways(node.words, synonyms)))
+
+
 def tiered_page(texts: DataFrame, stored: DataFrame, id_col: str, query: str, order: list[Column], page: int = 1, size: int = 20) -> DataFrame:
     """A page of strict matches, direct ones first, then by ``order``; column ``tier``: 1 direct, 0 not."""
     hits = find(texts, stored, id_col, query).where("strict").withColumn("tier", F.col("direct").cast("int"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _LOCAL = "file:///tmp/tabulary-checkpoints"
 #: To be raised when what a derived table holds changes.
-_FORM = 5
+_FORM = 6
 
 
 def _files(rows: DataFrame) -> str:
