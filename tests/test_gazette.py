@@ -83,3 +83,13 @@ def test_entities_and_aliases(spark):
     assert {(e.kind, e.slug, e.confidence) for e in row.e} == {
         ("institution", "bakanlar-kurulu", 0.7), ("place", "lefkosa", 0.7), ("place", "vadili", 1.0), ("place", "lefke", 1.0), ("company", "vadili-gida-sanayi-ltd", 1.0)}
     assert row.a == ["UKI 12-2025", "UKI12-2025", "ÜKI 12-2025"] and row.b == [] and row.f == ["no_body", "no_anchor"]
+
+
+def test_texts_are_not_held_as_python_objects_by_the_batch(spark):
+    text = "Sayı : 1\n" + "metin " * 10 + "\nSayı : 2\n" + "söz " * 12
+    issues = spark.createDataFrame([(i, text) for i in range(150)], "issue int, text string")
+    records = spark.createDataFrame([(i, "ae", str(n)) for i in range(150) for n in (1, 2, 3)], "issue int, ref_type string, ref_number string")
+    found = G.extract_bodies(records, issues, "issue", "text")
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert sorted((r.issue, r.ref_number, r.body is not None) for r in found.collect()) == [(i, n, n != "3") for i in range(150) for n in "123"]
+    assert "arrow" in str(G.extract_deadline.evalType).lower() or G.extract_deadline.evalType >= 250

@@ -102,3 +102,11 @@ def test_derived_tables_are_kept_and_forgotten(spark, tmp_path):
     stored.forget(spark)
     made.append(2)
     assert {r["at"] for r in stored.derived(spark, "twice", spark.read.parquet(f"{tmp_path}/t"), make, by="by").collect()} == {2}
+
+
+def test_postings_are_not_shuffled_and_words_read_no_places(spark, texts, words, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan(I.postings(texts, "id", "t"))
+    words.write.partitionBy("head").parquet(f"{tmp_path}/words")
+    read = spark.read.schema(words.schema).parquet(f"{tmp_path}/words")
+    assert "places" not in plan(I.find(texts.select("id"), read, "id", "su OR -depo")) and "places" in plan(I.find(texts.select("id"), read, "id", '"su depo"'))

@@ -46,3 +46,9 @@ def test_quality_and_similarity(spark):
     lit = F.lit
     assert values(spark, T.text_quality(lit("kısa metin")), T.text_quality(lit("güzel bir deneme " * 20)), T.similarity(lit("word"), lit("two words"))) == [None, 1.0, 4 / 11]
     assert values(spark, T.corruption_count(lit("ÜRETiM iLAN ÖDENEKSiZ")), T.needs_reread(lit("ÜRETiM")), T.needs_reread(lit(""))) == [2, True, False]
+
+
+def test_quality_needs_no_list_of_words(spark):
+    df = spark.createDataFrame([("ev evde " * 30 + "qrst brrrk kxa a1b2 ÇOK",), ("az",), (None,)], "t string").select(T.text_quality(F.col("t")).alias("q"))
+    assert "split(" not in df._jdf.queryExecution().analyzed().toString()
+    assert [r.q for r in df.collect()] == [31 / 34, None, None]
