@@ -213,50 +213,68 @@ MOST_WORDS, LEAST_WORDS, SHORT_WORD = 40, 20, 3
 
 
 def _items(query: str | None) -> list[str]:
-    """A pattern for each distinct word of a query, of words that stand for it."""
+    """A pattern for each distinct word of a query, of words that stand for it; it is met where a folded word begins."""
     words = dict.fromkeys(w for n in _leaves(parse(query)) for w in n.words)
-    return ["^(?:" + "|".join(v if " " not in v else "|".join(f"{x}$" for x in v.split()) for v in [w, *(a for t, a in SYNONYMS + BRIDGES if t == w)]) + ")" for w in words]
+    return ["(?:" + "|".join(v if " " not in v else "|".join(f"{x}(?![^ ])" for x in v.split()) for v in [w, *(a for t, a in SYNONYMS + BRIDGES if t == w)]) + ")" for w in words]
 
 
 def snippet(body: Column, query: str | None, most: int = MOST_WORDS, least: int = LEAST_WORDS, short: int = SHORT_WORD) -> Column:
-    """The best stretch of up to ``most`` words, matches between \\u0001 and \\u0002.
+    """The best stretch of up to ``most`` words of the whole body, matches between \\u0001 and \\u0002.
 
     Of all stretches that begin with a match the one with the most different words of the query is
     taken, then the shortest, then the first. It grows by half of what is left to the left and by
     the rest to the right; ends then go back over words of up to ``short`` letters that match
     nothing. A body without a match gives its first ``least`` words. The query is read loosely.
+
+    The body is cut before each match only, and these pieces are folded once from the last to the
+    first, so a long body is never held word by word and the work is linear in it.
     """
     items = _items(query)
-    folded = lambda w: F.regexp_replace(unaccent(w), "[^a-z0-9]+", "")
-    bits = lambda f: reduce(lambda a, b: a + b, (F.when(f.rlike(p), 1 << k).otherwise(0) for k, p in enumerate(items)), F.lit(0))
-    word = lambda w: let(folded(w), lambda f: F.struct(w.alias("w"), bits(f).alias("bits"), (F.length(f) <= short).alias("short")))
-
-    def best(words: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("at"), x["bits"].alias("bits"))), lambda h: h["bits"] > 0)
-        return let(hits, lambda h: F.array_min(F.transform(h, lambda x, i: stretch(F.filter(F.slice(h, i + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most), x["at"]))))
+    first = lambda text: F.substring_index(text, " ", least)
+    if not items:
+        return first(clean_body(body))
+    one_of = "|".join(items)
+    folded = lambda t: F.regexp_replace(unaccent(t), "(?! )[^a-z0-9]", "")
+    blanks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    word = lambda w: let(folded(w), lambda f: F.struct(w.alias("w"), f.rlike(f"^(?:{one_of})").alias("hit"), (F.length(f) <= short).alias("short")))
+
+    def best(pieces: Column) -> Column:
+        # A piece is a match and the words up to the next; the one before all matches has a blank before each word.
+        hits = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.struct((blanks(p) + 1).alias("n"), F.array(*(p.rlike(f"^{x}") for x in items)).alias("has")))
+        none = F.struct(F.lit(0).alias("left"), F.array(*(F.lit(None).cast("int") for _ in items)).alias("next"), F.lit(None).cast("struct<rank:int,more:int,at:int>").alias("best"))
+        before = blanks(F.get(pieces, F.lit(0)))
+        return F.aggregate(F.reverse(hits), none, step, lambda s: F.when(s["best"].isNotNull(), F.struct(
+            (before + s["left"] + s["best"]["at"]).alias("begin"), s["best"]["more"].alias("more"), (before + s["left"]).alias("n"))))
 
-    def stretch(near: Column, begin: Column) -> Column:
-        firsts = F.array_compact(F.array(*(F.array_min(F.transform(F.filter(near, lambda y: y["bits"].bitwiseAND(1 << k) > 0), lambda y: y["at"])) for k in range(len(items)))))  # noqa: B023
-        return let(firsts, lambda f: F.struct((-F.size(f)).alias("rank"), (F.array_max(f) - begin).alias("more"), begin.alias("begin"), F.array_max(f).alias("end")))
+    def step(s: Column, x: Column) -> Column:
+        # Places are counted as words left from there to the end of the body.
+        left = s["left"] + x["n"]
+        nexts = [F.when(F.get(x["has"], F.lit(k)), left).otherwise(F.get(s["next"], F.lit(k))) for k in range(len(items))]
+        far = [F.when(left - n < most, left - n) for n in nexts]
+        found = F.struct(F.negative(reduce(lambda a, b: a + b, (f.isNotNull().cast("int") for f in far))).alias("rank"), F.greatest(F.lit(0), *far).alias("more"), F.negative(left).alias("at"))
+        return F.struct(left.alias("left"), F.array(*nexts).alias("next"), F.least(s["best"], found).alias("best"))
 
     def good(words: Column, i: Column) -> Column:
         x = F.get(words, i)
-        return ~x["short"] | (x["bits"] > 0)
+        return ~x["short"] | x["hit"]
+
+    def cut(text: Column, b: Column) -> Column:
+        left = F.greatest(F.lit(0), b["begin"] - F.floor((most - (b["more"] + 1)) / 2).cast("int"))
+        upto = F.least(b["n"], b["begin"] + most)
+        stretch = F.call_function("substring_index", F.call_function("substring_index", text, F.lit(" "), upto), F.lit(" "), left - upto)
+        return let(F.transform(F.split(stretch, " "), word), lambda words: trimmed(words, b["begin"] - left, b["begin"] - left + b["more"]))
 
-    def cut(words: Column, b: Column) -> Column:
-        left = F.greatest(F.lit(0), b["begin"] - F.floor((most - (b["end"] - b["begin"] + 1)) / 2).cast("int"))
-        begin = F.array_min(F.filter(F.sequence(left, b["begin"]), lambda i: good(words, i) | (i == b["begin"])))
-        return let(begin, lambda at: let(F.least(F.size(words), at + most) - 1, lambda right: marked(
-            words, at, F.array_max(F.filter(F.sequence(b["end"], right), lambda i: good(words, i) | (i == b["end"]))))))
+    def trimmed(words: Column, begin: Column, end: Column) -> Column:
+        start = F.array_min(F.filter(F.sequence(F.lit(0), begin), lambda i: good(words, i) | (i == begin)))
+        return let(start, lambda at: let(F.least(F.size(words), at + most) - 1, lambda right: marked(
+            words, at, F.array_max(F.filter(F.sequence(end, right), lambda i: good(words, i) | (i == end))))))
 
     def marked(words: Column, begin: Column, end: Column) -> Column:
-        one = lambda x: F.when(x["bits"] > 0, F.concat(F.lit("\u0001"), x["w"], F.lit("\u0002"))).otherwise(x["w"])
+        one = lambda x: F.when(x["hit"], F.concat(F.lit("\u0001"), x["w"], F.lit("\u0002"))).otherwise(x["w"])
         return F.array_join(F.transform(F.slice(words, begin + 1, end - begin + 1), one), " ")
 
-    first = lambda words: F.array_join(F.transform(F.slice(words, 1, least), lambda x: x["w"]), " ")
-    if not items:
-        return let(F.transform(F.split(clean_body(body), " "), word), first)
-    return let(F.transform(F.split(clean_body(body), " "), word), lambda words: let(best(words), lambda b: F.when(b.isNull(), first(words)).otherwise(cut(words, b))))
+    pieces = lambda text: F.split(F.regexp_replace(F.concat(F.lit(" "), folded(text)), f" (?={one_of})", "\u0001"), "\u0001")
+    return let(clean_body(body), lambda text: let(let(pieces(text), best), lambda b: F.when(b.isNull(), first(text)).otherwise(cut(text, b))))
 
 
 def _leaves(node: Node | None) -> list[Node]:

@@ -132,7 +132,7 @@ def masked_titles(spark, d):
     return read(spark, d, "documents").select("doc_id", S.overlay_matches(Y.mask_title(F.col("text")), "the der").alias("tokens"))
 
 
-@query(rf"""WITH {_DOCS}, c AS (SELECT doc_id, string_split(trim(left(trim(regexp_replace(regexp_replace(regexp_replace(text, '[#*`|]', '', 'g'), '-{{2,}}', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), 30720)), ' ') AS p FROM docs WHERE contains(t, ' the') AND contains(t, ' is')),
+@query(rf"""WITH {_DOCS}, c AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(text, '[#*`|]', '', 'g'), '-{{2,}}', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), ' ') AS p FROM docs WHERE contains(t, ' the') AND contains(t, ' is')),
 f AS (SELECT doc_id, p, list_transform(p, lambda w: regexp_replace({_FOLD.replace("coalesce(text, '')", "w")}, '[^a-z0-9]+', '', 'g')) AS w FROM c),
 h AS (SELECT doc_id, p, w, list_transform(w, lambda x: starts_with(x, 'the')::INT + 2 * starts_with(x, 'is')::INT) AS bits FROM f),
 one AS (SELECT doc_id, unnest(bits) AS b, generate_subscripts(bits, 1) AS pos FROM h),

@@ -47,6 +47,14 @@ def test_same_as_sql(spark, duck, name):
     assert rows(found.columns, found.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_snippets_of_long_texts(spark, tmp_path):
+    far = "word " * 8000
+    spark.createDataFrame([(1, f"{far} the end is near"), (2, f"the {far} The, this -- (is) {far}"), (3, f"{far} the")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(registry.queries()["snippets"](spark, str(tmp_path)).collect())
+    assert found == dict(duckdb.sql(registry.oracle_sql()["snippets"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall())
+    assert found[1].endswith(" word <the> end <is> near") and " <The,> this <(is)> word " in found[2] and 3 not in found
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     found = registry.queries()[name](spark, FOLDER)

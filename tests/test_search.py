@@ -67,6 +67,18 @@ def test_snippets_take_the_best_stretch(spark):
     assert df.limit(1).select(S.snippet(F.lit(None).cast("string"), "a"), S.snippet(F.lit("x y"), "")).first()[:] == (None, "x y")
 
 
+def test_snippets_see_the_whole_text(spark):
+    far = " ".join(["uzak"] * 8000)
+    texts = [f"{far} ihale kurul", f"ihale {far} kurul - ihale {far}", f"{far} (İhale)si {far} yolu", "x" * 40_000 + " ihale", f"kurul {far} yol ihale kurul"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for q in ("ihale", "ihale kurul yol"):
+        got = {r.id: r.s for r in df.select("id", F.translate(S.snippet(F.col("t"), q), "\u0001\u0002", "<>").alias("s")).collect()}
+        assert got == {i: plain_snippet(t, q) for i, t in enumerate(texts)}
+        assert all("<" in s for s in got.values())
+    tokens = df.where("id = 0").select(S.headline_tokens(S.snippet(F.col("t"), "ihale"))).first()[0]
+    assert [t.t for t in tokens if t.lvl == 3] == ["ihale"]
+
+
 @pytest.mark.parametrize(("texts", "query", "want"), [
     ([("a", 1.0), ("b", 0.2)], "a", 1.0), ([("x", 1.0), ("a", 0.2)], "a", 0.2), ([("a", 1.0), ("b", 0.2)], "a b", 2 / (1 + 5)), ([("a x", 1.0), ("y b", 0.2)], "a b", 2 / (1 + 5) / 3),
     ([("", 1.0), ("a a", 0.4)], "a", 0.8), ([("a", 1.0), (None, 0.2)], "a", 1.0), ([("x", 1.0)], "a", 0.0),
